@@ -67,7 +67,7 @@ WITH c AS (
     string_agg(r, '' ORDER BY k) AS rs
   FROM n GROUP BY conv_id
 ), p AS (
-  SELECT *, length(regexp_extract(rs, '^(s?ua(t+a|ua)*(t*|u)|s?u?)', 0)) AS good FROM g
+  SELECT *, length(regexp_extract(rs, '^(s?ua(t+a|ua)*(t+|u)?|s?u?)', 0)) AS good FROM g
 )
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
        chars::BIGINT AS formatted_chars,
