@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pixelquarry.llm.bpe import encode_digest
 from pixelquarry.llm.chat_format import chat_digest, with_probe
 from pixelquarry.llm.common import table
 from pixelquarry.llm.exact_dedup import exact_dedup
@@ -13,6 +14,17 @@ from pixelquarry.llm.mixing import mix_sources
 from pixelquarry.llm.url_filters import url_filter
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the installed tokenizers' file of that name is."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digest(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
@@ -32,6 +44,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_bpe": op1_bpe,
         "op3_exact_dedup": op3_exact_dedup,
         "op5_mix_sources": op5_mix_sources,
         "op6_chat_format": op6_chat_format,
