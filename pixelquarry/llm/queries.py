@@ -11,6 +11,7 @@ from pixelquarry.llm.chat_format import chat_digest, with_probe
 from pixelquarry.llm.common import table
 from pixelquarry.llm.exact_dedup import exact_dedup
 from pixelquarry.llm.mixing import mix_sources
+from pixelquarry.llm.simhash import simhash_components
 from pixelquarry.llm.url_filters import url_filter
 
 
@@ -38,6 +39,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(with_probe(table(spark, sf_dir, "conversations")))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
@@ -48,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": op3_exact_dedup,
         "op5_mix_sources": op5_mix_sources,
         "op6_chat_format": op6_chat_format,
+        "op7_simhash": op7_simhash,
         "op9_url_filters": op9_url_filters,
     }
 
