@@ -12,6 +12,7 @@ from pixelquarry.llm.common import table
 from pixelquarry.llm.exact_dedup import exact_dedup
 from pixelquarry.llm.mixing import mix_sources
 from pixelquarry.llm.simhash import simhash_components
+from pixelquarry.llm.token_files import read_token_files, write_token_files
 from pixelquarry.llm.url_filters import url_filter
 
 
@@ -43,6 +44,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    return read_token_files(shards)
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
@@ -54,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mix_sources": op5_mix_sources,
         "op6_chat_format": op6_chat_format,
         "op7_simhash": op7_simhash,
+        "op8_token_files": op8_token_files,
         "op9_url_filters": op9_url_filters,
     }
 
