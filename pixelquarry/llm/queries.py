@@ -12,6 +12,7 @@ from pixelquarry.llm.common import table
 from pixelquarry.llm.exact_dedup import exact_dedup
 from pixelquarry.llm.mixing import mix_sources
 from pixelquarry.llm.simhash import simhash_components
+from pixelquarry.llm.substring_dedup import repeats_digest
 from pixelquarry.llm.token_files import read_token_files, write_token_files
 from pixelquarry.llm.url_filters import url_filter
 
@@ -53,6 +54,10 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -62,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_simhash": op7_simhash,
         "op8_token_files": op8_token_files,
         "op9_url_filters": op9_url_filters,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
