@@ -14,6 +14,7 @@ from pixelquarry.llm.mixing import mix_sources
 from pixelquarry.llm.simhash import simhash_components
 from pixelquarry.llm.substring_dedup import repeats_digest
 from pixelquarry.llm.token_files import read_token_files, write_token_files
+from pixelquarry.llm.topk_search import top_k
 from pixelquarry.llm.url_filters import url_filter
 
 
@@ -32,6 +33,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -62,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_topk_search": op4_topk_search,
         "op5_mix_sources": op5_mix_sources,
         "op6_chat_format": op6_chat_format,
         "op7_simhash": op7_simhash,
@@ -79,6 +85,20 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY t)
 """
 
+_OP4 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
+)
+SELECT * FROM r WHERE rank <= 5
+"""
+
 # Roles that the machine takes: system at the start only, then user and assistant in turn, with
 # tool turns after an assistant's; one letter a role.
 _OP6 = r"""
@@ -129,4 +149,4 @@ SELECT p.page_id, host, path, rule, coalesce(f.verdict, 'allow') AS verdict FROM
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": _OP3, "op6_chat_format": _OP6, "op9_url_filters": _OP9}
+    return {"op3_exact_dedup": _OP3, "op4_topk_search": _OP4, "op6_chat_format": _OP6, "op9_url_filters": _OP9}
