@@ -10,6 +10,7 @@ from pixelquarry.llm.bpe import encode_digest
 from pixelquarry.llm.chat_format import chat_digest, with_probe
 from pixelquarry.llm.common import table
 from pixelquarry.llm.exact_dedup import exact_dedup
+from pixelquarry.llm.language_id import identify
 from pixelquarry.llm.mixing import mix_sources
 from pixelquarry.llm.simhash import simhash_components
 from pixelquarry.llm.substring_dedup import repeats_digest
@@ -29,6 +30,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digest(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
@@ -66,6 +71,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_language_id": op2_language_id,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_topk_search": op4_topk_search,
         "op5_mix_sources": op5_mix_sources,
