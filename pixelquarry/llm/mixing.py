@@ -29,7 +29,7 @@ def document_sizes(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit("shuffle"), "doc_id", "text").alias("shuffle"),
+        F.xxhash64(F.lit("shuffle"), F.col("doc_id").cast("long"), "text").alias("shuffle"),
     ).withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
 
 
@@ -186,3 +186,20 @@ def mix_sources(
         F.coalesce("passes", F.lit(0)).cast("int").alias("passes"),
         "shuffle",
     )
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` (all columns), each as often as passes of the mix take words of it.
+
+    A document that the mix enters is emitted whole. Rows that agree in identifier and text are
+    paired with their verdicts by number, so repeated rows stay apart.
+    """
+    keys = ["_shuffle", "_id", "_no_id"]
+    keyed = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_no_id": F.isnull("doc_id")}
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    mixed = mix_sources(docs, **options).withColumns(keyed).withColumnRenamed("shuffle", "_shuffle")
+    verdicts = mixed.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("passes").desc())))
+    verdicts = verdicts.where("passes > 0").select(*keys, "_n", F.col("passes").alias("_passes"))
+    rows = docs.withColumns(keyed | {"_shuffle": F.xxhash64(F.lit("shuffle"), F.col("doc_id").cast("long"), "text")})
+    rows = rows.withColumn("_n", number).join(verdicts, [*keys, "_n"])
+    return rows.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_passes")))).select(*docs.columns)
