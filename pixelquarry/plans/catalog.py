@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pixelquarry.plans import spectral
+
 Query = Callable[[SparkSession, str], DataFrame]
+_MODULES = (spectral,)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for m in _MODULES for name, text in m.SQL.items()}
