@@ -24,19 +24,24 @@ from pixelquarry.llm.bpe import load_tokenizer
 from pixelquarry.llm.common import staged
 
 BLOCK = 256
-PERCENTILE = 90
+PERCENTILE = 98
 #: A shard is closed once it has so many ids.
 SHARD_IDS = 1_000_000
 #: Distinct words whose ids a Python worker remembers; others are encoded as they come.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
+#: Texts that are encoded together.
+TEXTS = 512
 _MAGIC = b"PFB1"
 _HEADER = struct.Struct("<4sQQ")
 
 
 def _low_bits(values: np.ndarray, width: int) -> bytes:
     """The low ``width`` bits of each value of a row, row after row, each row on its own bytes."""
-    bits = (values[:, :, None] >> np.arange(width, dtype=np.uint32)) & 1
-    return np.packbits(bits.astype(np.uint8).reshape(len(values), -1), axis=1, bitorder="little").tobytes()
+    out = []
+    for at in range(0, len(values), 64):  # the bits of a few rows at a time stay in the cache
+        bits = ((values[at : at + 64, :, None] >> np.arange(width, dtype=np.uint32)) & 1).astype(np.uint8)
+        out.append(np.packbits(bits.reshape(len(bits), -1), axis=1, bitorder="little").tobytes())
+    return b"".join(out)
 
 
 def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
@@ -95,40 +100,84 @@ def unpack(data: bytes) -> np.ndarray:
     for w in np.unique(width):
         if w:
             which = np.flatnonzero(width == w)
-            rows = body[start[which][:, None] + np.arange(int(w) * (BLOCK // 8))]
-            bits = np.unpackbits(rows, axis=1, bitorder="little").reshape(len(which), BLOCK, int(w))
-            rest[which] = bits @ (np.uint32(1) << np.arange(w, dtype=np.uint32))
+            for own in np.array_split(which, -(-len(which) // 64)):
+                rows = body[start[own][:, None] + np.arange(int(w) * (BLOCK // 8))]
+                bits = np.unpackbits(rows, axis=1, bitorder="little").reshape(len(own), BLOCK, int(w))
+                rest[own] = bits @ (np.uint32(1) << np.arange(w, dtype=np.uint32))
     at += size
     patched = np.frombuffer(data, "<u4", patches, at)
     rest.reshape(-1)[patched] = np.frombuffer(data, "<u4", patches, at + 4 * patches)
     return (rest + base[:, None]).reshape(-1)[:n]
 
 
-#: Between a character that isn't white and one blank or line feed before another such character
-#: this tokenizer's pre-tokens always end, so the parts' ids, one after another, are the text's.
-_PARTS = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: Words that no single blank, or line feed in front, sets apart: nothing, or with white space.
+_ODD = re.compile(r"^$|^\n$|^[^\S\n]|.\s", re.DOTALL)
 
 
 class _Encoder:
-    """Ids of whole texts, each distinct part encoded once while it is remembered."""
+    """Ids of whole texts; a word's ids are remembered, so that it is encoded once.
+
+    Before a single blank or line feed between other characters this tokenizer's pre-tokens always
+    end, so a text's ids are those of its words, each with what stands before it. Texts with other
+    white space are left to the tokenizer whole.
+    """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = load_tokenizer(path)
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        parts = _PARTS.split(text) if text else []
-        known = self.known
-        new = [p for p in dict.fromkeys(parts) if p not in known]
-        found = known
+        self.feed = self._ids("\n")[0]
+        #: word -> ids, after a blank or with its line feed in front; None for an odd word.
+        self.known: dict[str, bytes | None] = {}
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _packed(self, text: str) -> bytes:
+        return np.array(self._ids(text), dtype="<u4").tobytes()
+
+    def _fresh(self, words: list[str]) -> dict[str, bytes | None]:
+        """Ids of new words, encoded as the lines of one text: a line feed is a token of its own.
+
+        Words that may hold an added token's string are encoded alone.
+        """
+        found: dict[str, bytes | None] = dict.fromkeys(w for w in words if _ODD.search(w))
+        words = [w for w in words if w not in found]
+        lines = [w[1:] if w[0] == "\n" else " " + w for w in words]
+        alone = {k for k, w in enumerate(words) if "<|" in w}
+        plain = [k for k in range(len(words)) if k not in alone]
+        ids = np.array(self._ids("\n".join([lines[k] for k in plain])), dtype="<u4")
+        cuts = np.flatnonzero(ids == self.feed).tolist()
+        if len(cuts) != max(0, len(plain) - 1):
+            alone, plain, cuts = set(range(len(words))), [], []
+        feed, data = np.array([self.feed], dtype="<u4").tobytes(), ids.tobytes()
+        for k, a, b in zip(plain, [-1, *cuts], [*cuts, len(ids)]):
+            own = data[4 * (a + 1) : 4 * b]
+            found[words[k]] = feed + own if words[k][0] == "\n" else own
+        for k in alone:
+            own = self._packed(lines[k])
+            found[words[k]] = feed + own if words[k][0] == "\n" else own
+        return found
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [t.replace("\n", " \n").split(" ") for t in texts]
+        words = set().union(*cut)
+        new = words.difference(self.known)
+        found = self.known
         if new:
-            made = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            fresh = {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(new, made, strict=True)}
-            if len(known) < REMEMBERED:
-                known |= fresh
+            fresh = self._fresh(list(new))
+            if len(found) < REMEMBERED:
+                found |= fresh
             else:
-                found = {p: known.get(p) or fresh[p] for p in set(parts)} if len(new) < len(parts) else fresh
-        return np.frombuffer(b"".join([found[p] for p in parts]), dtype="<u4")
+                found = {w: found.get(w) for w in words} | fresh
+        out = []
+        for text, (first, *rest) in zip(texts, cut, strict=True):
+            ids = None
+            if first and not _ODD.search(first) and first[0] != "\n":
+                try:
+                    ids = self._packed(first) + b"".join(map(found.__getitem__, rest))
+                except TypeError:  # an odd word
+                    pass
+            out.append(np.frombuffer(self._packed(text) if ids is None else ids, dtype="<u4"))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -155,16 +204,17 @@ def _write(path: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array([x], type=k) for x, k in zip(row, kinds, strict=True)], names=names)
 
         for batch in batches:
-            for document, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = encode(text)
-                ids += [own, end]
-                doc_ids.append(document)
-                lengths.append(len(own) + 1)
-                held += len(own) + 1
-                if held >= SHARD_IDS:
-                    yield shard()
-                    first, held = first + held, 0
-                    doc_ids.clear(), lengths.clear(), ids.clear()
+            for at in range(0, batch.num_rows, TEXTS):
+                documents, texts = (c.to_pylist() for c in batch.slice(at, TEXTS).columns)
+                for document, own in zip(documents, encode(texts), strict=True):
+                    ids += [own, end]
+                    doc_ids.append(document)
+                    lengths.append(len(own) + 1)
+                    held += len(own) + 1
+                    if held >= SHARD_IDS:
+                        yield shard()
+                        first, held = first + held, 0
+                        doc_ids.clear(), lengths.clear(), ids.clear()
         if ids:
             yield shard()
 
