@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelquarry.functions import spectral
-from pixelquarry.operators.thresholds import adaptive_threshold
+from pixelquarry.operators.staging import staged
+from pixelquarry.operators.thresholds import adaptive_threshold, stretch
 
 #: class -> code (fixed values).
 CLASSES = {"unclassified": 0, "water": 1, "vegetation": 2, "built_up": 3, "bare_soil": 4}
@@ -32,9 +33,9 @@ def with_indices(px: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _with_cut(px: DataFrame, index: str, rows: Column, fallback: float, region: bool, out: str, by: list[str]) -> DataFrame:
-    """``px`` with the index's threshold for its group; one row a group is joined back."""
+    """``px`` with the index's threshold for its group; a table of one row a group is joined."""
     found = adaptive_threshold(px.where(rows), index, by, fallback, region)
-    cuts = found.select(*by, F.col("threshold").alias(out), F.col("method").alias(out + "_method"))
+    cuts = staged(found.select(*by, F.col("threshold").alias(out), F.col("method").alias(out + "_method")))
     return px.join(cuts, by, "left").withColumns({out: F.coalesce(out, F.lit(fallback)), out + "_method": F.coalesce(out + "_method", F.lit("literature"))})
 
 
@@ -48,6 +49,7 @@ def classify(px: DataFrame, bands: list[str], by: list[str] = ["scene_id"], edge
     """
     water = "mndwi" if "swir1" in bands else "ndwi"
     px = with_indices(px, [water, "ndvi", *["ndbi"] * ("swir1" in bands)]).withColumn("valid", valid(bands))
+    px = staged(px)
     px = _with_cut(px, water, F.lit(True), spectral.REFERENCE_CUTS[water], False, "water_cut", by)
     px = _with_cut(px, "ndvi", F.lit(True), spectral.REFERENCE_CUTS["ndvi"], False, "vegetation_cut", by)
     is_water = F.coalesce(F.col(water) > F.col("water_cut"), F.lit(False))
@@ -69,11 +71,9 @@ def classify(px: DataFrame, bands: list[str], by: list[str] = ["scene_id"], edge
 
 def classify_rgb(px: DataFrame, by: list[str] = ["scene_id"]) -> DataFrame:
     """``px`` with class_code from red, green and blue alone; built-up is never claimed."""
-    from pixelquarry.operators.thresholds import stretch
-
     px = with_indices(px.withColumn("valid", valid(["red", "green", "blue"])), ["exg"])
     px = px.withColumn("_mean", spectral.band_mean([F.col(c) for c in ("red", "green", "blue")]))
-    px = stretch(px, "_mean", by, 0.01, 0.99, "brightness").drop("_mean")
+    px = staged(stretch(px, "_mean", by, 0.01, 0.99, "brightness").drop("_mean"))
     px = _with_cut(px, "brightness", F.lit(True), spectral.REFERENCE_CUTS["brightness"], False, "dark_cut", by)
     is_water = F.coalesce(F.col("valid") & (F.col("blue") > F.col("red")) & (F.col("brightness") < F.col("dark_cut")), F.lit(False))
     px = _with_cut(px, "exg", F.col("valid") & ~is_water, spectral.REFERENCE_CUTS["exg"], True, "green_cut", by)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelquarry.plans import spectral
+from pixelquarry.plans import scenes, spectral
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (spectral,)
+_MODULES = (spectral, scenes)
 
 
 def queries() -> dict[str, Query]:

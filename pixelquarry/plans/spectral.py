@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pixelquarry.functions import spectral
 from pixelquarry.operators import landcover, thresholds
+from pixelquarry.operators.staging import staged
 from pixelquarry.plans import sql
 from pixelquarry.sources.scenes import BANDS, pixel_grid, read
 
@@ -31,6 +32,10 @@ def indexed(spark: SparkSession, sf: str) -> DataFrame:
     return landcover.with_indices(pixel_grid(spark, sf), NAMES)
 
 
+def staged_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    return staged(indexed(spark, sf))
+
+
 _INDEX_COLUMNS = ", ".join(f"round({e}, 6) AS {n}" for n, e in sql.INDICES.items())
 _INDEXED = f"SELECT *, {', '.join(f'{e} AS {n}' for n, e in sql.INDICES.items())} FROM ({sql.PX})"
 
@@ -102,11 +107,11 @@ def brightness(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH p AS (SELECT * FROM ({sql.PX})), e AS (SELECT "
     + ", ".join(f"quantile_cont({b}, .02) AS {b}_a, quantile_cont({b}, .98) AS {b}_b" for b in ("red", "green", "blue"))
     + " FROM p) SELECT r, c, "
-    + ", ".join(f"floor(coalesce(greatest(0, least(1, ({b}-{b}_a)/({b}_b-{b}_a))), 0)*255)::INT AS {b}8" for b in ("red", "green", "blue"))
+    + ", ".join(f"floor(coalesce(CASE WHEN {b} IS NOT NULL THEN greatest(0, least(1, ({b}-{b}_a)/({b}_b-{b}_a))) END, 0)*255)::INT AS {b}8" for b in ("red", "green", "blue"))
     + " FROM p, e",
 )
 def rgb_composite(spark: SparkSession, sf: str) -> DataFrame:
-    px = pixel_grid(spark, sf)
+    px = staged(pixel_grid(spark, sf))
     for b in ("red", "green", "blue"):
         px = thresholds.stretch(px, b, BY, 0.02, 0.98, b + "1")
     return px.select("r", "c", *[F.floor(F.coalesce(b + "1", F.lit(0.0)) * 255).cast("int").alias(b + "8") for b in ("red", "green", "blue")])
@@ -202,13 +207,13 @@ def outlier_bound(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("adaptive_threshold", f"WITH {sql.adaptive('o', f'SELECT ndvi AS x FROM ({_INDEXED})', .3)} SELECT round(threshold, 6) AS threshold, method, round(quality, 6) AS quality FROM o_a")
 def adaptive_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    found = thresholds.adaptive_threshold(indexed(spark, sf), "ndvi", BY, 0.30)
+    found = thresholds.adaptive_threshold(staged_indexed(spark, sf), "ndvi", BY, 0.30)
     return found.select(F.round("threshold", 6).alias("threshold"), "method", F.round("quality", 6).alias("quality"))
 
 
 @query("region_threshold", f"WITH {sql.adaptive('o', f'SELECT ndbi AS x FROM ({_INDEXED}) WHERE ndvi > 0.3', 0.0, True)} SELECT round(threshold, 6) AS threshold, method, round(quality, 6) AS quality FROM o_a")
 def region_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    found = thresholds.adaptive_threshold(indexed(spark, sf).where("ndvi > 0.3"), "ndbi", BY, 0.0, True)
+    found = thresholds.adaptive_threshold(staged_indexed(spark, sf).where("ndvi > 0.3"), "ndbi", BY, 0.0, True)
     return found.select(F.round("threshold", 6).alias("threshold"), "method", F.round("quality", 6).alias("quality"))
 
 
@@ -263,7 +268,7 @@ def class_colours(spark: SparkSession, sf: str) -> DataFrame:
     return classified(spark, sf).join(F.broadcast(colours), "class_code").groupBy("colour").agg(F.count("*").alias("pixels"))
 
 
-@query("index_heatmap", f"SELECT r, c, floor(greatest(0, least(1, (({sql.INDICES['ndvi']})+1)/2))*255)::INT AS level FROM ({sql.PX})")
+@query("index_heatmap", f"SELECT r, c, CASE WHEN nir IS NOT NULL THEN floor(greatest(0, least(1, (({sql.INDICES['ndvi']})+1)/2))*255)::INT END AS level FROM ({sql.PX})")
 def index_heatmap(spark: SparkSession, sf: str) -> DataFrame:
     return indexed(spark, sf).select("r", "c", F.floor(spectral.score_map(F.col("ndvi")) * 255).cast("int").alias("level"))
 
