@@ -1,10 +1,10 @@
 """BPE encoding and decoding by a distinct-word table.
 
 Words are split off in Spark and each distinct word is encoded once, wherever it occurs. A block is
-a bounded batch of documents; it leaves its scan as positions into the block's own list of words.
-Those lists meet in a word table, dealt by the words' hash; the word's ids travel back to the block
-and are put where its positions say. What is shuffled is the lists and the positions, both
-compressed, and never the texts.
+a bounded batch of documents. One pass over the texts sends each block's distinct words to a word
+table, dealt by the words' hash; another turns the block's texts into positions in its own list of
+words. The words' ids travel back to the block and are put where its positions say. What is
+shuffled are word lists, positions and ids, all compressed, and never the texts.
 
 White space never survives this kind of tokenizer's normaliser and no pre-token spans it, so a
 text's ids are the ids of the words between its ASCII blanks, one after another (other white space
@@ -19,24 +19,24 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelquarry.llm.common import staged
-
 #: Bytes of text that one block holds at most, but for a last document that is longer.
 BLOCK_BYTES = 24_000_000
-#: Words of all blocks that one bucket of the word table holds on average.
-BUCKET_WORDS = 400_000
-_BLOCKS = pa.schema(
-    [("kind", pa.string()), ("block", pa.int64()), ("bucket", pa.int32()), ("ids", pa.binary()), ("payload", pa.binary())]
-)
-_BLOCKS_DDL = "kind string, block long, bucket int, ids binary, payload binary"
+#: Bytes of text for each bucket of the word table.
+BUCKET_BYTES = 20_000_000
+_ROWS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("seal", pa.int64()), ("payload", pa.binary())])
+_ROWS_DDL = "block long, bucket int, seal long, payload binary"
+#: The bucket number of a block's own row.
+_OWN = -1
 
 _loaded: dict[str, object] = {}
 
@@ -106,53 +106,105 @@ def unpack_positions(data: bytes) -> np.ndarray:
     return units
 
 
-def _split_blocks(buckets: int):
+def _planes(values: np.ndarray) -> bytes:
+    """Compressed byte planes: the high bytes of small numbers are alike."""
+    width = values.dtype.itemsize
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, width).T).tobytes(), 3)
+
+
+def _from_planes(data: bytes, dtype: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).reshape(-1)
+
+
+def _join(*parts: bytes) -> bytes:
+    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
+
+
+def _cut(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "little")
+        out.append(data[at + 4 : at + 4 + n])
+        at += 4 + n
+    return out
+
+
+@dataclass
+class _Scanned:
+    """A block as it is read: each word's number in order of first use, and the words' places."""
+
+    words: dict[bytes, int] = field(default_factory=dict)
+    ids: list[int | None] = field(default_factory=list)
+    lengths: list[int] = field(default_factory=list)
+    places: array = field(default_factory=lambda: array("I"))
+    size: int = 0
+    seal: int = 0
+
+    def add(self, document: int | None, text: bytes) -> None:
+        found = text.split()  # of bytes: at ASCII blanks
+        words = self.words
+        self.places.extend([words.setdefault(w, len(words)) for w in found])
+        self.ids.append(document)
+        self.lengths.append(len(found))
+        self.size += len(text)
+        self.seal = zlib.crc32(text, self.seal ^ len(text))
+
+    def by_bucket(self, buckets: int) -> list[list[bytes]]:
+        """The words of each bucket, sorted; one after another they make the block's list."""
+        sent: list[list[bytes]] = [[] for _ in range(buckets)]
+        for word in self.words:
+            sent[zlib.crc32(word) % buckets].append(word)
+        for bucket in sent:
+            bucket.sort()
+        return sent
+
+
+def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Scanned]]:
+    """Cut a scan into blocks, numbered by partition and place in it."""
+    number, block = TaskContext.get().partitionId() << 24, _Scanned()
+    for batch in batches:
+        texts = batch.column(1).cast(pa.binary()).to_pylist()
+        for document, text in zip(batch.column(0).to_pylist(), texts, strict=True):
+            block.add(document, text)
+            if block.size >= BLOCK_BYTES:
+                yield number, block
+                number, block = number + 1, _Scanned()
+    if block.ids:
+        yield number, block
+
+
+def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _ROWS)], schema=_ROWS)
+
+
+def _send_words(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, block in _scanned(batches):
+            sent = enumerate(block.by_bucket(buckets))
+            rows = [(number, b, block.seal, zstandard.compress(b"\n".join(ws), 3)) for b, ws in sent if ws]
+            if rows:
+                yield _batch(rows)
+
+    return run
+
+
+def _send_positions(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Cut a scan into blocks; of each, one row of documents and one for each bucket of words."""
-        base, count = TaskContext.get().partitionId() << 24, 0
-        words: dict[bytes, int] = {}
-        ids: list[int | None] = []
-        lengths: list[int] = []
-        places = array("I")
-        held = 0
-
-        def emit() -> pa.RecordBatch:
-            block = base + count
-            listed, found = list(words), np.array(places, dtype=np.int64)
-            # Frequent words come first in a block's list: small numbers, short positions.
-            order = np.argsort(-np.bincount(found, minlength=len(listed)), kind="stable")
-            rank = np.empty(len(listed), dtype=np.int64)
-            rank[order] = np.arange(len(listed))
-            body = pack_positions(rank[found])
-            head = np.array(lengths, dtype="<u4").tobytes()
-            document_ids = json.dumps(ids).encode()
-            rows = [("documents", block, -1, zlib.compress(document_ids, 1), zlib.compress(head + body, 1))]
-            sent: list[list[tuple[bytes, int]]] = [[] for _ in range(buckets)]
-            for word, number in zip(listed, rank.tolist(), strict=True):
-                sent[zlib.crc32(word) % buckets].append((word, number))
-            for bucket, pairs in enumerate(sent):
-                if pairs:
-                    pairs.sort()
-                    text = zlib.compress(b"\n".join(w for w, _ in pairs), 1)
-                    numbers = zlib.compress(np.array([k for _, k in pairs], dtype="<u4").tobytes(), 1)
-                    rows.append(("words", block, bucket, numbers, text))
-            words.clear(), ids.clear(), lengths.clear()
-            del places[:]
-            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _BLOCKS)], schema=_BLOCKS)
-
-        for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for document, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                found = text.split()  # of bytes: at ASCII blanks
-                places.extend([words.setdefault(w, len(words)) for w in found])
-                ids.append(document)
-                lengths.append(len(found))
-                held += len(text)
-                if held >= BLOCK_BYTES:
-                    yield emit()
-                    count, held = count + 1, 0
-        if ids:
-            yield emit()
+        """A block's documents, as positions: frequent words get small numbers."""
+        for number, block in _scanned(batches):
+            places = np.frombuffer(block.places, dtype=np.uint32).astype(np.int64)
+            order = np.argsort(-np.bincount(places, minlength=len(block.words)), kind="stable")
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[order] = np.arange(len(order))
+            listed = [block.words[w] for ws in block.by_bucket(buckets) for w in ws]
+            payload = _join(
+                zstandard.compress(json.dumps(block.ids).encode(), 3),
+                _planes(np.array(block.lengths, dtype="<u4")),
+                _planes(np.frombuffer(pack_positions(rank[places]), dtype="<u2")),
+                _planes(rank[listed].astype("<u4")),
+            )
+            yield _batch([(number, _OWN, block.seal, payload)])
 
     return run
 
@@ -161,7 +213,7 @@ def _encode_bucket(path: str):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         """Encode each distinct word of a bucket once, for all the blocks that have it."""
         tokenizer = load_tokenizer(path)
-        lists = [zlib.decompress(x).decode().split("\n") for x in rows["payload"]]  # no word holds one
+        lists = [zstandard.decompress(x).decode().split("\n") for x in rows["payload"]]  # no word holds one
         distinct = list(dict.fromkeys(w for listed in lists for w in listed))
         ids: dict[str, list[int]] = {}
         for at in range(0, len(distinct), 10_000):
@@ -171,9 +223,8 @@ def _encode_bucket(path: str):
         for listed in lists:
             found = [ids[w] for w in listed]
             counts = np.array([len(x) for x in found], dtype="<u4")
-            flat = np.array([i for x in found for i in x], dtype="<u4")
-            sent.append(zlib.compress(counts.tobytes() + flat.tobytes(), 1))
-        return pd.DataFrame({"kind": "ids", "block": rows["block"], "bucket": rows["bucket"], "ids": rows["ids"], "payload": sent})
+            sent.append(_join(_planes(counts), _planes(np.array([i for x in found for i in x], dtype="<u4"))))
+        return rows[["block", "bucket", "seal"]].assign(payload=sent)
 
     return run
 
@@ -182,19 +233,21 @@ class _Block:
     """The ids of a block's documents, put together from its positions and its words' ids."""
 
     def __init__(self, rows: pd.DataFrame) -> None:
-        own = rows[rows["kind"] == "documents"].iloc[0]
-        self.ids = json.loads(zlib.decompress(own["ids"]))
-        data = zlib.decompress(own["payload"])
-        self.lengths = np.frombuffer(data[: 4 * len(self.ids)], dtype="<u4").astype(np.int64)
-        self.positions = unpack_positions(data[4 * len(self.ids) :])
-        numbers, counts, flats = [], [], []
-        for row in rows[rows["kind"] == "ids"].itertuples():
-            number = np.frombuffer(zlib.decompress(row.ids), dtype="<u4")
-            both = np.frombuffer(zlib.decompress(row.payload), dtype="<u4")
-            numbers.append(number), counts.append(both[: len(number)]), flats.append(both[len(number) :])
-        number = np.concatenate(numbers or [np.zeros(0, "<u4")]).astype(np.int64)
-        count = np.concatenate(counts or [np.zeros(0, "<u4")]).astype(np.int64)
-        self.flat = np.concatenate(flats or [np.zeros(0, "<u4")])
+        if rows["seal"].nunique() != 1 or (rows["bucket"] == _OWN).sum() != 1:
+            raise RuntimeError("the documents changed between two passes over them; write them to a table first")
+        rows = rows.sort_values("bucket")
+        own, *words = rows["payload"]
+        ids, lengths, positions, listed = _cut(own)
+        self.ids = json.loads(zstandard.decompress(ids))
+        self.lengths = _from_planes(lengths, "<u4").astype(np.int64)
+        self.positions = unpack_positions(_from_planes(positions, "<u2").tobytes())
+        number = _from_planes(listed, "<u4").astype(np.int64)
+        parts = [_cut(w) for w in words]
+        none = np.zeros(0, dtype="<u4")
+        count = np.concatenate([none, *(_from_planes(c, "<u4") for c, _ in parts)]).astype(np.int64)
+        self.flat = np.concatenate([none, *(_from_planes(f, "<u4") for _, f in parts)])
+        if len(count) != len(number):
+            raise RuntimeError("some words of a block came back without ids")
         self.count, self.start = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
         self.count[number], self.start[number] = count, np.cumsum(count) - count
 
@@ -212,7 +265,7 @@ class _Block:
 _DIGEST_DDL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _digest(path: str):
+def _digest(path: str, with_ids: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         """Put a block's ids in place, decode them through the id-to-piece table, take digests."""
         pieces = pieces_of(path)
@@ -221,11 +274,10 @@ def _digest(path: str):
         out = []
         for document, ids in _Block(rows).documents():
             decimal, decoded = " ".join(numbers[ids].tolist()), " ".join(written[ids].tolist())
-            out.append(
-                (document, len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-            )
-        result = pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        return result.astype({"doc_id": "Int64"})
+            row = (document, len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (decimal, decoded)))
+            out.append((*row, ids.astype(np.int32)) if with_ids else row)
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+        return pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
     return run
 
@@ -243,15 +295,15 @@ def encoded_blocks(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     Both kinds carry ``block``; group by it. The number of buckets of the word table follows the
     amount of text, and a word has one place in it for each block at most, so no word is hot.
+    ``docs`` is read twice and must give the same rows in the same partitions, as files do; a
+    checksum of each block makes sure of it.
     """
     check_tokenizer(path)
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 50 // BUCKET_WORDS)
-    blocks = staged(texts.mapInArrow(_split_blocks(int(buckets)), _BLOCKS_DDL), "bpe-blocks")
-    words = blocks.where("kind = 'words'").groupBy("bucket").applyInPandas(_encode_bucket(path), _BLOCKS_DDL)
-    return blocks.where("kind = 'documents'").unionByName(words)
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
+    words = texts.mapInArrow(_send_words(buckets), _ROWS_DDL).groupBy("bucket").applyInPandas(_encode_bucket(path), _ROWS_DDL)
+    return texts.mapInArrow(_send_positions(buckets), _ROWS_DDL).unionByName(words)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,6 +332,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return placed.select("doc_id", F.array_join(F.transform("placed", lambda p: p["piece"]), " ").alias("decoded"))
 
 
-def encode_digest(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document; edge cases as ``encode``."""
-    return encoded_blocks(docs, path).groupBy("block").applyInPandas(_digest(path), _DIGEST_DDL)
+def encode_digest(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids) of every document; edge cases as
+    ``encode``."""
+    schema = _DIGEST_DDL + ", ids array<int>" * with_ids
+    return encoded_blocks(docs, path).groupBy("block").applyInPandas(_digest(path, with_ids), schema)
