@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelquarry.plans import scenes, spectral
+from pixelquarry.plans import language, scenes, spectral
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (spectral, scenes)
+_MODULES = (spectral, scenes, language)
 
 
 def queries() -> dict[str, Query]:
