@@ -2,7 +2,7 @@
 
 A text is a normalised TF-IDF vector of hashed byte trigrams. Each language has several centroids,
 clustered from a bounded sample of labelled rows. A text gets the language of the centroid that is
-nearest by cosine, and is rejected if its cosine is under half that of the furthest text that the
+nearest by cosine, and is rejected if its cosine is under a quarter of that of the furthest text that the
 language was learned from, among texts of its size or longer: short texts lie far out, and clean
 ones are to stay.
 """
@@ -26,7 +26,7 @@ FEATURES = 4096
 #: Labelled rows of each language that the model is fitted on, about, and centroids of each.
 SAMPLE, CENTROIDS = 1500, 4
 #: The part of the furthest learned text's cosine under which a text is rejected.
-REACH = 0.5
+REACH = 0.25
 #: Sizes of texts: powers of two of their distinct trigrams.
 SIZES = 13
 UNKNOWN = "und"
