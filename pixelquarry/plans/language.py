@@ -130,8 +130,8 @@ SELECT nt.request_id, CASE WHEN EXISTS (SELECT 1 FROM fp WHERE fp.request_id = n
   WHEN EXISTS (SELECT 1 FROM fp WHERE fp.request_id = nt.request_id AND kind = 'relation') THEN 'spatial_relation' WHEN classes IS NULL THEN 'no_target' WHEN classes > 1 THEN 'several_targets' END AS error,
   target, coalesce(c.name, f.name) AS sector, c.name IS NULL AND f.name IS NOT NULL AS frame_relative, CASE WHEN su.k = 1 THEN su.name END AS superlative,
   CASE WHEN su.k = 1 THEN CASE WHEN t LIKE '%3 largest%' THEN 3 WHEN t LIKE '%two smallest%' THEN 2 ELSE 1 END END::INT AS "limit",
-  CASE WHEN t LIKE '%larger than 2.5 ha%' THEN 25000.0 WHEN t LIKE '%at least 2 sq km%' THEN 2000000.0 WHEN t LIKE '%over 3 acres%' THEN 3*4046.8564224 END AS min_area_m2,
-  CASE WHEN t LIKE '%under 10 km2%' THEN 10000000.0 END AS max_area_m2, NULL::INT AS min_pixels, CASE WHEN t LIKE '%no more than 40 pixels%' THEN 40 END::INT AS max_pixels
+  CASE WHEN t LIKE '%larger than 2.5 ha%' THEN 25000.0 WHEN t LIKE '%at least 2 sq km%' THEN 2000000.0 WHEN t LIKE '%over 3 acres%' THEN 3*4046.8564224 END::DOUBLE AS min_area_m2,
+  CASE WHEN t LIKE '%under 10 km2%' THEN 10000000.0 END::DOUBLE AS max_area_m2, NULL::INT AS min_pixels, CASE WHEN t LIKE '%no more than 40 pixels%' THEN 40 END::INT AS max_pixels
 FROM nt LEFT JOIN ch USING (request_id) LEFT JOIN su USING (request_id)
 LEFT JOIN fp c ON c.request_id = nt.request_id AND c.kind = 'compass' LEFT JOIN fp f ON f.request_id = nt.request_id AND f.kind = 'frame'"""
 

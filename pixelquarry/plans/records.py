@@ -49,7 +49,7 @@ def _affine() -> tuple:
 
 
 @query("grid_flags", f"WITH {_SC} SELECT scene_id, has_crs AS georeferenced, has_crs AND NOT rotated AS north_up, round(sqrt(100 + CASE WHEN rotated THEN 0.25 ELSE 0 END), 6) AS pixel_width, "
-       "round(CASE WHEN has_crs THEN 100 + CASE WHEN rotated THEN 0.25 ELSE 0 END END, 6) AS pixel_area, round(width*height/1e6, 6) AS megapixels FROM sb")
+       "round((CASE WHEN has_crs THEN 100 + CASE WHEN rotated THEN 0.25 ELSE 0 END END)::DOUBLE, 6) AS pixel_area, round(width*height/1e6, 6) AS megapixels FROM sb")
 def grid_flags(spark: SparkSession, sf: str) -> DataFrame:
     epsg, t = _affine()
     return scenes(spark, sf).select(

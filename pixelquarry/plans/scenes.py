@@ -15,6 +15,8 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 BY = ["scene_id"]
 AREA = 100.0
+#: The same in SQL, where a plain literal would be a decimal.
+AREA_SQL = "100.0::DOUBLE"
 
 
 def query(name: str, oracle: str | None = None):
@@ -118,7 +120,7 @@ def regime_thresholds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("regime_stats", f"WITH {_CUTS} SELECT {_REGIME} AS regime, count(*) AS pixel_count, round(count(*)/(SELECT count(*) FILTER (regime_code > 0) FROM g)::DOUBLE, 6) AS fraction, "
-       f"round(count(*)*{AREA}, 6) AS area_m2, round(avg(db), 6) AS mean_db FROM g WHERE regime_code > 0 GROUP BY regime_code")
+       f"round(count(*)*{AREA_SQL}, 6) AS area_m2, round(avg(db), 6) AS mean_db FROM g WHERE regime_code > 0 GROUP BY regime_code")
 def regime_stats(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(radar.regime_stats(_regimes(spark, sf)[0], "db", AREA), "fraction", "area_m2", "mean_db")
 
@@ -158,7 +160,7 @@ def fusion_evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("fusion_conflicts", f"{_FUSED} SELECT {_NAME.format('class_code')} AS optical_class, {_REGIME} AS sar_regime, count(*) AS pixel_count, round(count(*)/(SELECT count(*) FROM fu)::DOUBLE, 6) AS fraction, "
-       f"round(count(*)*{AREA}, 6) AS area_m2, {_NAME.format('fused')} AS resolved_as, arbiter FROM fu WHERE ev = 2 GROUP BY class_code, regime_code, fused, arbiter")
+       f"round(count(*)*{AREA_SQL}, 6) AS area_m2, {_NAME.format('fused')} AS resolved_as, arbiter FROM fu WHERE ev = 2 GROUP BY class_code, regime_code, fused, arbiter")
 def fusion_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(radar.conflict_groups(_fused(spark, sf), AREA), "fraction", "area_m2")
 
@@ -200,7 +202,7 @@ def change_map(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("change_transitions", f"{_PAIR} SELECT {_NAME.format('cb')} AS before, {_NAME.format('ca')} AS after, {_TYPE} AS change_type, count(*) AS pixel_count, "
-       f"round(count(*)/(SELECT count(*) FROM ch WHERE changed)::DOUBLE, 6) AS fraction_of_change, round(count(*)*{AREA}, 6) AS area_m2, round(avg(magnitude), 6) AS mean_magnitude, "
+       f"round(count(*)/(SELECT count(*) FROM ch WHERE changed)::DOUBLE, 6) AS fraction_of_change, round(count(*)*{AREA_SQL}, 6) AS area_m2, round(avg(magnitude), 6) AS mean_magnitude, "
        "round(avg(spectral::INT), 6) AS spectral_agreement FROM ch WHERE changed GROUP BY cb, ca")
 def change_transitions(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(change.transitions(_detected(spark, sf), AREA), "fraction_of_change", "area_m2", "mean_magnitude", "spectral_agreement")
@@ -213,7 +215,7 @@ def change_reportable(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("class_deltas", f"{_PAIR}, d AS (SELECT k, (SELECT count(*) FROM pr WHERE valid AND cb = k) AS before, (SELECT count(*) FROM pr WHERE valid AND ca = k) AS after FROM range(1, 5) g(k)) "
-       f"SELECT {_NAME.format('k')} AS class, before, after, after-before AS delta, round(CASE WHEN before > 0 THEN (after-before)/before::DOUBLE END, 6) AS relative, round((after-before)*{AREA}, 6) AS delta_m2 FROM d WHERE before + after > 0")
+       f"SELECT {_NAME.format('k')} AS class, before, after, after-before AS delta, round(CASE WHEN before > 0 THEN (after-before)/before::DOUBLE END, 6) AS relative, round((after-before)*{AREA_SQL}, 6) AS delta_m2 FROM d WHERE before + after > 0")
 def class_deltas(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(change.class_deltas(_pair(spark, sf), AREA), "relative", "delta_m2")
 

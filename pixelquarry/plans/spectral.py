@@ -16,6 +16,7 @@ SQL: dict[str, str] = {}
 BY = ["scene_id"]
 NAMES = list(sql.INDICES)
 PIXEL_AREA = 100.0
+AREA_SQL = "100.0::DOUBLE"
 
 
 def query(name: str, oracle: str | None = None):
@@ -232,7 +233,7 @@ def land_cover_map(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "land_cover_stats",
     f"{_LC} SELECT {sql.CLASS_NAME} AS class, count(*) AS pixel_count, round(count(*)/(SELECT count(*) FILTER (valid) FROM lc)::DOUBLE, 6) AS fraction, "
-    f"round(count(*)*{PIXEL_AREA}, 6) AS area_m2, round(avg(evidence), 6) AS mean_evidence FROM lc WHERE class_code > 0 GROUP BY class_code",
+    f"round(count(*)*{AREA_SQL}, 6) AS area_m2, round(avg(evidence), 6) AS mean_evidence FROM lc WHERE class_code > 0 GROUP BY class_code",
 )
 def land_cover_stats(spark: SparkSession, sf: str) -> DataFrame:
     stats = landcover.class_stats(classified(spark, sf), PIXEL_AREA)

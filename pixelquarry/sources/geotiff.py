@@ -130,7 +130,7 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each file: its header, or an error code."""
+    """One row for each file: its header, or an error code. Spark lists no file without a byte."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
