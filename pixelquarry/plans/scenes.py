@@ -38,10 +38,10 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 _DB = "CASE WHEN vv IS NOT NULL THEN 10*log10(greatest(vv, 1e-10)) END"
 
 
-@query("backscatter_db", f"SELECT r, c, round({_DB}, 6) AS db, round(pow(10.0, ({_DB})/10), 6) AS power FROM ({sql.PX})")
+@query("backscatter_db", f"SELECT r, c, round({_DB}, 9) AS db, round(pow(10.0, ({_DB})/10), 9) AS power FROM ({sql.PX})")
 def backscatter_db(spark: SparkSession, sf: str) -> DataFrame:
     db = spectral.to_db(F.col("vv"))
-    return pixel_grid(spark, sf).select("r", "c", F.round(db, 6).alias("db"), F.round(spectral.to_linear(db), 6).alias("power"))
+    return pixel_grid(spark, sf).select("r", "c", F.round(db, 9).alias("db"), F.round(spectral.to_linear(db), 9).alias("power"))
 
 
 @query("looks_like_db", f"SELECT coalesce(min(x) < 0 AND min(x) >= -60 AND median(x) <= 0, false) AS is_db FROM (SELECT {_DB} AS x FROM ({sql.PX}))")
@@ -69,9 +69,9 @@ l AS (SELECT r, c, CASE WHEN power IS NOT NULL THEN CASE WHEN o > 0 THEN o ELSE
 f AS (SELECT r, c, CASE WHEN filtered IS NOT NULL THEN 10*log10(greatest(filtered, 1e-10)) END AS db FROM l)"""
 
 
-@query("box_mean", f"WITH {_stats_sql(sql.PX, 'vv')} SELECT r, c, round(sx, 6) AS mean FROM q")
+@query("box_mean", f"WITH {_stats_sql(sql.PX, 'vv')} SELECT r, c, round(sx, 9) AS mean FROM q")
 def box_mean(spark: SparkSession, sf: str) -> DataFrame:
-    return neighbourhood.box_mean(pixel_grid(spark, sf), ["vv"], 7).select("r", "c", F.round("vv", 6).alias("mean"))
+    return neighbourhood.box_mean(pixel_grid(spark, sf), ["vv"], 7).select("r", "c", F.round("vv", 9).alias("mean"))
 
 
 @query("equivalent_looks", f"WITH {_stats_sql(sql.PX, 'vv')} SELECT round(cv, 6) AS cv, round(enl, 6) AS enl FROM e")

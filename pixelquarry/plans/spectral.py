@@ -37,13 +37,15 @@ def staged_indexed(spark: SparkSession, sf: str) -> DataFrame:
     return staged(indexed(spark, sf))
 
 
-_INDEX_COLUMNS = ", ".join(f"round({e}, 6) AS {n}" for n, e in sql.INDICES.items())
+#: Pixels are compared at nine places: many of their values have seven decimals, and a tie at six
+#: would hang on the order of additions.
+_INDEX_COLUMNS = ", ".join(f"round({e}, 9) AS {n}" for n, e in sql.INDICES.items())
 _INDEXED = f"SELECT *, {', '.join(f'{e} AS {n}' for n, e in sql.INDICES.items())} FROM ({sql.PX})"
 
 
 @query("spectral_indices", f"SELECT r, c, {_INDEX_COLUMNS} FROM ({sql.PX})")
 def spectral_indices(spark: SparkSession, sf: str) -> DataFrame:
-    return indexed(spark, sf).select("r", "c", *[F.round(n, 6).alias(n) for n in NAMES])
+    return indexed(spark, sf).select("r", "c", *[F.round(n, 9).alias(n) for n in NAMES])
 
 
 @query(
@@ -84,9 +86,9 @@ def valid_mask(spark: SparkSession, sf: str) -> DataFrame:
 _MEAN = "(blue+green+red+nir+swir1+swir2)/6"
 
 
-@query("band_mean", f"SELECT r, c, round({_MEAN}, 6) AS mean FROM ({sql.PX})")
+@query("band_mean", f"SELECT r, c, round({_MEAN}, 9) AS mean FROM ({sql.PX})")
 def band_mean(spark: SparkSession, sf: str) -> DataFrame:
-    return pixel_grid(spark, sf).select("r", "c", F.round(spectral.band_mean([F.col(b) for b in BANDS]), 6).alias("mean"))
+    return pixel_grid(spark, sf).select("r", "c", F.round(spectral.band_mean([F.col(b) for b in BANDS]), 9).alias("mean"))
 
 
 def _stretched(x: str, lo: float, hi: float) -> str:
