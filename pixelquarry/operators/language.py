@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelquarry.functions import lexicon
+from pixelquarry.operators.staging import staged
 
 #: Words of the longest phrase.
 LONGEST = 5
@@ -106,18 +107,16 @@ def _pattern(units: list[str]) -> str:
     return r"(\d+(?:\.\d+)?)\s*(" + "|".join(units) + r")\b"
 
 
-def size_bounds(text: Column) -> dict[str, Column]:
-    """min_area_m2, max_area_m2, min_pixels and max_pixels of normalised text.
+def measurements(text: Column) -> Column:
+    """Array of (x, u, k): the numbers, units and bounds that normalised text measures sizes by.
 
     A measurement counts if a comparator stands in the 40 characters before it; the nearest one
-    governs, the longest of those that end at one place. Of several bounds of a kind the last wins.
+    governs, the longest of those that end at one place; without one the bound is null.
     """
     area = list(lexicon.AREA_UNITS)
     pattern = _pattern(area + list(lexicon.PIXEL_UNITS))
     found = F.regexp_extract_all(text, F.lit("(" + pattern + ")"), 1)
     number, unit = (lambda m: F.regexp_extract(m, pattern, 1).cast("double")), (lambda m: F.regexp_extract(m, pattern, 2))
-    factor = F.create_map(*[F.lit(x) for u, f in lexicon.AREA_UNITS.items() for x in (u, float(f))])
-
     between = F.split(text, pattern, -1)
 
     def governed(k: Column) -> Column:
@@ -131,11 +130,17 @@ def size_bounds(text: Column) -> dict[str, Column]:
                 ends.append(F.when(left > 0, F.struct((-left).alias("end"), F.lit(len(p)).alias("n"), F.lit(kind).alias("kind"))))
         return F.array_max(F.array_compact(F.array(*ends)))["kind"]
 
-    parsed = F.transform(found, lambda m, k: F.struct(number(m).alias("x"), unit(m).alias("u"), governed(k).alias("k")))
+    return F.transform(found, lambda m, k: F.struct(number(m).alias("x"), unit(m).alias("u"), governed(k).alias("k")))
+
+
+def size_bounds(sizes: Column) -> dict[str, Column]:
+    """min_area_m2, max_area_m2, min_pixels and max_pixels of ``measurements``; the last one of a
+    kind wins."""
+    factor = F.create_map(*[F.lit(x) for u, f in lexicon.AREA_UNITS.items() for x in (u, float(f))])
     is_pixel = lambda p: p["u"].isin(*lexicon.PIXEL_UNITS)
 
     def last(kind: str, pixels: bool) -> Column:
-        own = F.filter(parsed, lambda p: (p["k"] == kind) & (is_pixel(p) if pixels else ~is_pixel(p)))
+        own = F.filter(sizes, lambda p: (p["k"] == kind) & (is_pixel(p) if pixels else ~is_pixel(p)))
         value = F.try_element_at(own, F.lit(-1))
         if not pixels:
             return value["x"] * factor[value["u"]]
@@ -151,11 +156,12 @@ def parse_grounding(requests: DataFrame) -> DataFrame:
     compass word governs over a frame word; both superlatives at once cancel out.
     """
     text = normalise(F.col("query"))
-    hits = matches(requests, text, ["target", "unsupported", "relation", "compass", "frame", "superlative"])
+    hits = staged(matches(requests, text, ["target", "unsupported", "relation", "compass", "frame", "superlative"]))
     chosen = targets(hits).groupBy("request_id").agg(
         F.countDistinct("name").alias("classes"), F.min_by("name", F.struct(-F.length("phrase"), "at")).alias("target")
     )
     rows = requests.select("request_id", text.alias("text"), F.col("query"))
+    rows = staged(rows.withColumn("sizes", measurements(F.col("text"))))
     for kind in ("unsupported", "relation", "compass", "frame"):
         rows = rows.join(first_phrase(hits, kind, kind), "request_id", "left")
     supers = hits.where("kind = 'superlative'").groupBy("request_id").agg(F.collect_set("name").alias("supers"))
@@ -174,14 +180,14 @@ def parse_grounding(requests: DataFrame) -> DataFrame:
         (F.col("compass").isNull() & F.col("frame").isNotNull()).alias("frame_relative"),
         F.when(one, F.col("supers")[0]).alias("superlative"),
         F.when(one, F.greatest(F.lit(1), F.coalesce(as_number, F.lit(1)))).alias("limit"),
-        *[c.alias(n) for n, c in size_bounds(F.col("text")).items()],
+        *[c.alias(n) for n, c in size_bounds(F.col("sizes")).items()],
     )
 
 
 def vqa_intent(requests: DataFrame) -> DataFrame:
     """request_id, intent, targets (classes in order of first mention)."""
     text = normalise(F.col("query"))
-    hits = matches(requests, text, ["target", "cue"])
+    hits = staged(matches(requests, text, ["target", "cue"]))
     kept = targets(hits)
     own = kept.select("request_id", F.col("at").alias("a2"), F.col("until").alias("u2"))
     cues = hits.where("kind = 'cue'")
