@@ -15,7 +15,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelquarry.llm.common import staged
@@ -50,10 +50,14 @@ def fingerprint(text: bytes | None, words: int = 4) -> int:
 
 
 def _fingerprints(words: int):
+    """The columns of a batch with the fingerprint, ``node``, in place of the last one, the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t, words) for t in batch.column(1).cast(pa.binary()).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["id", "node"])
+            texts = batch.columns[-1].cast(pa.binary()).to_pylist()
+            prints = np.array([fingerprint(t, words) for t in texts], dtype=np.uint64)
+            columns = [*batch.columns[:-1], pa.array(prints.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "node"])
 
     return run
 
@@ -179,6 +183,13 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
+def _rooted(members: DataFrame, radius: int, least: Column) -> DataFrame:
+    """node, ``least`` over its ``members``, and root: the node that names its component."""
+    nodes = staged(members.groupBy("node").agg(least.alias("least")), "simhash-nodes")
+    roots = components(near_links(nodes.select("node"), radius))
+    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def simhash_components(
     docs: DataFrame, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -192,9 +203,7 @@ def simhash_components(
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     members = staged(rows.mapInArrow(_fingerprints(words), "id long, node long"), "simhash-members")
-    nodes = staged(members.groupBy("node").agg(F.min("id").alias("least")), "simhash-nodes")
-    roots = components(near_links(nodes.select("node"), radius))
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = _rooted(members, radius, F.min("id"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_node = rooted.join(named, "root").select("node", "component_id")
     # One row a node on the right: a hot fingerprint on the left is split by adaptive execution.
@@ -204,15 +213,25 @@ def simhash_components(
 
 
 def kept_documents(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
-    """One document of each component of near copies: the one with the smallest identifier.
+    """One row of each component of near copies: the one with the smallest identifier.
 
-    Rows with a null identifier stay only if their whole component has no other; of rows that
-    repeat an identifier that stays, one stays. The join and the last step have the same keys, so
-    the texts move once.
+    Of rows that share it, the one with the least content hash stays; a row with a null identifier
+    stays only if its whole component has no other. Rows are told apart by identifier (null-safe)
+    and content hash, so components whose smallest identifiers are equal keep a row each; of rows
+    equal in both, one stays. The least row of a component is an aggregate, so a large component is
+    never gathered. The join and the last step have the same keys, so the texts move once.
     """
-    keys = ["_id", "_no_id"]
-    keyed = {"_id": F.coalesce("doc_id", F.lit(0)), "_no_id": F.isnull("doc_id")}
-    found = simhash_components(docs, radius, words).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = docs.withColumns(keyed).join(found.withColumns(keyed).select(*keys), keys, "left_semi")
-    first = Window.partitionBy(*keys).orderBy(F.xxhash64("text"))
-    return kept.withColumn("_n", F.row_number().over(first)).where("_n = 1 OR _no_id").drop("_n", *keys)
+    keys = ["_no_id", "_id", "_sha"]
+    tagged = docs.withColumns(
+        {
+            "_no_id": F.isnull("doc_id"),
+            "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
+            "_sha": F.sha2(F.coalesce("text", F.lit("")), 256),
+        }
+    )
+    members = tagged.select(*keys, "text").mapInArrow(_fingerprints(words), "_no_id boolean, _id long, _sha string, node long")
+    rooted = _rooted(staged(members, "simhash-members"), radius, F.min(F.struct(*keys)))
+    chosen = rooted.groupBy("root").agg(F.min("least").alias("key")).select("key.*")
+    kept = tagged.join(chosen, keys, "left_semi")
+    first = Window.partitionBy(*keys).orderBy(F.isnull("text"))
+    return kept.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", *keys)

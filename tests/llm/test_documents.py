@@ -125,6 +125,22 @@ def test_simhash(docs, empty):
     assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == set(least.values())
 
 
+def test_simhash_keeps_one_row_of_each_component(spark, docs):
+    """Whatever identifiers repeat or are missing."""
+    b, c = "one two three four five six", "seven eight nine ten eleven twelve"
+    base = next(r[1] for r in ROWS if r[1] and r[1].endswith(" tail"))
+    more = [(5, b), (5, c), (4, b.upper()), (None, c + " "), (None, base), (None, base[:-5]), (None, "alone here"), (None, "Alone here"), (None, "apart"), (5, "apart too"), (5, "apart too"), (5, None), (5, "")]
+    for frame, rows in ((docs, ROWS), (spark.createDataFrame(more, "doc_id long, text string"), more)):
+        roots = brute_components([brute_fingerprint(r[1]) for r in rows], 4)
+        root_of = {(r[0], r[1]): root for r, root in zip(rows, roots)}
+        least = {}
+        for root, r in zip(roots, rows):
+            least[root] = min(least.get(root, (True, 0)), (r[0] is None, r[0] or 0))
+        kept = simhash.kept_documents(frame).collect()
+        assert Counter(root_of[r.doc_id, r.text] for r in kept) == dict.fromkeys(roots, 1)
+        assert all(least[root_of[r.doc_id, r.text]] == (r.doc_id is None, r.doc_id or 0) for r in kept)
+
+
 def test_simhash_long_chain_and_dense_tiles(spark):
     """A chain that only links reach, and a tile whose nodes are all near each other."""
     rng = np.random.default_rng(1)
