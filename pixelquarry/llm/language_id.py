@@ -2,9 +2,9 @@
 
 A text is a normalised TF-IDF vector of hashed byte trigrams. Each language has several centroids,
 clustered from a bounded sample of labelled rows. A text gets the language of the centroid that is
-nearest by cosine, and is rejected if its cosine is under a quarter of that of the furthest text that the
-language was learned from, among texts of its size or longer: short texts lie far out, and clean
-ones are to stay.
+nearest by cosine, and is rejected if its cosine is under 0.4 of the lower quartile of those of the
+texts of its size that the language was learned from: short texts lie far out, and clean ones are to
+stay. A few outliers or wrong labels among the learned texts set neither a centroid nor a quartile.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from pixelquarry.llm.common import staged
 FEATURES = 4096
 #: Labelled rows of each language that the model is fitted on, about, and centroids of each.
 SAMPLE, CENTROIDS = 1500, 4
-#: The part of the furthest learned text's cosine under which a text is rejected.
-REACH = 0.25
+#: The percentile of the learned texts' cosines, and the part of it under which a text is rejected.
+LOW, REACH = 25, 0.4
+#: Learned texts of a size that a quartile needs, and the part of a language's that a centroid needs.
+ENOUGH, FEW = 20, 0.02
 #: Sizes of texts: powers of two of their distinct trigrams.
 SIZES = 13
 UNKNOWN = "und"
@@ -56,20 +58,63 @@ def _size(counts: np.ndarray) -> np.ndarray:
 
 
 def _least(cosines: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The smallest cosine among texts of each size or longer; 0 for sizes under all of them."""
-    out = np.full(SIZES, np.inf)
-    np.minimum.at(out, sizes, cosines)
-    out[sizes.max() + 1 :] = out[sizes.max()]
-    out = np.minimum.accumulate(out[::-1])[::-1]
-    out[: sizes.min()] = 0
-    return out
+    """The lower quartile of the cosines of each size.
+
+    A size with too few texts takes that of the next smaller one that has enough. Below all of
+    these the cosine falls with the root of the number of trigrams. It never falls with size, so
+    that outliers of one size don't lower it. If no size has enough, all texts count as of their
+    smallest size.
+    """
+    counts = np.bincount(sizes, minlength=SIZES)
+    sizes = sizes if (counts >= ENOUGH).any() else np.full_like(sizes, sizes.min())
+    known = [s for s in range(SIZES) if (sizes == s).sum() >= min(ENOUGH, len(sizes))]
+    out = np.zeros(SIZES)
+    for s in range(SIZES):
+        at = max((k for k in known if k <= s), default=known[0])
+        out[s] = np.percentile(cosines[sizes == at], LOW) * 2.0 ** (min(0, s - at) / 2)
+    return np.maximum.accumulate(out)
+
+
+def _means(x: np.ndarray, k: int) -> np.ndarray:
+    """Centres of spherical k-means, seeded by furthest points: no chance in it."""
+    centres = [x.mean(axis=0)]
+    nearest = np.full(len(x), -np.inf)
+    for _ in range(min(k, len(x))):
+        last = centres[-1] / max(1e-12, float(np.linalg.norm(centres[-1])))
+        nearest = np.maximum(nearest, x @ last)
+        centres.append(x[int(nearest.argmin())])
+    c = np.stack(centres[1:] if len(centres) > k else centres[: max(1, len(centres) - 1)])
+    for _ in range(20):
+        own = (x @ c.T).argmax(axis=1)
+        moved = np.stack([x[own == i].sum(axis=0) if (own == i).any() else c[i] for i in range(len(c))])
+        moved /= np.maximum(np.linalg.norm(moved, axis=1, keepdims=True), 1e-12)
+        if np.allclose(moved, c, atol=1e-6):
+            break
+        c = moved
+    return c
+
+
+def _common_means(x: np.ndarray, k: int) -> np.ndarray:
+    """Centres that hold more than a few of the texts each; the texts of others seed none.
+
+    Texts are left out for as long as such centres come up, at most half of them.
+    """
+    left = x
+    while True:
+        c = _means(left, k)
+        own = (left @ c.T).argmax(axis=1)
+        held = np.bincount(own, minlength=len(c)) >= FEW * len(x)
+        inner = held[own]
+        if inner.all() or 2 * inner.sum() < len(x):
+            return c[held] if held.any() else c
+        left = left[inner]
 
 
 @dataclass
 class LanguageModel:
     languages: list[str]  # one for each centroid
     centroids: np.ndarray
-    least: np.ndarray  # by centroid and size: cosine of the furthest text learned from
+    least: np.ndarray  # by centroid and size: lower quartile of its language's cosines
     idf: np.ndarray
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -125,23 +170,10 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _clusters(idf: np.ndarray, k: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """Spherical k-means of one language's sample, seeded by furthest points: no chance in it."""
+        """Centroids of one language's sample and the cosines that its texts have."""
         counts = np.stack([_dense(c) for c in sorted(rows["counts"])])
         x = _vector(counts, idf)
-        centres = [x.mean(axis=0)]
-        nearest = np.full(len(x), -np.inf)
-        for _ in range(min(k, len(x))):
-            last = centres[-1] / max(1e-12, float(np.linalg.norm(centres[-1])))
-            nearest = np.maximum(nearest, x @ last)
-            centres.append(x[int(nearest.argmin())])
-        c = np.stack(centres[1:] if len(centres) > k else centres[: max(1, len(centres) - 1)])
-        for _ in range(20):
-            own = (x @ c.T).argmax(axis=1)
-            moved = np.stack([x[own == i].sum(axis=0) if (own == i).any() else c[i] for i in range(len(c))])
-            moved /= np.maximum(np.linalg.norm(moved, axis=1, keepdims=True), 1e-12)
-            if np.allclose(moved, c, atol=1e-6):
-                break
-            c = moved
+        c = _common_means(x, k)
         least = _least((x @ c.T).max(axis=1), _size(counts)).tobytes()
         return pd.DataFrame(
             {"lang": rows["lang"].iloc[0], "k": range(len(c)), "centre": [v.astype("<f4").tobytes() for v in c], "least": least}

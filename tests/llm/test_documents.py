@@ -313,3 +313,29 @@ def test_language_id(spark, empty):
     assert language_id.identify(empty).collect() == []
     nothing = language_id.identify(spark.createDataFrame([(1, "a b", None)], "doc_id long, text string, lang string")).collect()
     assert nothing[0].lang_pred == "und"
+
+
+#: The first words of the declaration of human rights in languages that the documents don't have.
+UNLEARNED = [
+    "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+    "Alle mensen worden vrij en gelijk in waardigheid en rechten geboren. Zij zijn begiftigd met verstand en geweten, en behoren zich jegens elkander in een geest van broederschap te gedragen.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "Todos os seres humanos nascem livres e iguais em dignidade e em direitos. Dotados de razão e de consciência, devem agir uns para com os outros em espírito de fraternidade.",
+]
+
+
+def test_language_id_rejects_unlearned_languages(spark):
+    """Whole and cut, and although a few of their texts are labelled as a learned language."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(4)
+    alien = UNLEARNED + [t[:60] for t in UNLEARNED] + [" ".join(f"{rng.getrandbits(32):08x}" for _ in range(40))]
+    learned = [i for i in range(-100, 0) if zlib.crc32(str(i).encode()) % 5][:4]
+    wrong = [(i, UNLEARNED[1] + " " * i, "en") for i in learned]
+    more = [(1_000_000 + i, t, None) for i, t in enumerate(alien)] + wrong
+    got = language_id.identify(docs.unionByName(spark.createDataFrame(more, docs.schema))).collect()
+    stays = {r.doc_id for r in got if not r.rejected}
+    assert not stays & {i for i, _, lang in more if lang is None}
+    clean = [r.doc_id for r in docs.collect() if r.text and len(r.text) > 40 and not re.search(r"\d", r.text) and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert len(clean) > 100 and set(clean) <= stays
