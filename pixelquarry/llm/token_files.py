@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,8 +30,10 @@ PERCENTILE = 98
 SHARD_IDS = 1_000_000
 #: Distinct words whose ids a Python worker remembers; others are encoded as they come.
 REMEMBERED = 700_000
-#: Texts that are encoded together.
-TEXTS = 512
+#: Texts that are encoded together, and new words that are encoded as the lines of one text.
+TEXTS, LINES = 1024, 500
+#: Characters of a text by which rows of one identifier are dealt over partitions.
+HEAD = 256
 _MAGIC = b"PFB1"
 _HEADER = struct.Struct("<4sQQ")
 
@@ -112,6 +115,42 @@ def unpack(data: bytes) -> np.ndarray:
 
 #: Words that no single blank, or line feed in front, sets apart: nothing, or with white space.
 _ODD = re.compile(r"^$|^\n$|^[^\S\n]|.\s", re.DOTALL)
+#: Slots of the store that every encoder has, and the mark of an odd word.
+_NOTHING, _END, _IS_ODD = 0, 1, -1
+
+
+class _Store:
+    """Sequences of ids, one a slot, end to end in one array that grows by doubling."""
+
+    def __init__(self) -> None:
+        self.flat, self.used = np.zeros(1 << 16, dtype="<u4"), 0
+        self.start, self.count, self.slots = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> int:
+        """Add sequences of ``counts`` ids each; the first one's slot."""
+        first, used, slots = self.slots, self.used + len(ids), self.slots + len(counts)
+        while used > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while slots > len(self.count):
+            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
+        self.flat[self.used : used] = ids
+        self.count[first:slots], self.start[first:slots] = counts, self.used + np.cumsum(counts) - counts
+        self.used, self.slots = used, slots
+        return first
+
+    def add_lists(self, lists: list[list[int]]) -> int:
+        counts = np.array([len(x) for x in lists], dtype=np.int64)
+        return self.add(np.array([i for x in lists for i in x], dtype="<u4"), counts)
+
+    def drop_from(self, slots: int, used: int) -> None:
+        self.slots, self.used = slots, used
+
+    def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``slots`` one after another, and how many ids each of them has."""
+        count = self.count[slots]
+        ends = np.cumsum(count)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.start[slots] - (ends - count), count) + np.arange(total)], count
 
 
 class _Encoder:
@@ -122,67 +161,83 @@ class _Encoder:
     white space are left to the tokenizer whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, end_id: int) -> None:
         self.tokenizer = load_tokenizer(path)
-        self.feed = self._ids("\n")[0]
-        #: word -> ids, after a blank or with its line feed in front; None for an odd word.
-        self.known: dict[str, bytes | None] = {}
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.feed = self._encoded(["\n"])[0][0]
+        self.store = _Store()
+        self.store.add_lists([[], [end_id]])
+        #: word, as it follows a blank or with its line feed in front -> slot, or the mark of an odd one.
+        self.known: dict[str, int] = {}
 
-    def _packed(self, text: str) -> bytes:
-        return np.array(self._ids(text), dtype="<u4").tobytes()
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _fresh(self, words: list[str]) -> dict[str, bytes | None]:
-        """Ids of new words, encoded as the lines of one text: a line feed is a token of its own.
+    def _slots_of(self, words: list[str]) -> np.ndarray:
+        """Slots of new words, encoded as the lines of texts: a line feed is a token of its own.
 
         Words that may hold an added token's string are encoded alone.
         """
-        found: dict[str, bytes | None] = dict.fromkeys(w for w in words if _ODD.search(w))
-        words = [w for w in words if w not in found]
-        lines = [w[1:] if w[0] == "\n" else " " + w for w in words]
-        alone = {k for k, w in enumerate(words) if "<|" in w}
-        plain = [k for k in range(len(words)) if k not in alone]
-        ids = np.array(self._ids("\n".join([lines[k] for k in plain])), dtype="<u4")
-        cuts = np.flatnonzero(ids == self.feed).tolist()
-        if len(cuts) != max(0, len(plain) - 1):
-            alone, plain, cuts = set(range(len(words))), [], []
-        feed, data = np.array([self.feed], dtype="<u4").tobytes(), ids.tobytes()
-        for k, a, b in zip(plain, [-1, *cuts], [*cuts, len(ids)]):
-            own = data[4 * (a + 1) : 4 * b]
-            found[words[k]] = feed + own if words[k][0] == "\n" else own
-        for k in alone:
-            own = self._packed(lines[k])
-            found[words[k]] = feed + own if words[k][0] == "\n" else own
-        return found
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [t.replace("\n", " \n").split(" ") for t in texts]
-        words = set().union(*cut)
-        new = words.difference(self.known)
-        found = self.known
-        if new:
-            fresh = self._fresh(list(new))
-            if len(found) < REMEMBERED:
-                found |= fresh
-            else:
-                found = {w: found.get(w) for w in words} | fresh
-        out = []
-        for text, (first, *rest) in zip(texts, cut, strict=True):
-            ids = None
-            if first and not _ODD.search(first) and first[0] != "\n":
-                try:
-                    ids = self._packed(first) + b"".join(map(found.__getitem__, rest))
-                except TypeError:  # an odd word
-                    pass
-            out.append(np.frombuffer(self._packed(text) if ids is None else ids, dtype="<u4"))
-        return out
+        slots = np.full(len(words), _IS_ODD, dtype=np.int64)
+        after_blank, after_feed, alone = [], [], []
+        for k, w in enumerate(words):
+            if not _ODD.search(w):
+                (alone if "<|" in w else after_feed if w[0] == "\n" else after_blank).append(k)
+        for which, lead, keep in ((after_blank, "\n ", False), (after_feed, "", True)):
+            parts = [which[at : at + LINES] for at in range(0, len(which), LINES)]
+            texts = ["".join([lead + words[k] for k in part]) for part in parts]
+            for part, found in zip(parts, self._encoded(texts), strict=True):
+                ids = np.array(found, dtype="<u4")
+                cuts = np.flatnonzero(ids == self.feed)
+                if len(cuts) != len(part) or cuts[0]:
+                    alone += part
+                    continue
+                counts = np.diff(cuts, append=len(ids))
+                first = self.store.add(ids, counts) if keep else self.store.add(ids[ids != self.feed], counts - 1)
+                slots[part] = np.arange(first, first + len(part))
+        if alone:
+            feed = [[self.feed] if words[k][0] == "\n" else [] for k in alone]
+            own = self._encoded([words[k][1:] if f else " " + words[k] for k, f in zip(alone, feed)])
+            first = self.store.add_lists([f + ids for f, ids in zip(feed, own, strict=True)])
+            slots[alone] = np.arange(first, first + len(alone))
+        return slots
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, the end id after them."""
+        if not len(texts):
+            return []
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        lengths = pc.list_value_length(cut).to_numpy().astype(np.int64)  # one at least
+        ends = np.cumsum(lengths)
+        firsts = ends - lengths
+        found = cut.flatten().dictionary_encode()
+        words, place = found.dictionary.to_pylist(), found.indices.to_numpy()
+
+        slot = np.array([self.known.get(w, -2) for w in words], dtype=np.int64)
+        new = np.flatnonzero(slot == -2)
+        fresh = [words[k] for k in new.tolist()]
+        mark = self.store.slots, self.store.used
+        slot[new] = self._slots_of(fresh)
+        if len(self.known) + len(fresh) <= REMEMBERED:
+            self.known.update(zip(fresh, slot[new].tolist(), strict=True))
+            mark = self.store.slots, self.store.used
+
+        slots = slot[place]
+        first_words = cut.flatten().take(pa.array(firsts)).to_pylist()
+        slots[firsts] = [_IS_ODD if not w or _ODD.search(w) or w[0] == "\n" else _NOTHING for w in first_words]
+        odd = np.zeros(len(texts), dtype=bool)
+        odd[np.searchsorted(ends, np.flatnonzero(slots == _IS_ODD), side="right")] = True
+        slots[np.repeat(odd, lengths)] = _NOTHING
+        heads = [texts[k].as_py() if odd[k] else w for k, w in enumerate(first_words)]  # an odd text whole
+        slots[firsts] = self.store.add_lists(self._encoded(heads)) + np.arange(len(heads))
+        ids, count = self.store.gather(np.insert(slots, ends, _END))
+        self.store.drop_from(*mark)
+        each = np.add.reduceat(count, firsts + np.arange(len(texts)))
+        return np.split(ids, np.cumsum(each)[:-1])
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> _Encoder:
-    return _Encoder(path)
+def _encoder(path: str, end_id: int) -> _Encoder:
+    return _Encoder(path, end_id)
 
 
 _SHARDS_DDL = "part int, first long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
@@ -195,7 +250,7 @@ def _write(path: str, end_id: int):
         doc_ids: list[int | None] = []
         lengths: list[int] = []
         ids: list[np.ndarray] = []
-        encode, end = _encoder(path), np.array([end_id], dtype="<u4")
+        encode = _encoder(path, end_id)
 
         def shard() -> pa.RecordBatch:
             row = [part, first, held, list(doc_ids), list(lengths), pack(np.concatenate(ids))]
@@ -205,12 +260,12 @@ def _write(path: str, end_id: int):
 
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
-                documents, texts = (c.to_pylist() for c in batch.slice(at, TEXTS).columns)
-                for document, own in zip(documents, encode(texts), strict=True):
-                    ids += [own, end]
+                documents, texts = batch.slice(at, TEXTS).columns
+                for document, own in zip(documents.to_pylist(), encode(texts), strict=True):
+                    ids.append(own)
                     doc_ids.append(document)
-                    lengths.append(len(own) + 1)
-                    held += len(own) + 1
+                    lengths.append(len(own))
+                    held += len(own)
                     if held >= SHARD_IDS:
                         yield shard()
                         first, held = first + held, 0
@@ -231,7 +286,8 @@ def write_token_files(
     in one shard. An empty table gives no shards; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    # The head splits rows of one identifier, or of none, and keeps to the order of texts.
+    ordered = rows.repartitionByRange("id", F.substring("text", 1, HEAD)).sortWithinPartitions("id", "text")
     return staged(ordered.mapInArrow(_write(path, end_id), _SHARDS_DDL), "token-files")
 
 
