@@ -40,7 +40,10 @@ def _quantised(scale: int):
                     continue
                 x = np.asarray(vector, dtype=np.float64)
                 if np.isfinite(x).all():
-                    q = np.floor(scale * x).astype(np.int64)
+                    whole = np.floor(scale * x)
+                    if np.abs(whole).max(initial=0) >= 2.0**63:
+                        raise OverflowError(f"vector {vec_id}: a component times {scale} does not fit in 64 bits")
+                    q = whole.astype(np.int64)
                     out.append((vec_id, len(q), float(np.sqrt(np.square(q.astype(np.float64)).sum())), q.tobytes()))
             kinds = (pa.int64(), pa.int32(), pa.float64(), pa.binary())
             columns = list(zip(*out)) if out else [[]] * 4
@@ -93,11 +96,20 @@ class _Matrix:
 
 
 def _products(q: _Matrix, which: np.ndarray, p: _Matrix, rows: np.ndarray | slice) -> np.ndarray:
-    """Exact inner products: in doubles while every sum fits in their 53 bits, else in integers."""
+    """Exact inner products: in doubles while every sum fits in their 53 bits, else in integers.
+
+    A sum of products is at most the product of the lengths, so 64 bits hold it while they hold that;
+    beyond, sums are worked out without bounds and refused if they don't fit.
+    """
     most = float(np.abs(q.real[which]).max(initial=0)) * float(np.abs(p.real[rows]).max(initial=0)) * max(1, q.real.shape[1])
     if most < 2.0**53:
         return (q.real[which] @ p.real[rows].T).astype(np.int64)
-    return q.exact[which] @ p.exact[rows].T
+    if float(q.length[which].max(initial=0)) * float(p.length[rows].max(initial=0)) < 2.0**62:
+        return q.exact[which] @ p.exact[rows].T
+    found = q.exact[which].astype(object) @ p.exact[rows].T.astype(object)
+    if max(abs(x) for x in found.flat) >= 2**63:
+        raise OverflowError("an inner product does not fit in 64 bits")
+    return found.astype(np.int64)
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, own: int, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +199,8 @@ def top_k(vectors: DataFrame, k: int = 5, scale: int = 256, every: int = 50, id_
 
     Vectors that are null or hold a null or non-finite component take no part, nor do rows with a
     null identifier. Repeated rows are candidates each, and repeated queries get their results
-    each. An empty table gives no rows; other columns are not read.
+    each. A finite component, scaled, or a score that 64 bits can't hold raises an OverflowError: it
+    has no right score of that type. An empty table gives no rows; other columns are not read.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
     quantised = rows.mapInArrow(_quantised(scale), "id long, dim int, length double, row binary")
