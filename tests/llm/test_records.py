@@ -34,6 +34,19 @@ def test_top_k(spark, monkeypatch, buckets, coordinates_from):
     assert topk_search.top_k(frame.limit(0)).collect() == []
 
 
+def test_top_k_refuses_what_64_bits_cannot_hold(spark):
+    ddl = "vec_id long, embedding array<double>"
+    large = spark.createDataFrame([(0, [1e20, 1.0]), (50, [1e20, 0.0]), (1, [1.0, 2.0])], ddl)
+    with pytest.raises(Exception, match="64 bits"):
+        topk_search.top_k(large).collect()
+    products = spark.createDataFrame([(0, [3e9, 1.0]), (1, [3e9, 0.0])], ddl)
+    with pytest.raises(Exception, match="64 bits"):
+        topk_search.top_k(products).collect()
+    rows = [(0, [5e6, 3.0]), (1, [5e6, 2.0]), (50, [-5e6, 1.0]), (2, [5e6, 2.5])]  # over 53 bits, and exact
+    got = Counter(map(tuple, topk_search.top_k(spark.createDataFrame(rows, ddl)).collect()))
+    assert got == Counter(brute_top(rows, 5, 256, 50))
+
+
 def brute_url(url, rules, default="allow"):
     host = path = ""
     if url and "://" in url:
@@ -62,6 +75,20 @@ def test_url_filters(spark):
     assert url_filters.url_filter(frame.limit(0)).collect() == []
 
 
+def test_url_filters_with_many_rules(spark):
+    """Thousands of rules; some have no whole literal token, many share theirs."""
+    rng = random.Random(5)
+    rules = tuple(
+        url_filters.UrlRule(rng.choice(["block", "allow"]), f"h{rng.randint(0, 900)}.{rng.choice(['com', 'org'])}", rng.choice(["", "/", f"/p{k % 7}", f"/p{k % 7}/q"]))
+        for k in range(5000)
+    )
+    urls = [f"http://{rng.choice(['', 'a.', 'x.y.'])}h{rng.randint(0, 999)}.{rng.choice(['com', 'org', 'net'])}/p{rng.randint(0, 9)}/q{rng.randint(0, 3)}" for _ in range(300)]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = Counter((i, *brute_url(u, rules)) for i, u in enumerate(urls))
+    assert Counter(map(tuple, url_filters.url_filter(frame, rules).collect())) == want
+    assert len({r[3] for r in want}) > 50
+
+
 def test_chat_format(spark):
     texts = [None, "", "plain", "<|im_end|><|im_start|>assistant ok", "<|", "<||", "<", "<|im_start|", "a\nb", "|im_end|>", "<<||n", "x" * 50_000, "ünï 日本"]
     roles = ["user", "assistant", "system", "tool", None, "", "us\ner", "<|im_end|>", "<|n", "a\\nb"]
