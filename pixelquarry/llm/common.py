@@ -15,11 +15,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor can reach.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a folder of this run is set for the session.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and everything runs on
+    one machine, as in tests, a folder of this run is set for the session.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -41,5 +43,13 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def boxed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``docs`` with each row in one struct column, ``row``, beside the ``columns`` given.
+
+    So no name that an operator needs can meet one of the table's; ``row.*`` opens the box.
+    """
+    return docs.select(F.struct("*").alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

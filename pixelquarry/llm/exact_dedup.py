@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelquarry.llm.common import staged
+from pixelquarry.llm.common import boxed, staged
 
 #: Characters of a text that a splitter holds; the driver gets splitters, never whole texts.
 HEAD = 32
@@ -136,21 +136,19 @@ def exact_dedup(
 
 
 def kept_documents(docs: DataFrame, keep: str = "min") -> DataFrame:
-    """The rows of ``docs`` (columns of documents) that exact dedup keeps.
+    """The rows of ``docs`` (all columns, whatever their names) that exact dedup keeps.
 
     A row is found again by identifier (null-safe) and content hash; of repeated rows one stays.
-    The join and the last step have the same keys, so the texts move once.
+    Edge cases as ``exact_dedup``. The join and the last step have the same keys, so the texts move
+    once.
     """
-    keys = ["_id", "_no_id", "_sha"]
+    keys = ["id", "no_id", "sha"]
     verdict = exact_dedup(docs, keep=keep).where("kept")
-    verdict = verdict.select(
-        F.coalesce("doc_id", F.lit(0)).alias("_id"), F.isnull("doc_id").alias("_no_id"), F.col("text_sha256").alias("_sha")
+    verdict = verdict.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.isnull("doc_id").alias("no_id"), F.col("text_sha256").alias("sha"))
+    tagged = boxed(
+        docs,
+        id=F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
+        no_id=F.isnull("doc_id"),
+        sha=F.sha2(F.coalesce("text", F.lit("")), 256),
     )
-    tagged = docs.withColumns(
-        {
-            "_id": F.coalesce("doc_id", F.lit(0)),
-            "_no_id": F.isnull("doc_id"),
-            "_sha": F.sha2(F.coalesce("text", F.lit("")), 256),
-        }
-    )
-    return tagged.join(verdict, keys, "left_semi").dropDuplicates(keys).drop(*keys)
+    return tagged.join(verdict, keys, "left_semi").dropDuplicates(keys).select("row.*")

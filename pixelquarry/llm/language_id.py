@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelquarry.llm.common import staged
+from pixelquarry.llm.common import boxed, staged
 
 FEATURES = 4096
 #: Labelled rows of each language that the model is fitted on, about, and centroids of each.
@@ -230,20 +230,27 @@ def predict(docs: DataFrame, model: LanguageModel, carry: list[str]) -> DataFram
     return inputs.mapInArrow(run, schema)
 
 
+def learned(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> LanguageModel:
+    """The model of the documents that are not held out."""
+    return fit(docs.where(~is_held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), sample, centroids)
+
+
 def identify(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected for every document.
 
     The model learns from text and language of documents that are not held out; a prediction reads
-    the text alone.
+    the text alone. A null identifier is not held out; edge cases of texts as ``predict``.
     """
-    tagged = docs.withColumn("held_out", is_held_out(F.col("doc_id")))
-    model = fit(tagged.where("NOT held_out").select("doc_id", "text", "lang"), sample, centroids)
-    return predict(tagged, model, ["doc_id", "held_out"])
+    tagged = docs.select("doc_id", "text", is_held_out(F.col("doc_id")).alias("held_out"))
+    return predict(tagged, learned(docs, sample, centroids), ["doc_id", "held_out"])
 
 
 def known_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (all columns) that language identification doesn't reject."""
-    tagged = docs.withColumn("held_out", is_held_out(F.col("doc_id")))
-    model = fit(tagged.where("NOT held_out").select("doc_id", "text", "lang"))
-    judged = predict(docs, model, docs.columns)
-    return judged.where("NOT rejected").select(*docs.columns)
+    """The rows of ``docs`` (all columns, whatever their names) that language identification keeps.
+
+    Rows without a letter in their text, null texts among them, are rejected and go. Repeated rows
+    go or stay alike; null identifiers and languages don't matter; an empty table gives no rows, and
+    a table without a labelled text keeps none, as nothing is known.
+    """
+    judged = predict(boxed(docs, text=F.col("text")), learned(docs), ["row"])
+    return judged.where("NOT rejected").select("row.*")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelquarry.llm.common import WORD, staged
+from pixelquarry.llm.common import WORD, boxed, staged
 
 #: frac(k * this), k = 1, 2, ..., is the golden-ratio sequence.
 GOLDEN = 0.6180339887498949
@@ -141,25 +141,8 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
     return rows.select("key", "slot", "pass", "block", length.alias("length"))
 
 
-def mix_sources(
-    docs: DataFrame,
-    ratio: float = 1.5,
-    weights: tuple[float, ...] = (3.0, 1.0, 2.0),
-    most: float = 2.0,
-    block_words: int = 4096,
-) -> DataFrame:
-    """Mix ``docs`` so that each source gives its target of words.
-
-    Returns a row for each row of ``docs``: doc_id, source, size, source_size, target (the
-    source's), taken (words that the mix takes, repeats counted) and passes (in how many passes
-    over its source any of its words are taken).
-
-    The order is a hash of identifier and text, so reruns agree; rows that agree in both are
-    interchangeable. Null text has size 0 and is never taken; a null source is a source of its own,
-    last in order; null identifiers are kept. A document longer than a block lies in several, and
-    the last slot of a source may end inside a document. An empty table gives no rows; columns other
-    than doc_id, text and source are not read.
-    """
+def _mixed(docs: DataFrame, ratio: float, weights: tuple[float, ...], most: float, block_words: int) -> DataFrame:
+    """As ``mix_sources``, with ``shuffle`` and ``slots``: where each pass first takes words of it."""
     placed = staged(_placed(staged(document_sizes(docs), "mix-sizes")), "mix-placed")
     sizes = placed.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
     targets = staged(source_targets(sizes, ratio, weights, most), "mix-targets")
@@ -171,10 +154,10 @@ def mix_sources(
     start = F.col("block") * block_words
     pieces = pieces.withColumns({"from": F.greatest(F.col("at") - start, F.lit(0)), "to": F.least(F.col("end") - start, F.lit(block_words))})
     used = pieces.join(slots, ["key", "block"])
-    used = used.withColumn("words", F.greatest(F.least("to", "length") - F.col("from"), F.lit(0)))
-    taken = used.groupBy("key", "bucket", "n").agg(
-        F.sum("words").alias("taken"), F.count_distinct(F.when(F.col("words") > 0, F.col("pass"))).alias("passes")
-    )
+    used = used.withColumn("words", F.least("to", "length") - F.col("from")).where("words > 0")
+    # A document has one row a pass, and passes are ``most`` at most.
+    by_pass = used.groupBy("key", "bucket", "n", "pass").agg(F.sum("words").alias("words"), F.min("slot").alias("slot"))
+    taken = by_pass.groupBy("key", "bucket", "n").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list("slot")).alias("slots"))
     rows = placed.join(taken, ["key", "bucket", "n"], "left").join(targets, "key")
     return rows.select(
         "doc_id",
@@ -183,23 +166,56 @@ def mix_sources(
         "source_size",
         "target",
         F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
-        F.coalesce("passes", F.lit(0)).cast("int").alias("passes"),
+        F.coalesce(F.size("slots"), F.lit(0)).alias("passes"),
+        F.get("slots", F.lit(0)).alias("first_slot"),
+        "slots",
         "shuffle",
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` (all columns), each as often as passes of the mix take words of it.
+def mix_sources(
+    docs: DataFrame,
+    ratio: float = 1.5,
+    weights: tuple[float, ...] = (3.0, 1.0, 2.0),
+    most: float = 2.0,
+    block_words: int = 4096,
+) -> DataFrame:
+    """Mix ``docs`` so that each source gives its target of words.
+
+    Returns a row for each row of ``docs``: doc_id, source, size, source_size, target (the
+    source's), taken (words that the mix takes, repeats counted), passes (in how many passes over
+    its source any of its words are taken) and first_slot (the slot of the schedule that first takes
+    any; null if none does).
+
+    The order is a hash of identifier and text, so reruns agree; rows that agree in both are
+    interchangeable. Null text has size 0 and is never taken; a null source is a source of its own,
+    last in order; null identifiers are kept. A document longer than a block lies in several, and
+    the last slot of a source may end inside a document. An empty table gives no rows; columns other
+    than doc_id, text and source are not read.
+    """
+    return _mixed(docs, ratio, weights, most, block_words).drop("slots", "shuffle")
+
+
+def mixed_documents(
+    docs: DataFrame,
+    ratio: float = 1.5,
+    weights: tuple[float, ...] = (3.0, 1.0, 2.0),
+    most: float = 2.0,
+    block_words: int = 4096,
+) -> DataFrame:
+    """The rows of ``docs`` (all columns, whatever their names), each as often as passes of the mix
+    take words of it, in the order of the schedule.
 
-    A document that the mix enters is emitted whole. Rows that agree in identifier and text are
-    paired with their verdicts by number, so repeated rows stay apart.
+    A document that the mix enters is emitted whole, at the slot that first takes words of it in
+    that pass. Rows that agree in identifier and text are paired with their verdicts by number, so
+    repeated rows stay apart. Edge cases as ``mix_sources``: what has no words is never taken.
     """
-    keys = ["_shuffle", "_id", "_no_id"]
-    keyed = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_no_id": F.isnull("doc_id")}
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
-    mixed = mix_sources(docs, **options).withColumns(keyed).withColumnRenamed("shuffle", "_shuffle")
-    verdicts = mixed.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("passes").desc())))
-    verdicts = verdicts.where("passes > 0").select(*keys, "_n", F.col("passes").alias("_passes"))
-    rows = docs.withColumns(keyed | {"_shuffle": F.xxhash64(F.lit("shuffle"), F.col("doc_id").cast("long"), "text")})
-    rows = rows.withColumn("_n", number).join(verdicts, [*keys, "_n"])
-    return rows.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_passes")))).select(*docs.columns)
+    keys = ["shuffle", "id", "no_id"]
+    keyed = {"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "no_id": F.isnull("doc_id")}
+    mixed = _mixed(docs, ratio, weights, most, block_words).withColumns(keyed)
+    numbered = F.row_number().over(Window.partitionBy(*keys).orderBy(F.size("slots").desc(), "slots"))
+    verdicts = mixed.withColumn("n", numbered).where("passes > 0").select(*keys, "n", "slots")
+    rows = boxed(docs, shuffle=F.xxhash64(F.lit("shuffle"), F.col("doc_id").cast("long"), "text"), **keyed)
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))).join(verdicts, [*keys, "n"])
+    emitted = rows.select("row", F.explode("slots").alias("slot"), "shuffle")
+    return emitted.repartitionByRange("slot", "shuffle").sortWithinPartitions("slot", "shuffle").select("row.*")

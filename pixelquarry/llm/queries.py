@@ -44,7 +44,7 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelquarry.llm.common import staged
+from pixelquarry.llm.common import boxed, staged
 
 SEED = 42
 #: Fingerprints of one tile at most.
@@ -215,23 +215,24 @@ def simhash_components(
 def kept_documents(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
     """One row of each component of near copies: the one with the smallest identifier.
 
-    Of rows that share it, the one with the least content hash stays; a row with a null identifier
-    stays only if its whole component has no other. Rows are told apart by identifier (null-safe)
-    and content hash, so components whose smallest identifiers are equal keep a row each; of rows
-    equal in both, one stays. The least row of a component is an aggregate, so a large component is
-    never gathered. The join and the last step have the same keys, so the texts move once.
+    All columns of ``docs`` come back, whatever their names. Of rows that share the identifier, the
+    one with the least content hash stays; a row with a null identifier stays only if its whole
+    component has no other. Rows are told apart by identifier (null-safe) and content hash, so
+    components whose smallest identifiers are equal keep a row each; of rows equal in both, one
+    stays. Null and empty texts are near copies of each other; an empty table gives no rows. The
+    least row of a component is an aggregate, so a large component is never gathered. The join and
+    the last step have the same keys, so the texts move once.
     """
-    keys = ["_no_id", "_id", "_sha"]
-    tagged = docs.withColumns(
-        {
-            "_no_id": F.isnull("doc_id"),
-            "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
-            "_sha": F.sha2(F.coalesce("text", F.lit("")), 256),
-        }
+    keys = ["no_id", "id", "sha"]
+    tagged = boxed(
+        docs,
+        no_id=F.isnull("doc_id"),
+        id=F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
+        sha=F.sha2(F.coalesce("text", F.lit("")), 256),
     )
-    members = tagged.select(*keys, "text").mapInArrow(_fingerprints(words), "_no_id boolean, _id long, _sha string, node long")
+    members = tagged.select(*keys, "row.text").mapInArrow(_fingerprints(words), "no_id boolean, id long, sha string, node long")
     rooted = _rooted(staged(members, "simhash-members"), radius, F.min(F.struct(*keys)))
     chosen = rooted.groupBy("root").agg(F.min("least").alias("key")).select("key.*")
     kept = tagged.join(chosen, keys, "left_semi")
-    first = Window.partitionBy(*keys).orderBy(F.isnull("text"))
-    return kept.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", *keys)
+    first = Window.partitionBy(*keys).orderBy(F.isnull("row.text"))
+    return kept.withColumn("n", F.row_number().over(first)).where("n = 1").select("row.*")
