@@ -204,10 +204,11 @@ def mixed_documents(
     block_words: int = 4096,
 ) -> DataFrame:
     """The rows of ``docs`` (all columns, whatever their names), each as often as passes of the mix
-    take words of it, in the order of the schedule.
+    take words of it; every partition in the order of the schedule.
 
     A document that the mix enters is emitted whole, at the slot that first takes words of it in
-    that pass. Rows that agree in identifier and text are paired with their verdicts by number, so
+    that pass. Documents are dealt over partitions by hash, so that each partition is a mix like the
+    whole, and texts move once. Rows that agree in identifier and text are paired with their verdicts by number, so
     repeated rows stay apart. Edge cases as ``mix_sources``: what has no words is never taken.
     """
     keys = ["shuffle", "id", "no_id"]
@@ -218,4 +219,4 @@ def mixed_documents(
     rows = boxed(docs, shuffle=F.xxhash64(F.lit("shuffle"), F.col("doc_id").cast("long"), "text"), **keyed)
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))).join(verdicts, [*keys, "n"])
     emitted = rows.select("row", F.explode("slots").alias("slot"), "shuffle")
-    return emitted.repartitionByRange("slot", "shuffle").sortWithinPartitions("slot", "shuffle").select("row.*")
+    return emitted.sortWithinPartitions("slot", "shuffle").select("row.*")
