@@ -2,8 +2,10 @@
 
 Every 18th position of a document starts an anchor, a reference block of 18 words. Every window of
 18 words probes the anchors. A repeat of 35 words or more holds an anchor on either side, whatever
-the alignment, so hits say where repeats can be; a hit is extended by the windows of 35 words that
-hold it, and those that start anywhere else as well make up the maximal exact repeats.
+the alignment, so hits say where repeats can be, and a hit is extended to the windows of 35 words
+that hold it. Probing goes by fast hashes, whose chance hits cost work only. Whether a window starts
+anywhere else is decided on its words, by a cryptographic digest of them (128 bits of BLAKE2b); the
+windows that do grow together to the maximal stretches that are removed.
 
 Documents travel in blocks, bounded batches. A block sends the index each distinct window once,
 packed, and gets a bit for each back; it never sends positions, since it finds them again from its
@@ -17,6 +19,7 @@ import hashlib
 import json
 import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -39,9 +42,8 @@ _SCHEMA = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("bucket", pa
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
-#: Odd multipliers of two word hashes and of two window hashes.
-_WORD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-_STEP = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
+#: Odd multipliers of the word hash and of the window hash by which anchors are probed.
+_WORD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -58,20 +60,16 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(data: bytes, powers: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start of each word of ``data`` and two 64-bit hashes of it, by running polynomial sums."""
+def word_hashes(data: bytes, power: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word of ``data`` and a 64-bit hash of it, by running polynomial sums."""
     raw = np.frombuffer(data, dtype=np.uint8)
     word = np.zeros(len(raw) + 2, dtype=np.int8)
     word[1:-1] = ~_BLANK[raw]
     edge = np.diff(word)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    value = raw.astype(np.uint64) + np.uint64(1)
-    out = []
-    for power, inverse in powers:
-        total = np.zeros(len(raw) + 1, dtype=np.uint64)
-        np.cumsum(value * power[: len(raw)], out=total[1:])
-        out.append(_mixed((total[ends] - total[starts]) * inverse[starts]))
-    return starts, out[0], out[1]
+    total = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=total[1:])
+    return starts, ends, _mixed((total[ends] - total[starts]) * inverse[starts])
 
 
 def _window(h: np.ndarray, step: np.uint64, length: int) -> np.ndarray:
@@ -92,37 +90,44 @@ def _window(h: np.ndarray, step: np.uint64, length: int) -> np.ndarray:
 
 
 class _Words:
-    """Hashes of the words of a block's documents, and where each document's words are."""
+    """The words of a block's documents: their places and hashes, and where each document's are.
+
+    Words are parted by single blanks in ``texts``.
+    """
 
     def __init__(self, texts: list[bytes]) -> None:
         longest = max(_PART, max(map(len, texts), default=0)) + 1
-        powers = []
-        for base in _WORD:
-            inverse = np.uint64(pow(int(base), -1, 1 << 64))
-            powers.append((_powers(base, longest), _powers(inverse, longest)))
-        counts, first, second = [], [], []
-        part: list[bytes] = []
-        held = 0
-
-        def hash_part() -> None:
-            starts, one, two = word_hashes(b"\n".join(part), powers)
-            ends = np.cumsum([len(t) + 1 for t in part])
-            counts.append(np.diff(np.searchsorted(starts, ends), prepend=0))
-            first.append(one), second.append(two)
+        power, inverse = _powers(_WORD, longest), _powers(np.uint64(pow(int(_WORD), -1, 1 << 64)), longest)
+        self.data = b"\n".join(texts)
+        counts, first, last, hashes = ([np.zeros(0, t)] for t in (np.int64, np.int64, np.int64, np.uint64))
+        part: list[int] = []
+        base = held = 0
+
+        def hash_part() -> int:
+            size = sum(part) + len(part)
+            starts, ends, own = word_hashes(self.data[base : base + size], power, inverse)
+            counts.append(np.diff(np.searchsorted(starts, np.cumsum(part) + np.arange(1, len(part) + 1)), prepend=0))
+            first.append(starts + base), last.append(ends + base), hashes.append(own)
+            return base + size
 
         for text in texts:
             if part and held + len(text) + len(part) > _PART:
-                hash_part()
-                part, held = [], 0
-            part.append(text)
+                base, part, held = hash_part(), [], 0
+            part.append(len(text))
             held += len(text)
         if part:
             hash_part()
-        self.n = np.concatenate(counts or [np.zeros(0, np.int64)])
-        self.hashes = tuple(np.concatenate(h or [np.zeros(0, np.uint64)]) for h in (first, second))
+        self.n, self.first, self.last, self.hashes = (np.concatenate(x) for x in (counts, first, last, hashes))
         self.ends = np.cumsum(self.n)
         self.starts = self.ends - self.n
 
+    def digests(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """A cryptographic digest, as two numbers, of the ``length`` words from each position."""
+        view = memoryview(self.data)
+        spans = zip(self.first[at].tolist(), self.last[at + length - 1].tolist(), strict=True)
+        found = np.frombuffer(b"".join([blake2b(view[a:b], digest_size=16).digest() for a, b in spans]), "<u8").reshape(-1, 2)
+        return found[:, 0].copy(), found[:, 1].copy()
+
     def windows(self, length: int, least: int) -> np.ndarray:
         """Positions where a window of ``length`` words starts, in documents of ``least`` or more."""
         room = np.where(self.n >= least, np.maximum(self.n - length + 1, 0), 0)
@@ -194,7 +199,7 @@ class SubstringRepeats:
         at = own.windows(self.anchor, self.words)
         if not len(at):
             return
-        h = _window(own.hashes[0], _STEP[0], self.anchor)[at]
+        h = _window(own.hashes, _STEP, self.anchor)[at]
         inside = at - np.repeat(own.starts, own.n)[at]
         is_anchor = inside % self.anchor == 0
         bucket = (h >> np.uint64(32)) % np.uint64(self.buckets)
@@ -217,8 +222,7 @@ class SubstringRepeats:
         at = at[seen[at + self.words - self.anchor + 1] > seen[at]]
         if not len(at):
             return
-        h = _window(own.hashes[0], _STEP[0], self.words)[at]
-        tail = (_window(own.hashes[1], _STEP[1], self.words)[at] >> np.uint64(32)).astype("<u4")
+        h, tail = own.digests(at, self.words)
         bucket = (h >> np.uint64(32)) % np.uint64(self.buckets)
         order = np.argsort(bucket.astype(np.int32), kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
@@ -275,7 +279,7 @@ class SubstringRepeats:
             own_row = rows[rows["kind"] == "texts"].iloc[0]
             own = _Words(_texts(own_row["payload"])[1])
             for b, _, s in self.candidates(own, self.hits(own, rows)):
-                payload = _join([_planes(s.key), zlib.compress(s.tail.tobytes(), 1), _bits(s.many)])
+                payload = _join([_planes(s.key), s.tail.tobytes(), _bits(s.many)])
                 sent.append(("candidates", own_row["block"], b, payload))
         return pd.DataFrame(sent, columns=["kind", "block", "bucket", "payload"])
 
@@ -285,7 +289,7 @@ class SubstringRepeats:
         for payload in rows["payload"]:
             key, tail, flags = _cut(payload)
             keys.append(_from_planes(key, "<u8"))
-            tails.append(np.frombuffer(zlib.decompress(tail), "<u4"))
+            tails.append(np.frombuffer(tail, "<u8"))
             many.append(_from_bits(flags, len(keys[-1])))
         every = _Sent(np.concatenate(keys), np.concatenate(tails))
         several = every.many.copy()
@@ -343,7 +347,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for document, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
             ids.append(document)
-            texts.append(text)
+            texts.append(b" ".join(text.split()))
             held += len(text)
             if held >= BLOCK_BYTES:
                 yield block()
@@ -378,7 +382,7 @@ def remove_repeats(docs: DataFrame, words: int = 35, id_col: str = "doc_id", tex
 
     A null text has no words; null and repeated identifiers are kept, a row for a row, and repeated
     rows are repeats of each other; texts of any length are read whole. An empty table gives no
-    rows; other columns are not read. Windows are equal if 96 bits of hash are.
+    rows; other columns are not read. Windows are equal if 128 bits of their words' BLAKE2b are.
     """
     steps, rows = _repeats(docs, words, id_col, text_col)
     return rows.groupBy("block").applyInPandas(lambda rows: steps.cut(rows), "doc_id long, n_words long, n_removed long, kept string")

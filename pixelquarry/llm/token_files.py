@@ -33,7 +33,7 @@ REMEMBERED = 700_000
 #: Texts that are encoded together, and new words that are encoded as the lines of one text.
 TEXTS, LINES = 1024, 500
 #: Characters of a text by which rows of one identifier are dealt over partitions.
-HEAD = 256
+HEAD = 32
 _MAGIC = b"PFB1"
 _HEADER = struct.Struct("<4sQQ")
 
