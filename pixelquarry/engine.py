@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelquarry.operators import change, landcover, language, radar
+from pixelquarry.operators import answers, change, contracts, grounding, kernels, landcover, language, radar, registration
 from pixelquarry.operators.staging import staged
 
+#: Indices that a class map carries, if its bands allow them.
+INDICES = ("mndwi", "ndwi", "ndvi", "ndbi")
+
 
 class Refused(ValueError):
     """A request that the available inputs or analyses can't answer; ``code`` says why."""
@@ -21,10 +25,13 @@ class Refused(ValueError):
 
 @dataclass
 class Scene:
+    """A scene's pixels (scene_id, r, c, bands) and what is known of its grid."""
+
     pixels: DataFrame
     bands: list[str]
     modality: str = "optical"
     pixel_area: float | None = None
+    north_up: bool = True
 
 
 @dataclass
@@ -36,56 +43,187 @@ class Answer:
 
 
 class Engine:
+    """Answers a request over one scene, or over two of one grid.
+
+    Pixels may hold many scenes, by scene_id: figures then have their rows, and the text is that of
+    the first.
+    """
+
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
 
     def analyze(self, query: str, scenes: list[Scene]) -> Answer:
-        """Classify the query, reconcile it with the scenes, run the analysis, word the answer."""
-        n_sar = sum(s.modality == "sar" for s in scenes)
-        request = self.spark.createDataFrame([(1, query, len(scenes), n_sar, len(scenes) - n_sar)], "request_id long, query string, n_images int, n_sar int, n_optical int")
-        routed = language.route(language.classify(request).join(request.drop("query"), "request_id")).first()
-        trace = [f"classified: {routed['task']}", f"routed: {routed['routed']} ({routed['source']})"]
+        """Classify the query, reconcile it with the scenes, find the tool, run it, word the answer."""
+        modalities = [s.modality for s in scenes]
+        n_sar = modalities.count("sar")
+        ddl = "request_id long, query string, modalities array<string>, n_images int, n_sar int, n_optical int"
+        request = self.spark.createDataFrame([(1, query, modalities, len(scenes), n_sar, len(scenes) - n_sar)], ddl)
+        request = request.withColumns(contracts.input_mode(F.col("modalities"), F.lit(True)))
+        routed = language.route(language.classify(request).join(request.drop("query"), "request_id"))
+        tools = contracts.dispatch(routed.select("request_id", F.col("routed").alias("task"), "mode", "modalities"), ("scene-model",))
+        found = routed.join(tools.withColumnRenamed("error", "refusal"), "request_id").first()
+        if found["error"]:
+            raise Refused(found["error"].upper())
+        if found["routed"] == "unknown":
+            raise Refused("UNRESOLVED_REQUEST")
+        if found["tool"] is None:
+            raise Refused(found["refusal"].upper())
+        trace = [f"classified: {found['task']}", f"routed: {found['routed']} ({found['source']})", f"mode: {found['mode']}", f"tool: {found['tool']}"]
         runs = {
-            "land_cover_analysis": self._land_cover, "captioning": self._land_cover, "vqa": self._land_cover, "grounding": self._land_cover,
-            "change_detection": self._change, "change_vqa": self._change, "optical_sar_analysis": self._radar,
-        }
-        if routed["routed"] not in runs:
-            raise Refused("UNSUPPORTED_TASK" if routed["routed"] != "unknown" else "UNRESOLVED_REQUEST")
-        figures, text = runs[routed["routed"]](scenes)
-        return Answer(routed["routed"], text, figures, [*trace, "answered"])
-
-    def _land_cover(self, scenes: list[Scene]) -> tuple[DataFrame, str]:
-        if len(scenes) != 1 or not {"nir", "red", "green"} <= set(scenes[0].bands):
-            raise Refused("INSUFFICIENT_BANDS" if len(scenes) == 1 else "WRONG_IMAGE_COUNT")
-        lc = landcover.classify(scenes[0].pixels, scenes[0].bands)
-        stats = staged(landcover.class_stats(lc, scenes[0].pixel_area))
-        part = F.format_string("%s %.1f%%", F.replace(F.col("class"), F.lit("_"), F.lit(" ")), F.col("fraction") * 100)
-        parts = stats.select(F.struct(-F.col("fraction"), part.alias("t")).alias("x")).agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]).alias("l"))
-        return stats, "Land cover: " + parts.select(language.humanise(F.col("l")).alias("t")).first()["t"] + "."
-
-    def _change(self, scenes: list[Scene]) -> tuple[DataFrame, str]:
-        if len(scenes) != 2:
-            raise Refused("WRONG_IMAGE_COUNT")
-        sides = [landcover.classify(s.pixels, s.bands) for s in scenes]
-        found = staged(change.detect(change.co_grid(*sides, [*change.FEATURES, "class_code", "valid"])))
-        share = found.agg((F.count_if("changed") / F.count_if("valid") * 100).alias("p")).first()["p"] or 0.0
-        return change.transitions(found, scenes[0].pixel_area), f"{share:.1f}% of the jointly valid area changed."
-
-    def _radar(self, scenes: list[Scene]) -> tuple[DataFrame, str]:
-        sar = [s for s in scenes if s.modality == "sar"]
-        if len(sar) != 1:
-            raise Refused("WRONG_MODALITY")
-        db = staged(radar.despeckle(sar[0].pixels, "vv"))
+            "landcover": self._land_cover,
+            "captioning": self._caption,
+            "vqa": self._question,
+            "grounding": self._ground,
+            "change": self._change,
+            "change-vqa": self._change_question,
+            "sar": self._radar,
+            "fusion": self._fusion,
+        }
+        figures, text = runs[found["tool"]](query, scenes)
+        return Answer(found["routed"], text, figures, [*trace, "answered"])
+
+    # Steps that several tools share.
+
+    def _optical(self, scenes: list[Scene]) -> Scene:
+        return next(s for s in scenes if s.modality != "sar")
+
+    def _classified(self, scene: Scene) -> DataFrame:
+        """The class map: spectral with near infrared (and edges, with short-wave infrared), else by colour."""
+        px = staged(scene.pixels)
+        if "nir" not in scene.bands:
+            if not {"red", "green", "blue"} <= set(scene.bands):
+                raise Refused("INSUFFICIENT_BANDS")
+            return staged(landcover.classify_rgb(px, pixel_area=scene.pixel_area))
+        edges = None
+        if "swir1" in scene.bands:
+            mean = reduce(lambda a, b: a + b, [F.col(b) for b in scene.bands]) / len(scene.bands)
+            px, edges = kernels.edge_density(px.withColumn("_mean", mean), "_mean", "edges").drop("_mean"), "edges"
+        return staged(landcover.classify(px, scene.bands, edges=edges, pixel_area=scene.pixel_area))
+
+    def _first(self, sentences: DataFrame, column: str) -> str:
+        return sentences.orderBy(*[c for c in ("scene_id", "request_id") if c in sentences.columns]).first()[column]
+
+    def _pair(self, scenes: list[Scene]) -> tuple[DataFrame, list[str]]:
+        """Both dates as one table; the later one is moved where that is measured to be better."""
+        bands = [b for b in scenes[0].bands if b in scenes[1].bands]
+        if not bands:
+            raise Refused("MISSING_BAND")
+        dates = [s.pixels.select("scene_id", F.lit(d).alias("date"), "r", "c", *bands) for s, d in zip(scenes, ("before", "after"), strict=True)]
+        return staged(dates[0].unionByName(dates[1])), bands
+
+    # Tools.
+
+    def _land_cover(self, query: str, scenes: list[Scene]) -> tuple[DataFrame, str]:
+        stats = staged(landcover.class_stats(self._classified(scenes[0]), scenes[0].pixel_area))
+        rows = answers.by_scene(stats).select("scene_id", answers.land_cover_sentence(F.col("classes")).alias("t"))
+        return stats, self._first(rows, "t") if stats.head(1) else answers.NOTHING
+
+    def _caption(self, query: str, scenes: list[Scene]) -> tuple[DataFrame, str]:
+        px = self._classified(scenes[0])
+        said = staged(answers.captions(landcover.class_stats(px, scenes[0].pixel_area), px.select("scene_id").distinct()))
+        return said, self._first(said, "caption")
+
+    def _asked(self, query: str, px: DataFrame) -> DataFrame:
+        """The request, once for each scene, under the scene's identifier."""
+        return px.select("scene_id").distinct().select("scene_id", F.col("scene_id").alias("request_id"), F.lit(query).alias("query"))
+
+    def _question(self, query: str, scenes: list[Scene]) -> tuple[DataFrame, str]:
+        px = self._classified(scenes[0])
+        asked = self._asked(query, px)
+        read = staged(language.vqa_intent(asked))
+        error = read.first()["error"]
+        if error:
+            raise Refused(error.upper())
+        stats = landcover.class_stats(px, scenes[0].pixel_area)
+        said = staged(answers.answer_questions(read.join(asked.drop("query"), "request_id"), stats))
+        return said, self._first(said, "answer")
+
+    def _ground(self, query: str, scenes: list[Scene]) -> tuple[DataFrame, str]:
+        scene = self._optical(scenes)
+        px = self._classified(scene)
+        known = [i for i in INDICES if i in px.columns]
+        asked = self._asked(query, px)
+        parsed = staged(language.parse_grounding(asked).join(asked.drop("query"), "request_id"))
+        area = scene.pixel_area
+        frame = px.groupBy("scene_id").agg(F.count("*").alias("frame_pixels"))
+        facts = frame.select("*", F.lit(area is not None).alias("georeferenced"), F.lit(area is not None and scene.north_up).alias("north_up"), F.lit(area).cast("double").alias("pixel_area_m2"))
+        admitted = staged(grounding.admitted(parsed, facts))
+        error = admitted.first()["error"]
+        if error:
+            raise Refused(error.upper())
+        fused = px
+        if len(scenes) == 2:
+            fused = px.drop("class_code").join(self._fused(px, scenes).select("scene_id", "r", "c", F.col("fused_code").alias("class_code")), ["scene_id", "r", "c"])
+        scores = {name: landcover.class_score(name, known) for name in landcover.CLASS_INDICES if any(i in known for i in landcover.CLASS_INDICES[name])}
+        regions, labels = grounding.class_regions(fused, scores, landcover.min_patch(px, ["scene_id"], area))
+        found = staged(grounding.judged(admitted, regions))
+        sizes = fused.groupBy("scene_id", landcover.code_name(F.col("class_code")).alias("class")).agg(F.count("*").alias("class_pixels"))
+        said = grounding.answers(admitted, found, sizes)
+        outlines = kernels.polygons(labels.join(found.where("left_out IS NULL").select("scene_id", "class", "label"), ["scene_id", "class", "label"], "left_semi"), by=["scene_id", "class"])
+        kept = found.where("left_out IS NULL").select("scene_id", "class", "label", "place", "pixel_area", "area_m2", "sector_overlap", "score", "r0", "c0", "r1", "c1")
+        return kept.join(outlines, ["scene_id", "class", "label"], "left"), self._first(said, "answer")
+
+    def _detected(self, scenes: list[Scene]) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The pair by place, its change, and its transitions judged by the measured registration."""
+        pair, bands = self._pair(scenes)
+        area = scenes[0].pixel_area
+        measured = staged(registration.coregister(pair, bands))
+        pair = registration.moved(pair, bands, measured)
+        last = F.col("last")
+        gate = registration.gate(F.hypot(last["offset_x"], last["offset_y"]), last["ncc"], last["score"])
+        gates = staged(measured.select("scene_id", gate["passed"].alias("passed"), gate["reasons"].alias("reasons")))
+        if {"nir", "red", "green"} <= set(bands):
+            features = tuple(f for f in change.FEATURES if f == "ndvi" or "swir1" in bands) + (() if "swir1" in bands else ("ndwi",))
+            both = staged(change.co_grid(landcover.classify(pair, bands, ["scene_id", "date"], pixel_area=area), [*features, "class_code", "valid"]))
+        else:
+            if not {"red", "green", "blue"} <= set(bands):
+                raise Refused("INSUFFICIENT_BANDS")
+            features = tuple(bands)
+            coded = landcover.classify_rgb(pair, ["scene_id", "date"], area)
+            both = staged(change.co_grid(coded, [*features, "class_code", "valid"]))
+        found = staged(change.detect(both, features, area))
+        trans = change.transitions(found, area).join(gates, "scene_id", "left")
+        return both, found, staged(change.reportable(trans, F.coalesce("passed", F.lit(False))).drop("passed", "reasons"))
+
+    def _change(self, query: str, scenes: list[Scene]) -> tuple[DataFrame, str]:
+        return self._change_question("", scenes)
+
+    def _change_question(self, query: str, scenes: list[Scene]) -> tuple[DataFrame, str]:
+        both, found, trans = self._detected(scenes)
+        area = F.count_if("changed") * F.lit(scenes[0].pixel_area).cast("double")
+        totals = found.groupBy("scene_id").agg(
+            F.count_if("changed").alias("changed"), F.count_if("valid").alias("valid"), F.count_if(F.expr("spectral AND by_class")).alias("corroborated"), area.alias("changed_m2")
+        )
+        said = answers.answer_change_questions(self._asked(query, both), totals, change.class_deltas(both, scenes[0].pixel_area), trans)
+        return trans, self._first(said, "answer")
+
+    def _regimes(self, scene: Scene) -> tuple[DataFrame, DataFrame]:
+        """Scattering regimes of the first of vv, vh or another band, and their cuts."""
+        band = next((b for b in ("vv", "vh") if b in scene.bands), scene.bands[0] if scene.bands else None)
+        if band is None or scene.pixels.agg(F.count(band).alias("n")).first()["n"] < radar.LEAST_VALID:
+            raise Refused("INSUFFICIENT_DATA")
+        px = staged(radar.as_power(scene.pixels, band))
+        db = staged(radar.despeckle(px, "power"))
         cuts = staged(radar.regime_thresholds(db, "db"))
-        regimes = radar.regime_map(db, "db", cuts)
-        optical = [s for s in scenes if s.modality != "sar"]
-        if not optical:
-            stats = staged(radar.regime_stats(regimes, "db", sar[0].pixel_area))
-            return stats, f"{stats.count()} scattering regimes were separated."
-        separated = cuts.where("bright_db IS NOT NULL").count() > 0
-        fused = staged(radar.fuse(landcover.classify(optical[0].pixels, optical[0].bands), regimes, separated))
-        agreed = radar.agreement(fused).first()["agreement"] or 0.0
-        return radar.fused_stats(fused), f"The sensors agree on {agreed * 100:.1f}% of what both established."
+        return radar.regime_map(db, "db", cuts), cuts
+
+    def _radar(self, query: str, scenes: list[Scene]) -> tuple[DataFrame, str]:
+        regimes, _ = self._regimes(scenes[0])
+        stats = staged(radar.regime_stats(regimes, "db", scenes[0].pixel_area))
+        return stats, self._first(radar.sentence(stats), "answer") if stats.head(1) else radar.NOTHING
+
+    def _fused(self, classified: DataFrame, scenes: list[Scene]) -> DataFrame:
+        regimes, cuts = self._regimes(next(s for s in scenes if s.modality == "sar"))
+        decides: Column = F.col("_bright")
+        regimes = regimes.join(cuts.select("scene_id", F.col("bright_db").isNotNull().alias("_bright")), "scene_id", "left")
+        return staged(radar.fuse(classified, regimes.withColumn("_bright", F.coalesce("_bright", F.lit(False))), decides, ["_bright"]))
+
+    def _fusion(self, query: str, scenes: list[Scene]) -> tuple[DataFrame, str]:
+        optical = self._optical(scenes)
+        fused = self._fused(self._classified(optical), scenes)
+        stats = staged(radar.fused_stats(fused))
+        agreed = radar.agreement(fused).orderBy("scene_id").first()["agreement"] or 0.0
+        return stats, f"The sensors agree on {agreed * 100:.1f}% of what both established."
 
 
 __all__ = ["Answer", "Engine", "Refused", "Scene"]

@@ -49,45 +49,106 @@ def warning_value(n: Column) -> Column:
     return F.greatest(1 - 0.15 * n, F.lit(0.4))
 
 
-def factor(name: str, value: Column, weight: float, kind: str = "contributor") -> Column:
-    return F.struct(F.lit(name).alias("name"), value.cast("double").alias("value"), F.lit(weight).alias("weight"), F.lit(kind).alias("kind"))
+def factor(name: str, value: Column, weight: float, kind: str = "contributor", reason: Column | None = None) -> Column:
+    """A factor as a struct; ``reason`` says what was measured (default: name and value)."""
+    value = value.cast("double")
+    said = F.format_string(name.replace("_", " ") + " scored %.2f", F.round(value, 2)) if reason is None else reason
+    return F.struct(F.lit(name).alias("name"), value.alias("value"), F.lit(weight).alias("weight"), F.lit(kind).alias("kind"), said.alias("reason"))
 
 
 def exploded(df: DataFrame, by: list[str], factors: list[Column]) -> DataFrame:
-    """One row for each factor, in order."""
-    return df.select(*by, F.posexplode(F.array(*factors)).alias("ord", "f")).select(*by, "ord", "f.*")
+    """One row for each factor whose value is known, in order."""
+    known = F.filter(F.array(*factors), lambda f: f["value"].isNotNull())
+    return df.select(*by, F.posexplode(known).alias("ord", "f")).select(*by, "ord", "f.*")
+
+
+def shared(df: DataFrame) -> list[Column]:
+    """The factors that every analysis has: warnings, and the inputs' quality where it was assessed."""
+    found = [factor("warnings", warning_value(F.col("n_warnings")), WEIGHTS["warnings"])]
+    return found + ([factor("input_quality", F.col("quality"), WEIGHTS["quality"])] if "quality" in df.columns else [])
+
+
+def registration_score(offset: Column, ncc: Column, response: Column) -> Column:
+    """What a pair's measured offset, structure and peak are worth, 0 to 1."""
+    part = 0.5 * F.greatest(F.lit(0.0), 1 - offset / 10) + 0.35 * F.greatest(ncc, F.lit(0.0)) + 0.15 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), response))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), part))
 
 
 def for_change(df: DataFrame, by: list[str]) -> DataFrame:
-    """Factors of a change result: bimodality, corroborated, registration, threshold_quality, n_warnings."""
+    """Factors of a change result: bimodality, corroborated, registration, threshold_quality,
+    attribution (null where no conversion is named), n_warnings."""
     evidence = F.least(bimodality_signal(F.col("bimodality")), F.col("corroborated"))
-    return exploded(df, by, [
-        factor("evidence_strength", evidence, WEIGHTS["evidence"], "gate"), factor("registration", F.col("registration"), WEIGHTS["registration"], "gate"),
-        factor("threshold_quality", F.col("threshold_quality"), WEIGHTS["quality"]), factor("warnings", warning_value(F.col("n_warnings")), WEIGHTS["warnings"]),
-    ])
+    own = [
+        factor("evidence_strength", evidence, WEIGHTS["evidence"], "gate"),
+        factor("registration", F.col("registration"), WEIGHTS["registration"], "gate"),
+        factor("threshold_quality", F.col("threshold_quality"), WEIGHTS["quality"]),
+    ]
+    if "attribution" in df.columns:
+        own.append(factor("semantic_attribution", F.col("attribution"), WEIGHTS["attribution"]))
+    return exploded(df, by, own + shared(df))
 
 
 def for_landcover(df: DataFrame, by: list[str]) -> DataFrame:
     """Factors of a land-cover result: separability, n_warnings."""
-    return exploded(df, by, [factor("class_separability", F.col("separability"), WEIGHTS["evidence"], "gate"), factor("warnings", warning_value(F.col("n_warnings")), WEIGHTS["warnings"])])
+    return exploded(df, by, [factor("class_separability", F.col("separability"), WEIGHTS["evidence"], "gate"), *shared(df)])
 
 
 def for_sar(df: DataFrame, by: list[str]) -> DataFrame:
     """Factors of a radar result: prominence (null: nothing separated), speckle_reduction, n_warnings."""
     separation = F.coalesce(F.least(F.col("prominence") / 0.5, F.lit(1.0)), F.lit(0.6))
-    return exploded(df, by, [
-        factor("regime_separation", separation, WEIGHTS["evidence"]), factor("speckle_reduction", F.least(F.col("speckle_reduction") / 2, F.lit(1.0)), WEIGHTS["registration"]),
-        factor("warnings", warning_value(F.col("n_warnings")), WEIGHTS["warnings"]),
-    ])
+    speckle = F.least(F.col("speckle_reduction") / 2, F.lit(1.0))
+    return exploded(df, by, [factor("regime_separation", separation, WEIGHTS["evidence"]), factor("speckle_reduction", speckle, WEIGHTS["registration"]), *shared(df)])
 
 
 def for_fusion(df: DataFrame, by: list[str]) -> DataFrame:
     """Factors of a fused result: corroborated, agreement, registration, n_warnings."""
-    return exploded(df, by, [
-        factor("corroboration", F.col("corroborated"), WEIGHTS["evidence"], "gate"), factor("sensor_agreement", F.col("agreement"), WEIGHTS["quality"]),
-        factor("registration", F.col("registration"), WEIGHTS["registration"]), factor("warnings", warning_value(F.col("n_warnings")), WEIGHTS["warnings"]),
-    ])
+    own = [
+        factor("corroboration", F.col("corroborated"), WEIGHTS["evidence"], "gate"),
+        factor("sensor_agreement", F.col("agreement"), WEIGHTS["quality"]),
+        factor("registration", F.col("registration"), WEIGHTS["registration"]),
+    ]
+    return exploded(df, by, own + shared(df))
+
+
+def for_grounding(df: DataFrame, by: list[str]) -> DataFrame:
+    """Factors of a grounding: separability, count_reportable, n_warnings. A count that is withheld
+    is a reason without weight: the extent is as sure as ever."""
+    own = [factor("class_separability", F.col("separability"), WEIGHTS["evidence"], "gate"), *shared(df)]
+    withheld = factor("count_reportable", F.when(~F.col("count_reportable"), 1.0), 0.0, reason=F.lit("the number of regions is withheld"))
+    return exploded(df, by, [own[0], own[1], withheld, *own[2:]])
+
+
+def for_scene(df: DataFrame, by: list[str]) -> DataFrame:
+    """Factors of a learned scene class: probability, margin, test_accuracy and separability (null:
+    not measured), n_warnings."""
+    own = [factor("model_probability", F.col("probability"), WEIGHTS["evidence"], "gate"), factor("model_margin", F.col("margin"), WEIGHTS["attribution"])]
+    rest = [factor("model_test_accuracy", F.col("test_accuracy"), WEIGHTS["attribution"]), factor("class_separability", F.col("separability"), WEIGHTS["registration"])]
+    return exploded(df, by, own + shared(df)[:1] + rest + shared(df)[1:])
+
+
+def reasons(factors: DataFrame, by: list[str]) -> DataFrame:
+    """by, reasons: what the factors say, weakest first, ties in their order."""
+    value = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value")))
+    rows = factors.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(value.alias("v"), "ord", "reason"))).alias("l"))
+    return rows.select(*by, F.transform("l", lambda x: x["reason"]).alias("reasons"))
+
+
+def evidence(lines: DataFrame, factors: DataFrame, by: list[str]) -> DataFrame:
+    """by, ord, type, source, value, description: an analysis's lines (by, tool, lines) as
+    observations, then its factors as measurements, or as quality where they gate."""
+    said = lines.select(*by, "tool", F.posexplode("lines").alias("ord", "description"))
+    observed = said.select(*by, "ord", F.lit("observation").alias("type"), F.col("tool").alias("source"), F.lit(None).cast("double").alias("value"), "description")
+    known = factors.join(lines.select(*by, "tool", F.size("lines").alias("n")), by)
+    kind = F.when(F.col("kind") == "gate", "quality").otherwise("measurement")
+    value = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value")))
+    measured = known.select(*by, (F.col("n") + F.col("ord")).alias("ord"), kind.alias("type"), F.concat_ws(":", "tool", "name").alias("source"), value.alias("value"), F.col("reason").alias("description"))
+    return observed.unionByName(measured)
 
 
 def status(insufficient: Column, n_warnings: Column) -> Column:
     return F.when(insufficient | (n_warnings > 0), "partial").otherwise("success")
+
+
+def distinct_in_order(*lists: Column) -> Column:
+    """Warnings of several steps, each once, where it came first."""
+    return F.array_distinct(F.flatten(F.array(*[F.coalesce(x, F.array().cast("array<string>")) for x in lists])))

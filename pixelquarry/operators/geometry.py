@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 IDENTITY = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)
 #: WGS84 ellipsoid and the transverse Mercator scale (fixed values).
 SEMI_MAJOR, FLATTENING, SCALE = 6378137.0, 1 / 298.257223563, 0.9996
+MEAN_RADIUS = 6371008.8
 MIN_OVERLAP, FULL_OVERLAP = 0.30, 0.98
 
 
@@ -73,6 +74,21 @@ def pair_strategy(both_georeferenced: Column, share: Column, same_crs: Column, s
     return out.when(~same_crs, "reproject").when(same_grid, "identical_grid").otherwise("resample")
 
 
+def pair_warning(both_georeferenced: Column, share: Column) -> Column:
+    """What a pair that can be compared is to be warned of."""
+    out = F.when(~both_georeferenced, "not_georeferenced")
+    return out.when((share >= MIN_OVERLAP) & (share < FULL_OVERLAP), "partial_overlap")
+
+
+def ring_area(ring: Column) -> Column:
+    """Square metres of a ring of (lon, lat) in degrees on the sphere of the earth's mean radius; the
+    ring's order and closing don't matter, and rings stay on one side of the date line."""
+    following = F.concat(F.slice(ring, F.lit(2), F.size(ring)), F.slice(ring, 1, 1))
+    step = lambda a, b: F.radians(b["lon"] - a["lon"]) * (2 + F.sin(F.radians(a["lat"])) + F.sin(F.radians(b["lat"])))
+    total = F.aggregate(F.zip_with(ring, following, step), F.lit(0.0), lambda s, x: s + x)
+    return F.abs(total) * MEAN_RADIUS**2 / 2
+
+
 def overlapping(scenes: DataFrame, cell: float) -> DataFrame:
     """left, right, overlap of scenes (scene_id, minx, miny, maxx, maxy) that share ground.
 

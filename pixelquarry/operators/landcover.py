@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelquarry.functions import spectral
+from pixelquarry.functions.spectral import REFERENCE_CUTS as REFERENCE
+from pixelquarry.operators.neighbourhood import clean_masks
 from pixelquarry.operators.staging import staged
-from pixelquarry.operators.thresholds import adaptive_threshold, stretch
+from pixelquarry.operators.thresholds import Cut, adaptive_thresholds, separability, stretch
 
 #: class -> code (fixed values).
 CLASSES = {"unclassified": 0, "water": 1, "vegetation": 2, "built_up": 3, "bare_soil": 4}
@@ -32,56 +34,102 @@ def with_indices(px: DataFrame, names: list[str]) -> DataFrame:
     return px.withColumns({n: spectral.INDEX_EXPRESSIONS[n]() for n in names})
 
 
-def _with_cut(px: DataFrame, index: str, rows: Column, fallback: float, region: bool, out: str, by: list[str]) -> DataFrame:
-    """``px`` with the index's threshold for its group; a table of one row a group is joined."""
-    found = adaptive_threshold(px.where(rows), index, by, fallback, region)
-    cuts = staged(found.select(*by, F.col("threshold").alias(out), F.col("method").alias(out + "_method")))
-    return px.join(cuts, by, "left").withColumns({out: F.coalesce(out, F.lit(fallback)), out + "_method": F.coalesce(out + "_method", F.lit("literature"))})
+#: The least built-up or water patch, in square metres, and in pixels where these have no area.
+MIN_PATCH_M2, MIN_PATCH_PIXELS = 2500.0, 25
 
 
-def classify(px: DataFrame, bands: list[str], by: list[str] = ["scene_id"], edges: str | None = None) -> DataFrame:
+def with_cuts(px: DataFrame, cuts: list[Cut], by: list[str]) -> DataFrame:
+    """``px`` with the thresholds of its group; their table, a row a group, is written first."""
+    return px.join(staged(adaptive_thresholds(px, cuts, by)), by, "left")
+
+
+def min_patch(px: DataFrame, by: list[str], pixel_area: float | None) -> int:
+    """Pixels of the least patch, where all pixels have one area or none."""
+    return MIN_PATCH_PIXELS if pixel_area is None else max(1, round(MIN_PATCH_M2 / pixel_area))
+
+
+def classify(
+    px: DataFrame, bands: list[str], by: list[str] = ["scene_id"], edges: str | None = None, pixel_area: float | None = 100.0
+) -> DataFrame:
     """``px`` with class_code, evidence and valid, by the spectral cascade.
 
     Water is where the water index is over its cut; of the rest vegetation is where ndvi is; of the
     rest built-up is where ndbi is over a cut taken from that remainder, and, if ``edges`` names an
-    edge-density column, that is as well; what is left of the valid pixels is bare soil. Evidence is
-    the deciding index. Null bands give class 0. Built-up patches are cleaned by the caller.
+    edge-density column, that is as well; built-up patches are opened, closed and freed of small ones.
+    What is left of the valid pixels is bare soil. Evidence is the deciding index. Null bands give
+    class 0, but for pixels that closing gives to a built-up patch; water and plants give way to it too.
     """
     water = "mndwi" if "swir1" in bands else "ndwi"
-    px = with_indices(px, [water, "ndvi", *["ndbi"] * ("swir1" in bands)]).withColumn("valid", valid(bands))
-    px = staged(px)
-    px = _with_cut(px, water, F.lit(True), spectral.REFERENCE_CUTS[water], False, "water_cut", by)
-    px = _with_cut(px, "ndvi", F.lit(True), spectral.REFERENCE_CUTS["ndvi"], False, "vegetation_cut", by)
+    px = staged(with_indices(px, [water, "ndvi", *["ndbi"] * ("swir1" in bands)]).withColumn("valid", valid(bands)))
+    px = with_cuts(px, [Cut("water_cut", F.col(water), REFERENCE[water]), Cut("vegetation_cut", F.col("ndvi"), REFERENCE["ndvi"])], by)
     is_water = F.coalesce(F.col(water) > F.col("water_cut"), F.lit(False))
     is_plant = F.coalesce(F.col("ndvi") > F.col("vegetation_cut"), F.lit(False)) & ~is_water
     is_built, built_evidence = F.lit(False), F.lit(0.0)
     if "swir1" in bands:
         rest = F.col("valid") & ~is_water & ~is_plant & F.col("ndbi").isNotNull()
-        px = _with_cut(px, "ndbi", rest, spectral.REFERENCE_CUTS["ndbi"], True, "built_cut", by)
-        is_built = F.coalesce(rest & (F.col("ndbi") > F.col("built_cut")), F.lit(False))
+        cuts = [Cut("built_cut", F.when(rest, F.col("ndbi")), REFERENCE["ndbi"], region=True)]
+        cuts += [Cut("edge_cut", F.when(rest, F.col(edges)), REFERENCE["edges"], region=True)] if edges else []
+        px = with_cuts(px, cuts, by)
+        raw = rest & (F.col("ndbi") > F.col("built_cut"))
         built_evidence = spectral.score_map(F.col("ndbi"))
         if edges:
-            px = _with_cut(px, edges, rest, spectral.REFERENCE_CUTS["edges"], True, "edge_cut", by)
-            is_built = is_built & (F.col(edges) > F.col("edge_cut"))
+            raw = raw & (F.col(edges) > F.col("edge_cut"))
             built_evidence = 0.5 * built_evidence + 0.5 * F.col(edges)
-    code = F.when(is_water, 1).when(is_plant, 2).when(is_built, 3).when(F.col("valid"), 4).otherwise(0)
-    evidence = F.when(is_water, spectral.clip(F.col(water), 0.0, 1.0)).when(is_plant, spectral.clip(F.col("ndvi"), 0.0, 1.0))
-    return px.withColumns({"class_code": code.cast("int"), "evidence": evidence.when(is_built, built_evidence).otherwise(0.0)})
+        px = clean_masks(px.withColumn("built", F.coalesce(raw, F.lit(False))), ["built"], 1, 2, min_patch(px, by, pixel_area), by)
+        is_built = F.col("built")
+    code = F.when(is_built, 3).when(is_water, 1).when(is_plant, 2).when(F.col("valid"), 4).otherwise(0)
+    evidence = F.when(is_built, built_evidence).when(is_water, spectral.clip(F.col(water), 0.0, 1.0))
+    evidence = evidence.when(is_plant, spectral.clip(F.col("ndvi"), 0.0, 1.0)).otherwise(0.0)
+    return px.withColumns({"class_code": code.cast("int"), "evidence": evidence})
+
 
+def classify_rgb(px: DataFrame, by: list[str] = ["scene_id"], pixel_area: float | None = 100.0) -> DataFrame:
+    """``px`` with class_code from red, green and blue alone; built-up is never claimed.
 
-def classify_rgb(px: DataFrame, by: list[str] = ["scene_id"]) -> DataFrame:
-    """``px`` with class_code from red, green and blue alone; built-up is never claimed."""
+    Water is dark, and bluer than red; its patches are opened, closed and freed of small ones.
+    """
     px = with_indices(px.withColumn("valid", valid(["red", "green", "blue"])), ["exg"])
-    px = px.withColumn("_mean", spectral.band_mean([F.col(c) for c in ("red", "green", "blue")]))
-    px = staged(stretch(px, "_mean", by, 0.01, 0.99, "brightness").drop("_mean"))
-    px = _with_cut(px, "brightness", F.lit(True), spectral.REFERENCE_CUTS["brightness"], False, "dark_cut", by)
-    is_water = F.coalesce(F.col("valid") & (F.col("blue") > F.col("red")) & (F.col("brightness") < F.col("dark_cut")), F.lit(False))
-    px = _with_cut(px, "exg", F.col("valid") & ~is_water, spectral.REFERENCE_CUTS["exg"], True, "green_cut", by)
+    for band in ("red", "green", "blue"):
+        px = stretch(px, band, by, 0.01, 0.99, band + "_1")
+    bright = (F.coalesce("red_1", F.lit(0.0)) + F.coalesce("green_1", F.lit(0.0)) + F.coalesce("blue_1", F.lit(0.0))) / 3
+    px = staged(px.withColumn("brightness", F.when(F.col("valid"), bright)).drop("red_1", "green_1", "blue_1"))
+    px = with_cuts(px, [Cut("dark_cut", F.col("brightness"), REFERENCE["brightness"])], by)
+    raw = F.coalesce(F.col("valid") & (F.col("blue") > F.col("red")) & (F.col("brightness") < F.col("dark_cut")), F.lit(False))
+    px = clean_masks(px.withColumn("water", raw), ["water"], 1, 2, min_patch(px, by, pixel_area), by)
+    px = staged(px)
+    is_water = F.col("water")
+    px = with_cuts(px, [Cut("green_cut", F.when(F.col("valid") & ~is_water, F.col("exg")), REFERENCE["exg"], region=True)], by)
     is_plant = F.coalesce(F.col("exg") > F.col("green_cut"), F.lit(False)) & F.col("valid") & ~is_water
     code = F.when(is_water, 1).when(is_plant, 2).when(F.col("valid"), 4).otherwise(0)
     return px.withColumn("class_code", code.cast("int"))
 
 
+#: class -> its indices, the first that a scene has; bare soil, the remainder, has none (fixed values).
+CLASS_INDICES = {"water": ("mndwi", "ndwi"), "vegetation": ("ndvi",), "built_up": ("ndbi",)}
+
+
+def class_score(name: str, available: list[str]) -> Column:
+    """How strongly a pixel speaks for a class, 0 to 1: null where no index does."""
+    found = [F.col(i) for i in CLASS_INDICES.get(name, ()) if i in available]
+    return spectral.score_map(F.coalesce(*found)) if found else F.lit(None).cast("double")
+
+
+def mean_separability(classified: DataFrame, available: list[str], by: list[str] = ["scene_id"]) -> DataFrame:
+    """by, separability: the mean over water, vegetation and built-up where they occur, else 0.
+
+    Water is judged on ndwi, and on mndwi only where ndwi is missing.
+    """
+    water = next(i for i in ("ndwi", "mndwi") if i in available)
+    rows, codes = None, {water: 1, "ndvi": 2, "ndbi": 3}
+    for index, code in codes.items():
+        if index in available:
+            own = separability(classified, index, F.col("class_code") == code, by)
+            occurs = classified.groupBy(*by).agg(F.count_if(F.col("class_code") == code).alias("n")).where("n > 0").select(*by)
+            rows = own.join(occurs, by) if rows is None else rows.unionByName(own.join(occurs, by))
+    found = rows.groupBy(*by).agg(F.avg("separability").alias("separability"))
+    return classified.select(*by).distinct().join(found, by, "left").select(*by, F.coalesce("separability", F.lit(0.0)).alias("separability"))
+
+
 def class_stats(classified: DataFrame, pixel_area: float | None, by: list[str] = ["scene_id"]) -> DataFrame:
     """by, class, pixel_count, fraction (of valid pixels), area_m2, mean_evidence, largest first."""
     totals = classified.groupBy(*by).agg(F.count_if("valid").alias("total"))

@@ -1,16 +1,18 @@
 """Plain-language requests: normalising, phrase matching, task choice, routing and parsing.
 
-A request's word n-grams are joined with one lexicon table on the phrase, so the work grows with the
-words of the requests and not with requests times phrases. The lexicon is a parameter of the code.
+For the choice of a task a request's word n-grams are joined with one lexicon table on the phrase, so
+the work grows with the words of the requests and not with requests times phrases. Parsing takes the
+first phrase of a kind, one expression each, within the request's row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelquarry.functions import lexicon
-from pixelquarry.operators.staging import staged
 
 #: Words of the longest phrase.
 LONGEST = 5
@@ -88,11 +90,32 @@ def route(classified: DataFrame) -> DataFrame:
     return classified.withColumns({"routed": routed, "source": source})
 
 
-def first_phrase(hits: DataFrame, kind: str, out: str) -> DataFrame:
-    """request_id and the earliest phrase of a kind, the longest at one place, with its name."""
-    rows = hits.where(F.col("kind") == kind)
-    order = F.struct("at", -F.length("phrase"))
-    return rows.groupBy("request_id").agg(F.min_by(F.struct("phrase", "name"), order).alias(out))
+def any_of(phrases: Iterable[str]) -> str:
+    """An expression for whole-word phrases; at one place the longest counts."""
+    return r"\b(" + "|".join(sorted(phrases, key=lambda p: (-len(p), p))) + r")\b"
+
+
+def first_phrase(text: Column, phrases: Iterable[str]) -> Column:
+    """The earliest of ``phrases`` in normalised text, the longest at one place; null if none is."""
+    return F.nullif(F.regexp_extract(text, any_of(phrases), 1), F.lit(""))
+
+
+def _named(phrase: Column, table: dict[str, tuple[str, ...]]) -> Column:
+    """The name that a phrase stands for."""
+    return F.coalesce(*[F.when(phrase.isin(*phrases), name) for name, phrases in table.items()])
+
+
+def _all_phrases(table: dict[str, tuple[str, ...]]) -> list[str]:
+    return [p for phrases in table.values() for p in phrases]
+
+
+def target_phrases(text: Column) -> Column:
+    """All target phrases of a text in order, none of them inside a longer one.
+
+    No two target phrases overlap but for one inside the other, so that taking the longest at each
+    place gives the same as leaving out nested ones.
+    """
+    return F.regexp_extract_all(text, F.lit(any_of(_all_phrases(lexicon.TARGETS))), 1)
 
 
 def targets(hits: DataFrame) -> DataFrame:
@@ -118,17 +141,15 @@ def measurements(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit("(" + pattern + ")"), 1)
     number, unit = (lambda m: F.regexp_extract(m, pattern, 1).cast("double")), (lambda m: F.regexp_extract(m, pattern, 2))
     between = F.split(text, pattern, -1)
+    # Read backwards, the nearest phrase comes first.
+    backwards = {kind: tuple(p[::-1] for p in phrases) for kind, phrases in lexicon.COMPARATORS.items()}
+    nearest = any_of(_all_phrases(backwards))[2:-2]
 
     def governed(k: Column) -> Column:
         """The bound that stands before measurement ``k``, counted from 0."""
-        parts = [F.coalesce(F.get(x, i), F.lit("")) for x, i in ((between, k - 1), (found, k - 1), (between, k))]
-        before = F.right(F.concat(*parts), F.lit(40))
-        ends = []
-        for kind, phrases in lexicon.COMPARATORS.items():
-            for p in phrases:
-                left = F.instr(F.reverse(before), p[::-1])  # characters after the last place, plus 1
-                ends.append(F.when(left > 0, F.struct((-left).alias("end"), F.lit(len(p)).alias("n"), F.lit(kind).alias("kind"))))
-        return F.array_max(F.array_compact(F.array(*ends)))["kind"]
+        pairs = F.zip_with(F.slice(between, F.lit(1), k), F.slice(found, F.lit(1), k), lambda a, b: F.concat(a, b))
+        before = F.right(F.concat(F.array_join(pairs, ""), F.get(between, k)), F.lit(40))
+        return _named(F.regexp_extract(F.reverse(before), nearest, 1), backwards)
 
     return F.transform(found, lambda m, k: F.struct(number(m).alias("x"), unit(m).alias("u"), governed(k).alias("k")))
 
@@ -149,60 +170,82 @@ def size_bounds(sizes: Column) -> dict[str, Column]:
     return {f"{k}_area_m2": last(k, False) for k in ("min", "max")} | {f"{k}_pixels": last(k, True) for k in ("min", "max")}
 
 
-def parse_grounding(requests: DataFrame) -> DataFrame:
-    """request_id, error, target, sector, frame_relative, superlative, limit and size bounds.
+#: Words that ask for a number of regions, or for an area (fixed values).
+COUNT_PHRASES = ("how many", "number of", "count the", "count of", "how much of")
+AREA_PHRASES = ("how much", "what area", "total area", "how large", "how big")
+#: The longest request, in characters.
+LONGEST_QUERY = 1000
+
+
+def _refusal(query: Column, text: Column) -> Column:
+    """Why a request can't be read at all: empty, too long, or about what nothing here measures."""
+    error = F.when(F.coalesce(F.trim(query), F.lit("")) == "", "empty").when(F.length(query) > LONGEST_QUERY, "too_long")
+    error = error.when(first_phrase(text, lexicon.RELATIONS).isNotNull(), "spatial_relation")
+    return error.when(first_phrase(text, lexicon.UNSUPPORTED).isNotNull(), "unsupported_object")
+
 
-    Refused: an object without a detector, a spatial relation, no target, more than one class. A
-    compass word governs over a frame word; both superlatives at once cancel out.
+def parse_grounding(requests: DataFrame) -> DataFrame:
+    """request_id, error, refused, target, target_phrase, sector, sector_phrase, frame_relative,
+    superlative, limit, the size bounds, wants_count and wants_area.
+
+    Refused, in this order: an empty or too long request, a spatial relation, an object without a
+    detector (``refused`` names the phrase), no target, more than one class. The longest target
+    phrase is the target's, and is passed over where a sector is looked for; a compass word governs
+    over a frame word; both superlatives at once cancel out. Only the error is set of what is refused.
+    A row's words decide alone: there is no join.
     """
-    text = normalise(F.col("query"))
-    hits = staged(matches(requests, text, ["target", "unsupported", "relation", "compass", "frame", "superlative"]))
-    chosen = targets(hits).groupBy("request_id").agg(
-        F.countDistinct("name").alias("classes"), F.min_by("name", F.struct(-F.length("phrase"), "at")).alias("target")
-    )
-    rows = requests.select("request_id", text.alias("text"), F.col("query"))
-    rows = staged(rows.withColumn("sizes", measurements(F.col("text"))))
-    for kind in ("unsupported", "relation", "compass", "frame"):
-        rows = rows.join(first_phrase(hits, kind, kind), "request_id", "left")
-    supers = hits.where("kind = 'superlative'").groupBy("request_id").agg(F.collect_set("name").alias("supers"))
-    rows = rows.join(chosen, "request_id", "left").join(supers, "request_id", "left")
+    rows = requests.select("request_id", F.col("query"), normalise(F.coalesce("query", F.lit(""))).alias("text"))
+    rows = rows.withColumns({"phrases": target_phrases(F.col("text")), "sizes": measurements(F.col("text"))})
+    longest = F.array_max(F.transform("phrases", lambda p, k: F.struct(F.length(p).alias("n"), (-k).alias("k"), p.alias("p"))))["p"]
+    classes = F.array_distinct(F.transform("phrases", lambda p: _named(p, lexicon.TARGETS)))
+    rows = rows.withColumns({"phrase": longest, "classes": classes})
+    blank = F.coalesce(F.replace("text", F.col("phrase"), F.repeat(F.lit(" "), F.length("phrase"))), F.col("text"))
+    compass, frame = first_phrase(blank, _all_phrases(lexicon.COMPASS)), first_phrase(blank, _all_phrases(lexicon.FRAME))
+    large, small = (first_phrase(F.col("text"), words).isNotNull() for words in (lexicon.LARGEST, lexicon.SMALLEST))
+    superlative = F.when(large & ~small, "largest").when(small & ~large, "smallest")
     numbers = {w: i + 1 for i, w in enumerate(lexicon.NUMBER_WORDS)}
-    count = F.regexp_extract("text", r"\b(?:top\s+)?(\d+|" + "|".join(numbers) + r")\s+(?:" + "|".join(lexicon.LARGEST + lexicon.SMALLEST) + r")\b", 1)
-    as_number = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in numbers.items() for x in kv]), count), count.try_cast("int"))
-    one = F.size("supers") == 1
-    error = F.when(F.trim("query") == "", "empty").when(F.length("query") > 1000, "too_long").when(F.col("unsupported").isNotNull(), "unsupported_object")
-    error = error.when(F.col("relation").isNotNull(), "spatial_relation").when(F.col("classes").isNull(), "no_target").when(F.col("classes") > 1, "several_targets")
+    before = any_of([r"\d+", *numbers])[2:-2] + r"\s+" + any_of([*lexicon.LARGEST, *lexicon.SMALLEST])[2:]
+    count = F.regexp_extract("text", r"\b" + before, 1)
+    as_number = F.coalesce(*[F.when(count == w, n) for w, n in numbers.items()], count.try_cast("int"))
+    relation, unsupported = first_phrase(F.col("text"), lexicon.RELATIONS), first_phrase(F.col("text"), lexicon.UNSUPPORTED)
+    error = _refusal(F.col("query"), F.col("text")).when(F.size("classes") == 0, "no_target").when(F.size("classes") > 1, "several_targets")
+    rows = rows.withColumns({"error": error, "compass": compass, "frame": frame, "superlative": superlative})
+    ok = lambda c: F.when(F.col("error").isNull(), c)
+    said = lambda phrases: F.greatest(*[F.contains("text", F.lit(p)) for p in phrases])
     return rows.select(
         "request_id",
-        error.alias("error"),
-        "target",
-        F.coalesce("compass.name", "frame.name").alias("sector"),
-        (F.col("compass").isNull() & F.col("frame").isNotNull()).alias("frame_relative"),
-        F.when(one, F.col("supers")[0]).alias("superlative"),
-        F.when(one, F.greatest(F.lit(1), F.coalesce(as_number, F.lit(1)))).alias("limit"),
-        *[c.alias(n) for n, c in size_bounds(F.col("sizes")).items()],
+        "error",
+        F.when(F.col("error") == "spatial_relation", relation).when(F.col("error") == "unsupported_object", unsupported).alias("refused"),
+        ok(F.col("classes")[0]).alias("target"),
+        ok(F.col("phrase")).alias("target_phrase"),
+        ok(F.coalesce(_named(F.col("compass"), lexicon.COMPASS), _named(F.col("frame"), lexicon.FRAME))).alias("sector"),
+        ok(F.coalesce("compass", "frame")).alias("sector_phrase"),
+        ok(F.col("compass").isNull() & F.col("frame").isNotNull()).alias("frame_relative"),
+        ok(F.col("superlative")).alias("superlative"),
+        ok(F.when(F.col("superlative").isNotNull(), F.greatest(F.lit(1), F.coalesce(as_number, F.lit(1))))).alias("limit"),
+        *[ok(c).alias(n) for n, c in size_bounds(F.col("sizes")).items()],
+        ok(said(COUNT_PHRASES)).alias("wants_count"),
+        ok(said(AREA_PHRASES)).alias("wants_area"),
     )
 
 
 def vqa_intent(requests: DataFrame) -> DataFrame:
-    """request_id, intent, targets (classes in order of first mention)."""
-    text = normalise(F.col("query"))
-    hits = staged(matches(requests, text, ["target", "cue"]))
-    kept = targets(hits)
-    own = kept.select("request_id", F.col("at").alias("a2"), F.col("until").alias("u2"))
-    cues = hits.where("kind = 'cue'")
-    # A location word inside a target phrase names no place.
-    hidden = (cues["request_id"] == own["request_id"]) & F.expr("name = 'location' AND a2 <= at AND u2 >= until")
-    flags = cues.join(own, hidden, "left_anti").groupBy("request_id").agg(F.collect_set("name").alias("cues"))
-    first = kept.groupBy("request_id", "name").agg(F.min("at").alias("at"))
-    named = first.groupBy("request_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("targets"))
-    rows = requests.select("request_id").join(named, "request_id", "left").join(flags, "request_id", "left")
-    has = lambda c: F.coalesce(F.array_contains("cues", c), F.lit(False))
-    n = F.coalesce(F.size("targets"), F.lit(0))
-    n = F.when(F.col("targets").isNull(), 0).otherwise(n)
-    intent = F.when((n == 0) & has("composition"), "composition").when(n == 0, "refused").when(n > 1, "comparison")
-    intent = intent.when(has("count") & ~has("quantity"), "count").when(has("location"), "location").when(has("quantity") | has("composition"), "quantity")
-    return rows.select("request_id", intent.otherwise("presence").alias("intent"), F.array_join(F.coalesce("targets", F.array().cast("array<string>")), ",").alias("targets"))
+    """request_id, error, intent, targets (classes in order of first mention).
+
+    A request that is empty, too long, about a relation or an object without a detector has that
+    error and the intent ``refused``; so has one that names no class and doesn't ask for a whole
+    description. A location word inside a target phrase names no place.
+    """
+    rows = requests.select("request_id", F.col("query"), normalise(F.coalesce("query", F.lit(""))).alias("text"))
+    named = F.array_distinct(F.transform(target_phrases(F.col("text")), lambda p: _named(p, lexicon.TARGETS)))
+    rows = rows.withColumns({"targets": named, "blank": F.regexp_replace("text", any_of(_all_phrases(lexicon.TARGETS)), "  ")})
+    has = lambda cue, text="text": first_phrase(F.col(text), lexicon.CUES[cue]).isNotNull()
+    n = F.size("targets")
+    error = _refusal(F.col("query"), F.col("text")).when((n == 0) & ~has("composition"), "no_target")
+    intent = F.when(F.col("error").isNotNull(), "refused").when(n == 0, "composition").when(n > 1, "comparison")
+    intent = intent.when(has("count") & ~has("quantity"), "count").when(has("location", "blank"), "location")
+    intent = intent.when(has("quantity") | has("composition"), "quantity").otherwise("presence")
+    return rows.withColumn("error", error).select("request_id", "error", intent.alias("intent"), F.array_join("targets", ",").alias("targets"))
 
 
 def humanise(items: Column) -> Column:

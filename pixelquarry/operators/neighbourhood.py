@@ -1,14 +1,17 @@
 """Square neighbourhoods of pixels: padded windows, stencils, morphology and components.
 
 Borders are part of the meaning, so the frame is padded with rows first and two one-dimensional
-window sums follow, each sorted once by scene line. Kernels that need a whole scene at once run
+window passes follow, each sorted once by scene line. Kernels that need a whole scene at once run
 grouped by scene; a scene is bounded by the reader's edge limit.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,25 +44,27 @@ def box_mean(px: DataFrame, values: list[str], window: int, border: str = "repli
     return rows.select(scene, "r", "c", *[(F.col(v) / (window * window)).alias(v) for v in values])
 
 
-def stencil(px: DataFrame, value: str, weights: dict[tuple[int, int], float], out: str, scene: str = "scene_id") -> DataFrame:
-    """``px`` with ``out``: the weighted sum over offsets (row, column), reflecting at the border.
+def stencils(px: DataFrame, value: str, kernels: dict[str, dict[tuple[int, int], float]], by: list[str] = ["scene_id"]) -> DataFrame:
+    """``px`` with a column for each of ``kernels``: the weighted sum over offsets (row, column) of
+    -1 to 1, reflecting at the border. Null counts as zero.
 
-    Each pixel is sent to the places that use it, and the sums meet by place.
+    Two passes of windows bring each pixel its eight neighbours, for all kernels at once.
     """
-    size = px.groupBy(scene).agg((F.max("r") + 1).alias("_h"), (F.max("c") + 1).alias("_w"))
-    rows = px.select(scene, "r", "c", F.col(value).cast("double").alias("_x"))
-    offsets = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.lit(float(w)).alias("w")) for (dr, dc), w in weights.items()])
-
-    def folded(at: Column, extent: Column) -> Column:
-        return F.when(at < 0, -at).when(at >= extent, 2 * (extent - 1) - at).otherwise(at)
-
-    places = rows.select(scene, "r", "c").join(size, scene).withColumn("o", F.explode(offsets))
-    wanted = places.select(
-        scene, F.col("r").alias("_r"), F.col("c").alias("_c"), F.col("o.w").alias("w"),
-        folded(F.col("r") + F.col("o.dr"), F.col("_h")).alias("r"), folded(F.col("c") + F.col("o.dc"), F.col("_w")).alias("c"),
-    )
-    summed = wanted.join(rows, [scene, "r", "c"]).groupBy(scene, "_r", "_c").agg(F.sum(F.col("w") * F.col("_x")).alias(out))
-    return px.join(summed.select(scene, F.col("_r").alias("r"), F.col("_c").alias("c"), out), [scene, "r", "c"], "left")
+    size = px.groupBy(*by).agg((F.max("r") + 1).alias("_h"), (F.max("c") + 1).alias("_w"))
+    rows = px.withColumn("_x0", F.coalesce(F.col(value).cast("double"), F.lit(0.0))).join(size, by)
+    columns = {0: "_x0", -1: "_x1", 1: "_x2"}
+    for axis, other, extent in (("c", "r", F.col("_w")), ("r", "c", F.col("_h"))):
+        line = Window.partitionBy(*by, other).orderBy(axis)
+        rows = _padded(rows, axis, extent, 1, "reflect")
+        if axis == "c":
+            rows = rows.withColumns({columns[-1]: F.lag("_x0").over(line), columns[1]: F.lead("_x0").over(line)})
+        else:
+            near = {(dr, dc): f(x).over(line) for dr, f in ((-1, F.lag), (1, F.lead)) for dc, x in columns.items()}
+            near |= {(0, dc): F.col(x) for dc, x in columns.items()}
+            sums = {name: sum((near[o] * F.lit(float(w)) for o, w in weights.items() if w), F.lit(0.0)) for name, weights in kernels.items()}
+            rows = rows.withColumns(sums)
+        rows = rows.where((F.col(axis) >= 0) & (F.col(axis) < extent))
+    return rows.drop("_h", "_w", *columns.values())
 
 
 _SOBEL_X = {(dr, dc): float(dc * (2 - abs(dr))) for dr in (-1, 0, 1) for dc in (-1, 1)}
@@ -67,14 +72,14 @@ _SOBEL_Y = {(dr, dc): float(dr * (2 - abs(dc))) for dr in (-1, 1) for dc in (-1,
 _LAPLACE = {(0, 0): -4.0, (0, 1): 1.0, (0, -1): 1.0, (1, 0): 1.0, (-1, 0): 1.0}
 
 
-def gradient(px: DataFrame, value: str, out: str = "gradient") -> DataFrame:
+def gradient(px: DataFrame, value: str, out: str = "gradient", by: list[str] = ["scene_id"]) -> DataFrame:
     """``px`` with the magnitude of the 3 by 3 Sobel gradient."""
-    rows = stencil(stencil(px, value, _SOBEL_X, "_gx"), value, _SOBEL_Y, "_gy")
+    rows = stencils(px, value, {"_gx": _SOBEL_X, "_gy": _SOBEL_Y}, by)
     return rows.withColumn(out, F.sqrt(F.col("_gx") * F.col("_gx") + F.col("_gy") * F.col("_gy"))).drop("_gx", "_gy")
 
 
-def laplacian(px: DataFrame, value: str, out: str = "laplacian") -> DataFrame:
-    return stencil(px, value, _LAPLACE, out)
+def laplacian(px: DataFrame, value: str, out: str = "laplacian", by: list[str] = ["scene_id"]) -> DataFrame:
+    return stencils(px, value, {out: _LAPLACE}, by)
 
 
 def ellipse(radius: int) -> list[tuple[int, int]]:
@@ -121,39 +126,62 @@ def label(mask: np.ndarray) -> np.ndarray:
     return np.where(mask, number.reshape(h, w) + 1, 0)
 
 
-def _grid(rows: pd.DataFrame, column: str) -> np.ndarray:
-    out = np.zeros((int(rows["r"].max()) + 1, int(rows["c"].max()) + 1), dtype=bool)
-    out[rows["r"], rows["c"]] = rows[column].fillna(False).astype(bool)
+def plane(table: pa.Table, column: str, fill: float | bool) -> np.ndarray:
+    """One column of a scene's rows as its grid; missing places and nulls are ``fill``."""
+    r, c = (table.column(x).to_numpy() for x in ("r", "c"))
+    values = pc.fill_null(table.column(column).combine_chunks(), fill).to_numpy(zero_copy_only=False)
+    out = np.full((int(r.max()) + 1, int(c.max()) + 1), fill, dtype=bool if isinstance(fill, bool) else np.float64)
+    out[r, c] = values
     return out
 
 
-def clean_mask(px: DataFrame, mask: str, open_radius: int = 1, close_radius: int = 2, min_area: int = 0, scene: str = "scene_id") -> DataFrame:
-    """scene, r, c and ``mask`` opened, closed and freed of components below ``min_area`` pixels."""
+def per_scene(px: DataFrame, by: list[str], kernel: Callable[[pa.Table], dict[str, np.ndarray]], schema: dict[str, str]) -> DataFrame:
+    """``px`` with the columns of ``schema`` (name: type): grids that ``kernel`` makes of a scene.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        grid = _grid(rows, mask)
-        if open_radius:
-            grid = dilate(erode(grid, ellipse(open_radius)), ellipse(open_radius))
-        if close_radius:
-            grid = erode(dilate(grid, ellipse(close_radius)), ellipse(close_radius))
-        if min_area > 1:
-            numbers = label(grid)
-            grid &= np.bincount(numbers.reshape(-1))[numbers] >= min_area
-        return rows[[scene, "r", "c"]].assign(**{mask: grid[rows["r"], rows["c"]]})
+    A scene, bounded by the reader's edge limit, is one group; its other columns pass through as
+    they are.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in px.schema} | schema
+    ddl = ", ".join(f"`{name}` {kind}" for name, kind in kinds.items())
 
-    schema = f"{scene} int, r int, c int, {mask} boolean"
-    return px.select(scene, "r", "c", mask).groupBy(scene).applyInPandas(run, schema)
+    def run(table: pa.Table) -> pa.Table:
+        r, c = (table.column(x).to_numpy() for x in ("r", "c"))
+        for name, grid in kernel(table).items():
+            column = pa.array(grid[r, c])
+            at = table.schema.get_field_index(name)
+            table = table.append_column(name, column) if at < 0 else table.set_column(at, name, column)
+        return table.select(list(kinds))
 
+    return px.groupBy(*by).applyInArrow(run, ddl)
 
-def components(px: DataFrame, mask: str, scene: str = "scene_id") -> DataFrame:
-    """scene, r, c, label of the pixels in ``mask``: 8-connected components of each scene."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        numbers = label(_grid(rows, mask))
-        out = rows[[scene, "r", "c"]].assign(label=numbers[rows["r"], rows["c"]].astype("int32"))
-        return out[out["label"] > 0]
+def clean_grid(grid: np.ndarray, open_radius: int, close_radius: int, min_area: int) -> np.ndarray:
+    if open_radius:
+        grid = dilate(erode(grid, ellipse(open_radius)), ellipse(open_radius))
+    if close_radius:
+        grid = erode(dilate(grid, ellipse(close_radius)), ellipse(close_radius))
+    if min_area > 1:
+        numbers = label(grid)
+        grid = grid & (np.bincount(numbers.reshape(-1))[numbers] >= min_area)
+    return grid
 
-    return px.select(scene, "r", "c", mask).groupBy(scene).applyInPandas(run, f"{scene} int, r int, c int, label int")
+
+def clean_masks(
+    px: DataFrame, masks: list[str], open_radius: int = 1, close_radius: int = 2, min_area: int = 0, by: list[str] = ["scene_id"]
+) -> DataFrame:
+    """``px`` with its ``masks`` opened, closed and freed of components below ``min_area`` pixels.
+
+    Null counts as outside; places outside the frame neither grow nor erode a mask.
+    """
+    clean = lambda t: {m: clean_grid(plane(t, m, False), open_radius, close_radius, min_area) for m in masks}
+    return per_scene(px, by, clean, dict.fromkeys(masks, "boolean"))
+
+
+def components(px: DataFrame, mask: str, scene: str = "scene_id") -> DataFrame:
+    """scene, r, c, label of the pixels in ``mask``: 8-connected components of each scene, numbered
+    from 1 by their first pixel."""
+    numbered = per_scene(px.select(scene, "r", "c", mask), [scene], lambda t: {"label": label(plane(t, mask, False)).astype(np.int32)}, {"label": "int"})
+    return numbered.where("label > 0").drop(mask)
 
 
 def regions(px: DataFrame, labels: DataFrame, score: str, pixel_area: float | None, min_pixels: int = 1, most: int = 200, scene: str = "scene_id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelquarry.functions.spectral import to_db, to_linear
@@ -88,12 +88,17 @@ def regime_thresholds(px: DataFrame, db: str) -> DataFrame:
     )
 
 
-def regime_map(px: DataFrame, db: str, cuts: DataFrame) -> DataFrame:
+def coded(px: DataFrame, db: str, smooth: Column, bright: Column) -> DataFrame:
     """``px`` with regime_code; what lies between the cuts is one diffuse class."""
-    rows = px.join(cuts.select(*BY, "smooth_db", "bright_db"), BY, "left")
     x = F.col(db)
-    code = F.when(x.isNull(), 0).when(x > F.col("bright_db"), 3).when(x < F.col("smooth_db"), 1).otherwise(2)
-    return rows.withColumn("regime_code", code.cast("int"))
+    code = F.when(x.isNull(), 0).when(x > bright, 3).when(x < smooth, 1).otherwise(2)
+    return px.withColumn("regime_code", code.cast("int"))
+
+
+def regime_map(px: DataFrame, db: str, cuts: DataFrame) -> DataFrame:
+    """``px`` with the regime_code that its scene's ``cuts`` give."""
+    rows = px.join(cuts.select(*BY, "smooth_db", "bright_db"), BY, "left")
+    return coded(rows, db, F.col("smooth_db"), F.col("bright_db"))
 
 
 def regime_stats(regimes: DataFrame, db: str, pixel_area: float | None) -> DataFrame:
@@ -106,30 +111,31 @@ def regime_stats(regimes: DataFrame, db: str, pixel_area: float | None) -> DataF
     )
 
 
-def fuse(optical: DataFrame, radar: DataFrame, sar_decides_built_up: bool) -> DataFrame:
+def fuse(optical: DataFrame, radar: DataFrame, sar_decides_built_up: Column, carry: list[str] = []) -> DataFrame:
     """scene_id, r, c, class_code, regime_code, evidence_code, fused_code, arbiter.
 
     Consistent readings keep the optical class. Of those that disagree, a double bounce makes
     built-up land; an optical built-up without one becomes bare soil if radar did separate bright
     returns, else it stands unresolved; any other optical class stands. Radar alone names a class
-    only if one land cover fits its regime.
+    only if one land cover fits its regime. ``sar_decides_built_up`` is an expression over scene_id and
+    the columns of ``radar`` that ``carry`` names.
     """
-    rows = optical.select(*BY, "r", "c", "class_code").join(radar.select(*BY, "r", "c", "regime_code"), [*BY, "r", "c"])
+    rows = optical.select(*BY, "r", "c", "class_code").join(radar.select(*BY, "r", "c", "regime_code", *carry), [*BY, "r", "c"])
     cls, regime = F.col("class_code"), F.col("regime_code")
     fits = F.lit(False)
     for code, classes in CONSISTENT.items():
         fits = fits | ((regime == code) & cls.isin(*classes))
     known, heard = cls > 0, regime > 0
     evidence = F.when(known & heard & fits, 1).when(known & heard, 2).when(known, 3).when(heard, 4).otherwise(0)
-    rows = rows.withColumn("evidence_code", evidence.cast("int"))
+    rows = rows.withColumns({"evidence_code": evidence.cast("int"), "_decides": sar_decides_built_up})
     conflict = F.col("evidence_code") == 2
     only = {code: classes[0] for code, classes in CONSISTENT.items() if len(classes) == 1}
     alone = F.lit(0)
     for code, name in only.items():
         alone = F.when(regime == code, name).otherwise(alone)
-    arbiter = F.when(~conflict, F.lit(None)).when(regime == 3, "sar").when((cls == 3) & F.lit(sar_decides_built_up), "sar").when(cls == 3, "none").otherwise("optical")
-    fused = F.when(conflict & (regime == 3), 3).when(conflict & (cls == 3) & F.lit(sar_decides_built_up), 4).when(F.col("evidence_code") == 4, alone).otherwise(cls)
-    return rows.withColumns({"fused_code": fused.cast("int"), "arbiter": arbiter})
+    arbiter = F.when(~conflict, F.lit(None)).when(regime == 3, "sar").when((cls == 3) & F.col("_decides"), "sar").when(cls == 3, "none").otherwise("optical")
+    fused = F.when(conflict & (regime == 3), 3).when(conflict & (cls == 3) & F.col("_decides"), 4).when(F.col("evidence_code") == 4, alone).otherwise(cls)
+    return rows.withColumns({"fused_code": fused.cast("int"), "arbiter": arbiter}).drop("_decides", *carry)
 
 
 def fused_stats(fused: DataFrame) -> DataFrame:
@@ -166,5 +172,30 @@ def agreement(fused: DataFrame) -> DataFrame:
     return fused.groupBy(*BY).agg(F.try_divide(both, F.count_if(F.expr("evidence_code IN (1, 2)"))).alias("agreement"))
 
 
-def linear(px: DataFrame, db: str, out: str) -> DataFrame:
-    return px.withColumn(out, to_linear(F.col(db)))
+def as_power(px: DataFrame, band: str) -> DataFrame:
+    """``px`` with power: the band in linear units, whether it holds decibels or not."""
+    found = looks_like_db(px, band)
+    return px.join(found, BY).withColumn("power", F.when(F.col("is_db"), to_linear(F.col(band))).otherwise(F.col(band))).drop("is_db")
+
+
+def speckle_report(px: DataFrame, power: str, window: int = WINDOW) -> DataFrame:
+    """scene_id, enl, cv_before, cv_after and reduction (their ratio) of the speckle filter."""
+    stats = staged(local_statistics(px, power, window))
+    before = staged(looks(stats, window))
+    after = looks(local_statistics(lee(stats, before), "filtered", window), window)
+    rows = before.withColumnRenamed("cv", "cv_before").join(after.select(*BY, F.col("cv").alias("cv_after")), BY)
+    return rows.select(*BY, "enl", "cv_before", "cv_after", F.try_divide("cv_before", "cv_after").alias("reduction"))
+
+
+#: Fewer valid pixels than this are no radar scene.
+LEAST_VALID = 64
+NOTHING = "No scattering regimes could be measured from this radar image."
+
+
+def sentence(stats: DataFrame) -> DataFrame:
+    """scene_id, answer: the largest regime of a scene and which regimes were separated."""
+    row = F.struct((-F.col("pixel_count")).alias("o"), "regime", "fraction", "mean_db")
+    rows = stats.groupBy(*BY).agg(F.sort_array(F.collect_list(row)).alias("l"))
+    top, named = F.col("l")[0], lambda x: F.replace(x, F.lit("_"), F.lit("-"))
+    lead = F.format_string("The radar backscatter is predominantly %s scattering (%d%% of valid pixels, mean %.1f dB). Regimes found: ", named(top["regime"]), F.round(top["fraction"] * 100).cast("long"), F.round(top["mean_db"], 1))
+    return rows.select(*BY, F.concat(lead, F.array_join(F.transform("l", lambda x: named(x["regime"])), ", "), F.lit(".")).alias("answer"))

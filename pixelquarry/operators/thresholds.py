@@ -7,6 +7,8 @@ values themselves are read once for the bounds and once for the bins, both with
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,19 +122,24 @@ def mode_prominence(df: DataFrame, value: str, cuts: DataFrame, by: list[str], c
     return counts.join(found, by, "left").select(*by, F.coalesce(depth, F.lit(0.0)).alias("prominence"))
 
 
+def _sarle() -> Column:
+    """Sarle's coefficient from the columns valid, sd, skew and kurt."""
+    n = F.col("valid").cast("double")
+    small = F.try_divide(3 * F.pow(n - 1, F.lit(2.0)), (n - 2) * (n - 3))
+    ratio = F.try_divide(F.pow("skew", F.lit(2.0)) + 1, F.col("kurt") + small)
+    judged = F.when((n >= 32) & (F.col("sd") >= 1e-12), F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio)))
+    return F.coalesce(judged, F.lit(0.0))
+
+
 def bimodality(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """by, bimodality: Sarle's coefficient, 0 for fewer than 32 values or none that differ."""
-    n = F.col("n").cast("double")
-    small = 3 * F.pow(n - 1, F.lit(2.0)) / ((n - 2) * (n - 3))
-    ratio = F.try_divide(F.pow("skew", F.lit(2.0)) + 1, F.col("kurt") + small)
     moments = df.where(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.count("*").alias("n"),
+        F.count("*").alias("valid"),
         F.stddev_pop(value).alias("sd"),
         F.skewness(value).alias("skew"),
         F.kurtosis(value).alias("kurt"),
     )
-    judged = F.when((n >= 32) & (F.col("sd") >= 1e-12), F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio)))
-    return moments.select(*by, F.coalesce(judged, F.lit(0.0)).alias("bimodality"))
+    return moments.select(*by, _sarle().alias("bimodality"))
 
 
 def separability(df: DataFrame, value: str, mask: Column, by: list[str]) -> DataFrame:
@@ -149,34 +156,114 @@ def separability(df: DataFrame, value: str, mask: Column, by: list[str]) -> Data
 
 
 def outlier_bound(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """by, bound: median plus three robust deviations; a strict comparison goes with it."""
+    """by, bound: median plus three robust deviations; a strict comparison goes with it.
+
+    Where the deviation is zero, the next larger number than the median.
+    """
     valid = df.where(F.col(value).isNotNull())
     middle = valid.groupBy(*by).agg(F.median(value).alias("middle"))
     off = valid.join(middle, by).groupBy(*by).agg(
         F.max("middle").alias("middle"), F.median(F.abs(F.col(value) - F.col("middle"))).alias("mad")
     )
-    return off.select(*by, (F.col("middle") + OUTLIER_SIGMAS * MAD_TO_SIGMA * F.col("mad")).alias("bound"))
+    following = F.col("middle") + F.greatest(F.abs("middle") * 1.2e-16, F.lit(5e-324))
+    bound = F.when(F.col("mad") > 0, F.col("middle") + OUTLIER_SIGMAS * MAD_TO_SIGMA * F.col("mad")).otherwise(following)
+    return off.select(*by, bound.alias("bound"))
 
 
-def adaptive_threshold(df: DataFrame, value: str, by: list[str], fallback: float, region: bool = False) -> DataFrame:
-    """by, threshold, method, quality: Otsu's cut where the histogram justifies it.
+@dataclass(frozen=True)
+class Cut:
+    """A cut that is wanted: of ``value`` (null: not in it), else ``fallback``.
+
+    For a ``region`` (values that are left of a scene) the fallback is raised to the median, but
+    stays for fewer than 16 values.
+    """
+
+    name: str
+    value: Column
+    fallback: float
+    region: bool = False
+
 
-    That takes a quality of 0.55 and a bimodality of 5/9. Else the fallback, method ``literature``;
-    for a ``region`` (values that are left of a scene) it is raised to the median, but stays for
-    fewer than 16 values.
+def adaptive_thresholds(df: DataFrame, cuts: list[Cut], by: list[str], bins: int = 256) -> DataFrame:
+    """by, and of each cut NAME, NAME_method and NAME_quality: Otsu's cut where the histogram
+    justifies it.
+
+    That takes a quality of 0.55 and a bimodality of 5/9; else the fallback, method ``literature``.
+    All cuts take two passes: one aggregate for counts, bounds and moments, one for the bins. Empty
+    bins are never made: a bin that has values stands for those up to the next one, which have its
+    score. Every group of ``df`` has a row.
     """
-    basis = df.groupBy(*by).agg(F.count(value).alias("valid"), F.median(value).alias("middle"))
-    rows = basis.join(otsu(df, value, by), by, "left").join(bimodality(df, value, by), by, "left")
-    good = F.coalesce((F.col("quality") >= MIN_QUALITY) & (F.col("bimodality") >= BIMODAL_FROM), F.lit(False))
-    other = F.lit(float(fallback))
-    if region:
-        other = F.when(F.col("valid") >= 16, F.greatest(other, F.col("middle"))).otherwise(other)
-    return rows.select(
-        *by,
-        F.when(good, F.col("threshold")).otherwise(other).alias("threshold"),
+    x = {c.name: c.value.cast("double") for c in cuts}
+    measured = {
+        c.name: F.struct(
+            F.count(x[c.name]).alias("valid"),
+            F.min(x[c.name]).alias("lo"),
+            F.max(x[c.name]).alias("hi"),
+            F.stddev_pop(x[c.name]).alias("sd"),
+            F.skewness(x[c.name]).alias("skew"),
+            F.kurtosis(x[c.name]).alias("kurt"),
+            (F.median(x[c.name]) if c.region else F.lit(None).cast("double")).alias("middle"),
+        )
+        for c in cuts
+    }
+    whole = df.groupBy(*by).agg(*[m.alias("_m_" + n) for n, m in measured.items()])
+
+    def binned(c: Cut) -> Column:
+        m, v = F.col("_m_" + c.name), x[c.name]
+        at = F.least(F.floor((v - m["lo"]) / (m["hi"] - m["lo"]) * bins), F.lit(bins - 1)).cast("int")
+        return F.struct(F.lit(c.name).alias("name"), F.when(v.isNotNull() & (m["hi"] - m["lo"] >= 1e-9), at).alias("bin"), m.alias("m"))
+
+    placed = df.join(whole, by).select(*by, F.explode(F.array(*[binned(c) for c in cuts])).alias("b"))
+    stats = ("valid", "lo", "hi", "sd", "skew", "kurt", "middle")
+    key = [*by, "name"]
+    rows = placed.groupBy(*by, "b.name", "b.bin").agg(F.count("*").alias("n"), *[F.max("b.m." + f).alias(f) for f in stats])
+
+    group = Window.partitionBy(*key)
+    upto = group.orderBy(F.col("bin").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    n = F.when(F.col("bin").isNotNull(), F.col("n")).otherwise(0)
+    rows = rows.withColumns({"p": F.try_divide(n, F.sum(n).over(group)), "x": _centre(bins)})
+    rows = rows.withColumns({"w": F.sum("p").over(upto), "m": F.sum(F.col("p") * F.col("x")).over(upto)})
+    rows = rows.withColumns({"mt": F.sum(F.col("p") * F.col("x")).over(group), "next": F.lead("bin").over(group.orderBy(F.col("bin").asc_nulls_first()))})
+    spread = F.col("w") * (1 - F.col("w"))
+    between = F.when(spread > 1e-15, F.pow(F.col("mt") * F.col("w") - F.col("m"), F.lit(2.0)) / spread).otherwise(0.0)
+    rows = rows.withColumn("s", F.when((F.col("valid") >= 16) & F.col("bin").isNotNull(), between))
+    rows = rows.withColumns({"top": F.max("s").over(group), "total": F.sum(F.col("p") * F.pow(F.col("x") - F.col("mt"), F.lit(2.0))).over(group)})
+    near = F.col("s") >= F.col("top") * (1 - 1e-9)
+    ordered = group.orderBy(F.col("bin").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"near": near, "run": F.sum(F.when(near, 0).otherwise(1)).over(ordered), "first": F.min(F.when(F.col("s") == F.col("top"), F.col("bin"))).over(group)})
+    rows = rows.withColumn("home", F.max(F.when(F.col("bin") == F.col("first"), F.col("run"))).over(group))
+    last = F.coalesce(F.col("next") - 1, F.lit(bins - 1))
+    own = F.col("near") & (F.col("run") == F.col("home"))
+    rows = rows.withColumns({"last": last, "mid": F.floor((F.min(F.when(own, F.col("bin"))).over(group) + F.max(F.when(own, last)).over(group)) / 2)})
+    chosen = F.when((F.col("bin") <= F.col("mid")) & (F.col("mid") <= F.col("last")), F.col("s"))
+    found = rows.groupBy(*key).agg(F.max("mid").alias("bin"), F.max(chosen).alias("s"), F.max("total").alias("total"), *[F.max(f).alias(f) for f in stats])
+
+    quality = F.when(F.col("bin").isNotNull(), F.when(F.col("total") > 1e-12, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("s") / F.col("total")))).otherwise(0.0))
+    good = F.coalesce((quality >= MIN_QUALITY) & (_sarle() >= BIMODAL_FROM), F.lit(False))
+    fallbacks = F.create_map(*[v for c in cuts for v in (F.lit(c.name), F.lit(float(c.fallback)))])
+    raised = F.col("name").isin(*[c.name for c in cuts if c.region]) & (F.col("valid") >= 16)
+    other = F.when(raised, F.greatest(fallbacks[F.col("name")], F.col("middle"))).otherwise(fallbacks[F.col("name")])
+    judged = found.select(
+        *key,
+        F.when(good, _centre(bins)).otherwise(other).alias("threshold"),
         F.when(good, "otsu").otherwise("literature").alias("method"),
-        F.coalesce("quality", F.lit(0.0)).alias("quality"),
+        F.coalesce(quality, F.lit(0.0)).alias("quality"),
     )
+    mine = lambda c, f: F.max(F.when(F.col("name") == c.name, F.col(f)))
+    fields = (("threshold", ""), ("method", "_method"), ("quality", "_quality"))
+    return judged.groupBy(*by).agg(*[mine(c, f).alias(c.name + end) for c in cuts for f, end in fields])
+
+
+def adaptive_threshold(df: DataFrame, value: str, by: list[str], fallback: float, region: bool = False) -> DataFrame:
+    """by, threshold, method, quality of one cut; see ``adaptive_thresholds``."""
+    found = adaptive_thresholds(df, [Cut("t", F.col(value), fallback, region)], by)
+    return found.select(*by, F.col("t").alias("threshold"), F.col("t_method").alias("method"), F.col("t_quality").alias("quality"))
+
+
+def fill_invalid(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """``df`` with the nulls of ``value`` replaced by its group's median, or by 0 if it has none."""
+    middle = df.groupBy(*by).agg(F.median(value).alias("_middle"))
+    return df.join(middle, by).withColumn(value, F.coalesce(value, "_middle", F.lit(0.0))).drop("_middle")
 
 
 def stretch(df: DataFrame, value: str, by: list[str], low: float, high: float, out: str) -> DataFrame:

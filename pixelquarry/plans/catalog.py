@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelquarry.plans import language, records, scenes, spectral
+from pixelquarry.plans import answers, language, records, scenes, spectral
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (spectral, scenes, language, records)
+_MODULES = (spectral, scenes, language, answers, records)
 
 
 def queries() -> dict[str, Query]:

@@ -1,11 +1,14 @@
-"""Scenes over the given tables: one pixel for each order of a grid of fixed width."""
+"""Scenes over the given tables: one pixel for each order, 125 by 48 of them a scene.
+
+So scenes are many and each is bounded, as the reader's edge limit bounds those that come from files.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WIDTH = 125
+WIDTH, HEIGHT = 125, 48
 #: The ship date that parts the two dates of a pair.
 PAIR_CUT = "1998-05-24"
 BANDS = ("blue", "green", "red", "nir", "swir1", "swir2")
@@ -15,9 +18,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _bands(lines: DataFrame) -> DataFrame:
+def _bands(lines: DataFrame, by: list[str]) -> DataFrame:
     """Six bands for each order, from aggregates of its lines."""
-    return lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+    return lines.groupBy(F.col("l_orderkey").alias("o_orderkey"), *by).agg(
         (F.avg("l_tax") + 0.02).alias("blue"),
         (F.avg("l_discount") + 0.02).alias("green"),
         (F.avg("l_tax") * 0.5 + 0.03).alias("red"),
@@ -27,30 +30,39 @@ def _bands(lines: DataFrame) -> DataFrame:
     )
 
 
-def pixel_grid(spark: SparkSession, sf_dir: str, where: Column | None = None, scene_id: int = 1) -> DataFrame:
-    """scene_id, r, c, the six bands and vv (linear power); an order without lines is nodata."""
-    lines = read(spark, sf_dir, "lineitem")
-    lines = lines if where is None else lines.where(where)
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000000.0).alias("vv"))
-    return orders.join(_bands(lines), "o_orderkey", "left").select(
-        F.lit(scene_id).alias("scene_id"),
-        F.floor(F.col("o_orderkey") / F.lit(float(WIDTH))).cast("int").alias("r"),
-        (F.col("o_orderkey") % WIDTH).cast("int").alias("c"),
-        *BANDS,
-        "vv",
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """o_orderkey, scene_id, r, c and vv (linear power) of each order."""
+    key = F.col("o_orderkey")
+    return read(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.floor(key / F.lit(float(WIDTH * HEIGHT))).alias("scene_id"),
+        F.floor(key % (WIDTH * HEIGHT) / F.lit(float(WIDTH))).cast("int").alias("r"),
+        (key % WIDTH).cast("int").alias("c"),
+        (F.col("o_totalprice") / 1000000.0).alias("vv"),
     )
 
 
-def pixel_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The same grid before and after the cut."""
-    date = F.to_date("l_shipdate")
-    return tuple(pixel_grid(spark, sf_dir, w) for w in (date < F.lit(PAIR_CUT).cast("date"), date >= F.lit(PAIR_CUT).cast("date")))
+def pixel_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scene_id, r, c, the six bands and vv; an order without lines is nodata."""
+    bands = _bands(read(spark, sf_dir, "lineitem"), [])
+    return _grid(spark, sf_dir).join(bands, "o_orderkey", "left").select("scene_id", "r", "c", *BANDS, "vv")
+
+
+def pixel_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scene_id, date (``before`` and ``after`` the cut), r, c, the six bands and vv.
+
+    The lines are read once for both dates; every pixel has a row of each date.
+    """
+    early = F.to_date("l_shipdate") < F.lit(PAIR_CUT).cast("date")
+    dated = read(spark, sf_dir, "lineitem").withColumn("date", F.when(early, "before").otherwise("after"))
+    grid = _grid(spark, sf_dir).withColumn("date", F.explode(F.array(F.lit("before"), F.lit("after"))))
+    return grid.join(_bands(dated, ["date"]), ["o_orderkey", "date"], "left").select("scene_id", "date", "r", "c", *BANDS, "vv")
 
 
 def grid_sql(where: str = "TRUE") -> str:
     """The same grid as SQL."""
     return f"""
-SELECT 1 AS scene_id, CAST(floor(o_orderkey / {WIDTH}.0) AS INT) AS r, CAST(o_orderkey % {WIDTH} AS INT) AS c,
+SELECT o_orderkey // {WIDTH * HEIGHT} AS scene_id, (o_orderkey % {WIDTH * HEIGHT} // {WIDTH})::INT AS r, (o_orderkey % {WIDTH})::INT AS c,
        blue, green, red, nir, swir1, swir2, o_totalprice / 1000000.0 AS vv
 FROM orders LEFT JOIN (
   SELECT l_orderkey, avg(l_tax) + 0.02 AS blue, avg(l_discount) + 0.02 AS green, avg(l_tax) * 0.5 + 0.03 AS red,

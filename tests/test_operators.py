@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelquarry.engine import Engine, Refused, Scene
-from pixelquarry.operators import change, geometry, metrics, neighbourhood, thresholds
+from pixelquarry.operators import change, geometry, kernels, language, metrics, neighbourhood, radar, registration, thresholds
 from pixelquarry.sources import datasets, geotiff, sinks
 from pixelquarry.streaming.uploads import uploads
 
@@ -58,7 +58,7 @@ def test_components_and_regions(spark):
     px = frame(spark, grid).withColumn("mask", F.col("x") > 0)
     found = {r.pixel_area: (r.r0, r.c0, r.r1, r.c1, r.area_m2) for r in neighbourhood.regions(px, neighbourhood.components(px, "mask"), "x", 100.0).collect()}
     assert found == {4: (0, 0, 2, 2, 400.0), 8: (4, 3, 6, 7, 800.0)}
-    kept = neighbourhood.clean_mask(px, "mask", 0, 0, 5).where("mask").count()
+    kept = neighbourhood.clean_masks(px, ["mask"], 0, 0, 5).where("mask").count()
     assert kept == 8
 
 
@@ -168,6 +168,119 @@ def test_datasets(spark, tmp_path):
     assert {r.label for r in datasets.image_folder(spark, str(tmp_path)).collect()} >= {"forest"}
 
 
+def city(shift=(0, 0), size=(96, 96), seed=3):
+    """A plain with blocks in it, moved by (rows, columns)."""
+    rng = np.random.default_rng(seed)
+    grid = np.zeros((size[0] + 40, size[1] + 40))
+    for _ in range(60):
+        r, c = rng.integers(0, size[0] + 30), rng.integers(0, size[1] + 30)
+        grid[r : r + rng.integers(3, 12), c : c + rng.integers(3, 12)] = rng.random()
+    return grid[20 - shift[0] : 20 - shift[0] + size[0], 20 - shift[1] : 20 - shift[1] + size[1]]
+
+
+def dated(spark, before, after, bands=("x",), scene=1):
+    rows = [(scene, d, r, c, *[float(v)] * len(bands)) for d, grid in (("before", before), ("after", after)) for r, row in enumerate(grid) for c, v in enumerate(row)]
+    return spark.createDataFrame(rows, "scene_id long, date string, r int, c int, " + ", ".join(f"{b} double" for b in bands))
+
+
+@pytest.mark.parametrize("shift", [(0, 0), (4, -3), (12, 9)])
+def test_registration_finds_a_planted_shift(spark, shift):
+    pair = dated(spark, city(), city(shift))
+    row = registration.coregister(pair, ["x"]).first()
+    if shift == (0, 0):
+        assert row.method == "none" and row.first.score > 0.95
+        return
+    assert row.method == "pyramid" and (row.shift_y, row.shift_x) == pytest.approx((-shift[0], -shift[1]), abs=0.5)
+    assert row.last.score > row["first"].score and np.hypot(row.last.offset_x, row.last.offset_y) < 1
+    back_again = registration.moved(pair, ["x"], registration.coregister(pair, ["x"])).where("date = 'after' AND x IS NOT NULL").collect()
+    inner = [abs(r.x - city()[r.r, r.c]) for r in back_again if 15 < r.r < 80 and 15 < r.c < 80]
+    assert np.mean(inner) < 0.05 and len(inner) > 3000
+
+
+def test_registration_rejects_other_ground(spark):
+    row = registration.coregister(dated(spark, city(), city(seed=9)), ["x"]).first()
+    assert row.method in ("rejected", "pyramid") and row.last.score >= row["first"].score and row.last.ncc < 0.35
+
+
+def test_resampling_to_another_grid(spark):
+    fine = np.add.outer(np.arange(12.0), 2 * np.arange(16.0))
+    grid = frame(spark, np.zeros((5, 7)))
+    array = lambda *v: F.array(*[F.lit(float(x)) for x in v])
+    got = back(registration.resampled(frame(spark, fine), grid, ["x"], array(10, 0, 100, 0, -10, 500), array(20, 0, 110, 0, -20, 490)).fillna(-1.0), "x", (5, 7))
+    # The centre of a coarse pixel is the corner that four fine ones share, one row and column in.
+    want = np.array([[2 * r + 1.5 + 2 * (2 * c + 1.5) for c in range(7)] for r in range(5)])
+    assert np.allclose(got, want)
+
+
+def test_edges_and_lines():
+    image = np.zeros((40, 40))
+    image[10:30, 12:28] = 255
+    found = kernels.edges(image)
+    r, c = np.nonzero(found)
+    assert found.any() and ((np.abs(r - 10) <= 1) | (np.abs(r - 29) <= 1) | (np.abs(c - 12) <= 1) | (np.abs(c - 27) <= 1)).all()
+    assert not kernels.edges(np.full((20, 20), 7.0)).any()
+    assert kernels.line_element(25, 0) == [(0, k) for k in range(-12, 13)] and len(kernels.line_element(25, 90)) == 25
+    gx, gy = kernels.sobel(np.tile(np.arange(6.0), (5, 1)))
+    assert (gx[:, 1:-1] == 8).all() and (gy == 0).all()
+
+
+def test_texture_kernels_keep_rows(spark):
+    px = frame(spark, city(size=(40, 30)), "nir").withColumn("note", F.lit("n"))
+    for out in (kernels.edge_density(px, "nir", "t"), kernels.linear_structure(px, "nir", "t"), kernels.local_deviation(px, "nir", "t")):
+        rows = out.collect()
+        assert len(rows) == 1200 and all(0 <= r.t <= 1 and r.note == "n" for r in rows) and max(r.t for r in rows) == 1
+
+
+def test_polygons(spark):
+    grid = np.zeros((30, 30), dtype=int)
+    grid[2:12, 3:23] = 1
+    r, c = np.ogrid[:30, :30]
+    grid[(r - 21) ** 2 + (c - 20) ** 2 <= 36] = 2
+    grid[20, 2] = 3
+    rows = [(1, int(a), int(b), int(grid[a, b])) for a, b in np.argwhere(grid)]
+    found = {x.label: x for x in kernels.polygons(spark.createDataFrame(rows, "scene_id int, r int, c int, label int")).collect()}
+    assert {(p.r, p.c) for p in found[1].outline} == {(2, 3), (2, 22), (11, 22), (11, 3)} and found[1].rectangularity == pytest.approx(1)
+    assert found[2].compactness > 0.8 > found[1].compactness and found[3].compactness is None and len(found[3].outline) == 4
+
+
+def test_cuts_of_dense_and_sparse_bins_agree(spark):
+    """The two ways to an Otsu cut: over all bins, and over those that have values."""
+    rng = np.random.default_rng(5)
+    rows = [(s, float(v)) for s in range(6) for v in np.round(np.concatenate([rng.normal(0, 1 + s, 200), rng.normal(9, 1, 40 * s)]), s % 3)]
+    df = spark.createDataFrame(rows + [(9, None)] * 3, "scene_id int, x double")
+    dense = {r.scene_id: (r.threshold, r.quality) for r in thresholds.otsu(df, "x", ["scene_id"]).collect()}
+    found = thresholds.adaptive_thresholds(df, [thresholds.Cut("a", F.col("x"), 0.0), thresholds.Cut("b", -F.col("x"), 1.5, True)], ["scene_id"]).collect()
+    assert len(found) == 7
+    for r in found:
+        assert r.a_quality == pytest.approx(dense.get(r.scene_id, (0, 0.0))[1])
+        assert r.a == (pytest.approx(dense[r.scene_id][0]) if r.a_method == "otsu" else 0.0)
+    assert [(r.a, r.b, r.a_quality) for r in found if r.scene_id == 9] == [(0.0, 1.5, 0.0)]
+
+
+def test_speckle_report(spark):
+    power = np.random.default_rng(0).gamma(4, 0.25, (60, 60))
+    row = radar.speckle_report(frame(spark, power), "x").first()
+    assert 2.5 < row.enl < 6 and row.cv_after < row.cv_before / 2 and row.reduction > 2
+
+
+def test_ring_area(spark):
+    ring = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+    df = spark.createDataFrame([([{"lon": a, "lat": b} for a, b in ring],), ([{"lon": a, "lat": b} for a, b in reversed(ring)],)], "ring array<struct<lon:double,lat:double>>")
+    areas = [r.a for r in df.select(geometry.ring_area(F.col("ring")).alias("a")).collect()]
+    assert areas[0] == pytest.approx(areas[1]) == pytest.approx(12364e6, rel=1e-3)
+
+
+def test_parse_edge_cases(spark):
+    said = ["", None, "water " * 300, "lakes near the road", "ships", "north of the water", "rooftops in the top left", "5 ha of water", "no more than 5 ha of water over 2 px", "largest and smallest lakes", "99999999999 largest lakes"]
+    rows = {i: r for i, r in enumerate(language.parse_grounding(spark.createDataFrame(list(enumerate(said)), "request_id long, query string")).orderBy("request_id").collect())}
+    assert [rows[i].error for i in range(6)] == ["empty", "empty", "too_long", "spatial_relation", "unsupported_object", "spatial_relation"]
+    assert (rows[3].refused, rows[4].refused) == ("near", "ships")
+    assert (rows[6].target, rows[6].sector, rows[6].frame_relative) == ("built_up", "north_west", True)
+    assert rows[7].min_area_m2 is None and rows[7].max_area_m2 is None
+    assert rows[8].max_area_m2 == 50_000 and rows[8].min_pixels == 2
+    assert rows[9].superlative is None and rows[9].limit is None and rows[10].limit == 1
+
+
 def test_engine(spark):
     from pixelquarry.sources.scenes import BANDS, pixel_grid, pixel_pair
 
@@ -175,12 +288,26 @@ def test_engine(spark):
     engine, scene = Engine(spark), Scene(pixel_grid(spark, sf), list(BANDS), pixel_area=100.0)
     answer = engine.analyze("what land cover is there?", [scene])
     assert answer.task == "land_cover_analysis" and "vegetation" in answer.text and answer.figures.count() > 1
-    radar = Scene(pixel_grid(spark, sf), ["vv"], "sar")
-    assert "agree" in engine.analyze("combine optical and sar", [scene, radar]).text
-    pair = [Scene(px, list(BANDS)) for px in pixel_pair(spark, sf)]
+    radar_scene = Scene(pixel_grid(spark, sf), ["vv"], "sar")
+    assert "agree" in engine.analyze("combine optical and sar", [scene, radar_scene]).text
+    assert engine.analyze("what is in this image", [scene]).task == "vqa"
+    assert "Vegetation covers" in engine.analyze("tell me what share is vegetation, and what is the percentage", [scene]).text
+    assert engine.analyze("generate a caption", [scene]).text.startswith("A predominantly vegetation scene")
+    found = engine.analyze("show me the 2 largest forests", [scene])
+    assert found.task == "grounding" and 1 <= found.figures.count() <= 2 and "vegetation region" in found.text
+    assert all(len(r.outline) >= 3 for r in found.figures.collect())
+    assert "no area in the south" in engine.analyze("show me forests in the south", [scene]).text
+    with pytest.raises(Refused) as refused:
+        engine.analyze("where are the forests over 2 ha", [Scene(pixel_grid(spark, sf), list(BANDS))])
+    assert refused.value.code == "NO_GROUND_SIZE"
+    pair = [Scene(pixel_pair(spark, sf).where(F.col("date") == d).drop("date"), list(BANDS), pixel_area=100.0) for d in ("before", "after")]
     assert engine.analyze("hello", pair).task == "change_detection"
+    assert engine.analyze("how much has changed?", pair).task == "change_vqa"
     with pytest.raises(Refused) as refused:
         engine.analyze("count the ships", [scene])
     assert refused.value.code == "UNSUPPORTED_TASK"
+    with pytest.raises(Refused) as refused:
+        engine.analyze("where is the water", [radar_scene])
+    assert refused.value.code == "WRONG_MODE" or refused.value.code == "MISSING_MODALITY"
     with pytest.raises(Refused):
         engine.analyze("hello", [])
