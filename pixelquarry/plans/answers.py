@@ -29,7 +29,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def _classified(spark: SparkSession, sf: str) -> DataFrame:
-    return staged(landcover.with_indices(landcover.classify(pixel_grid(spark, sf), list(BANDS)), ["ndwi"]))
+    return staged(landcover.with_indices(landcover.classify(pixel_grid(spark, sf, fields=True), list(BANDS)), ["ndwi"]))
 
 
 def _scenes(px: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ _SCENES = "sc AS MATERIALIZED (SELECT scene_id, count(*) AS frame_pixels, scene_
 _SECTORS = ", ".join(f"({_quote(n)}, {', '.join(map(str, b))})" for n, b in grounding.SECTORS.items())
 _NAME = scenes_plan._NAME
 #: CTEs rg (regions), jd (requests beside their regions) and the rest of a grounding.
-_GROUND = f"""WITH RECURSIVE {sql.landcover('lc', sql.PX)}, {_SCENES}, {requests_plan._PARSED}, """ + ", ".join(
+_GROUND = f"""WITH RECURSIVE {sql.landcover('lc', sql.FIELDS)}, {_SCENES}, {requests_plan._PARSED}, """ + ", ".join(
     f"on{k} AS (SELECT * FROM lc WHERE class_code = {k}), {sql.components(f'k{k}', f'on{k}')}, rl{k} AS (SELECT scene_id, r, c, {k} AS code, dense_rank() OVER (PARTITION BY scene_id ORDER BY lab) AS label FROM k{k}_l)" for k in (1, 2, 3, 4)
 ) + f""", rl AS MATERIALIZED ({" UNION ALL ".join(f"SELECT * FROM rl{k}" for k in (1, 2, 3, 4))}), fs AS (SELECT scene_id, max(r)+1 AS h, max(c)+1 AS w FROM lc GROUP BY 1),
 st(sector, r0, r1, c0, c1) AS (VALUES {_SECTORS}),
@@ -122,7 +122,7 @@ _PCT = "(round({}*100)::BIGINT || '%')"
 _LISTING = f"string_agg(nm || ' ' || {_PCT.format('fraction')}, ', ' ORDER BY fraction DESC, {{}})"
 
 
-@query("answer_questions", f"""WITH RECURSIVE {sql.landcover('lc', sql.PX)}, {_STATS}, {requests_plan._INTENT}, ns AS (SELECT count(DISTINCT scene_id) AS n FROM lc),
+@query("answer_questions", f"""WITH RECURSIVE {sql.landcover('lc', sql.FIELDS)}, {_STATS}, {requests_plan._INTENT}, ns AS (SELECT count(DISTINCT scene_id) AS n FROM lc),
 qs AS (SELECT request_id, request_id % n AS scene_id, intent, targets FROM vi, ns),
 nq AS (SELECT request_id, scene_id, intent, k, t AS class, replace(t, '_', ' ') AS nm, coalesce(fraction, 0) AS fraction, area FROM (SELECT *, unnest(string_split(targets, ',')) AS t, unnest(range(len(string_split(targets, ',')))) AS k FROM qs WHERE targets <> '') q LEFT JOIN ks USING (scene_id) WHERE ks.class = t
   UNION ALL SELECT request_id, scene_id, intent, k, t, replace(t, '_', ' '), 0, NULL FROM (SELECT *, unnest(string_split(targets, ',')) AS t, unnest(range(len(string_split(targets, ',')))) AS k FROM qs WHERE targets <> '') q WHERE NOT EXISTS (SELECT 1 FROM ks WHERE ks.scene_id = q.scene_id AND ks.class = t)),
@@ -144,7 +144,7 @@ def answer_questions(spark: SparkSession, sf: str) -> DataFrame:
     return answers.answer_questions(asked, stats).select("request_id", "intent", "answer", "redirect")
 
 
-@query("captions", f"""WITH RECURSIVE {sql.landcover('lc', sql.PX)}, {_STATS}, rk AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY fraction DESC, class) AS k FROM ks),
+@query("captions", f"""WITH RECURSIVE {sql.landcover('lc', sql.FIELDS)}, {_STATS}, rk AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY fraction DESC, class) AS k FROM ks),
 cx AS (SELECT scene_id, any_value(nm) FILTER (k = 1) AS top, any_value(fraction) FILTER (k = 1) AS tf, string_agg(nm || ' ' || {_PCT.format('fraction')}, ', ' ORDER BY k) FILTER (k > 1) AS rest, sum(area) AS area FROM rk GROUP BY 1)
 SELECT scene_id, coalesce('A predominantly ' || top || ' scene (' || {_PCT.format('tf')} || ' of classified pixels).' || coalesce(' Remaining land cover: ' || rest || '.', '') || ' Classified extent covers about ' || {_KM.format('area')} || '.',
   'No land-cover classes could be delineated from this image, so it cannot be described.') AS caption FROM (SELECT DISTINCT scene_id FROM lc) LEFT JOIN cx USING (scene_id)""")

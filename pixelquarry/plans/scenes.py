@@ -119,13 +119,13 @@ _LOW, _HIGH = -12.0, -6.0
 
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
     """In every second scene radar separated bright returns, and so decides on built-up land."""
-    px = pixel_grid(spark, sf)
+    px = pixel_grid(spark, sf, fields=True)
     bright = F.when(F.col("vv").isNotNull(), spectral.to_db(F.col("vv")))
     regimes = radar.coded(px.withColumn("db", bright), "db", F.lit(_LOW), F.lit(_HIGH))
     return radar.fuse(landcover.classify(px, list(BANDS)), regimes, F.col("scene_id") % 2 == 0)
 
 
-_FUSED = f"""WITH RECURSIVE {sql.landcover('lc', sql.PX)},
+_FUSED = f"""WITH RECURSIVE {sql.landcover('lc', sql.FIELDS)},
 rg AS (SELECT scene_id, r, c, CASE WHEN db IS NULL THEN 0 WHEN db > {_HIGH} THEN 3 WHEN db < {_LOW} THEN 1 ELSE 2 END AS regime_code FROM (SELECT scene_id, r, c, {_DB} AS db FROM ({sql.PX}))),
 j AS (SELECT scene_id, r, c, class_code, regime_code, scene_id % 2 = 0 AS dec, (regime_code = 1 AND class_code IN (1, 4)) OR (regime_code = 2 AND class_code IN (2, 4)) OR (regime_code = 3 AND class_code = 3) AS fits
   FROM lc JOIN rg USING (scene_id, r, c)),
@@ -345,9 +345,9 @@ def sector_counts(spark: SparkSession, sf: str) -> DataFrame:
     return placed.groupBy("scene_id", "sector").agg(F.count("*").alias("pixels"), F.round(F.avg("vv"), 6).alias("mean"))
 
 
-@query("code_dimension", f"WITH RECURSIVE {sql.landcover('lc', sql.PX)} SELECT class_code::INT AS class_code, {_NAME.format('class_code')} AS class, count(*) AS n FROM lc GROUP BY class_code")
+@query("code_dimension", f"WITH RECURSIVE {sql.landcover('lc', sql.FIELDS)} SELECT class_code::INT AS class_code, {_NAME.format('class_code')} AS class, count(*) AS n FROM lc GROUP BY class_code")
 def code_dimension(spark: SparkSession, sf: str) -> DataFrame:
-    lc = landcover.classify(pixel_grid(spark, sf), list(BANDS))
+    lc = landcover.classify(pixel_grid(spark, sf, fields=True), list(BANDS))
     return lc.groupBy("class_code").agg(F.count("*").alias("n")).select("class_code", landcover.code_name(F.col("class_code")).alias("class"), "n")
 
 
@@ -358,11 +358,11 @@ def truth_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _pair(spark, sf).groupBy("scene_id", *names).agg(F.count("*").alias("n"))
 
 
-@query("class_separability", f"WITH RECURSIVE {sql.landcover('lc', sql.PX)}, ix AS (SELECT *, {sql.INDICES['ndwi']} AS ndwi FROM lc), sp AS (" + " UNION ALL ".join(
+@query("class_separability", f"WITH RECURSIVE {sql.landcover('lc', sql.FIELDS)}, ix AS (SELECT *, {sql.INDICES['ndwi']} AS ndwi FROM lc), sp AS (" + " UNION ALL ".join(
     f"SELECT scene_id, CASE WHEN count({i}) FILTER (class_code = {k}) < 8 OR count({i}) FILTER (class_code <> {k}) < 8 THEN 0.0 WHEN sqrt(.5*(var_pop({i}) FILTER (class_code = {k}) + var_pop({i}) FILTER (class_code <> {k}))) < 1e-9 "
     f"THEN CASE WHEN abs(avg({i}) FILTER (class_code = {k}) - avg({i}) FILTER (class_code <> {k})) > 1e-9 THEN 1.0 ELSE 0.0 END ELSE least(1.0, abs(avg({i}) FILTER (class_code = {k}) - avg({i}) FILTER (class_code <> {k}))"
     f"/sqrt(.5*(var_pop({i}) FILTER (class_code = {k}) + var_pop({i}) FILTER (class_code <> {k})))/2) END AS s FROM ix GROUP BY scene_id HAVING count(*) FILTER (class_code = {k}) > 0" for i, k in (("ndwi", 1), ("ndvi", 2), ("ndbi", 3)))
     + ") SELECT scene_id, round(coalesce(avg(s), 0), 6) AS separability FROM (SELECT DISTINCT scene_id FROM lc) LEFT JOIN sp USING (scene_id) GROUP BY scene_id")
 def class_separability(spark: SparkSession, sf: str) -> DataFrame:
-    lc = staged(landcover.with_indices(landcover.classify(pixel_grid(spark, sf), list(BANDS)), ["ndwi"]))
+    lc = staged(landcover.with_indices(landcover.classify(pixel_grid(spark, sf, fields=True), list(BANDS)), ["ndwi"]))
     return rounded(landcover.mean_separability(lc, ["ndwi", "mndwi", "ndvi", "ndbi"]), "separability")

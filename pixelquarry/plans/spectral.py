@@ -215,10 +215,10 @@ def region_threshold(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def classified(spark: SparkSession, sf: str) -> DataFrame:
-    return landcover.classify(pixel_grid(spark, sf), list(BANDS))
+    return landcover.classify(pixel_grid(spark, sf, fields=True), list(BANDS))
 
 
-_LC = f"WITH RECURSIVE {sql.landcover('lc', sql.PX)}"
+_LC = f"WITH RECURSIVE {sql.landcover('lc', sql.FIELDS)}"
 
 
 @query("land_cover_map", f"{_LC} SELECT scene_id, r, c, class_code::INT AS class_code, round(evidence, 6) AS evidence FROM lc")
@@ -241,7 +241,7 @@ def land_cover_dominant(spark: SparkSession, sf: str) -> DataFrame:
     return landcover.dominant(landcover.class_stats(classified(spark, sf), None), BY, "class")
 
 
-_RGB = f"""WITH RECURSIVE p AS (SELECT * FROM ({sql.PX})), e AS (SELECT scene_id, {", ".join(f"quantile_cont({x}, .01) AS {x}_a, quantile_cont({x}, .99) AS {x}_b" for x in ("red", "green", "blue"))} FROM p GROUP BY scene_id),
+_RGB = f"""WITH RECURSIVE p AS (SELECT * FROM ({sql.FIELDS})), e AS (SELECT scene_id, {", ".join(f"quantile_cont({x}, .01) AS {x}_a, quantile_cont({x}, .99) AS {x}_b" for x in ("red", "green", "blue"))} FROM p GROUP BY scene_id),
 b0 AS (SELECT *, ({" + ".join(f"CASE WHEN {x}_b - {x}_a >= 1e-12 THEN greatest(0, least(1, ({x}-{x}_a)/({x}_b-{x}_a))) ELSE 0 END" for x in ("red", "green", "blue"))})/3 AS br, {sql.INDICES['exg']} AS exg, red IS NOT NULL AS valid FROM p JOIN e USING (scene_id)),
 b01 AS (SELECT *, CASE WHEN valid THEN br END AS bright FROM b0),
 {sql.adaptive('d', 'SELECT scene_id, bright AS x FROM b01', .35)},
@@ -255,7 +255,7 @@ SELECT scene_id, class_code::INT AS class_code, count(*) AS pixel_count FROM z G
 
 @query("land_cover_rgb", _RGB)
 def land_cover_rgb(spark: SparkSession, sf: str) -> DataFrame:
-    return landcover.classify_rgb(pixel_grid(spark, sf)).groupBy("scene_id", "class_code").agg(F.count("*").alias("pixel_count"))
+    return landcover.classify_rgb(pixel_grid(spark, sf, fields=True)).groupBy("scene_id", "class_code").agg(F.count("*").alias("pixel_count"))
 
 
 @query(

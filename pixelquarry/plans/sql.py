@@ -5,7 +5,7 @@ Every piece works scene by scene; statements start with WITH RECURSIVE, for the
 
 from __future__ import annotations
 
-from pixelquarry.sources.scenes import HEIGHT, PAIR_SQL, WIDTH, grid_sql
+from pixelquarry.sources.scenes import HEIGHT, PAIR_SQL, WIDTH, fields_sql, grid_sql
 
 
 def nd(a: str, b: str) -> str:
@@ -20,7 +20,7 @@ INDICES = {
     "bsi": "CASE WHEN swir1+red+nir+blue <> 0 THEN greatest(-1.0, least(1.0, ((swir1+red)-(nir+blue))/((swir1+red)+(nir+blue)))) END",
     "exg": "CASE WHEN red+green+blue <> 0 THEN greatest(-1.0, least(1.0, (2*green-red-blue)/(red+green+blue))) END",
 }
-PX = grid_sql()
+PX, FIELDS = grid_sql(), fields_sql()
 BEFORE, AFTER = PAIR_SQL
 
 

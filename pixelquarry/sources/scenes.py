@@ -5,10 +5,12 @@ So scenes are many and each is bounded, as the reader's edge limit bounds those
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WIDTH, HEIGHT = 125, 48
+#: Edge of a field in pixels.
+FIELD = 8
 #: The ship date that parts the two dates of a pair.
 PAIR_CUT = "1998-05-24"
 BANDS = ("blue", "green", "red", "nir", "swir1", "swir2")
@@ -42,21 +44,34 @@ def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pixel_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """scene_id, r, c, the six bands and vv; an order without lines is nodata."""
+def _in_fields(px: DataFrame, by: list[str]) -> DataFrame:
+    """``px`` with the bands of each field's brightest pixel in all of its pixels."""
+    part = [F.floor(F.col(x) / F.lit(float(FIELD))) for x in ("r", "c")]
+    field = Window.partitionBy(*by, *part).orderBy(F.col("vv").desc(), "r", "c").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return px.withColumns({b: F.first(b).over(field) for b in BANDS})
+
+
+def pixel_grid(spark: SparkSession, sf_dir: str, fields: bool = False) -> DataFrame:
+    """scene_id, r, c, the six bands and vv; an order without lines is nodata.
+
+    Neighbouring orders have nothing in common; with ``fields`` the scene is made of squares of
+    ``FIELD`` pixels, each with the bands of its brightest pixel, so that it has patches.
+    """
     bands = _bands(read(spark, sf_dir, "lineitem"), [])
-    return _grid(spark, sf_dir).join(bands, "o_orderkey", "left").select("scene_id", "r", "c", *BANDS, "vv")
+    px = _grid(spark, sf_dir).join(bands, "o_orderkey", "left").select("scene_id", "r", "c", *BANDS, "vv")
+    return _in_fields(px, ["scene_id"]) if fields else px
 
 
 def pixel_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """scene_id, date (``before`` and ``after`` the cut), r, c, the six bands and vv.
+    """scene_id, date (``before`` and ``after`` the cut), r, c, the six bands and vv, in fields.
 
     The lines are read once for both dates; every pixel has a row of each date.
     """
     early = F.to_date("l_shipdate") < F.lit(PAIR_CUT).cast("date")
     dated = read(spark, sf_dir, "lineitem").withColumn("date", F.when(early, "before").otherwise("after"))
     grid = _grid(spark, sf_dir).withColumn("date", F.explode(F.array(F.lit("before"), F.lit("after"))))
-    return grid.join(_bands(dated, ["date"]), ["o_orderkey", "date"], "left").select("scene_id", "date", "r", "c", *BANDS, "vv")
+    px = grid.join(_bands(dated, ["date"]), ["o_orderkey", "date"], "left").select("scene_id", "date", "r", "c", *BANDS, "vv")
+    return _in_fields(px, ["scene_id", "date"])
 
 
 def grid_sql(where: str = "TRUE") -> str:
@@ -70,4 +85,10 @@ FROM orders LEFT JOIN (
   FROM lineitem WHERE {where} GROUP BY l_orderkey) b ON o_orderkey = l_orderkey"""
 
 
-PAIR_SQL = tuple(grid_sql(f"CAST(l_shipdate AS DATE) {op} DATE '{PAIR_CUT}'") for op in ("<", ">="))
+def fields_sql(where: str = "TRUE") -> str:
+    """The same grid in fields, as SQL."""
+    field = f"(PARTITION BY scene_id, r // {FIELD}, c // {FIELD} ORDER BY vv DESC, r, c)"
+    return f"SELECT scene_id, r, c, {', '.join(f'first_value({b}) OVER {field} AS {b}' for b in BANDS)}, vv FROM ({grid_sql(where)})"
+
+
+PAIR_SQL = tuple(fields_sql(f"CAST(l_shipdate AS DATE) {op} DATE '{PAIR_CUT}'") for op in ("<", ">="))

@@ -296,7 +296,7 @@ def test_engine(spark):
     found = engine.analyze("show me the 2 largest forests", [scene])
     assert found.task == "grounding" and 1 <= found.figures.count() <= 2 and "vegetation region" in found.text
     assert all(len(r.outline) >= 3 for r in found.figures.collect())
-    assert "no area in the south" in engine.analyze("show me forests in the south", [scene]).text
+    assert "no area in the south" in engine.analyze("show me the forests in the south", [scene]).text
     with pytest.raises(Refused) as refused:
         engine.analyze("where are the forests over 2 ha", [Scene(pixel_grid(spark, sf), list(BANDS))])
     assert refused.value.code == "NO_GROUND_SIZE"
