@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but the six ASCII blanks (fixed by the queries' contract).
 WORD = r"[^\x20\x09-\x0D]+"
+#: Where each staged table lies, for as long as its first DataFrame lives.
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,7 +38,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[written] = path
+    return written
+
+
+def discard(written: DataFrame) -> None:
+    """Delete a table that ``staged`` wrote and that nothing reads any more."""
+    context = written.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(_paths.pop(written))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(col: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelquarry.llm.common import boxed, staged
+from pixelquarry.llm.common import boxed, discard, staged
 
 SEED = 42
 #: Fingerprints of one tile at most.
@@ -165,7 +165,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating star contraction: each round links every node to the smallest of its neighbours,
     first the larger neighbours of each node, then the smaller ones, until nothing changes; the
     rounds grow with the logarithm of the longest chain. Groups are aggregated and joined, never
-    gathered, and each round is written to the shared folder.
+    gathered; each round is written to the shared folder, and the one before it goes.
     """
     edges = staged(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
     before = None
@@ -176,7 +176,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = staged(small.select("e.u", "e.v").where("u != v").distinct(), "components")
+        last, edges = edges, staged(small.select("e.u", "e.v").where("u != v").distinct(), "components")
+        discard(last)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -283,6 +283,7 @@ def test_mixing(docs, empty):
         assert 0 <= r.taken <= 2 * r["size"]
         taken[r.source] += r.taken
     assert all(abs(taken[s] - target[s]) < 1 for s in order)
+    assert all((r.first_slot is None) == (r.taken == 0) for r in got)
     again = mixing.mix_sources(docs.repartition(5), block_words=16).collect()
     assert Counter((r.doc_id, r["size"], r.source) for r in got if r.taken) == Counter((r.doc_id, r["size"], r.source) for r in again if r.taken)
     assert mixing.mix_sources(empty).collect() == []
@@ -326,6 +327,48 @@ def test_language_id(spark, empty):
     assert nothing[0].lang_pred == "und"
 
 
+def test_language_id_against_brute_force(spark):
+    """Weights, cosines and rejections recomputed from the words alone; centroids where their texts say."""
+    rng = random.Random(8)
+    words = {"en": "the of and thing with was here that on under".split(), "de": "der die und nicht mit für über wäre daß".split()}
+    rows = [(i, " ".join(rng.choices(words[lang], k=rng.randint(5, 80))), lang) for i, lang in enumerate(rng.choices(["en", "de"], k=300))]
+    odd = [(900, "zzz qqq xxx jjj", None), (901, "The 12 THING!", None), (902, None, None), (903, "…", "en")]
+    frame = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    model, got = language_id.learned(frame), {r.doc_id: r for r in language_id.identify(frame).collect()}
+
+    def features(text):
+        raw = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in f" {text.lower()} ".encode())
+        grams = (raw[i : i + 3] for i in range(len(raw) - 2))
+        return Counter(int.from_bytes(g, "big") * 0x9E3779B1 % 2**32 >> 20 for g in grams if g != b"   ")
+
+    learned = [(features(t), lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 5]
+    seen = Counter(f for c, _ in learned for f in c)
+    idf = {f: np.log((1 + len(learned)) / (1 + seen[f])) + 1 for f in range(language_id.FEATURES)}
+    assert np.allclose(model.idf, [idf[f] for f in range(language_id.FEATURES)])
+
+    def vector(counts):
+        v = np.zeros(language_id.FEATURES)
+        for f, n in counts.items():
+            v[f] = np.log1p(n) * idf[f]
+        return v / max(np.linalg.norm(v), 1e-12)
+
+    for k, lang in enumerate(model.languages):
+        own = [v for v in (vector(c) for c, x in learned if x == lang) if max((j for j, x in enumerate(model.languages) if x == lang), key=lambda j: v @ model.centroids[j]) == k]
+        mean = np.sum(own, axis=0)
+        assert len(own) > 1 and mean @ model.centroids[k] / np.linalg.norm(mean) > 0.98
+    for i, text, _ in rows + odd:
+        if text is None or text == "…":
+            assert (got[i].lang_pred, got[i].score, got[i].rejected) == ("und", 0.0, True)
+            continue
+        counts = features(text)
+        cosines = model.centroids @ vector(counts)
+        best = int(cosines.argmax())
+        assert got[i].lang_pred == model.languages[best] and got[i].score == pytest.approx(min(1, max(0, cosines[best])), abs=1e-5)
+        cut = language_id.REACH * model.least[best, int(np.log2(max(1, len(counts))))]
+        assert abs(cosines[best] - cut) < 1e-5 or got[i].rejected == (cosines[best] < cut)
+    assert got[900].rejected and sum(r.rejected for r in got.values()) <= 5
+
+
 #: The first words of the declaration of human rights in languages that the documents don't have.
 UNLEARNED = [
     "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza.",

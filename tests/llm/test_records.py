@@ -75,7 +75,7 @@ def test_url_filters(spark):
     assert url_filters.url_filter(frame.limit(0)).collect() == []
 
 
-def test_url_filters_with_many_rules(spark):
+def test_url_filters_with_many_rules(spark, monkeypatch):
     """Thousands of rules; some have no whole literal token, many share theirs."""
     rng = random.Random(5)
     rules = tuple(
@@ -87,6 +87,9 @@ def test_url_filters_with_many_rules(spark):
     want = Counter((i, *brute_url(u, rules)) for i, u in enumerate(urls))
     assert Counter(map(tuple, url_filters.url_filter(frame, rules).collect())) == want
     assert len({r[3] for r in want}) > 50
+    monkeypatch.setattr(url_filters, "BROADCAST_BYTES", 0)
+    shuffled = url_filters.url_filter(frame, rules)
+    assert Counter(map(tuple, shuffled.collect())) == want
 
 
 def test_chat_format(spark):
@@ -117,6 +120,77 @@ def test_chat_format(spark):
     assert chat_format.chat_digest(frame.limit(0)).collect() == []
 
 
+#: Documents with columns named as operators name theirs.
+CLASH = ("row", "score", "lang_pred", "rejected", "id", "no_id", "sha", "n", "node", "root", "slot", "slots", "shuffle", "words", "held_out", "_n", "_text", "key", "bucket", "size")
+STAGE_DDL = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH)
+
+
+def stage_rows():
+    rng = random.Random(11)
+    words = {"en": "the of and thing with was here that on under".split(), "fr": "le des ou est eleve garcon avec tres dans".split()}
+    say = lambda lang, n: " ".join(rng.choices(words[lang], k=n))
+    rows = [(i, say(lang, rng.randint(20, 60)), lang, rng.choice(["s1", "s2", None])) for i, lang in enumerate(rng.choices(["en", "fr"], k=150))]
+    base = say("en", 200)
+    rows += [(200, base, "en", "s1"), (201, base, "en", "s2"), (202, base.upper(), "en", "s1"), (203, base + " thing", None, "s1"), (None, base, "en", "s1"), (None, base, "en", "s1"), (200, base, "en", "s1")]
+    rows += [(300, None, "en", "s1"), (301, "", None, "s2"), (302, " 12 \n", "fr", "s1"), (303, say("en", 9000), "en", "s3"), (5, say("fr", 30), "fr", "s1")]
+    return [(*r, 7, *[f"{c}{k}" for c in CLASH]) for k, r in enumerate(rows)]
+
+
+def stage_results(spark, frame):
+    import corpus_pipeline
+    from pixelquarry.llm.common import staged
+
+    for name, stage in corpus_pipeline.STAGES:
+        before, frame = frame, staged(stage(spark, frame, ""), "test")
+        yield name, before, frame
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    """Each stage on its own input: what it keeps, and that rows come through as they are."""
+    import public_tokenizers
+    from test_documents import brute_components, brute_fingerprint
+    from tokenizers import Tokenizer
+
+    from pixelquarry.llm import language_id, mixing
+
+    rows = stage_rows()
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    for name, before, after in stage_results(spark, spark.createDataFrame(rows, STAGE_DDL)):
+        had, got = before.collect(), after.collect()
+        if name != "BPE":
+            assert after.columns == before.columns and set(map(tuple, got)) <= set(map(tuple, had))
+        if name == "language ID":
+            model = language_id.learned(before)
+            lost = model.predict([r.text for r in had])[2]
+            assert Counter(map(tuple, got)) == Counter(tuple(r) for r, gone in zip(had, lost) if not gone)
+            assert len(got) > 140 and not {r.doc_id for r in got} & {300, 301, 302}
+        elif name == "exact dedup":
+            assert Counter(r.text for r in got) == dict.fromkeys({r.text for r in had}, 1)
+            best = {t: max((r.doc_id for r in had if r.text == t and r.doc_id is not None), default=None) for t in {r.text for r in had}}
+            assert all(r.doc_id == best[r.text] for r in got)
+        elif name == "SimHash near-dedup":
+            roots = brute_components([brute_fingerprint(r.text) for r in had], 4)
+            least = {root: min((r.doc_id is None, r.doc_id or 0) for r, own in zip(had, roots) if own == root) for root in roots}
+            assert Counter((r.doc_id is None, r.doc_id or 0) for r in got) == Counter(least.values())
+        elif name == "mixing":
+            passes = Counter({(r.doc_id, r["size"]): r.passes for r in mixing.mix_sources(before).collect() if r.passes})
+            assert Counter((r.doc_id, len(r.text.split())) for r in got) == passes and sum(passes.values()) >= len(had)
+        else:
+            want = Counter((r.doc_id, tuple(tokenizer.encode(r.text, add_special_tokens=False).ids)) for r in had)
+            assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want
+
+
+def test_pipeline_stages_of_nothing(spark):
+    """An empty table, and one in which every value is null, go through all stages."""
+    from pixelquarry.llm import exact_dedup, language_id, mixing, simhash
+
+    empty = spark.createDataFrame([], STAGE_DDL)
+    assert all(after.count() == 0 for _, _, after in stage_results(spark, empty))
+    blank = spark.createDataFrame([(None,) * (5 + len(CLASH))] * 3, STAGE_DDL)
+    assert language_id.known_documents(blank).count() == 0 and mixing.mixed_documents(blank).count() == 0
+    assert exact_dedup.kept_documents(blank).collect() == simhash.kept_documents(blank).collect() == blank.limit(1).collect()
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     from pixelquarry.llm.common import staged
