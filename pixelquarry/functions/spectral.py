@@ -86,3 +86,14 @@ INDEX_EXPRESSIONS = {"ndvi": ndvi, "ndwi": ndwi, "mndwi": mndwi, "ndbi": ndbi, "
 
 def available_indices(bands: set[str]) -> list[str]:
     return [name for name, needed in INDEX_BANDS.items() if set(needed) <= bands]
+
+
+#: property -> the indices that measure it, the first that both dates have is compared (fixed values).
+FEATURE_GROUPS = (("ndvi",), ("mndwi", "ndwi"), ("ndbi",))
+
+
+def shared_features(a: Column, b: Column) -> Column:
+    """Of two arrays of available indices, the one of each property that both have."""
+    both = F.array_intersect(a, b)
+    first = [F.coalesce(*[F.when(F.array_contains(both, n), n) for n in group]) for group in FEATURE_GROUPS]
+    return F.array_compact(F.array(*first))

@@ -13,11 +13,13 @@ def staged(df: DataFrame) -> DataFrame:
 
     An analysis that reads its pixels several times (bounds, bins, moments, map) reads them from
     here and not through the whole plan again, and a lost executor costs a reread. The folder is
-    ``spark.checkpoint.dir``; only where that is unset, as on one machine, a new one is set.
+    ``spark.checkpoint.dir``; only where that is unset and all runs on one machine a new one is set.
     """
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
         shared = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", shared)
     path = f"{shared.rstrip('/')}/stage-{uuid.uuid4().hex}"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelquarry.functions import spectral
-from pixelquarry.operators import landcover, quality, thresholds
+from pixelquarry.operators import landcover, pictures, quality, thresholds
 from pixelquarry.operators.staging import staged
 from pixelquarry.plans import sql
 from pixelquarry.sources.scenes import BANDS, pixel_grid, read
@@ -264,7 +264,7 @@ def land_cover_rgb(spark: SparkSession, sf: str) -> DataFrame:
 )
 def class_colours(spark: SparkSession, sf: str) -> DataFrame:
     """A class map coloured through a five-row dimension of our own colours."""
-    colours = spark.createDataFrame([(0, "#000000"), (1, "#2b6cb0"), (2, "#2f855a"), (3, "#c53030"), (4, "#b7791f")], "class_code int, colour string")
+    colours = spark.createDataFrame(list(pictures.CLASS_COLOURS.items()), "class_code int, colour string")
     return classified(spark, sf).join(F.broadcast(colours), "class_code").groupBy("colour").agg(F.count("*").alias("pixels"))
 
 

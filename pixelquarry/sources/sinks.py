@@ -33,7 +33,7 @@ def render(px: DataFrame, channels: list[str], scene: str = "scene_id") -> DataF
         image[rows["r"], rows["c"]] = rows[channels].fillna(0).to_numpy()
         return pd.DataFrame({scene: [rows[scene].iloc[0]], "png": [png(image[:, :, 0] if len(channels) == 1 else image)]})
 
-    return px.select(scene, "r", "c", *channels).groupBy(scene).applyInPandas(run, f"{scene} int, png binary")
+    return px.select(scene, "r", "c", *channels).groupBy(scene).applyInPandas(run, f"{scene} {px.schema[scene].dataType.simpleString()}, png binary")
 
 
 def data_uri(image: Column) -> Column:

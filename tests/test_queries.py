@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__
 from pixelquarry.plans import catalog
+from pixelquarry.sources.scenes import pixel_pair, read
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -50,9 +51,22 @@ def test_entry_and_registry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def formatted(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
 def test_plans_push_down_and_prune(spark):
-    """A two-column projection reads two columns, and the ship-date cut reaches the scan."""
-    plan = catalog.queries()["valid_mask"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    """A scan reads the columns that are used, filters reach it, and nothing is paired with all."""
+    plan = formatted(catalog.queries()["valid_mask"](spark, SF))
     assert "l_comment" not in plan and "CartesianProduct" not in plan
-    overlap = catalog.queries()["footprint_overlap"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    late = formatted(read(spark, SF, "lineitem").where("l_shipdate >= TIMESTAMP '1998-05-24'").select("l_orderkey"))
+    assert "GreaterThanOrEqual(l_shipdate" in late and "l_tax" not in late
+    pair = formatted(pixel_pair(spark, SF))
+    assert pair.count("Location: InMemoryFileIndex") == 2  # the lines once for both dates
+    overlap = formatted(catalog.queries()["footprint_overlap"](spark, SF))
     assert "CartesianProduct" not in overlap and "BroadcastNestedLoopJoin" not in overlap
+
+
+def test_parsing_takes_no_shuffle(spark):
+    for name in ("parse_grounding", "vqa_intent", "read_change_question"):
+        assert "Exchange" not in formatted(catalog.queries()[name](spark, SF))
