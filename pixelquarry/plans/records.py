@@ -182,6 +182,13 @@ def scene_head(spark: SparkSession, sf: str) -> DataFrame:
     return _head(spark, sf).select("vec_id", top["name"].alias("best"), F.round(top["probability"], 6).alias("probability"), F.round(margin, 6).alias("margin"))
 
 
+@query("linear_probe")
+def linear_probe(spark: SparkSession, sf: str) -> DataFrame:
+    """The confusion of a probe that is trained on the vectors with an even identifier, over the others."""
+    rows = read(spark, sf, "embeddings")
+    return metrics.confusion(metrics.train_probe(rows.where("vec_id % 2 = 0"), rows.where("vec_id % 2 = 1"), "embedding", "label"), "label", "predicted")
+
+
 @query("scene_sentence", f"{_HEAD} SELECT vec_id, CASE WHEN p >= 0.5 THEN 'This scene is classified as ' || name || ' (' || round(p*100)::BIGINT || '% probability).' ELSE 'This scene is most consistent with ' || name || ', at only ' || round(p*100)::BIGINT || '% probability: treat the category as unsettled.' END AS answer FROM r WHERE k = 1")
 def scene_sentence(spark: SparkSession, sf: str) -> DataFrame:
     ranked = F.transform("ranked", lambda x: F.struct(x["name"].cast("string").alias("name"), x["probability"].alias("probability")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pixelquarry.engine import Engine, Refused, Scene
 from pixelquarry.operators import change, geometry, kernels, language, metrics, neighbourhood, radar, registration, thresholds
-from pixelquarry.sources import datasets, geotiff, sinks
+from pixelquarry.sources import datasets, geotiff, png, sinks
 from pixelquarry.streaming.uploads import uploads
 
 
@@ -136,6 +136,35 @@ def test_upload_stream(spark, tmp_path):
     assert spark.table("uploads").count() == 2
 
 
+def test_png_scan(spark, tmp_path):
+    image = np.random.default_rng(2).integers(0, 256, (6, 9, 3)).astype(np.uint8)
+    (tmp_path / "a.png").write_bytes(sinks.png(image))
+    (tmp_path / "bad.png").write_bytes(b"GIF89a")
+    rows = png.scan_png(spark, str(tmp_path)).collect()
+    assert [r.error_code for r in rows if r.error_code] == ["INVALID_FILE"]
+    assert {(r.r, r.c): tuple(r["values"]) for r in rows if r.r is not None} == {(r, c): tuple(map(int, image[r, c])) for r in range(6) for c in range(9)}
+    # Every row filter, applied by hand.
+    h, w, n = image.shape
+    x = np.pad(image.astype(int), ((1, 0), (1, 0), (0, 0)))
+    left, up, corner = x[1:, :-1], x[:-1, 1:], x[:-1, :-1]
+    off = np.abs(np.stack([up - corner, left - corner, left + up - 2 * corner]))
+    guesses = [np.zeros_like(up), left, up, (left + up) // 2, np.choose(off.argmin(axis=0), [left, up, corner])]
+    body = b"".join(bytes([r % 5]) + ((x[r + 1, 1:] - guesses[r % 5][r]) & 255).astype(np.uint8).tobytes() for r in range(h))
+    plain = sinks.png(image)
+    start = plain.index(b"IDAT")
+    packed = zlib.compress(body)
+    made = plain[: start - 4] + len(packed).to_bytes(4, "big") + b"IDAT" + packed + b"\0\0\0\0" + plain[-12:]
+    assert (png.decode(made) == image).all()
+
+
+def test_linear_probe(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, i % 3, [float(v) for v in rng.normal(0, 0.3, 4) + np.eye(4)[i % 3]]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, label int, v array<double>")
+    found = metrics.train_probe(df.where("id % 2 = 0"), df.where("id % 2 = 1"), "v", "label")
+    assert found.where("label = predicted").count() > 0.9 * found.count() == 0.9 * 150
+
+
 def test_sinks(spark, tmp_path):
     image = np.random.default_rng(0).integers(0, 255, (5, 7)).astype(np.uint8)
     rendered = sinks.render(frame(spark, image), ["x"]).withColumn("uri", sinks.data_uri(F.col("png"))).first()
