@@ -130,32 +130,39 @@ def _pattern(units: list[str]) -> str:
     return r"(\d+(?:\.\d+)?)\s*(" + "|".join(units) + r")\b"
 
 
-def measurements(text: Column) -> Column:
-    """Array of (x, u, k): the numbers, units and bounds that normalised text measures sizes by.
+#: Characters before a measurement in which its comparator stands, and more measurements than fit there.
+WINDOW, NEAR = 40, 14
+
+
+def with_measurements(rows: DataFrame) -> DataFrame:
+    """``rows`` (normalised ``text``) with sizes: array of (x, u, k), the numbers, units and bounds that
+    the text measures sizes by.
 
     A measurement counts if a comparator stands in the 40 characters before it; the nearest one
     governs, the longest of those that end at one place; without one the bound is null.
     """
-    area = list(lexicon.AREA_UNITS)
-    pattern = _pattern(area + list(lexicon.PIXEL_UNITS))
-    found = F.regexp_extract_all(text, F.lit("(" + pattern + ")"), 1)
+    pattern = _pattern([*lexicon.AREA_UNITS, *lexicon.PIXEL_UNITS])
+    # Columns of their own, so that a measurement's step doesn't take the text apart again.
+    cut = rows.withColumns({"_found": F.regexp_extract_all("text", F.lit("(" + pattern + ")"), 1), "_between": F.split("text", pattern, -1)})
+    found, between = F.col("_found"), F.col("_between")
     number, unit = (lambda m: F.regexp_extract(m, pattern, 1).cast("double")), (lambda m: F.regexp_extract(m, pattern, 2))
-    between = F.split(text, pattern, -1)
     # Read backwards, the nearest phrase comes first.
     backwards = {kind: tuple(p[::-1] for p in phrases) for kind, phrases in lexicon.COMPARATORS.items()}
     nearest = any_of(_all_phrases(backwards))[2:-2]
 
     def governed(k: Column) -> Column:
         """The bound that stands before measurement ``k``, counted from 0."""
-        pairs = F.zip_with(F.slice(between, F.lit(1), k), F.slice(found, F.lit(1), k), lambda a, b: F.concat(a, b))
-        before = F.right(F.concat(F.array_join(pairs, ""), F.get(between, k)), F.lit(40))
+        n = F.least(k, F.lit(NEAR))
+        pairs = F.zip_with(F.slice(between, k - n + 1, n), F.slice(found, k - n + 1, n), lambda a, b: F.concat(a, b))
+        before = F.right(F.concat(F.array_join(pairs, ""), F.get(between, k)), F.lit(WINDOW))
         return _named(F.regexp_extract(F.reverse(before), nearest, 1), backwards)
 
-    return F.transform(found, lambda m, k: F.struct(number(m).alias("x"), unit(m).alias("u"), governed(k).alias("k")))
+    sizes = F.transform(found, lambda m, k: F.struct(number(m).alias("x"), unit(m).alias("u"), governed(k).alias("k")))
+    return cut.withColumn("sizes", sizes).drop("_found", "_between")
 
 
 def size_bounds(sizes: Column) -> dict[str, Column]:
-    """min_area_m2, max_area_m2, min_pixels and max_pixels of ``measurements``; the last one of a
+    """min_area_m2, max_area_m2, min_pixels and max_pixels of ``sizes``; the last one of a
     kind wins."""
     factor = F.create_map(*[F.lit(x) for u, f in lexicon.AREA_UNITS.items() for x in (u, float(f))])
     is_pixel = lambda p: p["u"].isin(*lexicon.PIXEL_UNITS)
@@ -177,11 +184,17 @@ AREA_PHRASES = ("how much", "what area", "total area", "how large", "how big")
 LONGEST_QUERY = 1000
 
 
-def _refusal(query: Column, text: Column) -> Column:
+def _read(requests: DataFrame) -> DataFrame:
+    """request_id, query, text (normalised), and the first relation and object without a detector in it."""
+    rows = requests.select("request_id", F.col("query"), normalise(F.coalesce("query", F.lit(""))).alias("text"))
+    found = {"relation": first_phrase(F.col("text"), lexicon.RELATIONS), "unsupported": first_phrase(F.col("text"), lexicon.UNSUPPORTED)}
+    return rows.withColumns(found)
+
+
+def _refusal() -> Column:
     """Why a request can't be read at all: empty, too long, or about what nothing here measures."""
-    error = F.when(F.coalesce(F.trim(query), F.lit("")) == "", "empty").when(F.length(query) > LONGEST_QUERY, "too_long")
-    error = error.when(first_phrase(text, lexicon.RELATIONS).isNotNull(), "spatial_relation")
-    return error.when(first_phrase(text, lexicon.UNSUPPORTED).isNotNull(), "unsupported_object")
+    error = F.when(F.coalesce(F.trim("query"), F.lit("")) == "", "empty").when(F.length("query") > LONGEST_QUERY, "too_long")
+    return error.when(F.col("relation").isNotNull(), "spatial_relation").when(F.col("unsupported").isNotNull(), "unsupported_object")
 
 
 def parse_grounding(requests: DataFrame) -> DataFrame:
@@ -194,8 +207,7 @@ def parse_grounding(requests: DataFrame) -> DataFrame:
     over a frame word; both superlatives at once cancel out. Only the error is set of what is refused.
     A row's words decide alone: there is no join.
     """
-    rows = requests.select("request_id", F.col("query"), normalise(F.coalesce("query", F.lit(""))).alias("text"))
-    rows = rows.withColumns({"phrases": target_phrases(F.col("text")), "sizes": measurements(F.col("text"))})
+    rows = with_measurements(_read(requests).withColumn("phrases", target_phrases(F.col("text"))))
     longest = F.array_max(F.transform("phrases", lambda p, k: F.struct(F.length(p).alias("n"), (-k).alias("k"), p.alias("p"))))["p"]
     classes = F.array_distinct(F.transform("phrases", lambda p: _named(p, lexicon.TARGETS)))
     rows = rows.withColumns({"phrase": longest, "classes": classes})
@@ -206,16 +218,15 @@ def parse_grounding(requests: DataFrame) -> DataFrame:
     numbers = {w: i + 1 for i, w in enumerate(lexicon.NUMBER_WORDS)}
     before = any_of([r"\d+", *numbers])[2:-2] + r"\s+" + any_of([*lexicon.LARGEST, *lexicon.SMALLEST])[2:]
     count = F.regexp_extract("text", r"\b" + before, 1)
-    as_number = F.coalesce(*[F.when(count == w, n) for w, n in numbers.items()], count.try_cast("int"))
-    relation, unsupported = first_phrase(F.col("text"), lexicon.RELATIONS), first_phrase(F.col("text"), lexicon.UNSUPPORTED)
-    error = _refusal(F.col("query"), F.col("text")).when(F.size("classes") == 0, "no_target").when(F.size("classes") > 1, "several_targets")
-    rows = rows.withColumns({"error": error, "compass": compass, "frame": frame, "superlative": superlative})
+    as_number = F.coalesce(*[F.when(F.col("count") == w, n) for w, n in numbers.items()], F.col("count").try_cast("int"))
+    error = _refusal().when(F.size("classes") == 0, "no_target").when(F.size("classes") > 1, "several_targets")
+    rows = rows.withColumns({"error": error, "compass": compass, "frame": frame, "superlative": superlative, "count": count})
     ok = lambda c: F.when(F.col("error").isNull(), c)
     said = lambda phrases: F.greatest(*[F.contains("text", F.lit(p)) for p in phrases])
     return rows.select(
         "request_id",
         "error",
-        F.when(F.col("error") == "spatial_relation", relation).when(F.col("error") == "unsupported_object", unsupported).alias("refused"),
+        F.when(F.col("error") == "spatial_relation", F.col("relation")).when(F.col("error") == "unsupported_object", F.col("unsupported")).alias("refused"),
         ok(F.col("classes")[0]).alias("target"),
         ok(F.col("phrase")).alias("target_phrase"),
         ok(F.coalesce(_named(F.col("compass"), lexicon.COMPASS), _named(F.col("frame"), lexicon.FRAME))).alias("sector"),
@@ -236,12 +247,12 @@ def vqa_intent(requests: DataFrame) -> DataFrame:
     error and the intent ``refused``; so has one that names no class and doesn't ask for a whole
     description. A location word inside a target phrase names no place.
     """
-    rows = requests.select("request_id", F.col("query"), normalise(F.coalesce("query", F.lit(""))).alias("text"))
+    rows = _read(requests)
     named = F.array_distinct(F.transform(target_phrases(F.col("text")), lambda p: _named(p, lexicon.TARGETS)))
     rows = rows.withColumns({"targets": named, "blank": F.regexp_replace("text", any_of(_all_phrases(lexicon.TARGETS)), "  ")})
     has = lambda cue, text="text": first_phrase(F.col(text), lexicon.CUES[cue]).isNotNull()
     n = F.size("targets")
-    error = _refusal(F.col("query"), F.col("text")).when((n == 0) & ~has("composition"), "no_target")
+    error = _refusal().when((n == 0) & ~has("composition"), "no_target")
     intent = F.when(F.col("error").isNotNull(), "refused").when(n == 0, "composition").when(n > 1, "comparison")
     intent = intent.when(has("count") & ~has("quantity"), "count").when(has("location", "blank"), "location")
     intent = intent.when(has("quantity") | has("composition"), "quantity").otherwise("presence")
