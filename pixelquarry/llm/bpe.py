@@ -1,7 +1,7 @@
 """BPE encoding and decoding by a distinct-word table.
 
-Spark splits the texts into words, and each distinct word is encoded once, wherever it occurs. A
-block is a bounded batch of documents. One pass over the texts sends each block's distinct words to
+Spark parts the texts' words by single blanks, tasks cut them there by array operations, and each
+distinct word is encoded once, wherever it occurs. A block is a bounded batch of documents. One pass over the texts sends each block's distinct words to
 a word table, dealt by the words' hash; another turns the block's words into positions in its own
 list of distinct ones. The words' ids travel back to the block and are put where its positions say.
 The ids that the table holds are joined with the id-to-piece table, and a text is decoded from the
@@ -43,7 +43,7 @@ BUCKET_BYTES, BUCKETS = 20_000_000, 1024
 #: Scan partitions whose blocks share a word table.
 REGION = 256
 #: Rows that are cut into words together, and words whose digests are worked out together.
-ROWS, SLICE = 1024, 500_000
+ROWS, SLICE = 1024, 250_000
 _ROWS = pa.schema([("region", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("seal", pa.int64()), ("payload", pa.binary())])
 _ROWS_DDL = "region int, block long, bucket int, seal long, payload binary"
 #: The bucket number of a block's own row, and of the row that brings its pieces.
@@ -168,17 +168,20 @@ class _Block:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, _Block]]:
-    """Cut a scan of (id, words) into blocks: region, number (by partition and place in it), block."""
+    """Cut a scan of (id, text) into blocks: region, number (by partition and place in it), block.
+
+    Spark has parted the words of a text by single blanks.
+    """
     part = TaskContext.get().partitionId()
     number, size = part << 24, 0
     ids: list[int | None] = []
     lengths: list[np.ndarray] = []
     words: list[pa.Array] = []
     for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
-        found, documents = batch.column(1).flatten(), batch.column(0).to_pylist()
-        ends = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy(), dtype=np.int64)
+        lists, documents = pc.split_pattern(batch.column(1), " "), batch.column(0).to_pylist()
+        found, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64)
         bytes_of = pc.binary_length(found).to_numpy()
-        real = np.concatenate(([0], np.cumsum(bytes_of > 0)))[ends]  # splitting leaves empty ones at ends
+        real = np.concatenate(([0], np.cumsum(bytes_of > 0)))[ends]  # a blank at an end leaves an empty one
         found = found.filter(pa.array(bytes_of > 0))
         upto = np.concatenate(([0], np.cumsum(bytes_of, dtype=np.int64)))[ends]
         at, first, before = 0, 0, 0
@@ -192,6 +195,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, _Bloc
             if size >= BLOCK_BYTES:
                 yield part // REGION, number, _Block(ids, lengths, words)
                 number, size, ids, lengths, words = number + 1, 0, [], [], []
+                pa.default_memory_pool().release_unused()
     if ids:
         yield part // REGION, number, _Block(ids, lengths, words)
 
@@ -344,6 +348,7 @@ def _digest(with_ids: bool):
                 _hashes(_texts_of(decoded, words, ends)),
             ]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays([*columns, *[ids] * with_ids], names=[*names, *["ids"] * with_ids])
 
     return run
@@ -366,7 +371,7 @@ def encoded_blocks(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """
     check_tokenizer(path)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = docs.select(F.col(id_col).cast("long").alias("id"), F.split(text, _BLANKS).alias("words"))
+    words = docs.select(F.col(id_col).cast("long").alias("id"), F.regexp_replace(text, _BLANKS, " ").alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n")).first()["n"]
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
     buckets = min(BUCKETS, buckets)
