@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pixelquarry.llm.bpe import encode_digest
 from pixelquarry.llm.chat_format import chat_digest, with_probe
+from pixelquarry.llm.clustering import cluster
 from pixelquarry.llm.common import table
 from pixelquarry.llm.exact_dedup import exact_dedup
 from pixelquarry.llm.language_id import identify
 from pixelquarry.llm.mixing import mix_sources
+from pixelquarry.llm.prefix_trie import conversation_trie
 from pixelquarry.llm.simhash import simhash_components
 from pixelquarry.llm.substring_dedup import repeats_digest
+from pixelquarry.llm.token_counts import token_counts
 from pixelquarry.llm.token_files import read_token_files, write_token_files
 from pixelquarry.llm.topk_search import top_k
 from pixelquarry.llm.url_filters import url_filter
@@ -68,6 +71,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -80,6 +95,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": op8_token_files,
         "op9_url_filters": op9_url_filters,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_token_counts": op11_token_counts,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_centroid_clustering": op13_centroid_clustering,
     }
 
 
@@ -154,5 +172,85 @@ SELECT p.page_id, host, path, rule, coalesce(f.verdict, 'allow') AS verdict FROM
 """
 
 
+# DuckDB has no CRC-32: eight shifts for each digit of the identifier, with the polynomial reversed.
+_OP12 = r"""
+WITH o AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, role, text) AS t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), h AS (
+  SELECT conv_id, t, xor(4294967295::BIGINT, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+      lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1))))) % 6 AS h
+  FROM o
+), r AS (
+  SELECT h.conv_id, list_concat(coalesce(b.t[1:h.h], []), h.t[h.h + 1:]) AS t
+  FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 100
+), p AS (
+  SELECT conv_id, d, t[1:d] AS path, len(t) = d AS ends FROM r, LATERAL (SELECT unnest(range(0, len(t) + 1)) AS d)
+), n AS (
+  SELECT path, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256,
+    CASE WHEN d > 0 THEN (count(*) - 1) * length(path[d].text) ELSE 0 END AS saved
+  FROM p GROUP BY path, d
+), c AS (
+  SELECT path[1:depth - 1] AS parent, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY parent
+), k AS (
+  SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM n LEFT JOIN c ON c.parent = n.path
+), a AS (
+  SELECT path[1:u] AS top, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM k, LATERAL (SELECT unnest(range(0, depth + 1)) AS u) GROUP BY top
+)
+SELECT k.conv_id, k.depth, q.conv_id AS parent_conv_id, k.n_convs, k.n_children, a.n_leaves,
+  a.saved_tokens::BIGINT AS saved_tokens, k.ends_sha256
+FROM k JOIN a ON a.top = k.path LEFT JOIN k q ON k.depth > 0 AND q.path = k.path[1:k.depth - 1]
+"""
+
+
+def _op13(rounds: int = 3) -> str:
+    """Each round: the nearest centroid of each vector, and the floor of each component's mean."""
+    steps = [
+        """v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""",
+        """c0 AS (
+  SELECT (row_number() OVER (ORDER BY h, q) - 1)::INT AS c, q AS m
+  FROM (SELECT sha256('1:' || vec_id::VARCHAR) AS h, q FROM v WHERE vec_id IS NOT NULL ORDER BY h, q LIMIT 16)
+)""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""d{i} AS (
+  SELECT vec_id, q, c, list_sum(list_transform(range(1, 65), lambda j: (q[j] - m[j]) * (q[j] - m[j])))::BIGINT AS distance FROM v, c{i}
+), a{i} AS (
+  SELECT vec_id, q, c AS cluster, distance FROM d{i}
+  QUALIFY row_number() OVER (PARTITION BY vec_id, q ORDER BY distance, c) = 1
+)""")
+        if i < rounds:
+            steps.append(f"""s{i} AS (
+  SELECT cluster, j, sum(q[j])::BIGINT AS s, count(*) AS n FROM a{i}, (SELECT unnest(range(1, 65)) AS j) GROUP BY cluster, j
+), c{i + 1} AS (
+  SELECT c, coalesce(f, m) AS m FROM c{i} LEFT JOIN (
+    SELECT cluster, list((s - (s % n + n) % n) // n ORDER BY j) AS f FROM s{i} GROUP BY cluster
+  ) ON cluster = c
+)""")
+    return (
+        "WITH "
+        + ", ".join(steps)
+        + f"""
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+  (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c = cluster
+"""
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": _OP3, "op4_topk_search": _OP4, "op6_chat_format": _OP6, "op9_url_filters": _OP9}
+    return {
+        "op3_exact_dedup": _OP3,
+        "op4_topk_search": _OP4,
+        "op6_chat_format": _OP6,
+        "op9_url_filters": _OP9,
+        "op12_prefix_trie": _OP12,
+        "op13_centroid_clustering": _op13(),
+    }
