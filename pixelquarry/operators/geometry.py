@@ -107,26 +107,6 @@ def overlapping(scenes: DataFrame, cell: float) -> DataFrame:
     return pairs.where(corner).select(F.col("scene_id1").alias("left"), F.col("scene_id2").alias("right"), share.alias("overlap")).where("overlap > 0")
 
 
-def utm_to_wgs84(easting: Column, northing: Column, zone: Column, north: Column) -> tuple[Column, Column]:
-    """Longitude and latitude in degrees, by the Krueger series to the fourth order."""
-    n = FLATTENING / (2 - FLATTENING)
-    radius = SEMI_MAJOR / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
-    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
-    xi = (northing - F.when(north, 0.0).otherwise(10_000_000.0)) / (SCALE * radius)
-    eta = (easting - 500_000.0) / (SCALE * radius)
-    xi1, eta1 = xi, eta
-    for k, b in enumerate(beta, 1):
-        xi1 = xi1 - b * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
-        eta1 = eta1 - b * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
-    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
-    lat = chi
-    for k, d in enumerate(delta, 1):
-        lat = lat + d * F.sin(2 * k * chi)
-    lon = F.atan2(F.sinh(eta1), F.cos(xi1)) + (zone * 6 - 183) * (math.pi / 180)
-    return F.degrees(lon), F.degrees(lat)
-
-
 def geodesic_cell_area(lat: Column, dlon: float, dlat: float) -> Column:
     """Square metres of a cell of degrees around a latitude, by the ellipsoid's zone areas."""
     e2 = FLATTENING * (2 - FLATTENING)

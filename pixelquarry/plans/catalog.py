@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelquarry.plans import answers, language, pictures, records, scenes, spectral
+from pixelquarry.plans import answers, language, pictures, projection, records, scenes, spectral
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (spectral, scenes, language, answers, records, pictures)
+_MODULES = (spectral, scenes, language, answers, records, projection, pictures)
 
 
 def queries() -> dict[str, Query]:

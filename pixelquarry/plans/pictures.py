@@ -10,7 +10,6 @@ from pixelquarry.operators import geometry, kernels, landcover, neighbourhood, p
 from pixelquarry.operators.staging import staged
 from pixelquarry.plans import scenes as scenes_plan
 from pixelquarry.plans import sql
-from pixelquarry.plans.records import scenes as footprints
 from pixelquarry.sources.scenes import BANDS, pixel_grid, pixel_pair
 
 QUERIES: dict = {}
@@ -81,19 +80,6 @@ def thumbnail(spark: SparkSession, sf: str) -> DataFrame:
     return pictures.thumbnail(_heat(spark, sf), ["red8", "green8", "blue8"], 5)
 
 
-@query("resample", f"""WITH p AS (SELECT scene_id, r, c, vv, nir FROM ({sql.PX})), g AS (SELECT scene_id, r, c, (15*(r+0.5)+7)/10.0 - 0.5 AS y, (15*(c+0.5)+4)/10.0 - 0.5 AS x FROM p WHERE r < 30 AND c < 80),
-n AS (SELECT g.scene_id, g.r, g.c, (CASE WHEN i = 1 THEN y-floor(y) ELSE 1-(y-floor(y)) END)*(CASE WHEN j = 1 THEN x-floor(x) ELSE 1-(x-floor(x)) END) AS w, floor(y)::INT + i AS pr, floor(x)::INT + j AS pc FROM g, range(2) a(i), range(2) b(j)),
-m AS (SELECT n.*, vv, nir FROM n LEFT JOIN p ON p.scene_id = n.scene_id AND p.r = pr AND p.c = pc WHERE w > 0)
-SELECT scene_id, r, c, round(CASE WHEN count(vv) = count(*) THEN sum(w*vv) END, 6) AS vv, round(CASE WHEN count(nir) = count(*) THEN sum(w*nir) END, 6) AS nir FROM m GROUP BY ALL""")
-def resample(spark: SparkSession, sf: str) -> DataFrame:
-    """Scenes of ten-metre pixels on a grid of fifteen, a little off."""
-    px = pixel_grid(spark, sf)
-    array = lambda *v: F.array(*[F.lit(float(x)) for x in v])
-    grid = px.where("r < 30 AND c < 80").select("scene_id", "r", "c")
-    found = registration.resampled(px, grid, ["vv", "nir"], array(10, 0, 0, 0, -10, 0), array(15, 0, 4, 0, -15, -7))
-    return found.withColumns({b: F.round(b, 6) for b in ("vv", "nir")})
-
-
 _LONLAT = "(s_suppkey*37 % 997)/10.0 - 49.0 AS lon, (s_suppkey*61 % 991)/15.0 - 33.0 AS lat, (s_suppkey % 7 + 1)/10.0 AS d"
 
 
@@ -107,15 +93,6 @@ def ring_area(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("scene_id", F.round(geometry.ring_area(ring) / 1e6, 4).alias("km2"))
 
 
-@query("wgs84_bounds")
-def wgs84_bounds(spark: SparkSession, sf: str) -> DataFrame:
-    """The box in degrees that holds a projected scene's four corners."""
-    corners = [geometry.utm_to_wgs84(700000 + F.col(x) * 100, 2100000 + F.col(y) * 100, F.lit(43), F.lit(True)) for x in ("minx", "maxx") for y in ("miny", "maxy")]
-    lons, lats = zip(*corners)
-    ends = {"west": F.least(*lons), "south": F.least(*lats), "east": F.greatest(*lons), "north": F.greatest(*lats)}
-    return footprints(spark, sf).select("scene_id", *[F.round(c, 8).alias(n) for n, c in ends.items()])
-
-
 @query("index_features", "WITH s AS (SELECT s_suppkey AS pair_id, CASE WHEN s_suppkey % 2 = 0 THEN ['ndvi', 'ndwi', 'mndwi', 'ndbi'] WHEN s_suppkey % 3 = 0 THEN ['ndvi', 'ndwi'] ELSE ['exg'] END AS a, CASE WHEN s_suppkey % 5 = 0 THEN ['ndvi', 'ndwi'] WHEN s_suppkey % 7 = 0 THEN [] ELSE ['ndvi', 'ndwi', 'mndwi', 'ndbi', 'exg'] END AS b FROM supplier), "
        "x AS (SELECT pair_id, list_intersect(a, b) AS l FROM s) SELECT pair_id, concat_ws(',', CASE WHEN list_contains(l, 'ndvi') THEN 'ndvi' END, CASE WHEN list_contains(l, 'mndwi') THEN 'mndwi' WHEN list_contains(l, 'ndwi') THEN 'ndwi' END, CASE WHEN list_contains(l, 'ndbi') THEN 'ndbi' END) AS features FROM x")
 def index_features(spark: SparkSession, sf: str) -> DataFrame:

@@ -98,12 +98,6 @@ def pair_strategy(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select("left", "right", strategy.alias("strategy"), geometry.pair_warning(both, F.col("overlap")).alias("warning"))
 
 
-@query("wgs84_centres")
-def wgs84_centres(spark: SparkSession, sf: str) -> DataFrame:
-    lon, lat = geometry.utm_to_wgs84(700000 + F.col("minx") * 100, 2100000 + F.col("miny") * 100, F.lit(43), F.lit(True))
-    return scenes(spark, sf).select("scene_id", F.round(lon, 8).alias("lon"), F.round(lat, 8).alias("lat"), F.round(geometry.geodesic_cell_area(lat, 0.001, 0.001), 4).alias("cell_m2"))
-
-
 @query("mask_metrics", "WITH c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS tp, count(*) FILTER (quality <> 1 AND toxic = 0) AS fp, count(*) FILTER (quality = 1 AND toxic <> 0) AS fn, count(*) FILTER (quality <> 1 AND toxic <> 0) AS tn FROM labels) "
        "SELECT *, round(tp/nullif(tp+fp, 0)::DOUBLE, 6) AS precision, round(tp/nullif(tp+fn, 0)::DOUBLE, 6) AS recall, round(2*tp/nullif(2*tp+fp+fn, 0)::DOUBLE, 6) AS f1, round(tp/nullif(tp+fp+fn, 0)::DOUBLE, 6) AS iou, round(2*tp/nullif(2*tp+fp+fn, 0)::DOUBLE, 6) AS dice FROM c")
 def mask_metrics(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelquarry.engine import Engine, Refused, Scene
-from pixelquarry.operators import change, geometry, kernels, language, metrics, neighbourhood, radar, registration, thresholds
+from pixelquarry.operators import change, geometry, kernels, language, metrics, neighbourhood, projection, radar, registration, thresholds
 from pixelquarry.sources import datasets, geotiff, png, sinks
 from pixelquarry.streaming.uploads import uploads
 
@@ -81,7 +81,7 @@ def test_change_types(spark):
 
 
 def test_geometry(spark):
-    lon, lat = geometry.utm_to_wgs84(F.lit(500000.0), F.lit(0.0), F.lit(31), F.lit(True))
+    lon, lat = projection.utm_to_wgs84(F.lit(500000.0), F.lit(0.0), F.lit(31), F.lit(True))
     area = geometry.geodesic_cell_area(F.lit(0.0), 1.0, 1.0)
     row = spark.range(1).select(lon.alias("lon"), lat.alias("lat"), area.alias("area")).first()
     assert row.lon == pytest.approx(3.0) and row.lat == pytest.approx(0.0)
@@ -235,7 +235,7 @@ def test_resampling_to_another_grid(spark):
     fine = np.add.outer(np.arange(12.0), 2 * np.arange(16.0))
     grid = frame(spark, np.zeros((5, 7)))
     array = lambda *v: F.array(*[F.lit(float(x)) for x in v])
-    got = back(registration.resampled(frame(spark, fine), grid, ["x"], array(10, 0, 100, 0, -10, 500), array(20, 0, 110, 0, -20, 490)).fillna(-1.0), "x", (5, 7))
+    got = back(projection.warped(frame(spark, fine), grid, ["x"], array(10, 0, 100, 0, -10, 500), array(20, 0, 110, 0, -20, 490)).fillna(-1.0), "x", (5, 7))
     # The centre of a coarse pixel is the corner that four fine ones share, one row and column in.
     want = np.array([[2 * r + 1.5 + 2 * (2 * c + 1.5) for c in range(7)] for r in range(5)])
     assert np.allclose(got, want)
