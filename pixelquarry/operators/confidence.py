@@ -1,35 +1,56 @@
-"""Confidence from factors: a weighted mean that no gate may exceed."""
+"""Confidence from factors: a weighted mean that no gate may exceed.
+
+An analysis's factors are an array in its row, and all that is said of them is folded there.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelquarry.functions.binding import bound
+
 #: Weights of the shared factors, and least scores of the levels (fixed values).
 WEIGHTS = {"evidence": 0.45, "quality": 0.25, "registration": 0.20, "attribution": 0.15, "warnings": 0.10}
+FACTORS = "array<struct<name:string,value:double,weight:double,kind:string,reason:string>>"
 LEVELS = (("high", 0.75), ("medium", 0.50), ("low", 0.25))
 
 
-def aggregate(factors: DataFrame, by: list[str]) -> DataFrame:
-    """by, score, level, limiting_factor for ``factors`` (name, value, weight, kind, ord).
+def clamped(value: Column) -> Column:
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), value))
+
 
-    The score is the weighted mean, or the lowest gate if that is lower. The limiting factor is the
-    lowest gate below the mean, else the lowest factor that has a weight; the first one in order on
-    ties. Without factors there is no row and the answer is insufficient.
+def folded(factors: Column) -> Column:
+    """score, level, limiting_factor and reasons of an array of factors, as a struct; null factors have none.
+
+    The score is the weighted mean (the plain mean where no factor has weight), or the lowest gate if
+    that is lower. The limiting factor is the lowest gate below the mean, else the lowest factor that
+    has weight, else the lowest of all; the first one in order on ties. Reasons say what the factors
+    say, weakest first. Without factors the score is 0 and the answer insufficient.
     """
-    value = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value")))
-    rows = factors.withColumn("value", value)
-    gate, weighted = F.col("kind") == "gate", F.col("weight") > 0
-    agg = rows.groupBy(*by).agg(
-        F.try_divide(F.sum(F.col("value") * F.col("weight")), F.sum("weight")).alias("mean"),
-        F.min(F.when(gate, F.col("value"))).alias("gate"),
-        F.min_by("name", F.when(gate, F.struct("value", "ord"))).alias("gate_name"),
-        F.min_by("name", F.when(weighted, F.struct("value", "ord"))).alias("low_name"),
-    )
-    mean = F.coalesce("mean", F.lit(0.0))
-    score = F.least(mean, F.coalesce("gate", mean))
-    limiting = F.when(F.col("gate") < mean, F.col("gate_name")).otherwise(F.col("low_name"))
-    return agg.select(*by, score.alias("score"), level(score).alias("level"), limiting.alias("limiting_factor"))
+    ranked = lambda f, k: F.struct(clamped(f["value"]).alias("v"), k.alias("k"), f["name"].alias("name"), F.greatest(f["weight"], F.lit(0.0)).alias("w"), (f["kind"] == "gate").alias("gate"), f["reason"].alias("reason"))
+    total = lambda x, of: F.aggregate(x, F.lit(0.0), lambda s, f: s + of(f))
+
+    def weighed(p: Column) -> Column:
+        x = p["x"]
+        weight = total(x, lambda f: f["w"])
+        mean = F.when(weight > 0, total(x, lambda f: f["v"] * f["w"]) / weight).otherwise(F.try_divide(total(x, lambda f: f["v"]), F.size(x)))
+        order = F.array_sort(x)
+        first = lambda test: F.get(F.filter(order, test), F.lit(0))
+        low = F.coalesce(first(lambda f: f["w"] > 0), F.get(order, F.lit(0)))
+        return bound(judged, mean=F.coalesce(mean, F.lit(0.0)), gate=first(lambda f: f["gate"]), low=low, said=F.transform(order, lambda f: f["reason"]))
+
+    def judged(p: Column) -> Column:
+        score = F.least(p["mean"], F.coalesce(p["gate"]["v"], p["mean"]))
+        limiting = F.when(p["gate"]["v"] < p["mean"], p["gate"]["name"]).otherwise(p["low"]["name"])
+        return F.struct(score.alias("score"), level(score).alias("level"), limiting.alias("limiting_factor"), p["said"].alias("reasons"))
+
+    return bound(weighed, x=F.transform(F.coalesce(factors, F.array().cast(FACTORS)), ranked))
+
+
+def assessed(df: DataFrame, factors: Column) -> DataFrame:
+    """``df`` with score, level, limiting_factor and reasons; no row moves."""
+    return df.withColumn("_folded", folded(factors)).select("*", "_folded.*").drop("_folded")
 
 
 def level(score: Column) -> Column:
@@ -53,13 +74,12 @@ def factor(name: str, value: Column, weight: float, kind: str = "contributor", r
     """A factor as a struct; ``reason`` says what was measured (default: name and value)."""
     value = value.cast("double")
     said = F.format_string(name.replace("_", " ") + " scored %.2f", F.round(value, 2)) if reason is None else reason
-    return F.struct(F.lit(name).alias("name"), value.alias("value"), F.lit(weight).alias("weight"), F.lit(kind).alias("kind"), said.alias("reason"))
+    return F.struct(F.lit(name).alias("name"), value.alias("value"), F.lit(float(weight)).alias("weight"), F.lit(kind).alias("kind"), said.alias("reason"))
 
 
-def exploded(df: DataFrame, by: list[str], factors: list[Column]) -> DataFrame:
-    """One row for each factor whose value is known, in order."""
-    known = F.filter(F.array(*factors), lambda f: f["value"].isNotNull())
-    return df.select(*by, F.posexplode(known).alias("ord", "f")).select(*by, "ord", "f.*")
+def known(*factors: Column) -> Column:
+    """The factors whose value is known, in order."""
+    return F.filter(F.array(*factors), lambda f: f["value"].isNotNull())
 
 
 def shared(df: DataFrame) -> list[Column]:
@@ -74,7 +94,7 @@ def registration_score(offset: Column, ncc: Column, response: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), part))
 
 
-def for_change(df: DataFrame, by: list[str]) -> DataFrame:
+def for_change(df: DataFrame) -> Column:
     """Factors of a change result: bimodality, corroborated, registration, threshold_quality,
     attribution (null where no conversion is named), n_warnings."""
     evidence = F.least(bimodality_signal(F.col("bimodality")), F.col("corroborated"))
@@ -85,64 +105,54 @@ def for_change(df: DataFrame, by: list[str]) -> DataFrame:
     ]
     if "attribution" in df.columns:
         own.append(factor("semantic_attribution", F.col("attribution"), WEIGHTS["attribution"]))
-    return exploded(df, by, own + shared(df))
+    return known(*own, *shared(df))
 
 
-def for_landcover(df: DataFrame, by: list[str]) -> DataFrame:
+def for_landcover(df: DataFrame) -> Column:
     """Factors of a land-cover result: separability, n_warnings."""
-    return exploded(df, by, [factor("class_separability", F.col("separability"), WEIGHTS["evidence"], "gate"), *shared(df)])
+    return known(factor("class_separability", F.col("separability"), WEIGHTS["evidence"], "gate"), *shared(df))
 
 
-def for_sar(df: DataFrame, by: list[str]) -> DataFrame:
+def for_sar(df: DataFrame) -> Column:
     """Factors of a radar result: prominence (null: nothing separated), speckle_reduction, n_warnings."""
     separation = F.coalesce(F.least(F.col("prominence") / 0.5, F.lit(1.0)), F.lit(0.6))
     speckle = F.least(F.col("speckle_reduction") / 2, F.lit(1.0))
-    return exploded(df, by, [factor("regime_separation", separation, WEIGHTS["evidence"]), factor("speckle_reduction", speckle, WEIGHTS["registration"]), *shared(df)])
+    return known(factor("regime_separation", separation, WEIGHTS["evidence"]), factor("speckle_reduction", speckle, WEIGHTS["registration"]), *shared(df))
 
 
-def for_fusion(df: DataFrame, by: list[str]) -> DataFrame:
+def for_fusion(df: DataFrame) -> Column:
     """Factors of a fused result: corroborated, agreement, registration, n_warnings."""
     own = [
         factor("corroboration", F.col("corroborated"), WEIGHTS["evidence"], "gate"),
         factor("sensor_agreement", F.col("agreement"), WEIGHTS["quality"]),
         factor("registration", F.col("registration"), WEIGHTS["registration"]),
     ]
-    return exploded(df, by, own + shared(df))
+    return known(*own, *shared(df))
 
 
-def for_grounding(df: DataFrame, by: list[str]) -> DataFrame:
+def for_grounding(df: DataFrame) -> Column:
     """Factors of a grounding: separability, count_reportable, n_warnings. A count that is withheld
     is a reason without weight: the extent is as sure as ever."""
     own = [factor("class_separability", F.col("separability"), WEIGHTS["evidence"], "gate"), *shared(df)]
     withheld = factor("count_reportable", F.when(~F.col("count_reportable"), 1.0), 0.0, reason=F.lit("the number of regions is withheld"))
-    return exploded(df, by, [own[0], own[1], withheld, *own[2:]])
+    return known(own[0], own[1], withheld, *own[2:])
 
 
-def for_scene(df: DataFrame, by: list[str]) -> DataFrame:
+def for_scene(df: DataFrame) -> Column:
     """Factors of a learned scene class: probability, margin, test_accuracy and separability (null:
     not measured), n_warnings."""
     own = [factor("model_probability", F.col("probability"), WEIGHTS["evidence"], "gate"), factor("model_margin", F.col("margin"), WEIGHTS["attribution"])]
     rest = [factor("model_test_accuracy", F.col("test_accuracy"), WEIGHTS["attribution"]), factor("class_separability", F.col("separability"), WEIGHTS["registration"])]
-    return exploded(df, by, own + shared(df)[:1] + rest + shared(df)[1:])
-
-
-def reasons(factors: DataFrame, by: list[str]) -> DataFrame:
-    """by, reasons: what the factors say, weakest first, ties in their order."""
-    value = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value")))
-    rows = factors.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(value.alias("v"), "ord", "reason"))).alias("l"))
-    return rows.select(*by, F.transform("l", lambda x: x["reason"]).alias("reasons"))
-
-
-def evidence(lines: DataFrame, factors: DataFrame, by: list[str]) -> DataFrame:
-    """by, ord, type, source, value, description: an analysis's lines (by, tool, lines) as
-    observations, then its factors as measurements, or as quality where they gate."""
-    said = lines.select(*by, "tool", F.posexplode("lines").alias("ord", "description"))
-    observed = said.select(*by, "ord", F.lit("observation").alias("type"), F.col("tool").alias("source"), F.lit(None).cast("double").alias("value"), "description")
-    known = factors.join(lines.select(*by, "tool", F.size("lines").alias("n")), by)
-    kind = F.when(F.col("kind") == "gate", "quality").otherwise("measurement")
-    value = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value")))
-    measured = known.select(*by, (F.col("n") + F.col("ord")).alias("ord"), kind.alias("type"), F.concat_ws(":", "tool", "name").alias("source"), value.alias("value"), F.col("reason").alias("description"))
-    return observed.unionByName(measured)
+    return known(*own, *shared(df)[:1], *rest, *shared(df)[1:])
+
+
+def evidence(lines: Column, tool: Column, factors: Column) -> Column:
+    """An analysis's lines as observations, then its factors as measurements, or as quality where they
+    gate: an array of type, source, value, description."""
+    item = lambda kind, source, value, said: F.struct(kind.alias("type"), source.alias("source"), value.alias("value"), said.alias("description"))
+    observed = F.transform(lines, lambda x: item(F.lit("observation"), tool, F.lit(None).cast("double"), x))
+    measured = F.transform(factors, lambda f: item(F.when(f["kind"] == "gate", "quality").otherwise("measurement"), F.concat_ws(":", tool, f["name"]), clamped(f["value"]), f["reason"]))
+    return F.concat(observed, measured)
 
 
 def status(insufficient: Column, n_warnings: Column) -> Column:

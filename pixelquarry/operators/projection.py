@@ -8,13 +8,13 @@ the source that they fall in, so a pixel meets its four neighbours in one bounde
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelquarry.functions.binding import bound
 from pixelquarry.operators.geometry import FLATTENING, MIN_OVERLAP, SCALE, SEMI_MAJOR, overlap, pair_strategy
 
 #: Geographic degrees, and the hundreds of UTM codes north and south (fixed values).
@@ -39,11 +39,6 @@ INVERSE = _series((1 / 2, -2 / 3, 37 / 96, -1 / 360), (1 / 48, 1 / 15, -437 / 14
 LATITUDE = _series((2, -2 / 3, -2, 116 / 45), (7 / 3, -8 / 5, -227 / 45), (56 / 15, -136 / 35), (4279 / 630,))
 
 
-def _let(body: Callable[[Column], Column], **values: Column) -> Column:
-    """``body`` of ``values`` as fields of a struct: each is worked out once, however often it is used there."""
-    return F.get(F.transform(F.array(F.struct(*[v.alias(n) for n, v in values.items()])), body), F.lit(0))
-
-
 def _degrees(easting: Column, northing: Column, zone: Column, north: Column) -> Column:
     """lon and lat in degrees, as a struct."""
 
@@ -52,11 +47,11 @@ def _degrees(easting: Column, northing: Column, zone: Column, north: Column) ->
         for k, b in enumerate(INVERSE, 1):
             up = up - b * F.sin(2 * k * v["xi"]) * F.cosh(2 * k * v["eta"])
             right = right - b * F.cos(2 * k * v["xi"]) * F.sinh(2 * k * v["eta"])
-        return _let(conformal, up=up, right=right, zone=v["zone"])
+        return bound(conformal, up=up, right=right, zone=v["zone"])
 
     def conformal(v: Column) -> Column:
         lon = F.degrees(F.atan2(F.sinh(v["right"]), F.cos(v["up"]))) + (v["zone"] * 6 - 183)
-        return _let(geographic, chi=F.asin(F.sin(v["up"]) / F.cosh(v["right"])), lon=lon)
+        return bound(geographic, chi=F.asin(F.sin(v["up"]) / F.cosh(v["right"])), lon=lon)
 
     def geographic(v: Column) -> Column:
         lat = v["chi"]
@@ -65,7 +60,7 @@ def _degrees(easting: Column, northing: Column, zone: Column, north: Column) ->
         return F.struct(v["lon"].alias("lon"), F.degrees(lat).alias("lat"))
 
     xi = (northing - F.when(north, 0.0).otherwise(FALSE_NORTHING)) / (SCALE * _RADIUS)
-    return _let(bent, xi=xi, eta=(easting - FALSE_EASTING) / (SCALE * _RADIUS), zone=zone)
+    return bound(bent, xi=xi, eta=(easting - FALSE_EASTING) / (SCALE * _RADIUS), zone=zone)
 
 
 def _metres(lon: Column, lat: Column, zone: Column, north: Column) -> Column:
@@ -73,11 +68,11 @@ def _metres(lon: Column, lat: Column, zone: Column, north: Column) -> Column:
 
     def turned(v: Column) -> Column:
         t = F.sinh(F.atanh(v["sine"]) - ECCENTRICITY * F.atanh(ECCENTRICITY * v["sine"]))
-        return _let(placed, t=t, away=v["away"], base=v["base"])
+        return bound(placed, t=t, away=v["away"], base=v["base"])
 
     def placed(v: Column) -> Column:
         right = F.atanh(F.sin(v["away"]) / F.sqrt(1 + v["t"] * v["t"]))
-        return _let(bent, up=F.atan2(v["t"], F.cos(v["away"])), right=right, base=v["base"])
+        return bound(bent, up=F.atan2(v["t"], F.cos(v["away"])), right=right, base=v["base"])
 
     def bent(v: Column) -> Column:
         y, x = v["up"], v["right"]
@@ -87,7 +82,7 @@ def _metres(lon: Column, lat: Column, zone: Column, north: Column) -> Column:
         return F.struct((x * (SCALE * _RADIUS) + FALSE_EASTING).alias("x"), (y * (SCALE * _RADIUS) + v["base"]).alias("y"))
 
     base = F.when(north, 0.0).otherwise(FALSE_NORTHING)
-    return _let(turned, sine=F.sin(F.radians(lat)), away=F.radians(lon - (zone * 6 - 183)), base=base)
+    return bound(turned, sine=F.sin(F.radians(lat)), away=F.radians(lon - (zone * 6 - 183)), base=base)
 
 
 def utm_to_wgs84(easting: Column, northing: Column, zone: Column, north: Column) -> tuple[Column, Column]:
@@ -137,7 +132,7 @@ def reprojected(x: Column, y: Column, source: Column, target: Column) -> Column:
         return F.when(is_utm(v["target"]), there).when(v["target"] == WGS84, here)
 
     same = F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
-    found = F.when(source == target, same).otherwise(_let(arrived, d=degrees(x, y, source), target=target))
+    found = F.when(source == target, same).otherwise(bound(arrived, d=degrees(x, y, source), target=target))
     return F.when(supported(source) & supported(target), found)
 
 
@@ -150,7 +145,7 @@ def reprojected_box(box: list[Column], source: Column, target: Column) -> Column
         return F.struct(*[ends[n].alias(n) for n in ("minx", "miny", "maxx", "maxy")])
 
     there = F.transform(corners, lambda p: reprojected(p["x"], p["y"], source, target))
-    return F.when(supported(source) & supported(target), _let(around, p=there))
+    return F.when(supported(source) & supported(target), bound(around, p=there))
 
 
 def footprint_pairs(scenes: DataFrame, cell: float) -> DataFrame:

@@ -239,8 +239,8 @@ _CONFIDENCE = {
 for _name, (_for, _factors) in _CONFIDENCE.items():
 
     def _scored(spark: SparkSession, sf: str, build=_for) -> DataFrame:
-        found = confidence.aggregate(build(_results(spark, sf), ["request_id"]), ["request_id"])
-        return found.withColumn("score", F.round("score", 6))
+        rows = _results(spark, sf)
+        return confidence.assessed(rows, build(rows)).select("request_id", F.round("score", 6).alias("score"), "level", "limiting_factor")
 
     QUERIES[f"confidence_{_name}"], SQL[f"confidence_{_name}"] = _scored, _conf(_factors)
 
@@ -251,16 +251,17 @@ _REASON = "CASE name WHEN 'count_reportable' THEN 'the number of regions is with
 @query("confidence_reasons", f"{_factor_rows(_CONFIDENCE['grounding'][1])} SELECT request_id, string_agg({_REASON}, '; ' ORDER BY value, ord) AS reasons FROM fa GROUP BY 1")
 def confidence_reasons(spark: SparkSession, sf: str) -> DataFrame:
     """Why a grounding is as sure as it is, the weakest factor first."""
-    found = confidence.reasons(confidence.for_grounding(_results(spark, sf), ["request_id"]), ["request_id"])
-    return found.select("request_id", F.array_join("reasons", "; ").alias("reasons"))
+    rows = _results(spark, sf)
+    return confidence.assessed(rows, confidence.for_grounding(rows)).select("request_id", F.array_join("reasons", "; ").alias("reasons"))
 
 
 @query("evidence_items", f"{_factor_rows(_CONFIDENCE['change'][1])}, ob AS (SELECT request_id, unnest(['first line', 'warnings: ' || n_warnings]) AS description, unnest([0, 1]) AS ord FROM rs) "
        f"SELECT request_id, ord::INT AS ord, 'observation' AS type, 'change' AS source, NULL::DOUBLE AS value, description FROM ob UNION ALL SELECT request_id, (2 + row_number() OVER (PARTITION BY request_id ORDER BY ord) - 1)::INT, CASE WHEN gate THEN 'quality' ELSE 'measurement' END, 'change:' || name, round(value, 6), {_REASON} FROM fa")
 def evidence_items(spark: SparkSession, sf: str) -> DataFrame:
     rows = _results(spark, sf)
-    lines = rows.select("request_id", F.lit("change").alias("tool"), F.array(F.lit("first line"), F.concat(F.lit("warnings: "), F.col("n_warnings").cast("string"))).alias("lines"))
-    return confidence.evidence(lines, confidence.for_change(rows, ["request_id"]), ["request_id"]).withColumn("value", F.round("value", 6))
+    lines = F.array(F.lit("first line"), F.concat(F.lit("warnings: "), F.col("n_warnings").cast("string")))
+    items = rows.select("request_id", F.posexplode(confidence.evidence(lines, F.lit("change"), confidence.for_change(rows))).alias("ord", "e"))
+    return items.select("request_id", "ord", "e.type", "e.source", F.round("e.value", 6).alias("value"), "e.description")
 
 
 _GATE = "(o_orderkey*13 % 41)/10.0::DOUBLE AS offset_px, (o_orderkey*17 % 100)/100.0::DOUBLE AS ncc, (o_orderkey*19 % 90)/90.0::DOUBLE AS response"
