@@ -110,15 +110,15 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 _OP4 = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+  SELECT q.k, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.k <> c.k WHERE q.vec_id % 50 = 0
 ), r AS (
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
+  SELECT query_id, row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
 )
 SELECT * FROM r WHERE rank <= 5
 """
@@ -210,8 +210,8 @@ FROM k JOIN a ON a.top = k.path LEFT JOIN k q ON k.depth > 0 AND q.path = k.path
 def _op13(rounds: int = 3) -> str:
     """Each round: the nearest centroid of each vector, and the floor of each component's mean."""
     steps = [
-        """v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+        """v AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
   WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 )""",
         """c0 AS (
@@ -221,10 +221,10 @@ def _op13(rounds: int = 3) -> str:
     ]
     for i in range(rounds + 1):
         steps.append(f"""d{i} AS (
-  SELECT vec_id, q, c, list_sum(list_transform(range(1, 65), lambda j: (q[j] - m[j]) * (q[j] - m[j])))::BIGINT AS distance FROM v, c{i}
+  SELECT k, vec_id, q, c, list_sum(list_transform(range(1, 65), lambda j: (q[j] - m[j]) * (q[j] - m[j])))::BIGINT AS distance FROM v, c{i}
 ), a{i} AS (
   SELECT vec_id, q, c AS cluster, distance FROM d{i}
-  QUALIFY row_number() OVER (PARTITION BY vec_id, q ORDER BY distance, c) = 1
+  QUALIFY row_number() OVER (PARTITION BY k ORDER BY distance, c) = 1
 )""")
         if i < rounds:
             steps.append(f"""s{i} AS (

@@ -26,7 +26,7 @@ COORDINATES_FROM, FOCUS = 0.6, 3
 #: Parts that pair making is dealt over.
 SALTS = 64
 _SLACK = 1e-9
-_BLOCK_DDL = "block long, dim int, longest double, ids binary, rows binary"
+_BLOCK_DDL = "block long, dim int, longest double, ids binary, keys binary, rows binary"
 
 
 def _quantised(scale: int):
@@ -56,24 +56,24 @@ def _packed(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Cut a sorted range into blocks of one dimension."""
         base, count = TaskContext.get().partitionId() << 24, 0
-        held: list[tuple[int, bytes]] = []
+        held: list[tuple[int, int, bytes]] = []
         dim, longest = 0, 0.0
-        kinds = (pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.binary())
-        names = ["block", "dim", "longest", "ids", "rows"]
+        kinds = (pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.binary())
+        names = ["block", "dim", "longest", "ids", "keys", "rows"]
 
         def block() -> pa.RecordBatch:
-            ids = np.array([i for i, _ in held], dtype=np.int64).tobytes()
-            row = (base + count, dim, longest, ids, b"".join(r for _, r in held))
+            ids, keys = (np.array([h[k] for h in held], dtype=np.int64).tobytes() for k in (0, 1))
+            row = (base + count, dim, longest, ids, keys, b"".join(h[2] for h in held))
             return pa.RecordBatch.from_arrays([pa.array([x], type=k) for x, k in zip(row, kinds, strict=True)], names=names)
 
         for batch in batches:
-            for vec_id, own_dim, length, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for vec_id, own_dim, length, key, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and (own_dim != dim or len(held) >= most):
                     yield block()
                     count, held = count + 1, []
                 if not held:
                     dim, longest = own_dim, length
-                held.append((vec_id, row))
+                held.append((vec_id, key, row))
         if held:
             yield block()
 
@@ -83,13 +83,13 @@ def _packed(most: int):
 def _blocks(vectors: DataFrame, most: int, name: str) -> DataFrame:
     by = [F.col("dim"), F.col("length").desc(), F.col("id")]
     parts = max(1, -(-vectors.count() // most))
-    rows = vectors.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("id", "dim", "length", "row")
+    rows = vectors.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("id", "dim", "length", "key", "row")
     return staged(rows.mapInArrow(_packed(most), _BLOCK_DDL), name)
 
 
 class _Matrix:
-    def __init__(self, ids: bytes, rows: bytes, dim: int) -> None:
-        self.ids = np.frombuffer(ids, np.int64)
+    def __init__(self, ids: bytes, keys: bytes, rows: bytes, dim: int) -> None:
+        self.ids, self.keys = np.frombuffer(ids, np.int64), np.frombuffer(keys, np.int64)
         self.exact = np.frombuffer(rows, np.int64).reshape(len(self.ids), dim)
         self.real = self.exact.astype(np.float64)
         self.length = np.sqrt(np.square(self.real).sum(axis=1))
@@ -112,8 +112,9 @@ def _products(q: _Matrix, which: np.ndarray, p: _Matrix, rows: np.ndarray | slic
     return found.astype(np.int64)
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, own: int, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-    able = np.flatnonzero((scores >= least) & (ids != own))
+def _best(ids: np.ndarray, keys: np.ndarray, scores: np.ndarray, own: int, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows but the query's own, which its key tells: rows that share its identifier count."""
+    able = np.flatnonzero((scores >= least) & (keys != own))
     order = able[np.lexsort((ids[able], -scores[able]))][:k]
     return ids[order], scores[order]
 
@@ -131,7 +132,7 @@ def search_bucket(q: _Matrix, bound: np.ndarray, p: _Matrix, k: int) -> Iterator
         far = int((p.length * (1 + _SLACK) + _SLACK >= need[by_length].min()).sum())
         scores = _products(q, by_length, p, slice(0, far))
         for i, row in zip(by_length.tolist(), scores, strict=True):
-            yield i, *_best(p.ids[:far], row, q.ids[i], bound[i], k)
+            yield i, *_best(p.ids[:far], p.keys[:far], row, q.keys[i], bound[i], k)
     unit = p.real / np.maximum(p.length, 1e-300)[:, None]
     for i in able[local >= COORDINATES_FROM].tolist():
         far = int((p.length * (1 + _SLACK) + _SLACK >= need[i]).sum())
@@ -147,7 +148,7 @@ def search_bucket(q: _Matrix, bound: np.ndarray, p: _Matrix, k: int) -> Iterator
         rows = np.flatnonzero(left)
         if len(rows):
             scores = _products(q, np.array([i]), p, rows)[0]
-            yield i, *_best(p.ids[rows], scores, q.ids[i], bound[i], k)
+            yield i, *_best(p.ids[rows], p.keys[rows], scores, q.keys[i], bound[i], k)
 
 
 def _bounds(k: int):
@@ -155,18 +156,18 @@ def _bounds(k: int):
         """Each query's k-th score in the first bucket, and the length that its block needs."""
         for batch in batches:
             for row in batch.to_pylist():
-                q = _Matrix(row["ids"], row["rows"], row["dim"])
+                q = _Matrix(row["ids"], row["keys"], row["rows"], row["dim"])
                 bound = np.full(len(q.ids), -np.inf)
                 if row["p_ids"] is not None:
-                    p = _Matrix(row["p_ids"], row["p_rows"], row["dim"])
+                    p = _Matrix(row["p_ids"], row["p_keys"], row["p_rows"], row["dim"])
                     for i, _, scores in search_bucket(q, bound, p, k):
                         bound[i] = scores[-1] if len(scores) == k else -np.inf
                 need = np.where(q.length > 0, bound / np.maximum(q.length, 1e-300), np.where(bound <= 0, -np.inf, np.inf))
-                values = (row["block"], row["dim"], float(need.min()), row["ids"], row["rows"], bound.tobytes())
-                kinds = (pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.binary())
+                values = (row["block"], row["dim"], float(need.min()), row["ids"], row["keys"], row["rows"], bound.tobytes())
+                kinds = (pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x], type=t) for x, t in zip(values, kinds, strict=True)],
-                    names=["q_block", "dim", "need", "q_ids", "q_rows", "bounds"],
+                    names=["q_block", "dim", "need", "q_ids", "q_keys", "q_rows", "bounds"],
                 )
 
     return run
@@ -177,7 +178,7 @@ def _search(k: int):
         names = ["q_block", "place", "query_id", "vec_id", "score"]
         for batch in batches:
             for row in batch.to_pylist():
-                q, p = _Matrix(row["q_ids"], row["q_rows"], row["dim"]), _Matrix(row["ids"], row["rows"], row["dim"])
+                q, p = _Matrix(row["q_ids"], row["q_keys"], row["q_rows"], row["dim"]), _Matrix(row["ids"], row["keys"], row["rows"], row["dim"])
                 places, ids, scores = [], [], []
                 for i, own_ids, own_scores in search_bucket(q, np.frombuffer(row["bounds"]), p, k):
                     places.append(np.full(len(own_ids), i))
@@ -194,7 +195,7 @@ def top_k(vectors: DataFrame, k: int = 5, scale: int = 256, every: int = 50, id_
     """query_id, rank (from 1), vec_id, score: the ``k`` best of every query, exactly.
 
     Components become floor(scale * x). Queries are the rows whose identifier ``every`` divides;
-    candidates are all rows of other identifiers and the same dimension. Scores are integer inner
+    candidates are all other rows of the same dimension, those that share the identifier, too. Scores are integer inner
     products; ties go to the smaller identifier. A query with fewer candidates gets all of them.
 
     Vectors that are null or hold a null or non-finite component take no part, nor do rows with a
@@ -204,16 +205,16 @@ def top_k(vectors: DataFrame, k: int = 5, scale: int = 256, every: int = 50, id_
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
     quantised = rows.mapInArrow(_quantised(scale), "id long, dim int, length double, row binary")
-    quantised = staged(quantised, "topk-vectors")
+    quantised = staged(quantised.withColumn("key", F.monotonically_increasing_id()), "topk-vectors")
     buckets = _blocks(quantised, BUCKET, "topk-buckets")
     queries = _blocks(quantised.where(F.col("id") % every == 0), QUERIES, "topk-queries")
 
     # The first bucket of each dimension: BUCKET vectors at most, so its size is known.
     longest = Window.partitionBy("dim").orderBy("block")
     heads = buckets.select("block", "dim", F.row_number().over(longest).alias("n")).where("n = 1").select("block")
-    first = buckets.join(F.broadcast(heads), "block").select("dim", F.col("ids").alias("p_ids"), F.col("rows").alias("p_rows"))
+    first = buckets.join(F.broadcast(heads), "block").select("dim", F.col("ids").alias("p_ids"), F.col("keys").alias("p_keys"), F.col("rows").alias("p_rows"))
     bounded = queries.join(F.broadcast(first), "dim", "left").mapInArrow(
-        _bounds(k), "q_block long, dim int, need double, q_ids binary, q_rows binary, bounds binary"
+        _bounds(k), "q_block long, dim int, need double, q_ids binary, q_keys binary, q_rows binary, bounds binary"
     )
     bounded = staged(bounded, "topk-bounds")
 
@@ -221,8 +222,8 @@ def top_k(vectors: DataFrame, k: int = 5, scale: int = 256, every: int = 50, id_
     summary = buckets.select("block", "dim", "longest", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int").alias("salt"))
     reached = F.col("longest") * (1 + _SLACK) + _SLACK >= F.col("need")
     pairs = salted.join(summary, ["dim", "salt"]).where(reached).select("q_block", "block")
-    loaded = pairs.join(buckets.select("block", "ids", "rows"), "block").join(bounded, "q_block")
-    columns = ["q_block", "dim", "q_ids", "q_rows", "bounds", "ids", "rows"]
+    loaded = pairs.join(buckets.select("block", "ids", "keys", "rows"), "block").join(bounded, "q_block")
+    columns = ["q_block", "dim", "q_ids", "q_keys", "q_rows", "bounds", "ids", "keys", "rows"]
     found = loaded.repartition("q_block", "block").select(*columns).mapInArrow(
         _search(k), "q_block long, place long, query_id long, vec_id long, score long"
     )

@@ -12,9 +12,9 @@ from pixelquarry.llm import chat_format, topk_search, url_filters
 
 def brute_top(rows, k, scale, every):
     usable = [(i, np.floor(scale * np.array(v, dtype=np.float64)).astype(np.int64)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(np.array(v, dtype=float)).all()]
-    for q, x in usable:
+    for at, (q, x) in enumerate(usable):
         if q % every == 0:
-            scored = sorted((-int(x @ y), i) for i, y in usable if i != q and len(y) == len(x))[:k]
+            scored = sorted((-int(x @ y), i) for k2, (i, y) in enumerate(usable) if k2 != at and len(y) == len(x))[:k]
             for rank, (score, i) in enumerate(scored, 1):
                 yield q, rank, i, -score
 
@@ -27,7 +27,7 @@ def test_top_k(spark, monkeypatch, buckets, coordinates_from):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(0, rng.choice([0.05, 0.3, 2.0]), 8)]) for i in range(150)]
     rows += [(150 + i, rows[3][1]) for i in range(20)]  # ties
-    rows += [(200, None), (201, [0.1, None] + [0.0] * 6), (202, [float("nan")] * 8), (203, [float("inf")] * 8), (210, [0.0] * 8), (220, [1.0, 2.0]), (230, [3.0, 1.0]), (240, [0.5] * 3), (None, [0.1] * 8)]
+    rows += [(200, None), (201, [0.1, None] + [0.0] * 6), (202, [float("nan")] * 8), (203, [float("inf")] * 8), (210, [0.0] * 8), (220, [1.0, 2.0]), (230, [3.0, 1.0]), (240, [0.5] * 3), (None, [0.1] * 8), (50, [0.2] * 8), (50, rows[50][1])]
     frame = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], "vec_id long, embedding array<double>, rank string, id string")
     got = Counter(map(tuple, topk_search.top_k(frame, 5, 256, 10).collect()))
     assert got == Counter(brute_top(rows, 5, 256, 10))
