@@ -9,8 +9,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelquarry.operators.answers import square_km
 from pixelquarry.operators.landcover import CLASSES, code_name
 from pixelquarry.operators.neighbourhood import label, per_scene, plane
+from pixelquarry.operators.wording import filled
 
 #: sector -> rows and columns as fractions of the frame (fixed values).
 SECTORS = {
@@ -118,11 +120,13 @@ def judged(admitted: DataFrame, regions: DataFrame) -> DataFrame:
     return pairs.withColumn("left_out", F.when(F.col("place") > F.col("limit"), "beyond_limit").otherwise(F.col("left_out")))
 
 
-def answers(admitted: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
+def answers(admitted: DataFrame, found: DataFrame, classes: DataFrame, parted: DataFrame | None = None) -> DataFrame:
     """One row a request: error, regions, selected_pixels, selected_area_m2, class_pixels, coverage,
     how many regions each test left out, count_reportable and the answer.
 
-    ``classes`` has scene_id, class, class_pixels and frame_pixels of the class map.
+    ``classes`` has scene_id, class, class_pixels and frame_pixels of the class map. ``parted`` has
+    scene_id and radar_parts of fused scenes: whether radar told bright echoes from the rest there, so that
+    regions which only it can part may be counted.
     """
     kept = F.col("left_out").isNull()
     totals = found.groupBy("request_id").agg(
@@ -133,11 +137,13 @@ def answers(admitted: DataFrame, found: DataFrame, classes: DataFrame) -> DataFr
     )
     classes = classes.withColumnsRenamed({"class": "_class", "scene_id": "_scene"})
     rows = admitted.join(totals, "request_id", "left").join(classes, (F.col("scene_id") == F.col("_scene")) & (F.col("target") == F.col("_class")), "left")
+    if parted is not None:
+        rows = rows.join(parted.select(F.col("scene_id").alias("_scene2"), "radar_parts"), F.col("scene_id") == F.col("_scene2"), "left")
     zero = {n: 0 for n in ("regions", "selected_pixels", "class_pixels", *TESTS, "beyond_limit")}
     rows = rows.fillna(zero).withColumns(
         {
             "coverage": F.coalesce(F.try_divide("class_pixels", "frame_pixels"), F.lit(0.0)),
-            "count_reportable": ~F.col("target").isin(*NEED_RADAR),
+            "count_reportable": ~F.col("target").isin(*NEED_RADAR) | _radar_parts(parted),
         }
     )
     numbers = ["regions", "selected_pixels", "selected_area_m2", "class_pixels", "coverage", *TESTS, "beyond_limit"]
@@ -145,17 +151,19 @@ def answers(admitted: DataFrame, found: DataFrame, classes: DataFrame) -> DataFr
     return admitted.select("request_id", "error").join(asked, "request_id", "left")
 
 
+def _radar_parts(parted: DataFrame | None) -> Column:
+    return F.lit(False) if parted is None else F.coalesce("radar_parts", F.lit(False))
+
+
 def _answer() -> Column:
     name = F.replace("target", F.lit("_"), F.lit(" "))
-    first = F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 100))
-    where = F.coalesce(F.concat(F.lit(" in the "), "sector_phrase"), F.lit(""))
-    extent = F.when(F.col("selected_area_m2").isNotNull(), F.format_string("about %.2f km² (%d px)", F.col("selected_area_m2") / 1e6, "selected_pixels"))
-    extent = extent.otherwise(F.format_string("%d px", "selected_pixels"))
-    counted = F.concat(F.lit("Found "), F.col("regions").cast("string"), F.lit(" distinct "), name, F.when(F.col("regions") == 1, " region").otherwise(" regions"), where, F.lit(", covering "), extent, F.lit("."))
-    mapped = F.concat(F.lit("The "), name, F.lit(" extent"), where, F.lit(" is mapped, covering "), extent, F.lit("; without radar the number of its regions can't be stated."))
-    out = F.when(F.col("class_pixels") == 0, F.concat(F.lit("No "), name, F.lit(" was detected in this image, so there is nothing to locate.")))
-    out = out.when(F.col("regions") == 0, F.concat(first, F.lit(" is present, but no area"), where, F.lit(" met the request.")))
-    return out.when(F.col("count_reportable"), counted).otherwise(mapped)
+    where = F.coalesce(filled("ground.where", place=F.col("sector_phrase")), F.lit(""))
+    pixels = F.col("selected_pixels").cast("string")
+    extent = F.coalesce(filled("ground.area", area=square_km(F.col("selected_area_m2")), pixels=pixels), filled("ground.pixels", pixels=pixels))
+    said = {"class": name, "where": where, "extent": extent, "n": F.col("regions").cast("string")}
+    out = F.when(F.col("class_pixels") == 0, filled("ground.absent", **said)).when(F.col("regions") == 0, filled("ground.unmatched", **said))
+    counted = F.when(F.col("regions") == 1, filled("ground.one", **said)).otherwise(filled("ground.many", **said))
+    return out.when(F.col("count_reportable"), counted).otherwise(filled("ground.uncounted", **said))
 
 
 def selection(found: DataFrame, labels: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelquarry.operators import answers, change, grounding, landcover, language
+from pixelquarry.operators import answers, change, grounding, landcover, language, radar
 from pixelquarry.operators.staging import staged
+from pixelquarry.operators.wording import filled_sql
 from pixelquarry.plans import language as requests_plan
 from pixelquarry.plans import scenes as scenes_plan
 from pixelquarry.plans import sql
@@ -67,9 +68,9 @@ j2 AS (SELECT *, CASE WHEN lo IS NULL THEN row_number() OVER (PARTITION BY reque
 jd AS MATERIALIZED (SELECT *, CASE WHEN place > "limit" THEN 'beyond_limit' ELSE lo END AS left_out FROM j2)"""
 
 
-def _grounded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _grounded(spark: SparkSession, sf: str, px: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Admitted requests, their judged regions, the labels of pixels, and the sizes of classes."""
-    px = _classified(spark, sf)
+    px = _classified(spark, sf) if px is None else px
     scores = {name: landcover.class_score(name, ["mndwi", "ndwi", "ndvi", "ndbi"]) for name in landcover.CLASS_INDICES}
     regions, labels = grounding.class_regions(px, scores, landcover.min_patch(px, ["scene_id"], AREA))
     scenes = staged(_scenes(px))
@@ -86,8 +87,8 @@ def ground_regions(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("request_id", "scene_id", "class", "label", "place", "pixel_area", F.round("area_m2", 6).alias("area_m2"), F.round("sector_overlap", 6).alias("sector_overlap"))
 
 
+_PCT = "(round({}*100)::BIGINT || '%')"
 _LEFT_OUT = (*grounding.TESTS, "beyond_limit")
-_CAP = "(upper(left({0}, 1)) || substr({0}, 2))"
 _KM = "printf('%.2f', round({}/1e6, 2)) || ' km²'"
 _GROUND_TOTALS = f"""{_GROUND}, cp AS (SELECT scene_id, {_NAME.format('class_code')} AS class, count(*) AS class_pixels FROM lc GROUP BY ALL),
 tt AS (SELECT request_id, count(*) FILTER (left_out IS NULL) AS regions, sum(pixel_area) FILTER (left_out IS NULL)::BIGINT AS selected_pixels, sum(area_m2) FILTER (left_out IS NULL) AS selected_area_m2,
@@ -95,19 +96,53 @@ tt AS (SELECT request_id, count(*) FILTER (left_out IS NULL) AS regions, sum(pix
 gt AS (SELECT ad.request_id, error, target, sector_phrase, replace(target, '_', ' ') AS nm, coalesce(regions, 0) AS regions, coalesce(selected_pixels, 0) AS selected_pixels, selected_area_m2, coalesce(class_pixels, 0) AS class_pixels,
   coalesce(class_pixels/frame_pixels, 0) AS coverage, {", ".join(f"coalesce({n}, 0) AS {n}" for n in _LEFT_OUT)}, target NOT IN ('built_up', 'bare_soil') AS count_reportable
   FROM ad JOIN sc USING (scene_id) LEFT JOIN tt USING (request_id) LEFT JOIN cp ON cp.scene_id = ad.scene_id AND cp.class = target),
-gx AS (SELECT *, coalesce(' in the ' || sector_phrase, '') AS whr, CASE WHEN selected_area_m2 IS NOT NULL THEN 'about ' || {_KM.format('selected_area_m2')} || ' (' || selected_pixels || ' px)' ELSE selected_pixels || ' px' END AS ext FROM gt)"""
+gw AS (SELECT *, coalesce({filled_sql('ground.where', place='sector_phrase')}, '') AS whr FROM gt),
+gx AS (SELECT *, coalesce({filled_sql('ground.area', area=_KM.format('selected_area_m2'), pixels='selected_pixels')}, {filled_sql('ground.pixels', pixels='selected_pixels')}) AS ext FROM gw)"""
+_SAID = {"class": "nm", "where": "whr", "extent": "ext", "n": "regions"}
+_GROUND_SAID = f"""CASE WHEN class_pixels = 0 THEN {filled_sql('ground.absent', **_SAID)} WHEN regions = 0 THEN {filled_sql('ground.unmatched', **_SAID)}
+  WHEN NOT count_reportable THEN {filled_sql('ground.uncounted', **_SAID)} WHEN regions = 1 THEN {filled_sql('ground.one', **_SAID)} ELSE {filled_sql('ground.many', **_SAID)} END"""
 
 
 @query("ground_answers", f"{_GROUND_TOTALS} SELECT request_id, error, " + ", ".join(f"CASE WHEN error IS NULL THEN {c} END AS {n}" for c, n in [
     *[(n, n) for n in ("regions", "selected_pixels")], ("round(selected_area_m2, 6)", "selected_area_m2"), ("class_pixels", "class_pixels"), ("round(coverage, 6)", "coverage"), *[(n, n) for n in _LEFT_OUT], ("count_reportable", "count_reportable"),
-    (f"CASE WHEN class_pixels = 0 THEN 'No ' || nm || ' was detected in this image, so there is nothing to locate.' WHEN regions = 0 THEN {_CAP.format('nm')} || ' is present, but no area' || whr || ' met the request.' "
-     "WHEN count_reportable THEN 'Found ' || regions || ' distinct ' || nm || CASE WHEN regions = 1 THEN ' region' ELSE ' regions' END || whr || ', covering ' || ext || '.' "
-     "ELSE 'The ' || nm || ' extent' || whr || ' is mapped, covering ' || ext || '; without radar the number of its regions can''t be stated.' END", "answer")]) + " FROM gx")
+    (_GROUND_SAID, "answer")]) + " FROM gx")
 def ground_answers(spark: SparkSession, sf: str) -> DataFrame:
     admitted, found, _, sizes = _grounded(spark, sf)
     return grounding.answers(admitted, found, sizes).withColumns({n: F.round(n, 6) for n in ("selected_area_m2", "coverage")})
 
 
+#: The same over maps that radar was fused into; in every second scene it parted bright echoes from the rest.
+_FUSED_MAP = scenes_plan._FUSED.removeprefix("WITH RECURSIVE ").replace(sql.landcover("lc", sql.FIELDS), sql.landcover("l0", sql.FIELDS)).replace("FROM lc JOIN", "FROM l0 JOIN").replace("rg AS", "zg AS").replace("JOIN rg", "JOIN zg") + ", lc AS (SELECT scene_id, r, c, fused AS class_code FROM fu)"
+_FUSED_GROUND = _GROUND_TOTALS.replace(sql.landcover("lc", sql.FIELDS), _FUSED_MAP).replace("target NOT IN ('built_up', 'bare_soil') AS count_reportable", "(target NOT IN ('built_up', 'bare_soil') OR ad.scene_id % 2 = 0) AS count_reportable")
+
+
+@query("ground_fused_answers", f"{_FUSED_GROUND} SELECT request_id, error, CASE WHEN error IS NULL THEN regions END AS regions, CASE WHEN error IS NULL THEN count_reportable END AS count_reportable, CASE WHEN error IS NULL THEN {_GROUND_SAID} END AS answer FROM gx")
+def ground_fused_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests over fused maps: the number of built-up areas is told where radar parts them."""
+    px = _classified(spark, sf)
+    fused = scenes_plan._fused(spark, sf).select("scene_id", "r", "c", F.col("fused_code").alias("class_code"))
+    px = staged(px.drop("class_code").join(fused, ["scene_id", "r", "c"]))
+    admitted, found, _, sizes = _grounded(spark, sf, px)
+    parted = px.select("scene_id").distinct().withColumn("radar_parts", F.col("scene_id") % 2 == 0)
+    return grounding.answers(admitted, found, sizes, parted).select("request_id", "error", "regions", "count_reportable", "answer")
+
+
+_FUSION_LEAD = filled_sql("fusion.lead", top="top", share=_PCT.format("share"), both=_PCT.format("(agreed/classified)"))
+_PART = "printf('%.1f', round(part*100, 1)) || '%'"
+_WHO = "CASE arbiter WHEN 'sar' THEN 'radar' WHEN 'optical' THEN 'the optical image' END"
+
+
+@query("fusion_answers", f"""{scenes_plan._FUSED}, fs AS (SELECT scene_id, replace({_NAME.format('fused')}, '_', ' ') AS nm, count(*) AS n, count(*) FILTER (ev = 1) AS b FROM fu WHERE fused > 0 GROUP BY ALL),
+wh AS (SELECT scene_id, arg_min(nm, (-n, nm)) AS top, max(n)/sum(n) AS share, sum(b) AS agreed, sum(n) AS classified FROM fs GROUP BY 1),
+tc AS (SELECT scene_id, count(*) AS total FROM fu GROUP BY 1), cg AS (SELECT scene_id, {_NAME.format('class_code')} AS oc, {scenes_plan._REGIME} AS rg2, {_NAME.format('fused')} AS ra, arbiter, count(*) AS n FROM fu WHERE ev = 2 GROUP BY ALL),
+df AS (SELECT cg.*, n/total AS part FROM cg JOIN tc USING (scene_id) QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY n DESC, oc, rg2, ra) = 1)
+SELECT tc.scene_id, coalesce({_FUSION_LEAD} || CASE WHEN df.n IS NULL THEN '' ELSE coalesce({filled_sql('fusion.decided', part=_PART, arbiter=_WHO, **{'class': "replace(ra, '_', ' ')"})}, {filled_sql('fusion.open', part=_PART)}) END, {filled_sql('fusion.none')}) AS answer
+FROM tc LEFT JOIN wh USING (scene_id) LEFT JOIN df USING (scene_id)""")
+def fusion_answers(spark: SparkSession, sf: str) -> DataFrame:
+    fused = staged(scenes_plan._fused(spark, sf))
+    return answers.fusion_answers(radar.fused_stats(fused), radar.conflict_groups(fused, AREA), fused.select("scene_id").distinct())
+
+
 @query("ground_selection", f"{_GROUND} SELECT request_id, count(*) AS pixels, sum(r) AS rows_sum, sum(c) AS columns_sum FROM jd JOIN rl USING (scene_id, code, label) WHERE left_out IS NULL GROUP BY request_id".replace("sum(r)", "sum(r)::BIGINT").replace("sum(c)", "sum(c)::BIGINT"))
 def ground_selection(spark: SparkSession, sf: str) -> DataFrame:
     """The mask that an answer shows, as its pixels and the sums of their places."""
@@ -118,23 +153,22 @@ def ground_selection(spark: SparkSession, sf: str) -> DataFrame:
 #: CTE cs: class statistics with names and areas, and their order in a scene.
 _STATS = f"""lt AS (SELECT scene_id, count(*) FILTER (valid) AS total FROM lc GROUP BY 1),
 ks AS MATERIALIZED (SELECT scene_id, {_NAME.format('class_code')} AS class, replace({_NAME.format('class_code')}, '_', ' ') AS nm, count(*)/any_value(total) AS fraction, count(*)*100.0::DOUBLE AS area FROM lc JOIN lt USING (scene_id) WHERE class_code > 0 GROUP BY scene_id, class_code)"""
-_PCT = "(round({}*100)::BIGINT || '%')"
 _LISTING = f"string_agg(nm || ' ' || {_PCT.format('fraction')}, ', ' ORDER BY fraction DESC, {{}})"
 
 
+_ABOUT = {"class": "nm", "extent": "ext"}
+
+
 @query("answer_questions", f"""WITH RECURSIVE {sql.landcover('lc', sql.FIELDS)}, {_STATS}, {requests_plan._INTENT}, ns AS (SELECT count(DISTINCT scene_id) AS n FROM lc),
 qs AS (SELECT request_id, request_id % n AS scene_id, intent, targets FROM vi, ns),
 nq AS (SELECT request_id, scene_id, intent, k, t AS class, replace(t, '_', ' ') AS nm, coalesce(fraction, 0) AS fraction, area FROM (SELECT *, unnest(string_split(targets, ',')) AS t, unnest(range(len(string_split(targets, ',')))) AS k FROM qs WHERE targets <> '') q LEFT JOIN ks USING (scene_id) WHERE ks.class = t
   UNION ALL SELECT request_id, scene_id, intent, k, t, replace(t, '_', ' '), 0, NULL FROM (SELECT *, unnest(string_split(targets, ',')) AS t, unnest(range(len(string_split(targets, ',')))) AS k FROM qs WHERE targets <> '') q WHERE NOT EXISTS (SELECT 1 FROM ks WHERE ks.scene_id = q.scene_id AND ks.class = t)),
 on1 AS (SELECT request_id, arg_max(nm, (fraction, -k)) AS nm, max(fraction) AS fraction, arg_max(area, (fraction, -k)) AS area, {_LISTING.format('k')} AS listing, list(nm ORDER BY fraction DESC, k)[2] AS nm2, list(fraction ORDER BY fraction DESC, k)[2] AS f2 FROM nq GROUP BY 1),
 wh AS (SELECT scene_id, arg_min(nm, (-fraction, class)) AS top, max(fraction) AS tf, {_LISTING.format('class')} AS listing FROM ks GROUP BY 1),
-ex AS (SELECT *, {_PCT.format('fraction')} || ' of the classified scene' || coalesce(' (about ' || {_KM.format('area')} || ')', '') AS ext, {_CAP.format('nm')} AS cap FROM on1)
-SELECT qs.request_id, intent, CASE intent WHEN 'composition' THEN coalesce('The scene is predominantly ' || top || ' (' || {_PCT.format('tf')} || ' of classified pixels). Full land-cover breakdown: ' || wh.listing || '.', 'No land-cover classes could be delineated from this image, so its composition cannot be described.')
-  WHEN 'comparison' THEN cap || CASE WHEN fraction = f2 THEN ' and ' || nm2 || ' cover the scene about equally' ELSE ' covers more of the scene than ' || nm2 END || ' (' || ex.listing || ').'
-  WHEN 'presence' THEN CASE WHEN fraction = 0 THEN 'No, no ' || nm || ' was detected in this image.' ELSE 'Yes, ' || nm || ' is present, covering ' || ext || '.' END
-  WHEN 'quantity' THEN CASE WHEN fraction = 0 THEN 'No ' || nm || ' was detected in this image (0% coverage).' ELSE cap || ' covers ' || ext || '.' END
-  WHEN 'count' THEN CASE WHEN fraction = 0 THEN 'No ' || nm || ' was detected in this image, so there are none to count.' ELSE cap || ' covers ' || ext || '. This answers how much, not how many: region grounding counts regions.' END
-  WHEN 'location' THEN CASE WHEN fraction = 0 THEN 'No ' || nm || ' was detected in this image, so there is no location to report.' ELSE cap || ' covers ' || ext || '. Region grounding shows where it lies.' END END AS answer,
+ex AS (SELECT *, coalesce({filled_sql('extent.area', share=_PCT.format('fraction'), area=_KM.format('area'))}, {_PCT.format('fraction')}) AS ext FROM on1)
+SELECT qs.request_id, intent, CASE intent WHEN 'composition' THEN coalesce({filled_sql('mix.whole', top='top', share=_PCT.format('tf'), list='wh.listing')}, {filled_sql('mix.none')})
+  WHEN 'comparison' THEN CASE WHEN fraction = f2 THEN {filled_sql('pair.equal', first='nm', second='nm2', list='ex.listing')} ELSE {filled_sql('pair.more', first='nm', list='ex.listing')} END
+  {" ".join(f"WHEN '{k}' THEN CASE WHEN fraction = 0 THEN {filled_sql(k + '.no', **_ABOUT)} ELSE {filled_sql(k + '.yes', **_ABOUT)} END" for k in ('presence', 'quantity', 'count', 'location'))} END AS answer,
   CASE WHEN intent IN ('count', 'location') AND fraction > 0 THEN 'grounding' END AS redirect
 FROM qs LEFT JOIN ex USING (request_id) LEFT JOIN wh ON wh.scene_id = qs.scene_id""")
 def answer_questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -146,8 +180,7 @@ def answer_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("captions", f"""WITH RECURSIVE {sql.landcover('lc', sql.FIELDS)}, {_STATS}, rk AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY fraction DESC, class) AS k FROM ks),
 cx AS (SELECT scene_id, any_value(nm) FILTER (k = 1) AS top, any_value(fraction) FILTER (k = 1) AS tf, string_agg(nm || ' ' || {_PCT.format('fraction')}, ', ' ORDER BY k) FILTER (k > 1) AS rest, sum(area) AS area FROM rk GROUP BY 1)
-SELECT scene_id, coalesce('A predominantly ' || top || ' scene (' || {_PCT.format('tf')} || ' of classified pixels).' || coalesce(' Remaining land cover: ' || rest || '.', '') || ' Classified extent covers about ' || {_KM.format('area')} || '.',
-  'No land-cover classes could be delineated from this image, so it cannot be described.') AS caption FROM (SELECT DISTINCT scene_id FROM lc) LEFT JOIN cx USING (scene_id)""")
+SELECT scene_id, coalesce({filled_sql('caption.whole', top='top', share=_PCT.format('tf'), others=f"coalesce({filled_sql('caption.others', list='rest')}, '')", area=filled_sql('caption.area', area=_KM.format('area')))}, {filled_sql('caption.none')}) AS caption FROM (SELECT DISTINCT scene_id FROM lc) LEFT JOIN cx USING (scene_id)""")
 def captions(spark: SparkSession, sf: str) -> DataFrame:
     px = _classified(spark, sf)
     return answers.captions(landcover.class_stats(px, AREA), px.select("scene_id").distinct())
@@ -163,7 +196,20 @@ def read_change_question(spark: SparkSession, sf: str) -> DataFrame:
     return requests_plan.requests(spark, sf).select("request_id", *[c.alias(n) for n, c in found.items()])
 
 
-_CONVERSION = "replace({0}.before, '_', ' ') || ' to ' || replace({0}.after, '_', ' ') || ', covering ' || " + _PCT.format("{0}.foc") + " || ' of the changed area.'"
+def _conversion(t: str) -> str:
+    return filled_sql("change.conversion", before=f"replace({t}.before, '_', ' ')", after=f"replace({t}.after, '_', ' ')", share=_PCT.format(f"{t}.foc"))
+
+
+_NET = {"class": "replace(rd.mentioned, '_', ' ')", "amount": _KM.format("abs(dm)"), "relative": f"coalesce({filled_sql('change.relative', share=_PCT.format('abs(rel)'))}, '')"}
+_WENT = f"CASE WHEN delta = 0 THEN {filled_sql('change.still', **_NET)} WHEN delta > 0 THEN {filled_sql('change.more', **_NET)} ELSE {filled_sql('change.less', **_NET)} END"
+_BOTH = _PCT.format("(cor/changed)")
+_CHANGED = {
+    "not comparable": filled_sql("change.apart"),
+    "no-change": filled_sql("change.none"),
+    "changed extent": filled_sql("change.extent", tenth="tenth", about=filled_sql("change.about", area=_KM.format("m2"), pixels="changed"), both=_BOTH),
+    "general change summary": filled_sql("change.whole", tenth="tenth", area=f"' (' || {_KM.format('m2')} || ')'", named=f"coalesce({filled_sql('change.named', conversion=_conversion('tp'))}, {filled_sql('change.unnamed')})", both=_BOTH),
+}
+_OF_CLASS = filled_sql("change.class", net=_WENT, tenth="tenth", conversion=f"coalesce({filled_sql('change.touching', conversion=_conversion('ts'))}, '')")
 
 
 @query("answer_change_questions", f"""{scenes_plan._PAIR}, {requests_plan._REQ}, ns AS (SELECT count(DISTINCT scene_id) AS n FROM pr),
@@ -176,14 +222,9 @@ rp AS (SELECT * FROM tr WHERE scene_id % 3 <> 1 AND ag >= 0.6 AND ct <> 'spectra
 tp AS (SELECT * FROM rp QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY n DESC, before, after) = 1),
 sd AS (SELECT *, unnest(list_distinct([before, after])) AS mentioned FROM rp),
 ts AS (SELECT * FROM sd QUALIFY row_number() OVER (PARTITION BY scene_id, mentioned ORDER BY n DESC, before, after) = 1),
-rd AS (SELECT cq.*, changed, valid, cor, m2, delta, rel, dm, CASE WHEN coalesce(changed, 0) = 0 THEN 'no-change' WHEN delta IS NOT NULL THEN 'net change in ' || mentioned WHEN asks THEN 'changed extent' ELSE 'general change summary' END AS reading,
-  printf('%.1f', round(changed/nullif(valid, 0)*100, 1)) || '%' AS tenth, {_CAP.format("replace(mentioned, '_', ' ')")} AS cap FROM cq JOIN tl USING (scene_id) LEFT JOIN dl USING (scene_id, mentioned))
-SELECT request_id, reading, CASE WHEN reading = 'no-change' THEN 'No change large enough to be distinguished from image noise was detected between the two dates.'
-  WHEN reading = 'changed extent' THEN tenth || ' of the valid area changed between the two dates, about ' || {_KM.format('m2')} || ' (' || changed || ' pixels). ' || {_PCT.format('(cor/changed)')} || ' of that is corroborated by both detectors.'
-  WHEN reading = 'general change summary' THEN 'Change was detected across ' || tenth || ' of the valid area (about ' || {_KM.format('m2')} || ').' || coalesce(' The dominant transition is ' || {_CONVERSION.format('tp')}, ' No specific land-cover conversion is claimed for that change.')
-    || ' ' || {_PCT.format('(cor/changed)')} || ' of the detected change is corroborated by both detectors.'
-  ELSE CASE WHEN delta = 0 THEN cap || ' shows no net change in extent between the two dates' ELSE cap || CASE WHEN delta > 0 THEN ' increased' ELSE ' decreased' END || ' by ' || {_KM.format('abs(dm)')} || coalesce(' (' || {_PCT.format('abs(rel)')} || ' of its earlier extent)', '') END
-    || ', measured over the ' || tenth || ' of the scene that changed.' || coalesce(' The largest supported conversion involving it is ' || {_CONVERSION.format('ts')}, '') END AS answer
+rd AS (SELECT cq.*, changed, valid, cor, m2, delta, rel, dm, CASE WHEN coalesce(valid, 0) = 0 THEN 'not comparable' WHEN coalesce(changed, 0) = 0 THEN 'no-change' WHEN delta IS NOT NULL THEN 'net change in ' || mentioned WHEN asks THEN 'changed extent' ELSE 'general change summary' END AS reading,
+  printf('%.1f', round(changed/nullif(valid, 0)*100, 1)) || '%' AS tenth FROM cq JOIN tl USING (scene_id) LEFT JOIN dl USING (scene_id, mentioned))
+SELECT request_id, reading, CASE reading {" ".join(f"WHEN '{n}' THEN {t}" for n, t in _CHANGED.items())} ELSE {_OF_CLASS} END AS answer
 FROM rd LEFT JOIN tp USING (scene_id) LEFT JOIN ts ON ts.scene_id = rd.scene_id AND ts.mentioned = rd.mentioned""")
 def answer_change_questions(spark: SparkSession, sf: str) -> DataFrame:
     pair = staged(scenes_plan._pair(spark, sf))

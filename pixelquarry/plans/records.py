@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelquarry.operators import answers, confidence, contracts, geometry, metrics, registration
+from pixelquarry.operators.wording import filled_sql
 from pixelquarry.sources import geotiff
 from pixelquarry.sources.scenes import read
 
@@ -183,7 +184,10 @@ def linear_probe(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.confusion(metrics.train_probe(rows.where("vec_id % 2 = 0"), rows.where("vec_id % 2 = 1"), "embedding", "label"), "label", "predicted")
 
 
-@query("scene_sentence", f"{_HEAD} SELECT vec_id, CASE WHEN p >= 0.5 THEN 'This scene is classified as ' || name || ' (' || round(p*100)::BIGINT || '% probability).' ELSE 'This scene is most consistent with ' || name || ', at only ' || round(p*100)::BIGINT || '% probability: treat the category as unsettled.' END AS answer FROM r WHERE k = 1")
+_SCENE = {"name": "name", "share": "round(p*100)::BIGINT || '%'"}
+
+
+@query("scene_sentence", f"{_HEAD} SELECT vec_id, CASE WHEN p >= 0.5 THEN {filled_sql('scene.sure', **_SCENE)} ELSE {filled_sql('scene.unsure', **_SCENE)} END AS answer FROM r WHERE k = 1")
 def scene_sentence(spark: SparkSession, sf: str) -> DataFrame:
     ranked = F.transform("ranked", lambda x: F.struct(x["name"].cast("string").alias("name"), x["probability"].alias("probability")))
     return _head(spark, sf).select("vec_id", answers.scene_sentence(ranked).alias("answer"))
