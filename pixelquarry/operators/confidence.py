@@ -20,6 +20,10 @@ def clamped(value: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), value))
 
 
+def clamped_or_null(value: Column) -> Column:
+    return F.when(value.isNotNull(), clamped(value))
+
+
 def folded(factors: Column) -> Column:
     """score, level, limiting_factor and reasons of an array of factors, as a struct; null factors have none.
 

@@ -84,9 +84,10 @@ def classify(
 
 
 def classify_rgb(px: DataFrame, by: list[str] = ["scene_id"], pixel_area: float | None = 100.0) -> DataFrame:
-    """``px`` with class_code from red, green and blue alone; built-up is never claimed.
+    """``px`` with class_code and evidence from red, green and blue alone; built-up is never claimed.
 
-    Water is dark, and bluer than red; its patches are opened, closed and freed of small ones.
+    Water is dark, and bluer than red; its patches are opened, closed and freed of small ones. Evidence is
+    how dark water and how green a plant is; the rest has none.
     """
     px = with_indices(px.withColumn("valid", valid(["red", "green", "blue"])), ["exg"])
     for band in ("red", "green", "blue"):
@@ -101,7 +102,8 @@ def classify_rgb(px: DataFrame, by: list[str] = ["scene_id"], pixel_area: float
     px = with_cuts(px, [Cut("green_cut", F.when(F.col("valid") & ~is_water, F.col("exg")), REFERENCE["exg"], region=True)], by)
     is_plant = F.coalesce(F.col("exg") > F.col("green_cut"), F.lit(False)) & F.col("valid") & ~is_water
     code = F.when(is_water, 1).when(is_plant, 2).when(F.col("valid"), 4).otherwise(0)
-    return px.withColumn("class_code", code.cast("int"))
+    evidence = F.when(is_water, spectral.clip(1 - F.col("brightness"), 0.0, 1.0)).when(is_plant, spectral.clip(F.col("exg"), 0.0, 1.0))
+    return px.withColumns({"class_code": code.cast("int"), "evidence": F.coalesce(evidence, F.lit(0.0))})
 
 
 #: class -> its indices, the first that a scene has; bare soil, the remainder, has none (fixed values).

@@ -5,7 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def on_one_machine(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process; ``local-cluster`` is not."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -18,7 +24,7 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local["):
+        if not on_one_machine(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
         shared = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", shared)

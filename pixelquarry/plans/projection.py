@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelquarry.operators import geometry, projection
+from pixelquarry.operators import geometry, neighbourhood, projection, rings
+from pixelquarry.operators.staging import staged
+from pixelquarry.plans import scenes as scenes_plan
 from pixelquarry.plans import sql
 from pixelquarry.plans.records import _SC, scenes
 from pixelquarry.sources.scenes import pixel_grid, read
@@ -177,3 +179,23 @@ def warp_zones(spark: SparkSession, sf: str) -> DataFrame:
     source, target = _array(10, 0, _X0 + east, 0, -10, _Y0 + 3000), _array(12, 0, _X0 - _EAST + 300 + east, 0, -12, _Y0 + 3000)
     found = projection.warped(px, grid, ["vv", "nir"], source, target, source_epsg=F.lit(32643), target_epsg=F.lit(32644))
     return found.withColumns({b: F.round(b, 4) for b in ("vv", "nir")})
+
+
+_E = repr(projection.ECCENTRICITY)
+_S = "sin(radians({0}))"
+_Q = f"(1 - {_E2!r}::DOUBLE)*({_S}/(1 - {_E2!r}::DOUBLE*{_S}**2) + ln((1 + {_E}::DOUBLE*{_S})/(1 - {_E}::DOUBLE*{_S}))/(2*{_E}::DOUBLE))"
+_EDGE = f"radians(blon - lon)*({_Q.format('lat')} + 4*{_Q.format('((lat + blat)/2)')} + {_Q.format('blat')})/6"
+
+
+@query("region_shapes", f"""{scenes_plan._COMPONENTS}, q AS (SELECT scene_id, label, r, c, unnest([0, 1, 1, 0]) AS j, unnest([0, 0, 1, 1]) AS i, unnest(range(4)) AS k FROM nb),
+cq AS (SELECT *, 43 AS zone, 700000.0 + scene_id*2000 + 10.0*(c + j) AS x, 2100000.0 - 10.0*(r + i) AS y FROM q), {degrees_sql('d', 'cq')},
+e AS (SELECT scene_id, label, r, c, lon, lat, lead(lon) OVER w AS nlon, lead(lat) OVER w AS nlat, first_value(lon) OVER w AS flon, first_value(lat) OVER w AS flat FROM d WINDOW w AS (PARTITION BY scene_id, r, c ORDER BY k)),
+f AS (SELECT scene_id, label, r, c, lon, lat, coalesce(nlon, flon) AS blon, coalesce(nlat, flat) AS blat FROM e),
+px AS (SELECT scene_id, label, r, c, abs(sum({_EDGE}))*{geometry.SEMI_MAJOR**2 / 2!r}::DOUBLE AS m2 FROM f GROUP BY ALL)
+SELECT scene_id, label::INT AS label, count(*) AS pixel_area, round(sum(m2), 1) AS area_m2 FROM px GROUP BY ALL""")
+def region_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions as polygons with holes; their areas on the ellipsoid are those of their pixels."""
+    labels = neighbourhood.components(staged(scenes_plan._mask(spark, sf)), "mask")
+    affine = _array(10, 0, 700000 + F.col("scene_id") * 2000.0, 0, -10, 2100000)
+    found = rings.region_shapes(rings.rings(labels), affine, F.lit(32643))
+    return found.select("scene_id", "label", "pixel_area", F.round("area_m2", 1).alias("area_m2"))

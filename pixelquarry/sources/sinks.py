@@ -55,6 +55,15 @@ def geojson(regions: DataFrame, transform: list[float], scene: str = "scene_id")
     return rows.select(scene, F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), features.alias("features"))).alias("geojson"))
 
 
+def geojson_shapes(shapes: DataFrame, properties: list[str], scene: str = "scene_id") -> DataFrame:
+    """scene and geojson: a collection of ``region_shapes`` (scene, label, geojson) with their properties."""
+    given = F.to_json(F.struct(F.col("label").alias("id"), *properties))
+    feature = F.concat(F.lit('{"type":"Feature","geometry":'), F.col("geojson"), F.lit(',"properties":'), given, F.lit("}"))
+    rows = shapes.groupBy(scene).agg(F.sort_array(F.collect_list(F.struct("label", feature.alias("f")))).alias("x"))
+    listed = F.array_join(F.transform("x", lambda x: x["f"]), ",")
+    return rows.select(scene, F.concat(F.lit('{"type":"FeatureCollection","features":['), listed, F.lit("]}")).alias("geojson"))
+
+
 def html_report(records: DataFrame, fields: list[str]) -> DataFrame:
     """``records`` with html: a table of its fields, escaped."""
     cells = [F.concat(F.lit(f"<tr><th>{n}</th><td>"), html_escape(F.coalesce(F.col(n).cast("string"), F.lit(""))), F.lit("</td></tr>")) for n in fields]
