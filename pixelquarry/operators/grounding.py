@@ -95,6 +95,19 @@ def admitted(requests: DataFrame, scenes: DataFrame) -> DataFrame:
     return requests.join(scenes, "scene_id", "left").withColumn("error", error)
 
 
+def once(admitted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests that ask the same of the same scene, once; and request_id, asked_as of all of them.
+
+    Of equal ones the first identifier stands for all, so regions are judged for each thing that is
+    asked and not for each request. Join what is found by it back with ``asked_as``.
+    """
+    facts = [c for c in admitted.columns if c not in ("request_id", "query")]
+    keyed = admitted.select("request_id", F.sha2(F.to_json(F.struct(*facts)), 256).alias("_same"), F.struct(*facts).alias("_f"))
+    first = keyed.groupBy("_same").agg(F.min("request_id").alias("asked_as"), F.min_by("_f", "request_id").alias("_f"))
+    members = keyed.select("request_id", "_same").join(first.select("_same", "asked_as"), "_same").drop("_same")
+    return first.select(F.col("asked_as").alias("request_id"), "_f.*"), members
+
+
 def judged(admitted: DataFrame, regions: DataFrame) -> DataFrame:
     """A row for each admitted request and region of its class, with sector_overlap, area_m2, why it
     is left out (null: it isn't) and place among those that are kept.

@@ -90,11 +90,14 @@ def edge_density(px: DataFrame, band: str, out: str, window: int = 9, scene: str
 
 
 def line_element(length: int, degrees: int) -> list[tuple[int, int]]:
-    """Offsets of a line through the origin."""
-    reach = length // 2
-    steps = np.linspace(-reach, reach, 4 * reach + 2)
-    angle = np.deg2rad(degrees)
-    return sorted({(round(t * np.sin(angle)), round(t * np.cos(angle))) for t in steps.tolist()})
+    """Offsets (row, column) that lie within half a pixel of a line through the origin, and no farther along it
+    than half of its length."""
+    reach, angle = length // 2, np.deg2rad(degrees)
+    row, column = np.mgrid[-reach : reach + 1, -reach : reach + 1]
+    across = np.abs(row * np.cos(angle) - column * np.sin(angle))
+    along = np.abs(row * np.sin(angle) + column * np.cos(angle))
+    near = (across <= 0.5 + 1e-9) & (along <= reach + 1e-9)
+    return list(zip(row[near].tolist(), column[near].tolist()))
 
 
 def _opened(image: np.ndarray, element: list[tuple[int, int]]) -> np.ndarray:

@@ -56,23 +56,31 @@ def weigh(df: DataFrame, source: str, factors: Column) -> DataFrame:
     return with_entries(df, F.transform(factors, lambda f: _entry(kind(f), source, name=f["name"], value=f["value"], weight=f["weight"], text=f["reason"])))
 
 
-def _of(kinds: tuple[str, ...]) -> Column:
-    return F.filter(COLUMN, lambda e: e["kind"].isin(*kinds))
+def _of(p: Column, kinds: tuple[str, ...]) -> Column:
+    return F.filter(p, lambda e: e["kind"].isin(*kinds))
+
+
+def _codes(p: Column) -> Column:
+    return F.array_distinct(F.transform(_of(p, ("warning",)), lambda e: e["text"]))
 
 
 def warnings() -> Column:
     """The codes of all warnings so far, each once, where it came first."""
-    return F.array_distinct(F.transform(_of(("warning",)), lambda e: e["text"]))
+    return _codes(F.col(COLUMN))
 
 
 def reduced(df: DataFrame) -> DataFrame:
     """``df`` with its provenance folded: warnings, score, level, limiting_factor, reasons, evidence (lines,
     then factors: type, source, value, description), steps (step, status, details, ms) and status."""
-    factors = F.transform(_of(("factor", "gate")), lambda e: F.struct(e["name"].alias("name"), e["value"].alias("value"), e["weight"].alias("weight"), e["kind"].alias("kind"), e["text"].alias("reason")))
     name = lambda e: F.when(e["kind"] == "line", "observation").when(e["kind"] == "gate", "quality").otherwise("measurement")
-    said = lambda kinds: F.transform(_of(kinds), lambda e: F.struct(name(e).alias("type"), F.concat_ws(":", e["source"], e["name"]).alias("source"), confidence.clamped_or_null(e["value"]).alias("value"), e["text"].alias("description")))
-    steps = F.transform(_of(("step",)), lambda e: F.struct(e["source"].alias("step"), e["name"].alias("status"), e["text"].alias("details"), e["ms"].alias("ms")))
-    parts = bound(lambda p: F.struct(p["w"].alias("warnings"), p["c"].alias("confidence")), w=warnings(), c=confidence.folded(factors))
-    rows = df.withColumn("_r", parts).withColumns({"evidence": F.concat(said(("line",)), said(("factor", "gate"))), "steps": steps})
-    rows = rows.select("*", "_r.warnings", "_r.confidence.*").drop("_r", COLUMN)
+
+    def folded(v: Column) -> Column:
+        p = v["p"]
+        factors = F.transform(_of(p, ("factor", "gate")), lambda e: F.struct(e["name"].alias("name"), e["value"].alias("value"), e["weight"].alias("weight"), e["kind"].alias("kind"), e["text"].alias("reason")))
+        said = lambda kinds: F.transform(_of(p, kinds), lambda e: F.struct(name(e).alias("type"), F.concat_ws(":", e["source"], e["name"]).alias("source"), confidence.clamped_or_null(e["value"]).alias("value"), e["text"].alias("description")))
+        steps = F.transform(_of(p, ("step",)), lambda e: F.struct(e["source"].alias("step"), e["name"].alias("status"), e["text"].alias("details"), e["ms"].alias("ms")))
+        return F.struct(_codes(p).alias("warnings"), confidence.folded(factors).alias("c"), F.concat(said(("line",)), said(("factor", "gate"))).alias("evidence"), steps.alias("steps"))
+
+    rows = df.withColumn("_r", bound(folded, p=F.col(COLUMN)))
+    rows = rows.select("*", "_r.warnings", "_r.evidence", "_r.steps", "_r.c.*").drop("_r", COLUMN)
     return rows.withColumn("status", confidence.status(F.col("level") == "insufficient", F.size("warnings")))

@@ -68,23 +68,31 @@ j2 AS (SELECT *, CASE WHEN lo IS NULL THEN row_number() OVER (PARTITION BY reque
 jd AS MATERIALIZED (SELECT *, CASE WHEN place > "limit" THEN 'beyond_limit' ELSE lo END AS left_out FROM j2)"""
 
 
-def _grounded(spark: SparkSession, sf: str, px: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Admitted requests, their judged regions, the labels of pixels, and the sizes of classes."""
+def _grounded(spark: SparkSession, sf: str, px: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What is asked, once; the regions judged for it; the labels of pixels, the sizes of classes, and which
+    requests ask it."""
     px = _classified(spark, sf) if px is None else px
     scores = {name: landcover.class_score(name, ["mndwi", "ndwi", "ndvi", "ndbi"]) for name in landcover.CLASS_INDICES}
     regions, labels = grounding.class_regions(px, scores, landcover.min_patch(px, ["scene_id"], AREA))
     scenes = staged(_scenes(px))
     parsed = staged(_placed(spark, sf, language.parse_grounding(requests_plan.requests(spark, sf)), scenes))
-    admitted = grounding.admitted(parsed, scenes)
+    asked, members = grounding.once(grounding.admitted(parsed, scenes))
+    asked = staged(asked)
     sizes = px.groupBy("scene_id", landcover.code_name(F.col("class_code")).alias("class")).agg(F.count("*").alias("class_pixels"))
-    return admitted, grounding.judged(admitted, staged(regions)), labels, sizes
+    return asked, grounding.judged(asked, staged(regions)), labels, sizes, members
+
+
+def _for_all(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """What was found for a thing that is asked, for every request that asks it."""
+    return members.join(rows.withColumnRenamed("request_id", "asked_as"), "asked_as").drop("asked_as")
 
 
 @query("ground_regions", f"{_GROUND} SELECT request_id, scene_id, target AS class, label::INT AS label, place::INT AS place, pixel_area, round(area_m2, 6) AS area_m2, round(sector_overlap, 6) AS sector_overlap FROM jd WHERE left_out IS NULL")
 def ground_regions(spark: SparkSession, sf: str) -> DataFrame:
     """The regions that each request is answered with."""
-    kept = _grounded(spark, sf)[1].where("left_out IS NULL")
-    return kept.select("request_id", "scene_id", "class", "label", "place", "pixel_area", F.round("area_m2", 6).alias("area_m2"), F.round("sector_overlap", 6).alias("sector_overlap"))
+    _, found, _, _, members = _grounded(spark, sf)
+    kept = found.where("left_out IS NULL").select("request_id", "scene_id", "class", "label", "place", "pixel_area", F.round("area_m2", 6).alias("area_m2"), F.round("sector_overlap", 6).alias("sector_overlap"))
+    return _for_all(kept, members)
 
 
 _PCT = "(round({}*100)::BIGINT || '%')"
@@ -107,8 +115,9 @@ _GROUND_SAID = f"""CASE WHEN class_pixels = 0 THEN {filled_sql('ground.absent',
     *[(n, n) for n in ("regions", "selected_pixels")], ("round(selected_area_m2, 6)", "selected_area_m2"), ("class_pixels", "class_pixels"), ("round(coverage, 6)", "coverage"), *[(n, n) for n in _LEFT_OUT], ("count_reportable", "count_reportable"),
     (_GROUND_SAID, "answer")]) + " FROM gx")
 def ground_answers(spark: SparkSession, sf: str) -> DataFrame:
-    admitted, found, _, sizes = _grounded(spark, sf)
-    return grounding.answers(admitted, found, sizes).withColumns({n: F.round(n, 6) for n in ("selected_area_m2", "coverage")})
+    asked, found, _, sizes, members = _grounded(spark, sf)
+    said = grounding.answers(asked, found, sizes).withColumns({n: F.round(n, 6) for n in ("selected_area_m2", "coverage")})
+    return _for_all(said, members)
 
 
 #: The same over maps that radar was fused into; in every second scene it parted bright echoes from the rest.
@@ -122,9 +131,9 @@ def ground_fused_answers(spark: SparkSession, sf: str) -> DataFrame:
     px = _classified(spark, sf)
     fused = scenes_plan._fused(spark, sf).select("scene_id", "r", "c", F.col("fused_code").alias("class_code"))
     px = staged(px.drop("class_code").join(fused, ["scene_id", "r", "c"]))
-    admitted, found, _, sizes = _grounded(spark, sf, px)
+    asked, found, _, sizes, members = _grounded(spark, sf, px)
     parted = px.select("scene_id").distinct().withColumn("radar_parts", F.col("scene_id") % 2 == 0)
-    return grounding.answers(admitted, found, sizes, parted).select("request_id", "error", "regions", "count_reportable", "answer")
+    return _for_all(grounding.answers(asked, found, sizes, parted).select("request_id", "error", "regions", "count_reportable", "answer"), members)
 
 
 _FUSION_LEAD = filled_sql("fusion.lead", top="top", share=_PCT.format("share"), both=_PCT.format("(agreed/classified)"))
@@ -146,8 +155,9 @@ def fusion_answers(spark: SparkSession, sf: str) -> DataFrame:
 @query("ground_selection", f"{_GROUND} SELECT request_id, count(*) AS pixels, sum(r) AS rows_sum, sum(c) AS columns_sum FROM jd JOIN rl USING (scene_id, code, label) WHERE left_out IS NULL GROUP BY request_id".replace("sum(r)", "sum(r)::BIGINT").replace("sum(c)", "sum(c)::BIGINT"))
 def ground_selection(spark: SparkSession, sf: str) -> DataFrame:
     """The mask that an answer shows, as its pixels and the sums of their places."""
-    _, found, labels, _ = _grounded(spark, sf)
-    return grounding.selection(found, labels).groupBy("request_id").agg(F.count("*").alias("pixels"), F.sum("r").alias("rows_sum"), F.sum("c").alias("columns_sum"))
+    _, found, labels, _, members = _grounded(spark, sf)
+    totals = grounding.selection(found, labels).groupBy("request_id").agg(F.count("*").alias("pixels"), F.sum("r").alias("rows_sum"), F.sum("c").alias("columns_sum"))
+    return _for_all(totals, members)
 
 
 #: CTE cs: class statistics with names and areas, and their order in a scene.

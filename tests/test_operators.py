@@ -219,16 +219,27 @@ def test_registration_finds_a_planted_shift(spark, shift):
     if shift == (0, 0):
         assert row.method == "none" and row.first.score > 0.95
         return
-    assert row.method == "pyramid" and (row.shift_y, row.shift_x) == pytest.approx((-shift[0], -shift[1]), abs=0.5)
+    assert row.method in ("pyramid", "features") and (row.shift_y, row.shift_x) == pytest.approx((-shift[0], -shift[1]), abs=0.5)
     assert row.last.score > row["first"].score and np.hypot(row.last.offset_x, row.last.offset_y) < 1
     back_again = registration.moved(pair, ["x"], registration.coregister(pair, ["x"])).where("date = 'after' AND x IS NOT NULL").collect()
     inner = [abs(r.x - city()[r.r, r.c]) for r in back_again if 15 < r.r < 80 and 15 < r.c < 80]
     assert np.mean(inner) < 0.05 and len(inner) > 3000
 
 
+def test_feature_matching_finds_large_shifts():
+    from pixelquarry.operators import features
+
+    big = city(seed=5) if min(city(seed=5).shape) >= 150 else np.kron(np.random.default_rng(5).random((60, 60)), np.ones((5, 5)))
+    a, b = big[40:200, 60:220], big[75:235, 38:198]  # the second lies 35 rows on and 22 columns back
+    right, down, pairs = features.matched_shift(a, b + np.random.default_rng(1).normal(0, 0.01, b.shape))
+    assert (right, down) == (22.0, -35.0) and pairs >= features.LEAST_PAIRS
+    assert features.matched_shift(a, np.zeros_like(a)) is None and features.matched_shift(a[:20, :20], a[:20, :20]) is None
+    assert features.mutual_pairs(np.zeros((0, 4), np.uint64), np.zeros((3, 4), np.uint64)).shape == (0, 2)
+
+
 def test_registration_rejects_other_ground(spark):
     row = registration.coregister(dated(spark, city(), city(seed=9)), ["x"]).first()
-    assert row.method in ("rejected", "pyramid") and row.last.score >= row["first"].score and row.last.ncc < 0.35
+    assert row.method in ("rejected", "pyramid", "features") and row.last.score >= row["first"].score and row.last.ncc < 0.35
 
 
 def test_resampling_to_another_grid(spark):
