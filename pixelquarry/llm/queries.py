@@ -172,6 +172,25 @@ SELECT p.page_id, host, path, rule, coalesce(f.verdict, 'allow') AS verdict FROM
 """
 
 
+_OP10 = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), w AS (
+  SELECT k, p, array_to_string(ws[p:p + 34], ' ') AS s FROM d, LATERAL (SELECT unnest(range(1, len(ws) - 33)) AS p)
+), h AS (
+  SELECT k, p FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING count(*) > 1)
+), c AS (
+  SELECT DISTINCT k, unnest(range(p, p + 35)) AS i FROM h
+), t AS (
+  SELECT k, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d
+), g AS (
+  SELECT k, count(c.i) AS n_removed, string_agg(word, ' ' ORDER BY t.i) FILTER (c.i IS NULL) AS kept
+  FROM t LEFT JOIN c USING (k, i) GROUP BY k
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (k)
+"""
+
 # DuckDB has no CRC-32: eight shifts for each digit of the identifier, with the polynomial reversed.
 _OP12 = r"""
 WITH o AS (
@@ -251,6 +270,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_topk_search": _OP4,
         "op6_chat_format": _OP6,
         "op9_url_filters": _OP9,
+        "op10_substring_dedup": _OP10,
         "op12_prefix_trie": _OP12,
         "op13_centroid_clustering": _op13(),
     }
