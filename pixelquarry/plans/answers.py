@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelquarry.operators import answers, change, grounding, landcover, language, radar
+from pixelquarry.operators import answers, change, confidence, grounding, landcover, language, provenance, radar
 from pixelquarry.operators.staging import staged
 from pixelquarry.operators.wording import filled_sql
 from pixelquarry.plans import language as requests_plan
 from pixelquarry.plans import scenes as scenes_plan
+from pixelquarry.plans import spectral as spectral_plan
 from pixelquarry.plans import sql
 from pixelquarry.plans.language import _quote
 from pixelquarry.sources.scenes import BANDS, pixel_grid
@@ -253,3 +254,37 @@ QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY pixel_count DESC, befo
 def dominant_transition(spark: SparkSession, sf: str) -> DataFrame:
     found = change.transitions(scenes_plan._detected(spark, sf), AREA)
     return change.dominant_transition(change.reportable(found, F.col("scene_id") % 3 != 1))
+
+
+def _assessed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every scene's land cover, weighed by what was measured of it: its picture's quality and its classes'
+    separability."""
+    rows = spectral_plan.input_quality(spark, sf).withColumnsRenamed({"score": "quality", "warnings": "codes"})
+    rows = provenance.started(rows.join(scenes_plan.class_separability(spark, sf), "scene_id"))
+    rows = provenance.step(rows, "quality", F.format_string("scored %.2f", "quality"), warned=F.col("codes") != "")
+    rows = provenance.warn(rows, "quality", F.filter(F.split("codes", ","), lambda c: c != ""))
+    rows = provenance.step(rows, "landcover", F.lit("classified"))
+    rows = provenance.observe(rows, "landcover", F.array(F.format_string("separability %.2f", "separability")))
+    rows = rows.withColumn("n_warnings", F.size(provenance.warnings()))
+    return provenance.reduced(provenance.weigh(rows, "landcover", confidence.for_landcover(rows)))
+
+
+_WEIGHED = f"""q AS MATERIALIZED ({spectral_plan.SQL['input_quality']}), s AS MATERIALIZED ({scenes_plan.SQL['class_separability']}),
+f AS (SELECT scene_id, q.score AS quality, separability, warnings, len(list_filter(string_split(warnings, ','), lambda x: x <> '')) AS n FROM q JOIN s USING (scene_id)),
+u AS (SELECT *, greatest(1 - 0.15*n, 0.4)::DOUBLE AS w, least(greatest(separability, 0), 1)::DOUBLE AS sp, least(greatest(quality, 0), 1)::DOUBLE AS ql FROM f),
+m AS (SELECT *, (0.45*sp + 0.1*w + 0.25*ql)/0.8 AS mean FROM u),
+z AS (SELECT *, least(mean, sp) AS total, CASE WHEN sp < mean OR (sp <= w AND sp <= ql) THEN 'class_separability' WHEN w <= ql THEN 'warnings' ELSE 'input_quality' END AS limiting FROM m)"""
+
+
+@query("assessments", f"""WITH {_WEIGHED} SELECT scene_id, round(total, 6) AS score, CASE WHEN total >= 0.75 THEN 'high' WHEN total >= 0.5 THEN 'medium' WHEN total >= 0.25 THEN 'low' ELSE 'insufficient' END AS level,
+  limiting AS limiting_factor, warnings, CASE WHEN total < 0.25 OR n > 0 THEN 'partial' ELSE 'success' END AS status, 'quality:' || CASE WHEN n > 0 THEN 'warning' ELSE 'ok' END || ',landcover:ok' AS steps FROM z""")
+def assessments(spark: SparkSession, sf: str) -> DataFrame:
+    steps = F.array_join(F.transform("steps", lambda x: F.concat_ws(":", x["step"], x["status"])), ",")
+    return _assessed(spark, sf).select("scene_id", F.round("score", 6).alias("score"), "level", "limiting_factor", F.array_join("warnings", ",").alias("warnings"), "status", steps.alias("steps"))
+
+
+@query("assessment_evidence", f"""WITH {_WEIGHED} SELECT scene_id, unnest(range(4))::INT AS ord, unnest(['observation', 'quality', 'measurement', 'measurement']) AS type, unnest(['landcover', 'landcover:class_separability', 'landcover:warnings', 'landcover:input_quality']) AS source,
+  unnest([NULL, round(sp, 6), round(w, 6), round(ql, 6)]) AS value, unnest(['separability ' || printf('%.2f', separability), 'class separability scored ' || printf('%.2f', round(separability, 2)), 'warnings scored ' || printf('%.2f', round(w, 2)), 'input quality scored ' || printf('%.2f', round(quality, 2))]) AS description FROM z""")
+def assessment_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    items = _assessed(spark, sf).select("scene_id", F.posexplode("evidence").alias("ord", "e"))
+    return items.select("scene_id", "ord", "e.type", "e.source", F.round("e.value", 6).alias("value"), "e.description")
