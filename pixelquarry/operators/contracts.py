@@ -5,9 +5,15 @@ A request is a row with its images' modalities as an array; the tools are a smal
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelquarry.operators.staging import staged
+
 MOST_IMAGES = 2
 #: tool, task, tier, images at least and at most, modes it takes, modalities it needs (fixed values).
 TOOLS = (
@@ -78,11 +84,15 @@ def dispatch(requests: DataFrame, out_of_order: tuple[str, ...] = ()) -> DataFra
     """request_id, tool, error: who serves each request (request_id, task, mode, modalities).
 
     Of the task's tools that are available and take the request, the lowest tier goes first, then
-    the order of the table; those of ``out_of_order`` are passed over. Else the error: the task isn't
-    built, isn't known, no tool is available, or the most telling broken rule.
+    the order of the table; those of ``out_of_order``, and of a request's own array ``tried`` where it has one,
+    are passed over. Else the error: the task isn't built, isn't known, no tool is available, or the most
+    telling broken rule.
     """
     tools = F.broadcast(tool_table(requests.sparkSession))
-    rows = requests.join(tools, "task", "left").withColumns({"broken": violation(), "open": ~F.col("tool").isin(*out_of_order) if out_of_order else F.col("tool").isNotNull()})
+    able = ~F.col("tool").isin(*out_of_order) if out_of_order else F.col("tool").isNotNull()
+    if "tried" in requests.columns:
+        able = able & ~F.array_contains("tried", F.col("tool"))
+    rows = requests.join(tools, "task", "left").withColumns({"broken": violation(), "open": able})
     rank = F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("broken"))
     found = rows.groupBy("request_id", "task").agg(
         F.min_by("tool", F.when(F.col("open") & F.col("broken").isNull(), F.struct("tier", "ord"))).alias("tool"),
@@ -94,6 +104,29 @@ def dispatch(requests: DataFrame, out_of_order: tuple[str, ...] = ()) -> DataFra
     return found.select("request_id", "tool", F.when(F.col("tool").isNull(), error.otherwise(F.col("broken"))).alias("error"))
 
 
+def served(requests: DataFrame, tools: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """request_id, tool, answer, tried, error: each request (request_id, task, mode, modalities) by the first tool
+    that answers it.
+
+    ``tools`` run on the requests that are sent to them and give request_id and answer; a null or missing
+    answer is a failure. Requests that a tool failed enter the dispatch again with that tool among their ``tried``
+    ones, until one answers or none is left, for which ``dispatch`` gives the error. There are as many rounds
+    as a task has tools, and one for what is left then.
+    """
+    rounds = 1 + max(Counter(t[1] for t in TOOLS).values())
+    waiting = requests.withColumn("tried", F.array().cast("array<string>"))
+    done = []
+    for _ in range(rounds):
+        sent = staged(waiting.join(dispatch(waiting), "request_id"))
+        done.append(sent.where("tool IS NULL").select("request_id", "tool", F.lit(None).cast("string").alias("answer"), "tried", "error"))
+        ran = reduce(DataFrame.unionByName, [run(sent.where(F.col("tool") == name)).select("request_id", "answer") for name, run in tools.items()])
+        judged = staged(sent.where("tool IS NOT NULL").join(ran, "request_id", "left"))
+        done.append(judged.where("answer IS NOT NULL").select("request_id", "tool", "answer", "tried", "error"))
+        failed = judged.where("answer IS NULL").withColumn("tried", F.concat("tried", F.array("tool")))
+        waiting = failed.select(*requests.columns, "tried")
+    return reduce(DataFrame.unionByName, done)
+
+
 def resolved_task(routed: Column, pinned: Column) -> dict[str, Column]:
     """task, and overridden: whether a pinned task (not null, empty or ``auto``) differs from the routed one."""
     held = F.coalesce(pinned, F.lit("")).isin("", "auto")

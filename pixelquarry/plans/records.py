@@ -361,6 +361,31 @@ def tool_dispatch(spark: SparkSession, sf: str) -> DataFrame:
     return contracts.dispatch(rows, ("scene-model",))
 
 
+#: When a tool fails: the scene model for every third request, land cover for every seventh.
+_FAILS = "((tool = 'scene-model' AND request_id % 3 = 0) OR (tool = 'landcover' AND request_id % 7 = 0))"
+
+
+@query("tool_fallback", f"""WITH {_MODE}, tl(tool, task, tier, lo, hi, modes, needs, ord) AS (VALUES {_TOOL_ROWS}), rq AS (SELECT request_id, modalities, mode, {list(_ASKED)}[1 + (request_id // 3) % {len(_ASKED)}] AS task FROM mo WHERE error IS NULL),
+y AS (SELECT rq.*, tool, tier, ord, CASE WHEN len(modalities) < lo THEN 'too_few_images' WHEN len(modalities) > hi THEN 'too_many_images' WHEN NOT list_contains(modes, mode) THEN 'wrong_mode' WHEN NOT list_has_all(modalities, needs) THEN 'missing_modality' END AS broken FROM rq LEFT JOIN tl USING (task)),
+x AS (SELECT *, coalesce(broken IS NULL AND {_FAILS}, FALSE) AS failed FROM y),
+g AS (SELECT request_id, any_value(task) AS task, arg_min(tool, (tier, ord)) FILTER (broken IS NULL AND NOT failed) AS tool, min((tier, ord)) FILTER (broken IS NULL AND NOT failed) AS spot,
+  arg_min(broken, (list_position({list(contracts.PRIORITY)}, broken), tier, ord)) FILTER (broken IS NOT NULL) AS broken, count(tool) AS known, count(tool) FILTER (NOT failed) AS n FROM x GROUP BY 1),
+f AS (SELECT request_id, string_agg(x.tool, ',' ORDER BY tier, ord) AS tried FROM x JOIN g USING (request_id) WHERE failed AND (spot IS NULL OR (tier, ord) < spot) GROUP BY 1)
+SELECT g.request_id, tool, tool || ' served ' || g.request_id AS answer, coalesce(tried, '') AS tried,
+  CASE WHEN tool IS NOT NULL THEN NULL WHEN task IN {contracts.NOT_BUILT} THEN 'unsupported_task' WHEN known = 0 THEN 'not_dispatchable' WHEN n = 0 THEN 'model_unavailable' ELSE broken END AS error FROM g LEFT JOIN f USING (request_id)""")
+def tool_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """Who answers each request where the first tool fails for some of them."""
+    task = F.element_at(F.array(*map(F.lit, _ASKED)), (1 + F.floor(F.col("request_id") / 3) % len(_ASKED)).cast("int"))
+    rows = _image_sets(spark, sf).where("error IS NULL").select("request_id", "modalities", "mode", task.alias("task"))
+
+    def tool(name: str):
+        said = F.when(~F.expr(_FAILS), F.concat(F.lit(name + " served "), F.col("request_id").cast("string")))
+        return lambda sent: sent.select("request_id", said.alias("answer"))
+
+    found = contracts.served(rows, {t[0]: tool(t[0]) for t in contracts.TOOLS})
+    return found.withColumn("tried", F.array_join("tried", ","))
+
+
 @query("task_override", f"WITH x AS (SELECT event_id AS request_id, {list(_ASKED)}[1 + event_id % {len(_ASKED)}] AS routed, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'auto' WHEN 2 THEN '' ELSE {list(_ASKED)}[1 + (event_id // 5) % {len(_ASKED)}] END AS pinned FROM events) "
        "SELECT request_id, CASE WHEN coalesce(pinned, '') IN ('', 'auto') THEN routed ELSE pinned END AS task, coalesce(pinned, '') NOT IN ('', 'auto') AND pinned <> routed AS overridden FROM x")
 def task_override(spark: SparkSession, sf: str) -> DataFrame:
