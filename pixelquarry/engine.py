@@ -88,6 +88,7 @@ class _Found:
     facts: DataFrame
     factors: Callable[[DataFrame], Column]
     lines: Column
+    codes: Column | None = None
 
 
 class Engine:
@@ -187,6 +188,8 @@ class Engine:
         rows = provenance.warn(rows, "inputs", F.array(*[F.lit(c) for c in codes]).cast("array<string>"))
         for k in range(len(scenes)):
             rows = provenance.warn(rows, "quality", F.col(f"_w{k}"))
+        if found.codes is not None:
+            rows = provenance.warn(rows, tool, found.codes)
         rows = provenance.observe(rows, tool, found.lines)
         marks = [F.col(f"_q{k}") for k in range(len(scenes))]
         rows = rows.withColumns({"quality": marks[0] if len(marks) == 1 else F.least(*marks), "n_warnings": F.size(provenance.warnings())})
@@ -320,8 +323,10 @@ class Engine:
         outlines = kernels.polygons(labels.join(found.where("left_out IS NULL").select("scene_id", "class", "label"), ["scene_id", "class", "label"], "left_semi"), by=["scene_id", "class"])
         kept = found.where("left_out IS NULL").select("scene_id", "class", "label", "place", "pixel_area", "area_m2", "sector_overlap", "score", "r0", "c0", "r1", "c1")
         lines = F.array(F.concat(F.lit("regions kept: "), F.col("regions").cast("string")), F.concat(F.lit("pixels of the class: "), F.col("class_pixels").cast("string")))
-        facts = self._map_facts(px).join(said.select("scene_id", "regions", "class_pixels", "count_reportable"), "scene_id")
-        return _Found(kept.join(outlines, ["scene_id", "class", "label"], "left"), said.select("scene_id", "answer"), facts, confidence.for_grounding, lines)
+        more = found.groupBy("scene_id").agg(F.max("more").alias("more"))
+        facts = self._map_facts(px).join(said.select("scene_id", "regions", "class_pixels", "count_reportable"), "scene_id").join(more, "scene_id", "left")
+        codes = F.array_compact(F.array(F.when(F.col("more"), "more_regions")))
+        return _Found(kept.join(outlines, ["scene_id", "class", "label"], "left"), said.select("scene_id", "answer"), facts, confidence.for_grounding, lines, codes)
 
     def _detected(self, scenes: list[Scene]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         """The pair by place, its change, its transitions judged by the measured registration, and that."""

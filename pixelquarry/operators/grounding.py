@@ -62,8 +62,8 @@ def class_regions(classified: DataFrame, scores: dict[str, Column], min_pixels:
     """The regions of a class map (scene_id, r, c, class_code), and the label of each of its pixels.
 
     Regions: scene_id, class, label, pixel_area, bounding box, centroid, score (mean of the class's
-    column in ``scores``; null without one), sectors (map: share of its pixels in each) and rank.
-    The ``most`` largest of a class are kept, and none below ``min_pixels``.
+    column in ``scores``; null without one), sectors (map: share of its pixels in each), rank and more.
+    The ``most`` largest of a class are kept, and none below ``min_pixels``; ``more`` says whether others were left.
     """
     score = F.coalesce(*[F.when(F.col("class_code") == CLASSES[name], s) for name, s in scores.items()], F.lit(None).cast("double"))
     px = classified.select("scene_id", "r", "c", "class_code", score.alias("score"))
@@ -77,7 +77,8 @@ def class_regions(classified: DataFrame, scores: dict[str, Column], min_pixels:
         F.avg("score").alias("score"), F.create_map(*inside).alias("sectors"),
     ).where(F.col("pixel_area") >= min_pixels)
     order = Window.partitionBy("scene_id", "class_code").orderBy(F.col("pixel_area").desc(), "label")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    several = Window.partitionBy("scene_id", "class_code")
+    ranked = found.withColumns({"rank": F.row_number().over(order), "more": F.count("*").over(several) > most}).where(F.col("rank") <= most)
     named = lambda df: df.withColumn("class", code_name(F.col("class_code"))).drop("class_code")
     return named(ranked), named(labelled.drop("score"))
 

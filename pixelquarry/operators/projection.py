@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelquarry.functions.binding import bound
-from pixelquarry.operators.geometry import FLATTENING, MIN_OVERLAP, SCALE, SEMI_MAJOR, overlap, pair_strategy
+from pixelquarry.operators.geometry import FLATTENING, SCALE, SEMI_MAJOR, overlap, pair_strategy
 
 #: Geographic degrees, and the hundreds of UTM codes north and south (fixed values).
 WGS84, UTM_NORTH, UTM_SOUTH = 4326, 326, 327
@@ -256,4 +256,4 @@ def warped(
     return found.unionByName(none)
 
 
-__all__ = ["MIN_OVERLAP", "TILE", "footprint_pairs", "reprojected", "degrees", "reprojected_box", "supported", "utm_code", "utm_to_wgs84", "warped", "wgs84_to_utm"]
+__all__ = ["TILE", "degrees", "footprint_pairs", "reprojected", "reprojected_box", "supported", "utm_code", "utm_to_wgs84", "warped", "wgs84_to_utm"]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pixelquarry.functions.binding import bound
 from pixelquarry.operators import projection
-from pixelquarry.operators.geometry import FLATTENING, SEMI_MAJOR
+from pixelquarry.operators.geometry import SEMI_MAJOR
 from pixelquarry.operators.neighbourhood import plane
 
 _RINGS_DDL = "ring int, outer int, hole boolean, points array<struct<x:double,y:double>>"
@@ -182,4 +182,4 @@ def region_shapes(rings: DataFrame, affine: Column, epsg: Column, by: list[str]
     return whole.withColumn("geojson", geometry).drop("_s")
 
 
-__all__ = ["FLATTENING", "ellipsoid_area", "in_degrees", "nested", "on_ground", "plane_area", "region_shapes", "rings", "signed_area", "traced"]
+__all__ = ["ellipsoid_area", "in_degrees", "nested", "on_ground", "plane_area", "region_shapes", "rings", "signed_area", "traced"]
