@@ -1,11 +1,13 @@
 """GeoTIFF scenes: header scan, pixel scan and a plain writer.
 
 Files come through Spark's ``binaryFile`` source, so any store that Spark reads will do; a task
-parses one file at a time. Strips without compression are read; other layouts get an error code.
+parses one file at a time. Strips and tiles, plain, LZW or DEFLATE, with either predictor, are read; other
+layouts get an error code.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -14,12 +16,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelquarry.sources import blocks
+
 #: TIFF field type -> struct code; sample format and bits -> numpy type (fixed values).
 _FIELDS = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
 _SAMPLES = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}
 META_DDL = (
     "path string, width int, height int, band_count int, dtype string, crs_epsg int, transform array<double>, "
-    "nodata double, band_descriptions array<string>, error_code string"
+    "nodata double, band_descriptions array<string>, bounds array<double>, tags map<string,string>, error_code string"
 )
 
 
@@ -65,6 +69,9 @@ def metadata(path: str, data: bytes) -> dict:
     transform = None
     if scale and tie:
         transform = [scale[0], 0.0, tie[3] - tie[0] * scale[0], 0.0, -scale[1], tie[4] + tie[1] * scale[1]]
+    a, _, c, _, e, f = transform or [1.0, 0.0, 0.0, 0.0, 1.0, 0.0]
+    right, bottom = c + a * tags[256][0], f + e * tags[257][0]
+    items = re.findall(r'<Item name="([^"]*)"[^>]*>([^<]*)</Item>', tags.get(42112, ""))
     bits, kind = tags.get(258, (8,))[0], tags.get(339, (1,))[0]
     nodata = tags.get(42113)
     described = tags.get(270)
@@ -72,28 +79,25 @@ def metadata(path: str, data: bytes) -> dict:
         "width": tags[256][0], "height": tags[257][0], "band_count": tags.get(277, (1,))[0], "dtype": _SAMPLES.get((kind, bits)),
         "crs_epsg": epsg, "transform": transform or [1.0, 0.0, 0.0, 0.0, 1.0, 0.0],
         "nodata": float(nodata) if nodata else None, "band_descriptions": described.split("|") if described else [],
+        "bounds": [min(c, right), min(f, bottom), max(c, right), max(f, bottom)], "tags": dict(items),
     }
 
 
-def bands(data: bytes) -> np.ndarray:
-    """(bands, height, width) as doubles; nodata is NaN."""
-    tags = parse(data)
-    w, h, n = tags[256][0], tags[257][0], tags.get(277, (1,))[0]
+def sample_kind(tags: dict) -> str:
     kind = _SAMPLES.get((tags.get(339, (1,))[0], tags.get(258, (8,))[0]))
-    if kind is None or tags.get(259, (1,))[0] != 1 or 273 not in tags:
+    if kind is None:
         raise ValueError("UNSUPPORTED_LAYOUT")
-    raw = b"".join(data[a : a + size] for a, size in zip(tags[273], tags[279]))
-    flat = np.frombuffer(raw, tags["order"] + kind)
-    planar = tags.get(284, (1,))[0] == 2
-    cube = flat.reshape(n, h, w) if planar else flat.reshape(h, w, n).transpose(2, 0, 1)
-    out = cube.astype(np.float64)
-    if tags.get(42113):
-        out[out == float(tags[42113])] = np.nan
-    return out
+    return kind
+
+
+def bands(data: bytes, edge: int = 0, nearest: bool = False) -> np.ndarray:
+    """(bands, height, width) as doubles, its longer edge cut to ``edge`` (0: whole); nodata is NaN."""
+    tags = parse(data)
+    return np.stack([grid for _, grid in blocks.decimated(data, tags, sample_kind(tags), edge, nearest)])
 
 
 def encode(cube: np.ndarray, epsg: int | None = None, origin: tuple[float, float] = (0.0, 0.0), pixel: float = 1.0, nodata: float | None = None, descriptions: list[str] | None = None) -> bytes:
-    """A band-sequential GeoTIFF without compression."""
+    """A band-sequential GeoTIFF of one strip a band, without compression."""
     n, h, w = cube.shape
     kind = {"u": 1, "i": 2, "f": 3}[cube.dtype.kind]
     body = cube.astype(cube.dtype.newbyteorder("<")).tobytes()
@@ -140,32 +144,32 @@ def scan_metadata(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).select("path", "content").mapInPandas(run, META_DDL)
 
 
-def scan_pixels(spark: SparkSession, path: str, max_edge: int = 1024) -> DataFrame:
-    """path, band, r, c, value of every readable file, its edge cut to ``max_edge`` by block means.
+def scan_pixels(spark: SparkSession, path: str, max_edge: int = 1024, nearest: bool = False) -> DataFrame:
+    """path, band, r, c, value, error_code of every file, its longer edge cut to ``max_edge`` (0: whole).
 
-    Whole blocks of the next larger integer factor are averaged, over valid pixels alone; invalid
-    pixels are null. Files that can't be read give no rows here: see ``scan_metadata``.
+    A wanted pixel is the mean of the valid ones that lie in it, by how much of each does, or with
+    ``nearest``, for classes and masks, the one in its middle; invalid pixels are null. The shape is that of
+    ``geometry.decimated``. A file that can't be read gives one row with its error and nulls.
     """
+    names = ["path", "band", "r", "c", "value", "error_code"]
+
+    def frame(path: str, band: int, grid: np.ndarray) -> pd.DataFrame:
+        place, width = np.arange(grid.size), grid.shape[1]
+        value = pd.array(grid.reshape(-1), dtype="Float64")
+        return pd.DataFrame({"path": path, "band": band, "r": place // width, "c": place % width, "value": value, "error_code": None})
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for p, content in zip(part["path"], part["content"]):
                 try:
-                    cube = bands(content)
-                except ValueError:
-                    continue
-                factor = -(-max(cube.shape[1:]) // max_edge) if max_edge > 0 else 1
-                for number, band in enumerate(cube, 1):
-                    h, w = (max(1, -(-x // factor)) for x in band.shape)
-                    padded = np.full((h * factor, w * factor), np.nan)
-                    padded[: band.shape[0], : band.shape[1]] = band
-                    blocks = padded.reshape(h, factor, w, factor)
-                    count = (~np.isnan(blocks)).sum(axis=(1, 3))
-                    mean = np.where(count > 0, np.nansum(blocks, axis=(1, 3)) / np.maximum(count, 1), np.nan).reshape(-1)
-                    place = np.arange(h * w)
-                    yield pd.DataFrame({"path": p, "band": number, "r": place // w, "c": place % w, "value": pd.array(mean, dtype="Float64")})
-
-    rows = _files(spark, path).select("path", "content").mapInPandas(run, "path string, band int, r int, c int, value double")
+                    tags = parse(content)
+                    for band, grid in blocks.decimated(content, tags, sample_kind(tags), max_edge, nearest):
+                        yield frame(p, band, grid)
+                except ValueError as broken:
+                    failed = pd.DataFrame([[p, None, None, None, None, str(broken)]], columns=names)
+                    yield failed.astype({"band": "Int32", "r": "Int32", "c": "Int32", "value": "Float64"})
+
+    rows = _files(spark, path).select("path", "content").mapInPandas(run, "path string, band int, r int, c int, value double, error_code string")
     return rows.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
