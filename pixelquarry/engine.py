@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pixelquarry.operators import answers, change, confidence, contracts, geometry, grounding, kernels, landcover, language, projection, provenance, quality, radar, registration, thresholds
 from pixelquarry.operators.staging import on_one_machine, staged
+from pixelquarry.sources.sinks import RecordStore
 
 #: Indices that a class map carries, if its bands allow them.
 INDICES = ("mndwi", "ndwi", "ndvi", "ndbi")
@@ -96,11 +97,12 @@ class Engine:
 
     Pixels may hold many scenes, by scene_id: figures and reports then have their rows, and the text is
     that of the first. Two inputs are paired by scene_id, or are one pair if each holds one scene; the second is
-    brought on the first one's grid where both are placed, and refused where they can't be compared.
+    brought on the first one's grid where both are placed, and refused where they can't be compared. With a
+    ``store``, reports are kept there under the identifiers that it gives.
     """
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
+    def __init__(self, spark: SparkSession, store: RecordStore | None = None) -> None:
+        self.spark, self.store = spark, store
         ship_package(spark)
 
     def analyze(self, query: str, scenes: list[Scene], task: str | None = None) -> Answer:
@@ -153,6 +155,8 @@ class Engine:
                 steps.append((tool, f"failed: {type(failed).__name__}", lap()))
                 if not self._others(routed, out):
                     raise
+        if self.store is not None:
+            report = self.store.add(report, "created_at", "scene_id")
         first = report.orderBy("scene_id").first()
         text = first["answer"] if first else ""
         trace = [f"{s['step']}: {s['details']}" for s in first["steps"]] if first else []
@@ -196,7 +200,8 @@ class Engine:
         rows = provenance.reduced(provenance.weigh(rows, tool, found.factors(rows)))
         record = F.concat_ws("-", F.lit(uuid.uuid4().hex), F.col("scene_id").cast("string")).alias("id")
         kept = ["answer", "status", "score", "level", "limiting_factor", "reasons", "warnings", "evidence", "steps"]
-        return staged(rows.select(record, "scene_id", F.lit(query).alias("query"), F.lit(tool).alias("tool"), *kept))
+        told = [F.col("scene_id"), F.lit(query).alias("query"), F.lit(tool).alias("tool"), *kept]
+        return staged(rows.select(record, *told) if self.store is None else rows.select(*told, F.current_timestamp().alias("created_at")))
 
     # Two inputs on one grid.
 

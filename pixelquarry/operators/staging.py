@@ -14,20 +14,38 @@ def on_one_machine(spark: SparkSession) -> bool:
     return master == "local" or master.startswith("local[")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the session's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's shared folder: ``spark.checkpoint.dir``.
 
-    An analysis that reads its pixels several times (bounds, bins, moments, map) reads them from
-    here and not through the whole plan again, and a lost executor costs a reread. The folder is
-    ``spark.checkpoint.dir``; only where that is unset and all runs on one machine a new one is set.
+    Only where that is unset and all runs on one machine a new one is set.
     """
-    spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not on_one_machine(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
         shared = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    return shared.rstrip("/")
+
+
+def staged_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, and its path there, for ``discard``."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder.
+
+    An analysis that reads its pixels several times (bounds, bins, moments, map) reads them from
+    here and not through the whole plan again, and a lost executor costs a reread.
+    """
+    return staged_at(df)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``staged_at`` that nothing reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelquarry.operators import answers, confidence, contracts, geometry, metrics, registration
+from pixelquarry.operators.staging import shared_folder
 from pixelquarry.operators.wording import filled_sql
-from pixelquarry.sources import geotiff
+from pixelquarry.sources import allocation, geotiff
 from pixelquarry.sources.scenes import read
+from pixelquarry.sources.sinks import RecordStore
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -304,10 +308,23 @@ def record_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("o_orderkey").alias("request_id"), "c_name", F.when(F.col("c_custkey").isNull(), "IMAGE_NOT_FOUND").alias("error_code"))
 
 
-@query("next_record_id", "SELECT 'SAT-2026-' || lpad((max(event_id) + 1)::VARCHAR, 6, '0') AS id FROM events")
+@query("stored_analyses", "WITH b AS (SELECT *, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderkey % 2, o_orderdate, o_orderkey) AS n FROM orders) "
+       "SELECT o_orderkey AS request_id, printf('SAT-%d-%06d', year(o_orderdate), n) AS id, c_name AS image FROM b LEFT JOIN customer ON o_custkey = c_custkey")
+def stored_analyses(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as analyses in two batches, customers as the images they are of: what both stores hold then."""
+    folder = f"{shared_folder(spark)}/stores-{uuid.uuid4().hex}"
+    images, analyses = (RecordStore(spark, f"{folder}/{name}") for name in ("images", "analyses"))
+    images.append(read(spark, sf, "customer").select(F.col("c_custkey").alias("image_id"), F.col("c_name").alias("image")))
+    rows = read(spark, sf, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("image_id"), F.col("o_orderdate").alias("created_at"))
+    for batch in (0, 1):
+        analyses.add(rows.where(F.col("request_id") % 2 == batch))
+    return analyses.all().join(images.all(), "image_id", "left").select("request_id", "id", "image")
+
+
+@query("next_record_id", "SELECT printf('SAT-%d-%06d', year(ts), max(event_id) + 1) AS id FROM events GROUP BY year(ts)")
 def next_record_id(spark: SparkSession, sf: str) -> DataFrame:
-    n = read(spark, sf, "events").agg((F.max("event_id") + 1).alias("n"))
-    return n.select(F.concat(F.lit("SAT-2026-"), F.lpad(F.col("n").cast("string"), 6, "0")).alias("id"))
+    n = read(spark, sf, "events").groupBy(F.year("ts").alias("year")).agg((F.max("event_id") + 1).alias("n"))
+    return n.select(allocation.record_id(F.col("year"), F.col("n")).alias("id"))
 
 
 @query("terminal_status", f"WITH {_RES} SELECT request_id, CASE WHEN separability < 0.25 OR n_warnings > 0 THEN 'partial' ELSE 'success' END AS status FROM rs")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelquarry.operators.language import html_escape
+from pixelquarry.operators.staging import staged
+from pixelquarry.sources import allocation
 
 
 def png(image: np.ndarray) -> bytes:
@@ -71,16 +74,32 @@ def html_report(records: DataFrame, fields: list[str]) -> DataFrame:
 
 
 class RecordStore:
-    """Analyses as a Parquet table: append, get, newest first, next identifier."""
+    """Records as a Parquet table: append, add under new identifiers, get, newest first."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
+        self.claims = allocation.Claims(spark, self.path + ".claims")
+
+    def exists(self) -> bool:
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return bool(folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder))
+
+    def add(self, records: DataFrame, created: str = "created_at", key: str = "request_id") -> DataFrame:
+        """Store ``records`` under identifiers of their own years; gives them with their id.
+
+        Several writers may do so at once. See ``allocation.with_ids`` for what is refused.
+        """
+        found = allocation.with_ids(records, created, key, self.claims, self.all() if self.exists() else None)
+        kept = staged(found)
+        self.append(kept)
+        return kept
 
     def append(self, records: DataFrame) -> None:
-        records.write.mode("append").option("mergeSchema", "true").parquet(self.path)
+        """Store ``records`` as they are, in a folder of their own: writers of one folder would clear each other's drafts."""
+        records.write.parquet(f"{self.path}/batch={uuid.uuid4().hex}")
 
     def all(self) -> DataFrame:
-        return self.spark.read.option("mergeSchema", "true").parquet(self.path)
+        return self.spark.read.option("mergeSchema", "true").parquet(self.path).drop("batch")
 
     def get(self, record_id: str) -> DataFrame:
         return self.all().where(F.col("id") == record_id)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelquarry.engine import Engine, Refused, Scene
+from pixelquarry.sources.sinks import RecordStore
 
 BANDS = ["blue", "green", "red", "nir", "swir1"]
 WATER, LAND = (0.06, 0.08, 0.05, 0.02, 0.01), (0.05, 0.08, 0.06, 0.40, 0.20)
@@ -103,3 +104,14 @@ print("SAID", Engine(spark).analyze("what land cover is there?", [Scene(px, ["re
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code.replace("/root/repo", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
     assert "SAID Land cover by share:" in done.stdout, done.stderr[-2000:]
+
+
+def test_reports_are_kept_under_numbered_identifiers(spark, tmp_path):
+    store = RecordStore(spark, str(tmp_path / "analyses"))
+    keeping = Engine(spark, store)
+    two = Scene(lake(spark, 1, True).unionByName(lake(spark, 2, True, seed=3)), BANDS, pixel_area=100.0)
+    answers = [keeping.analyze("how much water is there?", [two]) for _ in range(2)]
+    ids = sorted(r.id for r in store.all().collect())
+    assert [i[8:] for i in ids] == ["-000001", "-000002", "-000003", "-000004"] and all(i.startswith("SAT-20") for i in ids)
+    last = answers[1].report.orderBy("scene_id").first()
+    assert store.get(last.id).first().answer == last.answer == answers[1].text and last.id == ids[2]
