@@ -107,19 +107,3 @@ def linear_head(df: DataFrame, vector: str, centres: DataFrame, label: str) -> D
 def exact_match(a: Column, b: Column) -> Column:
     """Whether two answers are equal but for case and outer blanks."""
     return F.coalesce(F.lower(F.trim(a)) == F.lower(F.trim(b)), F.lit(False))
-
-
-def train_probe(train: DataFrame, test: DataFrame, vector: str, label: str, rounds: int = 50) -> DataFrame:
-    """``test`` with predicted: by a multinomial linear probe trained on whole supplied vectors.
-
-    Rows without a label or a vector take no part. What comes to the driver in a round is a gradient of
-    classes times components.
-    """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    ready = lambda df: df.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
-    probe = LogisticRegression(featuresCol="_v", labelCol="_y", predictionCol="_p", rawPredictionCol="_raw", probabilityCol="_prob", maxIter=rounds, regParam=1e-3)
-    model = probe.fit(ready(train).select("_v", F.col(label).cast("double").alias("_y")))
-    found = model.transform(ready(test))
-    return found.withColumn("predicted", F.col("_p").cast(test.schema[label].dataType)).drop("_v", "_p", "_raw", "_prob")

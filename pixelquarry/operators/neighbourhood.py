@@ -197,6 +197,7 @@ def regions(px: DataFrame, labels: DataFrame, score: str, pixel_area: float | No
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg("_score"))).alias("score"),
     ).where(F.col("pixel_area") >= min_pixels)
     order = Window.partitionBy(scene).orderBy(F.col("pixel_area").desc(), "label")
-    ranked = boxes.withColumns({"rank": F.row_number().over(order), "more": F.count("*").over(Window.partitionBy(scene)) > most})
+    ranked = boxes.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most + 1)
+    ranked = ranked.withColumn("more", F.max("rank").over(Window.partitionBy(scene)) > most)
     area = (F.col("pixel_area") * F.lit(pixel_area).cast("double")).alias("area_m2")
     return ranked.where(F.col("rank") <= most).select("*", area)

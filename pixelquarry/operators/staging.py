@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,11 +29,11 @@ def shared_folder(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
-def staged_at(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` as a table in the shared folder, and its path there, for ``discard``."""
+def staged_at(df: DataFrame, folders: Sequence[str] = ()) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, with a folder for each value of ``folders``, and its path, for ``discard``."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelquarry.operators import answers, confidence, contracts, geometry, metrics, registration
+from pixelquarry.operators import answers, confidence, contracts, geometry, metrics, probe, registration
 from pixelquarry.operators.staging import shared_folder
 from pixelquarry.operators.wording import filled_sql
 from pixelquarry.sources import allocation, geotiff
@@ -185,7 +185,7 @@ def scene_head(spark: SparkSession, sf: str) -> DataFrame:
 def linear_probe(spark: SparkSession, sf: str) -> DataFrame:
     """The confusion of a probe that is trained on the vectors with an even identifier, over the others."""
     rows = read(spark, sf, "embeddings")
-    return metrics.confusion(metrics.train_probe(rows.where("vec_id % 2 = 0"), rows.where("vec_id % 2 = 1"), "embedding", "label"), "label", "predicted")
+    return metrics.confusion(probe.train_probe(rows.where("vec_id % 2 = 0"), rows.where("vec_id % 2 = 1"), "embedding", "label", "vec_id"), "label", "predicted")
 
 
 _SCENE = {"name": "name", "share": "round(p*100)::BIGINT || '%'"}

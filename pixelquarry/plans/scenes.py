@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelquarry.functions import spectral
-from pixelquarry.operators import change, grounding, kernels, landcover, neighbourhood, radar, registration
+from pixelquarry.operators import change, grounding, kernels, landcover, mosaic, neighbourhood, radar, registration
 from pixelquarry.operators.staging import staged
 from pixelquarry.plans import sql
-from pixelquarry.sources.scenes import BANDS, pixel_grid, pixel_pair, read
+from pixelquarry.sources.scenes import BANDS, HEIGHT, pixel_grid, pixel_pair, read
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -334,6 +334,29 @@ def clean_mask(spark: SparkSession, sf: str) -> DataFrame:
     return neighbourhood.clean_masks(_mask(spark, sf).select("scene_id", "r", "c", "mask"), ["mask"], 1, 2, 9)
 
 
+#: All scenes below one another: one scene that grows with the tables.
+_MOSAIC = f"big AS MATERIALIZED (SELECT 0::BIGINT AS scene_id, (scene_id*{HEIGHT} + r)::INT AS r, c, mask FROM mk)"
+#: Edge of its tiles: scenes of 125 by 48 are cut both ways, and no cut is a scene's edge.
+_TILE = 32
+
+
+def _mosaic(spark: SparkSession, sf: str) -> DataFrame:
+    row = (F.col("scene_id") * HEIGHT + F.col("r")).cast("int")
+    return _mask(spark, sf).select(F.lit(0).cast("long").alias("scene_id"), row.alias("r"), "c", "mask")
+
+
+@query("mosaic_components", f"WITH RECURSIVE {_MASK}, {_MOSAIC}, big_on AS (SELECT * FROM big WHERE mask), {sql.components('k', 'big_on')} SELECT scene_id, r, c, dense_rank() OVER (ORDER BY lab)::INT AS label FROM k_l")
+def mosaic_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of one scene that is many tiles."""
+    return mosaic.components(_mosaic(spark, sf), "mask", _TILE)
+
+
+@query("mosaic_clean_mask", f"WITH RECURSIVE {_MASK}, {_MOSAIC}, {sql.cleaned('x', 'big', 'mask', 9)} SELECT big.scene_id, big.r, big.c, x.r IS NOT NULL AS mask FROM big LEFT JOIN x USING (scene_id, r, c)")
+def mosaic_clean_mask(spark: SparkSession, sf: str) -> DataFrame:
+    """That scene's mask, cleaned tile by tile."""
+    return mosaic.clean_masks(_mosaic(spark, sf), ["mask"], 1, 2, 9, _TILE)
+
+
 @query("sector_counts", f"WITH p AS (SELECT scene_id, r, c, vv, max(r) OVER (PARTITION BY scene_id) + 1 AS h, max(c) OVER (PARTITION BY scene_id) + 1 AS w FROM ({sql.PX})), " + "s(sector, r0, r1, c0, c1) AS (VALUES ('north', 0.0, 0.5, 0.0, 1.0), ('south', 0.5, 1.0, 0.0, 1.0), ('east', 0.0, 1.0, 0.5, 1.0), ('west', 0.0, 1.0, 0.0, 0.5), "
        "('north_east', 0.0, 0.5, 0.5, 1.0), ('north_west', 0.0, 0.5, 0.0, 0.5), ('south_east', 0.5, 1.0, 0.5, 1.0), ('south_west', 0.5, 1.0, 0.0, 0.5), ('centre', 0.25, 0.75, 0.25, 0.75)) "
        "SELECT scene_id, sector, count(*) AS pixels, round(avg(vv), 6) AS mean FROM p JOIN s ON r >= round_even(r0*h, 0) AND r < round_even(r1*h, 0) AND c >= round_even(c0*w, 0) AND c < round_even(c1*w, 0) GROUP BY scene_id, sector")

@@ -157,14 +157,6 @@ def test_png_scan(spark, tmp_path):
     assert (png.decode(made) == image).all()
 
 
-def test_linear_probe(spark):
-    rng = np.random.default_rng(1)
-    rows = [(i, i % 3, [float(v) for v in rng.normal(0, 0.3, 4) + np.eye(4)[i % 3]]) for i in range(300)]
-    df = spark.createDataFrame(rows, "id long, label int, v array<double>")
-    found = metrics.train_probe(df.where("id % 2 = 0"), df.where("id % 2 = 1"), "v", "label")
-    assert found.where("label = predicted").count() > 0.9 * found.count() == 0.9 * 150
-
-
 def test_sinks(spark, tmp_path):
     image = np.random.default_rng(0).integers(0, 255, (5, 7)).astype(np.uint8)
     rendered = sinks.render(frame(spark, image), ["x"]).withColumn("uri", sinks.data_uri(F.col("png"))).first()
