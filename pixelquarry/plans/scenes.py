@@ -335,14 +335,14 @@ def clean_mask(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: All scenes below one another: one scene that grows with the tables.
-_MOSAIC = f"big AS MATERIALIZED (SELECT 0::BIGINT AS scene_id, (scene_id*{HEIGHT} + r)::INT AS r, c, mask FROM mk)"
+_MOSAIC = f"big AS MATERIALIZED (SELECT 0::BIGINT AS scene_id, (scene_id*{HEIGHT} + r)::INT AS r, c, mask AND c % 7 > 0 AS mask FROM mk)"
 #: Edge of its tiles: scenes of 125 by 48 are cut both ways, and no cut is a scene's edge.
 _TILE = 32
 
 
 def _mosaic(spark: SparkSession, sf: str) -> DataFrame:
     row = (F.col("scene_id") * HEIGHT + F.col("r")).cast("int")
-    return _mask(spark, sf).select(F.lit(0).cast("long").alias("scene_id"), row.alias("r"), "c", "mask")
+    return _mask(spark, sf).select(F.lit(0).cast("long").alias("scene_id"), row.alias("r"), "c", (F.col("mask") & (F.col("c") % 7 > 0)).alias("mask"))
 
 
 @query("mosaic_components", f"WITH RECURSIVE {_MASK}, {_MOSAIC}, big_on AS (SELECT * FROM big WHERE mask), {sql.components('k', 'big_on')} SELECT scene_id, r, c, dense_rank() OVER (ORDER BY lab)::INT AS label FROM k_l")
