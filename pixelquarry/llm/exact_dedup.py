@@ -118,7 +118,8 @@ def exact_dedup(
     ordered = rows.repartitionByRange("head", "hash", by_id).sortWithinPartitions("head", "hash", "text", by_id)
     runs = staged(ordered.mapInArrow(_runs, _RUNS_DDL), "exact-dedup-runs")
 
-    # At most a few runs for each partition; the join sends back identifiers and counts only.
+    # At most a few runs for each partition; the join sends back identifiers and counts only. As a table
+    # they have a known size, by which Spark broadcasts them or not.
     same = Window.partitionBy("text")
     merged = runs.where("edge AND first").select(
         "run",
@@ -126,7 +127,8 @@ def exact_dedup(
         F.sum("members").over(same).alias("all_members"),
         F.min("run").over(same).alias("first_run"),
     )
-    return runs.join(F.broadcast(merged), "run", "left").select(
+    merged = staged(merged, "exact-dedup-edges")
+    return runs.join(merged, "run", "left").select(
         F.col("id").alias(id_col),
         F.when(F.col("edge"), F.col("all_best")).otherwise(F.col("best")).alias("keep_id"),
         F.coalesce("all_members", "members").alias("group_size"),

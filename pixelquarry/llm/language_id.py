@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelquarry.llm.common import boxed, staged
+from pixelquarry.llm.common import boxed, discard, staged
 
 FEATURES = 4096
 #: Labelled rows of each language that the model is fitted on, about, and centroids of each.
 SAMPLE, CENTROIDS = 1500, 4
+#: Languages that a model holds at most: it is fitted and sent to the tasks whole, 64 KB for each.
+MAX_LANGUAGES = 1000
 #: The percentile of the learned texts' cosines, and the part of it under which a text is rejected.
 LOW, REACH = 25, 0.4
 #: Learned texts of a size that a quartile needs, and the part of a language's that a centroid needs.
@@ -186,18 +188,21 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
     """Fit on about ``sample`` rows of each language of ``labelled`` (doc_id, text, lang).
 
     Rows are chosen by a hash of identifier and text, so every run chooses the same; rows without a
-    language, without a text or without a letter are passed over. What comes to the driver are
-    counts of languages, feature counts of the sample's partitions and the centroids: all of them
-    bounded by the sample and the number of languages.
+    language, without a text or without a letter are passed over. Languages meet their counts by a
+    join. What comes to the driver are feature counts of the sample's partitions and the centroids,
+    bounded by the sample and by ``MAX_LANGUAGES``; more labelled languages than that are refused.
     """
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    share = {r["lang"]: sample / r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not share:
+    languages = staged(rows.groupBy("lang").agg(F.count("*").alias("n")), "language-counts")
+    known = languages.count()
+    if known > MAX_LANGUAGES:
+        raise ValueError(f"{known} languages are labelled; a model holds {MAX_LANGUAGES} at most")
+    if not known:
         return LanguageModel([], np.zeros((0, FEATURES), np.float32), np.zeros((0, SIZES)), np.ones(FEATURES, np.float32))
-    shares = F.create_map(*[F.lit(x) for lang, s in share.items() for x in (lang, float(s))])
     draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = rows.where(draw < F.try_element_at(shares, F.col("lang"))).select("text", "lang")
+    chosen = rows.join(languages, "lang").where(draw < F.lit(float(sample)) / F.col("n")).select("text", "lang")
     counts = staged(chosen.mapInArrow(_sparse, "lang string, counts binary"), "language-sample")
+    discard(languages)
     seen = counts.select("counts").mapInArrow(_seen, "n long, seen binary").collect()
     n = sum(r["n"] for r in seen)
     found = sum((np.frombuffer(r["seen"], np.int64) for r in seen), np.zeros(FEATURES, np.int64))

@@ -393,3 +393,11 @@ def test_language_id_rejects_unlearned_languages(spark):
     assert not stays & {i for i, _, lang in more if lang is None}
     clean = [r.doc_id for r in docs.collect() if r.text and len(r.text) > 40 and not re.search(r"\d", r.text) and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     assert len(clean) > 100 and set(clean) <= stays
+
+
+def test_more_languages_than_a_model_holds_are_refused(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, f"some words of text {k}", f"l{k % 4}") for k in range(12)], "doc_id long, text string, lang string")
+    assert len(set(language_id.fit(rows, centroids=1).languages)) == 4
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 3)
+    with pytest.raises(ValueError):
+        language_id.fit(rows)
