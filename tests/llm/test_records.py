@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from pixelquarry.llm import chat_format, topk_search, url_filters
+from pixelquarry.llm import chat_format, queries, topk_search, url_filters
 
 
 def brute_top(rows, k, scale, every):
@@ -75,6 +75,24 @@ def test_url_filters(spark):
     assert url_filters.url_filter(frame.limit(0)).collect() == []
 
 
+def test_registered_url_rules(spark, tmp_path):
+    """The registered query's rules, word by word as its contract lists them and not as the code does."""
+    want = [
+        ("http://a.com/en/1", "com/en/", "block"),
+        ("http://example.com/en/7", "example.com/en/7", "allow"),
+        ("http://example.com/en/8", "com/en/", "block"),
+        ("http://a.net/de/8", "net/de/", "allow"),
+        ("http://net/de/", "net/de/", "allow"),
+        ("http://www.example.net/de/81", "example.net/de/8", "block"),
+        ("http://example.net/de/9", "net/de/", "allow"),
+        ("http://b.org/es/1", "org/es/", "block"),
+        ("http://b.org/en/1", None, "allow"),
+    ]
+    spark.createDataFrame([(i, u) for i, (u, _, _) in enumerate(want)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in queries.op9_url_filters(spark, str(tmp_path)).collect()}
+    assert got == {i: tuple(x[1:]) for i, x in enumerate(want)}
+
+
 def test_url_filters_with_many_rules(spark, monkeypatch):
     """Thousands of rules; some have no whole literal token, many share theirs."""
     rng = random.Random(5)
