@@ -16,12 +16,18 @@ from pyspark.sql import functions as F
 
 from pixelquarry.functions.binding import bound
 from pixelquarry.operators.geometry import FLATTENING, SCALE, SEMI_MAJOR, overlap, pair_strategy
+from pixelquarry.operators.staging import staged
 
 #: Geographic degrees, and the hundreds of UTM codes north and south (fixed values).
 WGS84, UTM_NORTH, UTM_SOUTH = 4326, 326, 327
 FALSE_EASTING, FALSE_NORTHING = 500_000.0, 10_000_000.0
 #: Edge in pixels of a source tile.
 TILE = 64
+SIDES = ("minx", "miny", "maxx", "maxy")
+#: Metres of a degree, roughly: a cell of degrees is as many metres of a zone.
+DEGREE = math.radians(SEMI_MAJOR)
+#: Cells in a coarse one, by which scenes find the systems around them.
+COARSE = 16
 
 _N = FLATTENING / (2 - FLATTENING)
 _RADIUS = SEMI_MAJOR / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
@@ -148,25 +154,58 @@ def reprojected_box(box: list[Column], source: Column, target: Column) -> Column
     return F.when(supported(source) & supported(target), bound(around, p=there))
 
 
+def _near(scenes: DataFrame, cell: float) -> DataFrame:
+    """``scenes`` with a row for each system that scenes around one are of: its code and their box there, as _system and _of.
+
+    Around is by a coarse grid of degrees, on which a scene covers its box and, beyond it, as far as its diagonal
+    reaches: the box of its corners in any system lies within. So no scene is brought to a system far away.
+    """
+    around = reprojected_box([F.col(n) for n in SIDES], F.col("epsg"), F.lit(WGS84))
+    d = {n: F.col("_d")[n] for n in SIDES}
+    slant = F.greatest(F.lit(0.01), F.cos(F.radians(F.greatest(F.abs(d["miny"]), F.abs(d["maxy"])))))
+    wide, high = d["maxx"] - d["minx"], d["maxy"] - d["miny"]
+    reach = {"x": wide + high / slant, "y": wide + high}
+    coarse = lambda v: F.floor(v / (COARSE * cell))
+    ends = [x for n in "xy" for x in (coarse(d["min" + n] - reach[n]).alias(n + "0"), coarse(d["max" + n] + reach[n]).alias(n + "1"))]
+    placed = scenes.where(supported(F.col("epsg"))).select("scene_id", "epsg", *SIDES, around.alias("_d"))
+    placed = staged(placed.select("scene_id", "epsg", *SIDES, F.struct(*ends).alias("_range")))
+    box = [f(n).alias(n) for n, f in zip(SIDES, (F.min, F.min, F.max, F.max))]
+    cells = placed.groupBy("_range", "epsg").agg(*box)
+    for n in "xy":
+        cells = cells.withColumn("g" + n, F.explode(F.sequence(F.col("_range")[n + "0"], F.col("_range")[n + "1"])))
+    there = cells.groupBy("gx", "gy", F.col("epsg").alias("_system")).agg(*box)
+    near = cells.select("_range", "gx", "gy").distinct().join(there, ["gx", "gy"]).groupBy("_range", "_system").agg(F.struct(*box).alias("_of"))
+    return placed.join(near, "_range").drop("_range")
+
+
 def footprint_pairs(scenes: DataFrame, cell: float) -> DataFrame:
     """left, right, overlap, strategy of scenes (scene_id, epsg, minx, miny, maxx, maxy) that share ground.
 
     The overlap is taken in the left scene's system, the right one's four corners brought there, over the
-    smaller box; ``strategy`` is how the right one comes on the left one's grid system. Scenes meet by
-    the cells of a grid of degrees that they cover, and a pair is kept in the cell of its shared corner
-    alone; a scene covers few cells if ``cell`` is about a scene's size. Scenes of unsupported systems
-    meet none. Boxes stay on one side of the date line.
+    smaller box; ``strategy`` is how the right one comes on the left one's grid system. Scenes meet by the cells
+    of a grid of the left one's system that their boxes there cover, and a pair is kept in the cell of its shared
+    corner alone; a scene covers few cells if ``cell`` is about a scene's size in degrees. Scenes of unsupported
+    systems meet none. Boxes stay on one side of the date line.
     """
-    sides = ["minx", "miny", "maxx", "maxy"]
-    around = reprojected_box([F.col(n) for n in sides], F.col("epsg"), F.lit(WGS84))
-    placed = scenes.where(supported(F.col("epsg"))).select("scene_id", "epsg", *sides, around.alias("_d"))
-    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col("_d")[lo] / cell), F.floor(F.col("_d")[hi] / cell)))
-    placed = placed.withColumn("cx", span("minx", "maxx")).withColumn("cy", span("miny", "maxy"))
-    left, right = (placed.select("cx", "cy", *[F.col(n).alias(n + k) for n in placed.columns if n not in ("cx", "cy")]) for k in "12")
-    low = lambda n: F.floor(F.greatest(F.col("_d1")[n], F.col("_d2")[n]) / cell)
-    pairs = left.join(right, ["cx", "cy"]).where((F.col("scene_id1") < F.col("scene_id2")) & (low("minx") == F.col("cx")) & (low("miny") == F.col("cy")))
-    pairs = pairs.withColumn("_there", reprojected_box([F.col(n + "2") for n in sides], F.col("epsg2"), F.col("epsg1")))
-    share = overlap([F.col(n + "1") for n in sides], [F.col("_there")[n] for n in sides])
+    step = F.when(F.col("_system") == WGS84, cell).otherwise(cell * DEGREE)
+
+    def covering(rows: DataFrame) -> DataFrame:
+        """A row for each cell that a box, _b, shares with the box of the system's scenes."""
+        for n in "xy":
+            lo = F.floor(F.greatest(F.col("_b")["min" + n], F.col("_of")["min" + n]) / step)
+            hi = F.floor(F.least(F.col("_b")["max" + n], F.col("_of")["max" + n]) / step)
+            rows = rows.withColumn("c" + n, F.explode(F.when(lo <= hi, F.sequence(lo, hi))))
+        return rows
+
+    near = _near(scenes, cell)
+    there = reprojected_box([F.col(n) for n in SIDES], F.col("epsg"), F.col("_system"))
+    left = covering(near.where("epsg = _system").withColumn("_b", F.struct(*SIDES)))
+    right = covering(near.withColumn("_b", there))
+    keys = ["_system", "cx", "cy"]
+    left, right = (df.select(*keys, *[F.col(n).alias(n + k) for n in ("scene_id", "epsg")], *[F.col("_b")[n].alias(n + k) for n in SIDES]) for df, k in ((left, "1"), (right, "2")))
+    corner = lambda n: F.floor(F.greatest(f"min{n}1", f"min{n}2") / step) == F.col("c" + n)
+    pairs = left.join(right, keys).where((F.col("scene_id1") < F.col("scene_id2")) & corner("x") & corner("y"))
+    share = overlap(*[[F.col(n + k) for n in SIDES] for k in "12"])
     same = F.col("epsg1") == F.col("epsg2")
     grid = same & (F.col("minx1") == F.col("minx2")) & (F.col("miny1") == F.col("miny2")) & (F.col("maxx1") == F.col("maxx2")) & (F.col("maxy1") == F.col("maxy2"))
     rows = pairs.select(F.col("scene_id1").alias("left"), F.col("scene_id2").alias("right"), share.alias("overlap"), same.alias("_same"), grid.alias("_grid")).where("overlap > 0")

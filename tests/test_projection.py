@@ -88,3 +88,16 @@ def test_pairs_of_two_zones(spark):
     got = {(r.left, r.right): (round(r.overlap, 2), r.strategy) for r in projection.footprint_pairs(scenes, 0.03).collect()}
     assert got[1, 2] == (1.0, "identical_grid") and got[1, 3] == (0.5, "resample")
     assert got[1, 5][1] == "reproject" and got[1, 5][0] > 0.98 and {k for k in got if 4 in k} == set()
+
+
+def test_pairs_that_share_slivers(spark):
+    """A right scene's box in the left one's system may reach the left one though their boxes in degrees are apart."""
+    slivers = {(542, 3613): 0.001971, (3277, 5406): 0.001753, (3360, 3685): 0.000361}
+    rows = []
+    for k in {k for pair in slivers for k in pair}:
+        x, y, other = k * 37 % 997 * 100 + 800000.0, k * 61 % 991 * 100 + 2100000.0, k % 3 == 1
+        x -= 631000 if other else 0
+        rows.append((k, 32644 if other else 32643, x, y, x + 4000, y + 3000))
+    scenes = spark.createDataFrame(rows, "scene_id int, epsg int, minx double, miny double, maxx double, maxy double")
+    got = {(r.left, r.right): (round(r.overlap, 6), r.strategy) for r in projection.footprint_pairs(scenes, 0.04).collect()}
+    assert {k: got.get(k) for k in slivers} == {k: (v, "incompatible") for k, v in slivers.items()}
