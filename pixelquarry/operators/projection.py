@@ -167,7 +167,9 @@ def _near(scenes: DataFrame, cell: float) -> DataFrame:
     reach = {"x": wide + high / slant, "y": wide + high}
     coarse = lambda v: F.floor(v / (COARSE * cell))
     ends = [x for n in "xy" for x in (coarse(d["min" + n] - reach[n]).alias(n + "0"), coarse(d["max" + n] + reach[n]).alias(n + "1"))]
-    placed = scenes.where(supported(F.col("epsg"))).select("scene_id", "epsg", *SIDES, around.alias("_d"))
+    # Dealt out, as a table of few bytes is one task's, and bringing its boxes over takes long.
+    placed = scenes.where(supported(F.col("epsg"))).select("scene_id", "epsg", *SIDES).repartition("scene_id")
+    placed = placed.select("*", around.alias("_d"))
     placed = staged(placed.select("scene_id", "epsg", *SIDES, F.struct(*ends).alias("_range")))
     box = [f(n).alias(n) for n, f in zip(SIDES, (F.min, F.min, F.max, F.max))]
     cells = placed.groupBy("_range", "epsg").agg(*box)
@@ -183,11 +185,14 @@ def footprint_pairs(scenes: DataFrame, cell: float) -> DataFrame:
 
     The overlap is taken in the left scene's system, the right one's four corners brought there, over the
     smaller box; ``strategy`` is how the right one comes on the left one's grid system. Scenes meet by the cells
-    of a grid of the left one's system that their boxes there cover, and a pair is kept in the cell of its shared
-    corner alone; a scene covers few cells if ``cell`` is about a scene's size in degrees. Scenes of unsupported
-    systems meet none. Boxes stay on one side of the date line.
+    of a grid of the left one's system that their boxes there cover; a scene covers few cells if ``cell`` is about
+    a scene's size in degrees. In each direction one scene of a pair begins in the cell of their shared corner, so
+    only cells of such kinds are joined, and a pair comes up once. Scenes of unsupported systems meet none. Boxes
+    stay on one side of the date line.
     """
-    step = F.when(F.col("_system") == WGS84, cell).otherwise(cell * DEGREE)
+    # Finer cells cost more rows a scene, but fewer pairs that share a cell and no ground.
+    step = F.when(F.col("_system") == WGS84, cell / 2).otherwise(cell / 2 * DEGREE)
+    begins = lambda n: (F.floor(F.col("_b")["min" + n] / step) == F.col("c" + n)).cast("int")
 
     def covering(rows: DataFrame) -> DataFrame:
         """A row for each cell that a box, _b, shares with the box of the system's scenes."""
@@ -201,10 +206,14 @@ def footprint_pairs(scenes: DataFrame, cell: float) -> DataFrame:
     there = reprojected_box([F.col(n) for n in SIDES], F.col("epsg"), F.col("_system"))
     left = covering(near.where("epsg = _system").withColumn("_b", F.struct(*SIDES)))
     right = covering(near.withColumn("_b", there))
-    keys = ["_system", "cx", "cy"]
+    # 0 to 3: whether a box begins in the cell by y (1) and by x (2); the left one's meets those that begin where it doesn't.
+    right = right.withColumn("_kind", begins("x") * 2 + begins("y"))
+    others = [F.array(*map(F.lit, kinds)) for kinds in ((3,), (2, 3), (1, 3), (0, 1, 2, 3))]
+    left = left.withColumn("_kind", F.explode(F.element_at(F.array(*others), begins("x") * 2 + begins("y") + 1)))
+    keys = ["_system", "cx", "cy", "_kind"]
     left, right = (df.select(*keys, *[F.col(n).alias(n + k) for n in ("scene_id", "epsg")], *[F.col("_b")[n].alias(n + k) for n in SIDES]) for df, k in ((left, "1"), (right, "2")))
-    corner = lambda n: F.floor(F.greatest(f"min{n}1", f"min{n}2") / step) == F.col("c" + n)
-    pairs = left.join(right, keys).where((F.col("scene_id1") < F.col("scene_id2")) & corner("x") & corner("y"))
+    # A merge, as Spark would guess the sizes by the scenes' and broadcast all their cells.
+    pairs = left.hint("merge").join(right, keys).where("scene_id1 < scene_id2")
     share = overlap(*[[F.col(n + k) for n in SIDES] for k in "12"])
     same = F.col("epsg1") == F.col("epsg2")
     grid = same & (F.col("minx1") == F.col("minx2")) & (F.col("miny1") == F.col("miny2")) & (F.col("maxx1") == F.col("maxx2")) & (F.col("maxy1") == F.col("maxy2"))

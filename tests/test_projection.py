@@ -101,3 +101,15 @@ def test_pairs_that_share_slivers(spark):
     scenes = spark.createDataFrame(rows, "scene_id int, epsg int, minx double, miny double, maxx double, maxy double")
     got = {(r.left, r.right): (round(r.overlap, 6), r.strategy) for r in projection.footprint_pairs(scenes, 0.04).collect()}
     assert {k: got.get(k) for k in slivers} == {k: (v, "incompatible") for k, v in slivers.items()}
+
+
+def test_pairs_take_no_projection_each(spark):
+    """A scene is brought to a system once, and not for each scene that it meets."""
+    rows = [(k, 32643 + k % 2, 800000.0 - 631000 * (k % 2), 2100000.0, 804000.0 - 631000 * (k % 2), 2103000.0) for k in range(4)]
+    scenes = spark.createDataFrame(rows, "scene_id int, epsg int, minx double, miny double, maxx double, maxy double")
+    found = projection.footprint_pairs(scenes, 0.04)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(i for i, line in enumerate(plan) if "Join Inner" in line)
+    assert not any("ATANH" in line for line in plan[: join + 1])
+    assert "SortMergeJoin" in found._jdf.queryExecution().sparkPlan().toString()
+    assert len(found.collect()) == 6
