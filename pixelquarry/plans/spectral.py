@@ -29,8 +29,8 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-def indexed(spark: SparkSession, sf: str) -> DataFrame:
-    return landcover.with_indices(pixel_grid(spark, sf), NAMES)
+def indexed(spark: SparkSession, sf: str, in_order: bool = False) -> DataFrame:
+    return landcover.with_indices(pixel_grid(spark, sf, in_order=in_order), NAMES)
 
 
 def staged_indexed(spark: SparkSession, sf: str) -> DataFrame:
@@ -270,7 +270,7 @@ def class_colours(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("index_heatmap", f"SELECT scene_id, r, c, CASE WHEN nir IS NOT NULL THEN floor(greatest(0, least(1, (({sql.INDICES['ndvi']})+1)/2))*255)::INT END AS level FROM ({sql.PX})")
 def index_heatmap(spark: SparkSession, sf: str) -> DataFrame:
-    return indexed(spark, sf).select("scene_id", "r", "c", F.floor(spectral.score_map(F.col("ndvi")) * 255).cast("int").alias("level"))
+    return indexed(spark, sf, in_order=True).select("scene_id", "r", "c", F.floor(spectral.score_map(F.col("ndvi")) * 255).cast("int").alias("level"))
 
 
 _SCORES = {"water": "coalesce({mndwi}, {ndwi})", "vegetation": "{ndvi}", "built_up": "{ndbi}"}
