@@ -117,7 +117,7 @@ def brightness(spark: SparkSession, sf: str) -> DataFrame:
     + " FROM p JOIN e USING (scene_id)",
 )
 def rgb_composite(spark: SparkSession, sf: str) -> DataFrame:
-    px = staged(pixel_grid(spark, sf))
+    px = staged(pixel_grid(spark, sf, in_order=True))
     for b in ("red", "green", "blue"):
         px = thresholds.stretch(px, b, BY, 0.02, 0.98, b + "1")
     return px.select("scene_id", "r", "c", *[F.floor(F.coalesce(b + "1", F.lit(0.0)) * 255).cast("int").alias(b + "8") for b in ("red", "green", "blue")])

@@ -53,3 +53,7 @@ def agrees(spark, sf, name):
 
 def test_index_heatmap_adds_up_in_order(spark, sf):
     assert agrees(spark, sf, "index_heatmap")
+
+
+def test_rgb_composite_adds_up_in_order(spark, sf):
+    assert agrees(spark, sf, "rgb_composite")
